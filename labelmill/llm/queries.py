@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, secrets
+from . import bpe, chat, decontaminate, fingerprint, langid, quality, secrets
 
 
 def queries():
-    return {f.__name__: f for f in (chat.op2_chat, decontaminate.op5_decontaminate, secrets.op7_secrets, bpe.op10_bpe)}
+    return {f.__name__: f for f in (chat.op2_chat, fingerprint.op4_fingerprint, decontaminate.op5_decontaminate, langid.op6_langid, secrets.op7_secrets, quality.op9_quality, bpe.op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
