@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .storage import parallelism
 
-GRAM, WINDOW, PIECE_CHARS = 4, 12, 16
+GRAM, WINDOW, PIECE_CHARS = 3, 8, 16
 #: Positions take the low bits beside 40 bits of hash.
 POSITION = (1 << 23) - 1
 

@@ -183,11 +183,12 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
 
     spark = training.sparkSession
     rows = training.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.where("doc_id is not null").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # ids: per_language numbers for each language
 
     def one(table: pa.Table) -> pa.Table:
-        t = table.sort_by("nth")
+        t = table.sort_by([("nth", "ascending"), ("text", "ascending")])
         texts, nth = t.column("text").to_pylist(), t.column("nth").to_pylist()
         used = [x for x, k in zip(texts, nth, strict=True) if k % 10 or len(texts) < 10]
         held = [x for x, k in zip(texts, nth, strict=True) if not k % 10 and len(texts) >= 10]
