@@ -54,7 +54,8 @@ def anchors(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     p = place[window]
     first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (window[1:] != window[:-1] + 1)])
     last = np.r_[first[1:], len(window)] - 1
-    return g[p[first]], p[first], window[first], window[last]
+    # Chosen hashes are the least of many; scrambled again they fall evenly into ranges.
+    return mix(g[p[first]]), p[first], window[first], window[last]
 
 
 def batch_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
