@@ -11,8 +11,11 @@ has fewer words). Documents of equal sets are one class, of which the smallest i
   for each set the block of lists that sizes allow is found by position, and the places of the element
   in both sets bound the overlap that is left.
 * Answer-level skipping. Each set is first compared with one set that it shares most lists with, its
-  leader. Sets linked to the same leader are connected and need no comparison; for other pairs under
-  one leader the overlaps with it bound theirs. Only what is left is compared, exactly, on whole sets.
+  leader. Sets linked to the same leader are connected and need no comparison. For other pairs x, y under
+  a leader l the answer follows from the differences: |x & y| = |l| - |l - x| - |l - y| + c, where c counts
+  the elements in which both differ from l in the same way. If c = 0 is enough, both are linked to the set
+  that differs least; else a join over the few differences, with its own prefix filter, finds them.
+  Pairs under different leaders come from the lists. What is left is compared exactly on whole sets.
 * Components are found by joins over links, label by label.
 
 Null text, and text without words, have the empty set and are linked with nothing. A null id has a null component.
@@ -189,14 +192,15 @@ def frequencies(sets: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(answer, "batch bigint, part int, keys binary, counts binary")
 
 
-LIST = ("key", "doc", "n", "place", "group", "leader", "common")
+LIST = ("key", "doc", "n", "place", "group", "leader", "weight")
 _KINDS = (np.uint64, *(np.int64,) * 6)
 POSTINGS = "part int, " + ", ".join(f"`{x}` binary" for x in LIST)
 
 
 def postings(sets: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """Entries of the lists, packed by range of elements: a set's place in the list of each element of its prefix
-    that another set has. sets: doc, batch, elements, and group, leader, common as known so far."""
+    that another set has. sets: doc, batch, elements, prefix (how many elements to list), and group, leader, weight
+    as known so far."""
 
     def work(_, table: pa.Table, found: pa.Table) -> pa.Table:
         docs, values, start = _split(table)
@@ -210,9 +214,9 @@ def postings(sets: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
             f = np.where(keys[at] == values, counts[at], 1).astype(np.int64)
         order = np.lexsort((values, f, row))
         place = np.arange(len(values)) - start[row]
-        keep = (place < prefix_size(n)[row]) & (f[order] > 1)
+        keep = (place < t.column("prefix").to_numpy()[row]) & (f[order] > 1)
         k, r, p = values[order][keep], row[keep], place[keep]
-        extra = [t.column(c).to_numpy() for c in ("group", "leader", "common")]
+        extra = [t.column(c).to_numpy() for c in ("group", "leader", "weight")]
         columns = [k, docs[r], n[r], p, *(x[r] for x in extra)]
         by = np.argsort(k, kind="stable")
         columns = [np.asarray(c)[by].astype(kind) for c, kind in zip(columns, _KINDS, strict=True)]
@@ -261,31 +265,37 @@ def leaders(lists: DataFrame) -> DataFrame:
     return found.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
 
-def candidates(lists: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups that share a list and that no bound rules out."""
+def candidates(lists: DataFrame, differences: bool = False) -> DataFrame:
+    """Pairs of different groups that share a list and that no bound rules out.
+
+    Of whole sets: pairs under different leaders, neither the other's leader. Of differences: pairs (of one leader,
+    as their elements say) that must share at least (weight + weight) / 18 of them.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        (_, doc, n, place, group, leader, common), cut = _lists(table)
+        (_, doc, n, place, group, leader, weight), cut = _lists(table)
         found = [np.zeros((0, 2), np.int64)]
         waiting = 0
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             g = group[lo:hi]
             if hi - lo < 2 or (g == g[0]).all():
                 continue
+            d, m, p, le, w = (x[lo:hi] for x in (doc, n, place, leader, weight))
+            if not differences and (le == le[0]).all() and le[0] >= 0:
+                continue
             ids, size = np.unique(g, return_counts=True)
             most = ids[size.argmax()]
-            d, m, p, le, co = (x[lo:hi] for x in (doc, n, place, leader, common))
             for i in np.flatnonzero(g != most).tolist():
-                # The block of sizes that a link allows, by position.
-                s = int(np.searchsorted(m, -(-m[i] * PERCENT // 100), "left"))
-                e = int(np.searchsorted(m, m[i] * 100 // PERCENT, "right"))
-                j = np.arange(s, e)
-                j = j[(g[j] != g[i]) & ((g[j] == most) | (j > i))]
-                least = needed(m[i], m[j])
+                if differences:
+                    j = np.arange(hi - lo)
+                    least = np.maximum(-(-(w[i] + w) // 18), 1)
+                else:
+                    # The block of sizes that a link allows, by position.
+                    j = np.arange(np.searchsorted(m, -(-m[i] * PERCENT // 100), "left"), np.searchsorted(m, m[i] * 100 // PERCENT, "right"))
+                    j = j[((le[j] != le[i]) | (le[i] < 0)) & (le[j] != d[i]) & (d[j] != le[i])]
+                    least = needed(m[i], m[j])
                 bound = np.minimum(m[i] - p[i], m[j] - p[j]) + np.minimum(p[i], p[j])
-                near = (le[j] == le[i]) & (le[i] >= 0)
-                bound = np.where(near, np.minimum(bound, np.minimum(co[i], co[j]) + np.minimum(m[i] - co[i], m[j] - co[j])), bound)
-                j = j[bound >= least]
+                j = j[(bound >= least) & (g[j] != g[i]) & ((g[j] == most) | (j > i))]
                 if len(j):
                     found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1))
                     waiting += len(j)
@@ -297,8 +307,12 @@ def candidates(lists: DataFrame) -> DataFrame:
     return lists.groupBy("part").applyInArrow(work, "a bigint, b bigint").distinct()
 
 
+COMPARED = "a bigint, b bigint, common bigint, linked boolean, size_a bigint, size_b bigint, differences binary"
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the exact overlap of their sets and whether they are linked."""
+    """pairs (a, b) with the exact overlap and the sizes of their sets, whether they are linked, and the elements that
+    only one of the two has, as sorted hashes that b is part of."""
     body = sets.select("doc", "elements")
     both = pairs.join(body.withColumnsRenamed({"doc": "a", "elements": "x"}), "a").join(body.withColumnsRenamed({"doc": "b", "elements": "y"}), "b").select("a", "b", "x", "y")
 
@@ -306,16 +320,39 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 t = batch.slice(lo, 256)
-                common, linked = [], []
-                for x, y in zip(unpacked(t.column("x")), unpacked(t.column("y")), strict=True):
+                out = []
+                for b, x, y in zip(t.column("b").to_pylist(), unpacked(t.column("x")), unpacked(t.column("y")), strict=True):
                     z = np.concatenate([x, y])
                     z.sort()
-                    k = int((z[1:] == z[:-1]).sum())
-                    common.append(k)
-                    linked.append(100 * k >= PERCENT * (len(x) + len(y) - k))
-                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
-
-    return both.mapInArrow(work, "a bigint, b bigint, common bigint, linked boolean")
+                    twice = np.r_[z[1:] == z[:-1], False]
+                    k = int(twice.sum())
+                    twice[1:] |= twice[:-1]
+                    only = np.sort(mix(z[~twice] ^ mix(np.array([b], np.int64).view(np.uint64))))
+                    out.append((k, 100 * k >= PERCENT * (len(x) + len(y) - k), len(x), len(y), packed(only)))
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["a", "b", "common", "linked", "size_a", "size_b", "differences"])
+
+    return both.mapInArrow(work, COMPARED)
+
+
+def under_leaders(star: DataFrame, groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links among sets compared with the same leader that are needed besides those with it."""
+    # 9 |x & y| >= 4 (|x| + |y|) with c shared differences: 18 c >= v(x) + v(y).
+    weight = (9 * F.col("size_b") - 18 * F.col("common") + 8 * F.col("size_a")).alias("v")
+    rows = star.select("a", "b", "linked", "differences", weight)
+    heads = rows.groupBy("b").agg(F.min("v").alias("least"), F.min_by("a", F.struct("v", "a")).alias("nearest"), F.min(F.when(~F.col("linked"), F.col("v"))).alias("least_apart"), F.count("*").alias("n"))
+    heads = heads.where("least_apart is not null and n > 1")
+    rows = rows.join(heads, "b")
+    at_once = rows.where("v + least <= 0 and a <> nearest").select("a", F.col("nearest").alias("b"))
+    size = F.octet_length("differences") / 8
+    least = F.greatest(F.ceil((F.col("v") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))) / 18), F.lit(1))
+    few = rows.join(groups.withColumnRenamed("doc", "a"), "a", "left").select(
+        F.col("a").alias("doc"), F.pmod(F.xxhash64("a"), F.lit(PER_PARTITION * parts)).alias("batch"), F.col("differences").alias("elements"),
+        (size - least + 1).cast("long").alias("prefix"), F.coalesce("group", "a").alias("group"), F.col("b").alias("leader"), F.col("v").alias("weight"),
+    )
+    few = materialise(few)
+    pairs = candidates(postings(few, materialise(frequencies(few.select("doc", "batch", "elements"), parts)), parts), differences=True)
+    return at_once.union(compared(pairs, sets).where("linked").select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,15 +373,18 @@ def components(links: DataFrame) -> DataFrame:
 def links(sets: DataFrame, parts: int) -> DataFrame:
     """A set of links (a, b) that connects all linked sets. sets: doc, batch, elements."""
     answers = materialise(frequencies(sets, parts))
-    bare = sets.withColumns({"group": F.col("doc"), "leader": F.lit(-1).cast("long"), "common": F.lit(0).cast("long")})
+    n = (F.octet_length("elements") / 8).cast("long")
+    # n - ceil(n PERCENT / 100) + 1
+    sized = sets.withColumn("prefix", n - F.ceil(n * PERCENT / 100).cast("long") + 1)
+    bare = sized.withColumns({"group": F.col("doc"), "leader": F.lit(-1).cast("long"), "weight": F.lit(0).cast("long")})
     star = materialise(compared(leaders(postings(bare, answers, parts)), sets))
     joined_to = star.where("linked").select(F.col("a").alias("doc"), F.col("b").alias("head"))
     over = joined_to.select(F.col("doc").alias("head"), F.col("head").alias("top"))
     groups = joined_to.join(over, "head", "left").select("doc", F.coalesce("top", "head").alias("group"))
-    known = sets.join(groups, "doc", "left").join(star.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "common"), "doc", "left")
-    known = known.select("doc", "batch", "elements", F.coalesce("group", "doc").alias("group"), F.coalesce("leader", F.lit(-1).cast("long")).alias("leader"), F.coalesce("common", F.lit(0).cast("long")).alias("common"))
+    known = sized.join(groups, "doc", "left").join(star.select(F.col("a").alias("doc"), F.col("b").alias("leader")), "doc", "left")
+    known = known.select("doc", "batch", "elements", "prefix", F.coalesce("group", "doc").alias("group"), F.coalesce("leader", F.lit(-1).cast("long")).alias("leader"), F.lit(0).cast("long").alias("weight"))
     rest = compared(candidates(postings(known, answers, parts)), sets)
-    return star.where("linked").select("a", "b").union(rest.where("linked").select("a", "b"))
+    return star.where("linked").select("a", "b").union(under_leaders(star, groups, sets, parts)).union(rest.where("linked").select("a", "b"))
 
 
 def join(docs: DataFrame) -> DataFrame:
