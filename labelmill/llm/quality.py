@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbuf import LOWER, NOT_BLANK, batch_pieces, byte_class, span_hashes, starts_of, utf8, word_bounds
+from .textbuf import ALNUM, LOWER, batch_pieces, byte_class, span_hashes, starts_of, utf8, word_bounds
 
 LABELLED, POOL, ROUNDS, SURE, HANDED = 6000, 4000, 3, 0.98, 400
 BITS, META_BITS, SHAPES = 17, 10, 8
-QUALITY_FLOOR, TOXIC_CEILING = 0.35, 0.65
+QUALITY_FLOOR, TOXIC_CEILING = 0.5, 0.5
 _UPPER, _DIGIT = byte_class(lambda b: 65 <= b <= 90), byte_class(lambda b: 48 <= b <= 57)
 _SIGN = byte_class(lambda b: 33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126)
 
@@ -60,7 +60,7 @@ def text_rows(data: np.ndarray, offsets: np.ndarray) -> Rows:
     """Logarithmic counts of hashed words, scaled to length 1, and eight shapes of the text."""
     n = len(offsets) - 1
     low = LOWER[data]
-    s, e, row = word_bounds(low, offsets, NOT_BLANK)
+    s, e, row = word_bounds(low, offsets, ALNUM)
     size = np.diff(offsets)
     word = span_hashes(low, s, e) >> np.uint64(64 - BITS)
     key, count = np.unique(row.astype(np.uint64) << np.uint64(BITS) | word, return_counts=True)
@@ -109,9 +109,20 @@ class Logistic:
     b: float
 
     @classmethod
-    def fit(cls, x: Rows, y: np.ndarray, width: int, penalty: float = 1e-4, steps: int = 80) -> Logistic:
-        """Full-batch Adam on the class-balanced logistic loss."""
+    def fit(cls, x: Rows, y: np.ndarray, width: int, penalty: float = 1e-3, steps: int = 80, hashed: int = 0) -> Logistic:
+        """Full-batch Adam on the class-balanced logistic loss.
+
+        hashed: the first so many columns are presences of words or values; they are scaled by the log ratio of
+        their rates in both classes, and left out where fewer than three rows have them.
+        """
         p = y.mean()
+        scale = np.ones(width)
+        if hashed:
+            on = np.repeat(y, np.diff(x.start))
+            pos, n = np.bincount(x.col, on, width)[:hashed], np.bincount(x.col, minlength=width)[:hashed]
+            ratio = np.log((pos + 1) / (pos.sum() + hashed)) - np.log((n - pos + 1) / ((n - pos).sum() + hashed))
+            scale[:hashed] = np.where(n >= 3, ratio, 0.0)
+            x = Rows(x.start, x.col, x.val * scale[x.col])
         weight = np.where(y > 0, 0.5 / max(p, 1e-6), 0.5 / max(1 - p, 1e-6)) / len(y)
         row = np.repeat(np.arange(len(x)), np.diff(x.start))
         w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
@@ -123,7 +134,7 @@ class Logistic:
             rate = 0.1 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
             w = w - rate * m / (np.sqrt(v) + 1e-7)
             b -= rate * mb / (np.sqrt(vb) + 1e-7)
-        return cls(w.astype(np.float32), float(b))
+        return cls((w * scale).astype(np.float32), float(b))
 
     def logit(self, x: Rows) -> np.ndarray:
         return x.dot(self.w) + self.b
@@ -167,17 +178,17 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
     a, b = np.flatnonzero(~fold), np.flatnonzero(fold)
     if len(y) < 8 or min(y[a].sum(), (1 - y[a]).sum(), y[b].sum(), (1 - y[b]).sum()) < 1:
         return None
-    views = ((text, pool_text, (1 << BITS) + SHAPES), (meta, pool_meta, 1 << META_BITS))
+    views = ((text, pool_text, (1 << BITS) + SHAPES, 1 << BITS), (meta, pool_meta, 1 << META_BITS, 1 << META_BITS))
     given: list[dict[int, int]] = [{}, {}]
     for _ in range(rounds):
         fitted = []
-        for k, (x, pool, width) in enumerate(views):
+        for k, (x, pool, width, hashed) in enumerate(views):
             more = np.array(sorted(given[k]), np.int64)
             one, two = x.take(a), pool.take(more)
             joined = Rows(np.r_[one.start, one.start[-1] + two.start[1:]], np.r_[one.col, two.col], np.r_[one.val, two.val])
-            fitted.append(Logistic.fit(joined, np.r_[y[a], [given[k][i] for i in more.tolist()]], width))
+            fitted.append(Logistic.fit(joined, np.r_[y[a], [given[k][i] for i in more.tolist()]], width, hashed=hashed))
         grown = False
-        for k, (_, pool, _) in enumerate(views):
+        for k, (_, pool, _, _) in enumerate(views):
             if not len(pool):
                 continue
             p = sigmoid(fitted[k].logit(pool))
@@ -188,7 +199,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
                 grown |= bool(sure)
         if not grown:
             break
-    t, m = (f.logit(x.take(b)) for f, (x, _, _) in zip(fitted, views, strict=True))
+    t, m = (f.logit(x.take(b)) for f, (x, _, _, _) in zip(fitted, views, strict=True))
     ts, ms = calibrated([t], y[b]), calibrated([m], y[b])
     return Head(*fitted, ts, ms, calibrated([ts.logit(dense(t)), ms.logit(dense(m))], y[b]))
 
