@@ -22,7 +22,7 @@ def report_tree(spark: SparkSession, root: str, subject: str = r"/p(\d{8})/", st
     """subject_id, study_id, report_text of all s*.txt below root; raises if a path has no ids, a study repeats or nothing is found."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
     part = lambda p: F.nullif(F.regexp_extract("path", p, 1), F.lit("")).try_cast("bigint")
-    rows = files.select("path", part(subject).alias("subject_id"), part(study).alias("study_id"), F.decode("content", "UTF-8").alias("report_text"))
+    rows = files.select("path", part(subject).alias("subject_id"), part(study).alias("study_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("report_text"))
     bad = rows.agg(F.count("*").alias("n"), F.count_if(F.col("subject_id").isNull() | F.col("study_id").isNull()).alias("unparsed"), (F.count("study_id") - F.countDistinct("study_id")).alias("repeated")).first()
     if not bad["n"] or bad["unparsed"] or bad["repeated"]:
         raise ValueError(f"report tree: {bad.asDict()}")
