@@ -294,7 +294,9 @@ def candidates(lists: DataFrame, differences: bool = False) -> DataFrame:
                     j = np.arange(np.searchsorted(m, -(-m[i] * PERCENT // 100), "left"), np.searchsorted(m, m[i] * 100 // PERCENT, "right"))
                     j = j[((le[j] != le[i]) | (le[i] < 0)) & (le[j] != d[i]) & (d[j] != le[i])]
                     least = needed(m[i], m[j])
-                bound = np.minimum(m[i] - p[i], m[j] - p[j]) + np.minimum(p[i], p[j])
+                # If this is the first element that both have, no more than what stands from here on is shared; a linked
+                # pair passes at its first.
+                bound = np.minimum(m[i] - p[i], m[j] - p[j])
                 j = j[(bound >= least) & (g[j] != g[i]) & ((g[j] == most) | (j > i))]
                 if len(j):
                     found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1))
