@@ -30,10 +30,10 @@ from .textbuf import batch_pieces
 #: Stands for the tokenizer's end-of-word mark, which no word can hold as one character.
 END = "\ue000"
 NEVER = 1 << 60
-#: Distinct words that one Python worker remembers before it starts anew.
-CACHED_WORDS = 400_000
+#: Distinct words that one Python worker remembers before it starts anew: frequent ones come back at once.
+CACHED_WORDS = 200_000
 #: Pairs of tokens whose compatibility it remembers.
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 200_000
 
 
 class WordBpe:
@@ -47,9 +47,8 @@ class WordBpe:
             raise ValueError("only word-level BPE with NFC, lower case and an end-of-word mark is known")
         inner = lambda t: t[: -len(mark)] + END if t.endswith(mark) and t != mark else t
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
-        self.names = {i: t for t, i in model["vocab"].items()}
+        self.decode = Names(spec).decode
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -151,16 +150,30 @@ class WordBpe:
                 out.append(known)
         return b"".join(out)
 
+
+class Names:
+    """What decoding needs of a tokenizer: a fraction of what encoding holds in memory."""
+
+    def __init__(self, spec: dict):
+        if spec["decoder"] is not None:
+            raise ValueError("only tokenizers without a decoder are known")
+        self.names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
         """The tokens' names with a blank between, which is how a tokenizer without a decoder does it."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _load(text: str) -> WordBpe:
     return WordBpe(json.loads(text))
 
 
+@lru_cache(1)
+def _names(text: str) -> Names:
+    return Names(json.loads(text))
+
+
 def _tokenizer(spark: SparkSession, path: str):
     """The tokenizer file (of fixed size, a parameter) as a broadcast text."""
     with open(path, encoding="utf-8") as f:
@@ -172,17 +185,28 @@ def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name.lower() not in names] + list(fields))
 
 
-def encode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """df with ``ids`` (binary: the ids as little-endian unsigned 32-bit integers) of each text."""
-    spec, schema = _tokenizer(df.sparkSession, tokenizer), _added(df, T.StructField("ids", T.BinaryType()))
+def encode(df: DataFrame, tokenizer: str, text_col: str = "text", decoded_col: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df with ``ids`` (binary: the ids as little-endian unsigned 32-bit integers) of each text.
+
+    decoded_col: also decodes the ids, in the same pass, so that a task needs one Python worker and not two.
+    Without keep_text the text is left out of the result.
+    """
+    new = ["ids"] + [decoded_col] * (decoded_col is not None)
+    kinds = [T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.StringType()) for c in new[1:])]
+    spec, schema = _tokenizer(df.sparkSession, tokenizer), _added(df, *kinds)
+    if not keep_text:
+        schema = T.StructType([f for f in schema if f.name != text_col])
+    kept = [f.name for f in schema if f.name not in new]
 
     def run(batches):
         bpe = _load(spec.value)
         for batch in batches:
             for b in batch_pieces(batch, text_col):
                 ids = [bpe.text(s or "") for s in b.column(text_col).to_pylist()]
-                kept = [f.name for f in schema if f.name != "ids"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"])
+                out = [pa.array(ids, pa.binary())]
+                if decoded_col:
+                    out.append(pa.array(map(bpe.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *out], [*kept, *new])
 
     return df.mapInArrow(run, schema)
 
@@ -190,13 +214,13 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """df with ``decoded``, the text of each row's ids; null ids give an empty text."""
     spec, schema = _tokenizer(df.sparkSession, tokenizer), _added(df, T.StructField("decoded", T.StringType()))
+    kept = [f.name for f in schema if f.name != "decoded"]
 
     def run(batches):
-        bpe = _load(spec.value)
+        names = _names(spec.value)
         for batch in batches:
             for b in batch_pieces(batch, ids_col, 4 << 20):
-                texts = [bpe.decode(x or b"") for x in b.column(ids_col).to_pylist()]
-                kept = [f.name for f in schema if f.name != "decoded"]
+                texts = [names.decode(x or b"") for x in b.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "decoded"])
 
     return df.mapInArrow(run, schema)
@@ -210,7 +234,7 @@ def tokenizer_path() -> str:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs, tokenizer_path()).drop("text"), tokenizer_path())
+    out = encode(docs, tokenizer_path(), decoded_col="decoded", keep_text=False)
     return out.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),

@@ -215,6 +215,16 @@ def test_bpe_equals_the_library():
         assert ours.decode(ours.text(t)) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_in_one_pass_and_in_two(spark):
+    rows = [(1, "Hello <|endoftext|> World", "x"), (2, None, None), (3, "", "y"), (3, "long " * 9000, "y"), (None, "tie", "z")]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string, ids string"), bpe.tokenizer_path()
+    one = bpe.encode(df, path, decoded_col="decoded", keep_text=False).select("doc_id", "ids", "decoded")
+    two = bpe.decode(bpe.encode(df, path).drop("text"), path).select("doc_id", "ids", "decoded")
+    found = [[(i, bytes(x), d) for i, x, d in f.collect()] for f in (one, two)]
+    assert sorted(found[0], key=repr) == sorted(found[1], key=repr) and len(found[0]) == 5
+    assert bpe.encode(df.limit(0), path, decoded_col="decoded").count() == 0
+
+
 def test_language_id_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = langid.op6_langid(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
