@@ -51,8 +51,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of each text and the digest of their decoded form."""
-    path = bpe.tokenizer_path()
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS), path).drop("text"), path)
+    out = bpe.encode(docs.select(*COLUMNS), bpe.tokenizer_path(), decoded_col="decoded", keep_text=False)
     return out.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
