@@ -309,7 +309,7 @@ def bootstrap_brier(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extraction_queries, learning_queries  # noqa: F401  they register themselves
+    from . import extraction_queries, learning_queries, planning_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

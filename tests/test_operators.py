@@ -11,6 +11,7 @@ from labelmill.operators import agreement as A
 from labelmill.operators import extraction as E
 from labelmill.operators import labels as L
 from labelmill.operators import metrics as M
+from labelmill.operators import planning as P
 from labelmill.sources import readers as R
 from labelmill.sources import writers as W
 
@@ -65,6 +66,21 @@ def test_icc_of_equal_raters(spark):
     assert r["icc_single"] == pytest.approx(1) and r["icc_mean"] == pytest.approx(1)
 
 
+@pytest.mark.parametrize(("p", "width"), [(0.8, 0.05), (0.9, 0.1), (0.5, 0.49), (0.99, 0.02)])
+def test_cases_for_width_is_the_least(spark, p, width):
+    n = spark.range(1).select(P.cases_for_width(F.lit(p), F.lit(width)).alias("n")).first()["n"]
+    half = lambda k: P.Z95 / (1 + P.Z95**2 / k) * (p * (1 - p) / k + P.Z95**2 / (4 * k * k)) ** 0.5
+    assert half(n) <= width and (n == 2 or half(n - 1) > width)
+
+
+def test_workload_without_minutes_of_a_task(spark):
+    d = spark.createDataFrame([("image", "s", 10, 20, 0.25), ("report", "s", 12, 18, 0.5), ("image", "alone", 1, 1, 0.0)], "task string, scenario string, complete_needed long, invited long, disagreement_rate double")
+    got = {(r["task"], r["scenario"], r["design"]): (r["ratings"], r["hours"]) for r in P.workload(d, 3, 0.2, {"image": 3.0, "report": None}).collect()}
+    assert got["image", "s", "all_raters"] == (60, 3.0) and got["report", "s", "one_rater_and_overlap"] == (26, None)
+    assert got["both", "s", "two_raters_and_third_on_disagreement"] == (45 + 45, None)
+    assert ("both", "alone", "all_raters") not in got
+
+
 def test_silver_ladder(spark):
     d = spark.createDataFrame([(1, True, False, False), (0, False, False, False), (None, False, True, False), (None, False, False, False)], "l int, p boolean, u boolean, n boolean")
     got = [(r["silver_strict"], r["silver_sensitive"], r["silver_score"]) for r in L.silver(d, "l", "p", "u", "n").collect()]
