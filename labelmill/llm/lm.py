@@ -2,13 +2,15 @@
 
 Words and pairs of words are counted over all training documents. The filter holds, for an n-gram of
 count c, the items (n-gram, 1) ... (n-gram, level) with level = 1 + floor(2 log2(c / least)): a few
-probes until the first miss give the count back, quantised. Its size is fixed (``FILTER_BITS``, a
-parameter: the model's size), so the least count of what enters it rises with the corpus, from the
-histogram of all counts. Workers get the filter by broadcast and score texts with an interpolated
-two-word model; a word that the filter does not hold has the smoothed probability of count 0.
+probes until the first miss give the count back, quantised. Every n-gram seen enters it (least is 1),
+and it has ``ITEM_BITS`` bits for each item, so it grows with the corpus. It is cut into shards by the
+leading bits of the n-gram's hash, each as large as its items need, and no one place holds it whole:
+a batch of documents asks for its words, then for its pairs, by ranges of keys (see exchange), and the
+task of a range fills the range's shards and answers with the levels that they tell. Shards don't
+depend on the number of ranges, so neither do scores. Texts are scored with an interpolated two-word
+model; a word that the filter does not hold has the smoothed probability of count 0.
 
-The exact counts behind ``base_score`` take another way, for any vocabulary: each batch of documents
-asks for the counts of its own words (see exchange).
+The exact counts behind ``base_score`` come back with the words' levels.
 
 A text's tokens are its words and one end. Null text counts as empty and has the end only. Words are
 known by 64-bit hashes.
@@ -18,15 +20,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exchange import in_batches, in_order, joined, key_ranges, packed, unpacked
+from .exchange import in_batches, in_order, joined, packed, unpacked
 from .langid import remainder
 from .storage import materialise, parallelism
-from .textbuf import LOWER, NOT_BLANK, mix, pieces, span_hashes, utf8, word_bounds
+from .textbuf import LOWER, NOT_BLANK, mix, pieces, span_hashes, starts_of, utf8, word_bounds
 
-FILTER_BITS, PROBES, SHARDS, WEIGHT = 1 << 25, 5, 32, 0.25
+#: FILTER_BITS is the width of a filter in one piece, where none is given.
+FILTER_BITS, PROBES, WEIGHT = 1 << 25, 5, 0.25
+#: Bits of a shard for each item and at least; leading bits of a hash that name its shard; n-grams worked on at once.
+ITEM_BITS, LEAST_BITS, SHARD_BITS, AT_ONCE = 16, 64, 16, 1 << 17
 END = np.uint64(0xE0D0F7E87E9D1357)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -55,140 +61,144 @@ def levels(counts: np.ndarray, least: int) -> np.ndarray:
     return np.where(counts >= least, 1 + np.floor(2 * np.log2(np.maximum(counts, 1) / least) + 1e-9), 0).astype(np.int64)
 
 
-def items(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+def items(keys: np.ndarray, level: np.ndarray, first=0, width=FILTER_BITS) -> np.ndarray:
     """The positions in the filter of all items of the n-grams."""
     n = np.repeat(keys, level)
     nth = np.arange(len(n)) - np.repeat(np.cumsum(level) - level, level) + 1
-    return positions(n, nth).ravel()
+    return positions(n, nth, *(np.repeat(np.broadcast_to(x, keys.shape), level) for x in (first, width))).ravel()
 
 
-def positions(keys: np.ndarray, level) -> np.ndarray:
+def positions(keys: np.ndarray, level, first=0, width=FILTER_BITS) -> np.ndarray:
+    """Where the items are, in shards of width bits that start at bit first (numbers, or one for each key)."""
     h = mix(keys + np.asarray(level, np.uint64) * _STEP)
     step = mix(h) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(FILTER_BITS - 1) for i in range(PROBES)], 1)
+    first, width = np.asarray(first, np.uint64), np.asarray(width, np.uint64)
+    return np.stack([first + (h + np.uint64(i) * step) % width for i in range(PROBES)], 1)
 
 
-def estimate(bits: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
-    """Counts as the filter tells them; 0 for what it does not hold."""
+def told(bits: np.ndarray, keys: np.ndarray, first=0, width=FILTER_BITS) -> np.ndarray:
+    """Levels as the filter tells them; 0 for what it does not hold."""
     level, asking = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    first, width = np.broadcast_to(first, keys.shape), np.broadcast_to(width, keys.shape)
     while len(asking) and level.max(initial=0) < 200:
-        p = positions(keys[asking], level[asking] + 1)
+        p = positions(keys[asking], level[asking] + 1, first[asking], width[asking])
         there = ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(1)
         asking = asking[there]
         level[asking] += 1
-    return np.where(level > 0, least * 2.0 ** ((level - 1) / 2 + 0.25), 0.0)
+    return level
+
+
+def as_counts(level: np.ndarray, least: int = 1) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 0, least * 2.0 ** ((level.astype(np.float64) - 1) / 2 + 0.25), 0.0)
+
+
+def estimate(bits: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
+    """Counts as the filter tells them; 0 for what it does not hold."""
+    return as_counts(told(bits, keys), least)
+
+
+def shard_levels(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What the shards of all these n-grams tell of each. keys: distinct, in order, whole shards; count 0 does not enter."""
+    level, out = levels(counts, 1), np.zeros(len(keys), np.uint8)
+    if not len(keys):
+        return out
+    start = starts_of(keys >> np.uint64(64 - SHARD_BITS))
+    width = np.maximum(np.add.reduceat(level, start) * ITEM_BITS, LEAST_BITS)
+    edge, i = np.r_[start, len(keys)], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + AT_ONCE, "right")) - 1)
+        own, n, some = width[i:j], np.diff(edge[i : j + 1]), slice(edge[i], edge[j])
+        first, wide = np.repeat(np.cumsum(own) - own, n), np.repeat(own, n)
+        flags = np.zeros(own.sum(), bool)
+        flags[items(keys[some], level[some], first, wide)] = True
+        out[some] = told(np.packbits(flags, bitorder="little"), keys[some], first, wide)
+        i = j
+    return out
+
 
+def shard_ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n ranges of whole shards starts in sorted keys, and the end."""
+    bounds = np.array([-(-(k << SHARD_BITS) // n) for k in range(1, n)], np.uint64)
+    return np.r_[0, np.searchsorted(keys >> np.uint64(64 - SHARD_BITS), bounds), len(keys)]
 
-COUNTS = "batch bigint, part int, keys binary, counts binary, n_tokens bigint, n_types bigint, histogram array<bigint>"
 
+ASKED = "batch bigint, part int, keys binary, counts binary"
+ANSWERS = "batch bigint, part int, counts binary, levels binary, n_tokens bigint, n_types bigint"
 
-def _histogram(counts: np.ndarray) -> list[int]:
-    """Number of n-grams per power of two of the count."""
-    return np.bincount(np.log2(counts).astype(int), minlength=64)[:64].tolist() if len(counts) else [0] * 64
 
+def _asked(batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    cut = shard_ranges(keys, parts)
+    some = [k for k in range(parts) if cut[k] < cut[k + 1]]
+    return pa.table({"batch": pa.array([batch] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "keys": pa.array([packed(keys[cut[k] : cut[k + 1]]) for k in some], pa.binary()), "counts": pa.array([packed(counts[cut[k] : cut[k + 1]].astype(np.uint32)) for k in some], pa.binary())})
 
-def _least(histogram: list[int], room: int) -> int:
-    """The least power of two such that the items of all n-grams of that count or more fit."""
-    for j in range(64):
-        if sum(n * (2 * (i - j) + 2) for i, n in enumerate(histogram) if i >= j) <= room:
-            return 1 << j
-    return 1 << 63
+
+def _answered(table: pa.Table, exact: bool) -> pa.Table:
+    """To each batch the levels, and if asked for the exact counts, of its keys; under batch -1 the sums of the range."""
+    asked = unpacked(table.column("keys"))
+    keys, inverse = np.unique(joined(asked), return_inverse=True)
+    totals = np.bincount(inverse, joined(unpacked(table.column("counts"), np.uint32), np.uint32), len(keys)).astype(np.uint64)
+    ends = np.cumsum([len(a) for a in asked])[:-1]
+    told_levels = np.split(shard_levels(keys, totals)[inverse], ends)
+    n, part = len(asked), table.column("part")[0].as_py()
+    return pa.table({
+        "batch": pa.array([*table.column("batch").to_pylist(), -1], pa.int64()),
+        "part": pa.array([part] * (n + 1), pa.int32()),
+        "counts": pa.array([*((packed(x) for x in np.split(totals[inverse], ends)) if exact else [None] * n), None], pa.binary()),
+        "levels": pa.array([*(packed(x) for x in told_levels), None], pa.binary()),
+        "n_tokens": pa.array([None] * n + [int(totals.sum())], pa.int64()),
+        "n_types": pa.array([None] * n + [int((totals > 0).sum())], pa.int64()),
+    })
 
 
 def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """Training counts of words: to each batch those it asks for, and under batch -1 each word once."""
+    """Training counts and levels of words: to each batch those it asks for."""
 
     def ask(table: pa.Table) -> pa.Table:
         t = in_order(table)
         h, row = tokens(t)
-        train = t.column("train").to_numpy().astype(bool)
         keys, inverse = np.unique(h, return_inverse=True)
-        counts = np.bincount(inverse, train[row], len(keys)).astype(np.uint64)
-        cut = key_ranges(keys, parts)
-        some = [k for k in range(parts) if cut[k] < cut[k + 1]]
-        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "keys": pa.array([packed(keys[cut[k] : cut[k + 1]]) for k in some], pa.binary()), "counts": pa.array([packed(counts[cut[k] : cut[k + 1]]) for k in some], pa.binary())})
+        counts = np.bincount(inverse, t.column("train").to_numpy().astype(bool)[row], len(keys))
+        return _asked(t.column("batch")[0].as_py(), keys, counts, parts)
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = unpacked(table.column("keys"))
-        keys, inverse = np.unique(joined(asked), return_inverse=True)
-        totals = np.bincount(inverse, joined(unpacked(table.column("counts"))), len(keys)).astype(np.uint64)
-        ends = np.cumsum([len(a) for a in asked])
-        back = totals[inverse]
-        seen = totals > 0
-        n, part = len(asked), table.column("part")[0].as_py()
-        return pa.table({
-            "batch": pa.array([*table.column("batch").to_pylist(), -1], pa.int64()),
-            "part": pa.array([part] * (n + 1), pa.int32()),
-            "keys": pa.array([None] * n + [packed(keys[seen])], pa.binary()),
-            "counts": pa.array([*(packed(x) for x in np.split(back, ends[:-1])), packed(totals[seen])], pa.binary()),
-            "n_tokens": pa.array([None] * n + [int(totals.sum())], pa.int64()),
-            "n_types": pa.array([None] * n + [int(seen.sum())], pa.int64()),
-            "histogram": pa.array([None] * n + [_histogram(totals[seen])], pa.list_(pa.int64())),
-        })
+        return _answered(table, True)
 
-    asked = docs.groupBy("batch").applyInArrow(ask, "batch bigint, part int, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, COUNTS)
+    return docs.groupBy("batch").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERS)
 
 
-def _known(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's tokens, their rows, and its distinct words with their counts and where each token's is."""
+def _known(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's tokens, their rows, and their counts and levels."""
     h, row = tokens(table)
     keys, inverse = np.unique(h, return_inverse=True)
-    counts = joined(unpacked(answers.sort_by("part").column("counts")))
+    answers = answers.sort_by("part")
+    counts, level = joined(unpacked(answers.column("counts"))), joined(unpacked(answers.column("levels"), np.uint8), np.uint8)
     if len(counts) != len(keys):
         raise ValueError("a batch's answers don't fit its words")
-    return h, row, keys, counts, inverse
+    return h, row, counts[inverse], level[inverse]
+
+
+def _pairs(h: np.ndarray, row: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which tokens follow another of their text, both in the filter."""
+    return np.flatnonzero((row[1:] == row[:-1]) & (level[1:] > 0) & (level[:-1] > 0)) + 1
 
 
-def pair_counts(docs: DataFrame, counts: DataFrame, least: int, parts: int) -> DataFrame:
-    """Training counts of pairs of words of which both occur at least least times (others cannot)."""
+def pair_counts(docs: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """Levels of pairs of words: to each batch those it asks for."""
 
     def ask(_, table: pa.Table, answers: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
-        if table.num_rows:
-            t = in_order(table)
-            h, row, _, counts, inverse = _known(t, answers)
-            often = (counts >= least)[inverse] & t.column("train").to_numpy().astype(bool)[row]
-            both = often[1:] & often[:-1] & (row[1:] == row[:-1])
-            found.append(pair_keys(h[:-1][both], h[1:][both]))
-        keys, n = np.unique(joined(found), return_counts=True)
-        cut = key_ranges(keys, parts)
-        some = [k for k in range(parts) if cut[k] < cut[k + 1]]
-        return pa.table({"part": pa.array(some, pa.int32()), "keys": pa.array([packed(keys[cut[k] : cut[k + 1]]) for k in some], pa.binary()), "counts": pa.array([packed(n[cut[k] : cut[k + 1]].astype(np.uint32)) for k in some], pa.binary())})
+        t = in_order(table)
+        h, row, _, level = _known(t, answers)
+        at = _pairs(h, row, level)
+        keys, inverse = np.unique(pair_keys(h[at - 1], h[at]), return_inverse=True)
+        counts = np.bincount(inverse, t.column("train").to_numpy().astype(bool)[row[at]], len(keys))
+        return _asked(t.column("batch")[0].as_py(), keys, counts, parts)
 
-    def answer(table: pa.Table) -> pa.Table:
-        keys, inverse = np.unique(joined(unpacked(table.column("keys"))), return_inverse=True)
-        totals = np.bincount(inverse, joined(unpacked(table.column("counts"), np.uint32), np.uint32), len(keys)).astype(np.uint64)
-        often = totals >= least
-        return pa.table({"keys": pa.array([packed(keys[often])], pa.binary()), "counts": pa.array([packed(totals[often])], pa.binary()), "histogram": pa.array([_histogram(totals[often])], pa.list_(pa.int64()))})
-
-    asked = docs.groupBy("batch").cogroup(counts.where("batch >= 0").groupBy("batch")).applyInArrow(ask, "part int, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, "keys binary, counts binary, histogram array<bigint>")
-
-
-def build_filter(grams: DataFrame) -> np.ndarray:
-    """The filter's bytes from rows of keys, counts and least; only these bytes, of fixed number, reach the driver."""
-    width = FILTER_BITS // SHARDS
-
-    def place(batches):
-        for b in batches:
-            for keys, counts, least in zip(unpacked(b.column("keys")), unpacked(b.column("counts")), b.column("least").to_pylist(), strict=True):
-                bits = np.unique(items(keys, levels(counts, least)))
-                cut = np.searchsorted(bits, np.arange(SHARDS + 1, dtype=np.uint64) * np.uint64(width))
-                some = [k for k in range(SHARDS) if cut[k] < cut[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed((bits[cut[k] : cut[k + 1]] - np.uint64(k * width)).astype(np.uint32)) for k in some], pa.binary())], ["shard", "bits"])
-
-    def gather(table: pa.Table) -> pa.Table:
-        flags = np.zeros(width, bool)
-        for x in unpacked(table.column("bits"), np.uint32):
-            flags[x] = True
-        return pa.table({"shard": table.column("shard")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
-    rows = grams.mapInArrow(place, "shard int, bits binary").groupBy("shard").applyInArrow(gather, "shard int, bits binary").collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        out[r["shard"] * width // 8 : (r["shard"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    def answer_pairs(table: pa.Table) -> pa.Table:
+        return _answered(table, False)
+
+    asked = docs.groupBy("batch").cogroup(words.where("batch >= 0").groupBy("batch")).applyInArrow(ask, ASKED)
+    return asked.groupBy("part").applyInArrow(answer_pairs, ANSWERS)
 
 
 def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
@@ -196,41 +206,35 @@ def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
 
     Returns doc_id, train, n_tokens, n_known, train_tokens, base_score and score.
     """
-    spark = docs.sparkSession
-    parts = parallelism(spark)
+    parts = parallelism(docs.sparkSession)
     texts = in_batches(docs, "doc_id", "text", "train")
-    counts = materialise(word_counts(texts, parts))
-    stats = counts.where("batch = -1").select("n_tokens", "n_types", "histogram").collect()  # one row per partition
-    total, types = sum(r["n_tokens"] for r in stats), sum(r["n_types"] for r in stats)
-    room = int(0.69 * FILTER_BITS / PROBES)
-    least = _least([sum(x) for x in zip(*(r["histogram"] for r in stats), strict=True)], room // 3)
-    pairs = materialise(pair_counts(texts, counts, least, parts))
-    seen = pairs.select("histogram").collect()  # one row per partition
-    least_pair = max(least, _least([sum(x) for x in zip(*(r["histogram"] for r in seen), strict=True)] or [0] * 64, room - room // 3))
-    grams = counts.where("batch = -1").select("keys", "counts", F.lit(least).alias("least")).unionByName(pairs.select("keys", "counts", F.lit(least_pair).alias("least")))
-    shared = spark.sparkContext.broadcast(build_filter(grams))
+    words = materialise(word_counts(texts, parts))
+    total, types = (x or 0 for x in words.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types")).first())
+    pairs = materialise(pair_counts(texts, words, parts))
+    answers = words.withColumn("pair", F.lit(False)).unionByName(pairs.withColumn("pair", F.lit(True))).where("batch >= 0")
 
     def apply(_, table: pa.Table, answers: pa.Table) -> pa.Table:
         t = in_order(table)
-        h, row, keys, counts, inverse = _known(t, answers)
-        bits, n = shared.value, t.num_rows
-        scale = total + 0.1 * (types + 1)
-        base = np.log10((counts + 0.1) / scale)[inverse]
-        held = estimate(bits, keys, least)
-        c = held[inverse]
+        pair = answers.column("pair")
+        h, row, counts, level = _known(t, answers.filter(pc.invert(pair)))
+        n, scale = t.num_rows, total + 0.1 * (types + 1)
+        c = as_counts(level)
         p = (c + 0.1) / scale
         after = np.flatnonzero((row[1:] == row[:-1]) & (c[:-1] > 0)) + 1
         p[after] *= 1 - weight
-        ask = after[c[after] > 0]
+        ask = _pairs(h, row, level)
         k, back = np.unique(pair_keys(h[ask - 1], h[ask]), return_inverse=True)
-        p[ask] += weight * np.minimum(estimate(bits, k, least_pair)[back] / c[ask - 1], 1.0)
+        held = joined(unpacked(answers.filter(pair).sort_by("part").column("levels"), np.uint8), np.uint8)
+        if len(held) != len(k):
+            raise ValueError("a batch's answers don't fit its pairs")
+        p[ask] += weight * np.minimum(as_counts(held)[back] / c[ask - 1], 1.0)
         return pa.table({
             "doc_id": t.column("doc_id"), "train": t.column("train"), "n_tokens": pa.array(np.bincount(row, minlength=n), pa.int64()),
-            "n_known": pa.array(np.bincount(row, (counts > 0)[inverse], n).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
-            "base_score": pa.array(np.bincount(row, base, n)), "score": pa.array(np.bincount(row, np.log10(p), n)),
+            "n_known": pa.array(np.bincount(row, counts > 0, n).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
+            "base_score": pa.array(np.bincount(row, np.log10((counts + 0.1) / scale), n)), "score": pa.array(np.bincount(row, np.log10(p), n)),
         })
 
-    return texts.groupBy("batch").cogroup(counts.where("batch >= 0").groupBy("batch")).applyInArrow(apply, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(apply, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,24 @@ def test_filter_gives_counts_back():
     assert (np.abs(np.log2(got[ok] / counts[ok])) <= 0.51).mean() > 0.99
 
 
+def test_filter_grows_with_the_corpus():
+    keys = np.unique(np.random.default_rng(2).integers(1, 1 << 63, 1_500_000).astype(np.uint64) * np.uint64(2))
+    counts = np.where(np.arange(len(keys)) % 4 == 0, 0, 1 + np.arange(len(keys)) % 9)
+    got = lm.shard_levels(keys, counts)
+    assert (got >= lm.levels(counts, 1)).all() and (got != lm.levels(counts, 1)).mean() < 0.01
+    for n in (1, 7, 200):  # ranges hold whole shards, so their number changes nothing
+        cut = lm.shard_ranges(keys, n)
+        assert (np.concatenate([lm.shard_levels(keys[a:b], counts[a:b]) for a, b in zip(cut, cut[1:], strict=False)]) == got).all()
+
+
+def test_language_model_keeps_rare_pairs_in_a_large_corpus(spark):
+    # 1.6 million pairs of 1.7 million words, each seen once: more than a filter of 4 MB has room for.
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.concat(F.lit("w"), (F.col("id") * 85 + i).cast("string")))).alias("text"), F.lit(True).alias("train"))
+    known = spark.createDataFrame([(-1, "w0 w1 w2 w3 w4 w5", False), (-2, "q0 q1 q2 q3 q4 q5", False)], "doc_id long, text string, train boolean")
+    out = {r["doc_id"]: r for r in lm.score(rows.unionByName(known)).where("doc_id < 0").collect()}
+    assert out[-1]["n_known"] == 7 and out[-1]["score"] > out[-2]["score"] + 20
+
+
 def test_fingerprints(spark):
     docs = [(5, "one two three four five six seven eight nine ten eleven twelve " * 5), (4, None), (3, "x"), (2, "x"), (1, "z" * 500 + " é\U0001f642")]
     got = {r["doc_id"]: r for r in fingerprint.compare_edited(spark.createDataFrame(docs, DOCS)).collect()}
