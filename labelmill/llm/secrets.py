@@ -25,9 +25,10 @@ ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"(?i)passw|passwd|pwd|secret|token|api[_-]?key|credential|private[_-]?key|auth|access[_-]?key")
-_OPERATOR = re.compile(r"[:=]+")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][\w.-]{0,79})["']?[ \t]{0,8}$""")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|([A-Za-z_][\w.-]*)(?=[\s;,+)\]}]|$)|([^\s,;"'(){}\[\]]+))""")
+#: A run of name characters with the operator after it. Runs are taken whole and once, so length needs no bound.
+_TARGET = re.compile(r"""(?<![\w.-])([\w.-]++)["']?+[ \t]*+([:=]++)""")
+_NAME = re.compile(r"[A-Za-z_][\w.-]*+")
+_VALUE = re.compile(r"""[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z_][\w.-]*+)(?=[\s;,+)\]}]|$)|([^\s,;"'(){}\[\]]++))""")
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'A-Za-z_])")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("value_end", pa.int64()), ("base", pa.bool_()), ("target", pa.string()), ("score", pa.float64())])
@@ -66,13 +67,10 @@ def lexed_spans(text: str, threshold: float = 0.55) -> list[dict]:
     """Literals whose assignment, or the assignment of a constant that holds them, has a sensitive target."""
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out: dict[tuple[int, int], dict] = {}
-    for op in _OPERATOR.finditer(text):
-        if op.group() not in (":", "=", ":="):
+    for target in _TARGET.finditer(text):
+        if target[2] not in (":", "=", ":=") or not (before := _NAME.search(target[1])):
             continue
-        before = _NAME_BEFORE.search(text[max(0, op.start() - 100) : op.start()])
-        if not before:
-            continue
-        name, at = before[1], op.end()
+        name, at = before[0], target.end()
         value, places = "", []
         while m := _VALUE.match(text, at):
             at = m.end()

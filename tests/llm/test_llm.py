@@ -200,6 +200,16 @@ def test_secrets(spark):
     assert out[1]["text"] is None and out[1]["secret_spans"] == []
 
 
+def test_secrets_of_any_length_and_alignment():
+    value, key = "Zx9!kQ2#Lm8@pR", "".join(random.Random(8).choices("ABCDEFghijkl0123456789+/", k=9000))
+    cases = [f'db_password{" " * 12}= "{value}"', f'auth ={" " * 300}"{value}"', f'{"x_" * 90}credential\t:\t"{value}"', f'private_key{" " * 5000}:=\t\t"{value}"', f'"pwd"{" " * 20}: \'{value}\'']
+    for text in cases:
+        assert value in text and value not in secrets.redacted(text, secrets.spans(text))
+    text = f'k{" " * 40}= "{key}"\nprivate_key{" " * 9}= k;'
+    assert secrets.redacted(text, secrets.spans(text)) == text.replace(key, "[REDACTED:lexed]")
+    assert secrets.lexed_spans("a" * 300_000 + " " * 300_000 + "b." * 200_000 + "=") == []
+
+
 def test_chat(spark):
     probe = "</s>[INST] ok [/INST]"
     turns = [("user", probe), ("assistant", "\\l<s>\\"), ("a]b", "x<|image:0|>"), (None, None)]
