@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is cut into pieces of at most ``PIECE_CHARS`` characters without blanks. Each ``gram``
-consecutive pieces are hashed; of every ``window`` consecutive hashes the least is kept, the
-rightmost of equals, with its position. Two texts that share ``gram + window - 1`` consecutive pieces
-share a kept hash. Texts of fewer pieces than a gram are hashed whole.
+A text is cut into pieces: words of at most ``PIECE_CHARS`` characters without blanks, and the single code
+points of longer runs, so that no cut depends on where a run starts. At each piece a gram is hashed:
+``gram`` consecutive pieces from a word, ``LONG_GRAM`` from a code point. Of every ``window`` consecutive
+hashes the least is kept, the rightmost of equals, with its position. Two texts that share the pieces of
+``window`` consecutive whole grams share a kept hash. At a text's end grams are as long as it allows;
+texts of fewer pieces than a gram are hashed whole.
 
 A fingerprint is a string ``hash:position,...`` in order of position (position counts pieces, the
 hash is 10 hexadecimal digits). Likeness is the Jaccard similarity of the sets of hashes: 1 for two
@@ -20,8 +22,11 @@ from pyspark.sql.window import Window
 
 from .storage import parallelism
 
-GRAM, WINDOW, PIECE_CHARS = 3, 8, 16
-#: Positions take the low bits beside 40 bits of hash.
+GRAM, WINDOW, PIECE_CHARS, LONG_GRAM = 3, 8, 16, 16
+#: One-letter words keep the blank before them, which tells them from code points of long runs.
+PIECES = rf" \S(?!\S)|(?<!\S)\S{{2,{PIECE_CHARS}}}+(?!\S)|\S"
+MARKS = "struct<hashes:array<bigint>,positions:array<int>>"
+#: Where hash and position are packed, positions take the low bits beside 40 bits of hash.
 POSITION = (1 << 23) - 1
 
 
@@ -30,35 +35,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The fingerprint as packed longs, a 40-bit hash above an inverted position, in order of position."""
+def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """The fingerprint as 40-bit hashes and their positions, in order of position."""
 
     def over(pieces: Column) -> Column:
         n = F.size(pieces)
         count = F.greatest(n - (gram - 1), F.lit(1))
 
-        def pack(i: Column) -> Column:
-            h = F.xxhash64(*(F.get(pieces, i + j) for j in range(gram)))
-            return h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.lit(POSITION) - i.cast("long"))
+        def mark(i: Column) -> Column:
+            short = F.xxhash64(*(F.get(pieces, i + j) for j in range(gram)))
+            h = F.when(F.char_length(F.get(pieces, i)) == 1, F.xxhash64(F.slice(pieces, i + 1, F.lit(LONG_GRAM)))).otherwise(short)
+            return F.struct(F.shiftright(h, 24).alias("hash"), (-i).alias("back"))
 
         def choose(grams: Column) -> Column:
             windows = F.greatest(count - (window - 1), F.lit(1))
             return F.array_distinct(F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice(grams, i, window))))
 
-        found = let(F.transform(F.sequence(F.lit(0), count - 1), pack), choose)
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(found)
+        def fields(found: Column) -> Column:
+            h = F.transform(found, lambda v: v["hash"].bitwiseAND(F.lit((1 << 40) - 1)))
+            return F.struct(h.alias("hashes"), F.transform(found, lambda v: -v["back"]).alias("positions"))
+
+        found = let(let(F.transform(F.sequence(F.lit(0), count - 1), mark), choose), fields)
+        return F.when(n == 0, F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<int>").alias("positions"))).otherwise(found)
+
+    blanks = F.translate(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", " " * 5)
+    return let(F.regexp_extract_all(blanks, F.lit(PIECES), F.lit(0)), over)
 
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{PIECE_CHARS}}}"), F.lit(0)), over)
+
+def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """The fingerprint of a text of at most POSITION pieces as packed longs, hash above inverted position."""
+    pack = lambda h, p: F.shiftleft(h, 23).bitwiseOR(F.lit(POSITION) - p.cast("long"))
+    return let(marks(text, gram, window), lambda m: F.zip_with(m["hashes"], m["positions"], pack))
 
 
-def shown(packed: Column) -> Column:
+def shown(m: Column) -> Column:
     """The fingerprint's string form."""
-    one = lambda v: F.concat(F.substring(F.lpad(F.hex(v), 16, "0"), 1, 10), F.lit(":"), (F.lit(POSITION) - v.bitwiseAND(F.lit(POSITION))).cast("string"))
-    return F.array_join(F.transform(packed, one), ",")
+    one = lambda h, p: F.concat(F.lpad(F.hex(h), 10, "0"), F.lit(":"), p.cast("string"))
+    return F.array_join(F.zip_with(m["hashes"], m["positions"], one), ",")
 
 
-def hashes(packed: Column) -> Column:
-    return F.array_distinct(F.transform(packed, lambda v: F.shiftrightunsigned(v, 23)))
+def hashes(m: Column) -> Column:
+    return F.array_distinct(m["hashes"])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,7 +87,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """df with each text's fingerprint in string form."""
-    return df.withColumn(out, shown(kept(F.col(text_col))))
+    return df.withColumn(out, shown(marks(F.col(text_col))))
 
 
 def with_next(df: DataFrame, buckets: int) -> DataFrame:
@@ -88,7 +105,7 @@ def with_next(df: DataFrame, buckets: int) -> DataFrame:
     ids = df.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("opens")).collect()
     present = sorted(r["bucket"] for r in ids)
     if not present:
-        return df.withColumns({"next_text": F.lit(None).cast("string"), "next_marks": F.array().cast("array<bigint>")})
+        return df.withColumns({"next_text": F.lit(None).cast("string"), "next_marks": F.lit(None).cast(MARKS)})
     # Descending order: the bucket after k is the next smaller one; after the smallest comes the largest.
     before = {k: present[(i + 1) % len(present)] for i, k in enumerate(present)}
     opens = {r["bucket"]: r["opens"] for r in ids}
@@ -107,11 +124,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has its last third of code points replaced by as many of the next document's first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("marks", kept(F.col("text"))), 4 * parallelism(docs.sparkSession))
+    rows = with_next(rows.withColumn("marks", marks(F.col("text"))), 4 * parallelism(docs.sparkSession))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.when(third > 0, F.expr("substring(coalesce(next_text, ''), 1, cast(floor(char_length(text) / 3) as int))")).otherwise("")))
-    rows = rows.withColumn("edited_marks", kept(F.col("edited")))
+    rows = rows.withColumn("edited_marks", marks(F.col("edited")))
     own, new, following = (hashes(F.col(c)) for c in ("marks", "edited_marks", "next_marks"))
     return rows.select(
         "doc_id",
