@@ -26,10 +26,22 @@ def pairs(r: DataFrame) -> DataFrame:
     return r.withColumnsRenamed({"rater": "rater_a", "value": "a"}).join(b, ["case_id", "task"]).where("rater_a < rater_b")
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1, ties averaged."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+def beside(rows: DataFrame, by: list[str], *new: Column) -> DataFrame:
+    """rows with aggregates of their group, by a partial aggregation and a join: no group meets in one task."""
+    return _joined(rows, rows.groupBy(*by).agg(*new), by)
+
+
+def _joined(rows: DataFrame, g: DataFrame, by: list[str]) -> DataFrame:
+    own = {k: f"_of_{k}" for k in by}
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]
+    return rows.join(g.withColumnsRenamed(own), same).drop(*own.values())
+
+
+def with_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """rows with ranks from 1, ties averaged, from the number of rows per distinct value."""
+    g = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _joined(rows, g.select(*by, value, (before + (F.col("_n") + 1) / 2.0).alias(name)), [*by, value])
 
 
 def _guarded(c: Column) -> Column:
@@ -46,7 +58,7 @@ def kappa(x: Column, y: Column) -> Column:
 def pairwise_agreement(r: DataFrame, cut: float = 50) -> DataFrame:
     """Per task and pair of raters: errors, correlations, agreement and kappa at a cut."""
     by = ["task", "rater_a", "rater_b"]
-    p = pairs(r).withColumns({"ra": average_rank("a", by), "rb": average_rank("b", by)})
+    p = with_rank(with_rank(pairs(r), "a", by, "ra"), "b", by, "rb")
     x, y, d = F.col("a") >= cut, F.col("b") >= cut, F.col("a") - F.col("b")
     return p.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mean_difference"), _guarded(F.corr("a", "b")).alias("pearson"), _guarded(F.corr("ra", "rb")).alias("spearman"), F.avg((x == y).cast("double")).alias("agreement"), kappa(x, y).alias("kappa"))
 
@@ -88,10 +100,9 @@ def top_disagreements(r: DataFrame, k: int = 10) -> DataFrame:
 
 def icc(r: DataFrame, raters: int) -> DataFrame:
     """ICC(2,1) and ICC(2,k) per task on cases rated by all raters, from two-way sums of squares."""
-    full = Window.partitionBy("task", "case_id")
-    rows = r.where("value is not null").groupBy("task", "case_id", "rater").agg(F.avg("value").alias("value")).withColumn("k", F.count("*").over(full)).where(F.col("k") == raters)
-    of_case, of_rater, of_task = (Window.partitionBy("task", *c) for c in (["case_id"], ["rater"], []))
-    rows = rows.withColumns({"mc": F.avg("value").over(of_case), "mr": F.avg("value").over(of_rater), "m": F.avg("value").over(of_task)})
+    rows = r.where("value is not null").groupBy("task", "case_id", "rater").agg(F.avg("value").alias("value"))
+    rows = beside(rows, ["task", "case_id"], F.count("*").alias("k"), F.avg("value").alias("mc")).where(F.col("k") == raters)
+    rows = beside(beside(rows, ["task", "rater"], F.avg("value").alias("mr")), ["task"], F.avg("value").alias("m"))
     g = rows.groupBy("task").agg(F.countDistinct("case_id").alias("n"), F.sum((F.col("mc") - F.col("m")) ** 2).alias("ssc"), F.sum((F.col("mr") - F.col("m")) ** 2).alias("ssr"), F.sum((F.col("value") - F.col("mc") - F.col("mr") + F.col("m")) ** 2).alias("sse"))
     k, n = float(raters), F.col("n")
     msc, msr, mse = F.col("ssc") / (n - 1), F.col("ssr") / (k - 1), F.col("sse") / ((n - 1) * (k - 1))
