@@ -49,13 +49,16 @@ def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
         def choose(grams: Column) -> Column:
             windows = F.greatest(count - (window - 1), F.lit(1))
-            return F.array_distinct(F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice(grams, i, window))))
+            return F.transform(F.sequence(F.lit(1), windows), lambda i: F.array_min(F.slice(grams, i, window)))
+
+        def once(least: Column) -> Column:  # equal ones are neighbours, as positions never fall
+            return F.filter(least, lambda v, i: (i == 0) | (v["back"] != F.get(least, i - 1)["back"]))
 
         def fields(found: Column) -> Column:
             h = F.transform(found, lambda v: v["hash"].bitwiseAND(F.lit((1 << 40) - 1)))
             return F.struct(h.alias("hashes"), F.transform(found, lambda v: -v["back"]).alias("positions"))
 
-        found = let(let(F.transform(F.sequence(F.lit(0), count - 1), mark), choose), fields)
+        found = let(let(F.transform(F.sequence(F.lit(0), count - 1), mark), choose), lambda v: let(let(v, once), fields))
         return F.when(n == 0, F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<int>").alias("positions"))).otherwise(found)
 
     blanks = F.translate(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", " " * 5)
