@@ -1,23 +1,35 @@
 """Secret scans: base patterns, and an assignment-aware lexer.
 
-The lexer reads ``name = literal`` and ``name: literal`` of source and configuration syntax. A name
-bound to a literal stands for it later in the same text (``a = "..."; password = a``), and ``+``
-joins literals. A literal is a secret if the target's name is sensitive and the literal looks drawn
-at random: long enough, of several kinds of characters, of high entropy.
+The lexer reads source and configuration syntax from left to right into pairs of a name and a value:
+``name = v``, ``name: v``, ``name := v``, ``"name" => v``, ``table["name"] = v``, ``name: type = v``,
+``type name = v``, ``a, b = v, w``, ``("name", v)``, ``key="name" value="v"`` and ``<name>v</name>``.
+A value is a chain of literals and names, joined by ``+``, ``.``, ``&`` or by standing side by side, in
+parentheses over any number of lines; a literal is quoted (with escapes), triple-quoted, a YAML block
+(``|`` or ``>``), or a bare run of signs. Names, blanks and literals may be of any length.
 
-A null text counts as empty and has no spans. Offsets are code points, ends exclusive.
+A name bound to a value stands for it later in the same text. Bindings form a graph: of each the lexer
+keeps a profile (length, kinds and distribution of characters) and what it is made of, never the joined
+value, so that ``a = a + a`` costs the same at every line. A binding is secret if its target's name is
+sensitive and its profile looks drawn at random: long enough, of several kinds of characters, of high
+entropy. All literals that a secret binding is made of are spans.
+
+A null text counts as empty and has no spans. Offsets are code points, ends exclusive. Input columns whose
+names equal an added one in any case are replaced; all others are passed on.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .columns import beside
 from .textbuf import batch_pieces
 
 KINDS = ("assign", "access", "hex", "lexed")
@@ -25,24 +37,268 @@ ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = re.compile(r"(?i)passw|passwd|pwd|secret|token|api[_-]?key|credential|private[_-]?key|auth|access[_-]?key")
-#: A run of name characters with the operator after it. Runs are taken whole and once, so length needs no bound.
-_TARGET = re.compile(r"""(?<![\w.-])([\w.-]++)["']?+[ \t]*+([:=]++)""")
-_NAME = re.compile(r"[A-Za-z_][\w.-]*+")
-_VALUE = re.compile(r"""[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z_][\w.-]*+)(?=[\s;,+)\]}]|$)|([^\s,;"'(){}\[\]]++))""")
-_PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'A-Za-z_])")
+
+#: A name with the operator after it. Each run is entered once, at its start, and taken whole: cost is linear in the text.
+_HEAD = re.compile(
+    r"""(?:(?<!\\)"(?P<double>(?:[^"\\\n]|\\.)*+)"\]?|(?<!\\)'(?P<single>(?:[^'\\\n]|\\.)*+)'\]?|(?<![\w$.-])(?P<plain>[\w$.-]++)["']?+)"""
+    r"""(?P<type>[ \t]++(?:string|String|str|char|text)\b)?+[ \t]*+(?P<op>:=|=>|\?\?=|\|\|=|[+?]?=(?![=>~])|:(?![:=])|,)"""
+)
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w:.-]*+)[^<>\n]*+>(?P<value>[^<>]*+)</(?P=name)>")
+_NAME = re.compile(r"[A-Za-z_$][\w$.-]*+")
+_TRIPLE = re.compile(r'(?s)[A-Za-z]{0,2}(?:"""(.*?)"""|\'\'\'(.*?)\'\'\')')
+_QUOTED = re.compile(r"""[A-Za-z@$]{0,2}(?:"((?:[^"\\]|\\.)*+)"|'((?:[^'\\]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)""")
+_LINE_QUOTED = re.compile(r"""[A-Za-z@$]{0,2}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)""")
+_KNOWN = re.compile(r"([A-Za-z_$][\w$.-]*+)(?=[\s;,+&)\]}#]|$)")
+_BARE = re.compile(r"""[^\s,;"'(){}\[\]<>]++""")
+_BLANK, _BLANKS = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"\s*+")
+_JOIN = re.compile(r"[ \t]*+[+&.](?![+&.=\w])\s*+|[ \t]*+\+\s*+(?=[\"'`A-Za-z_$(])")
+_BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]*+[ \t]*+(?:#[^\n]*+)?\r?\n")
+_BLOCK_LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
+_ANNOTATED = re.compile(r"[ \t]*+[A-Za-z_][\w.]*+(?:\[[\w., |\[\]]*\])?+[ \t]*+=(?![=>~])")
+#: Literals that only name where a value comes from.
+_PLACEHOLDER = re.compile(r"\$\{[^{}]*\}|\$[A-Za-z_]\w*|\{\{.*\}\}|%\(.*\)s|<[^<>]*>|%[A-Za-z_]\w*%")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("value_end", pa.int64()), ("base", pa.bool_()), ("target", pa.string()), ("score", pa.float64())])
 SPAN_DDL = "array<struct<kind:string,start:bigint,end:bigint,value_start:bigint,value_end:bigint,base:boolean,target:string,score:double>>"
 
 
+@dataclass
+class Profile:
+    """What scoring needs of a value: its length, kinds of characters, blanks, and shares of characters (code modulo 128)."""
+
+    length: float = 0.0
+    kinds: int = 0
+    blank: bool = False
+    shares: list[float] = field(default_factory=lambda: [0.0] * 128)
+
+    @classmethod
+    def of(cls, literal: str) -> Profile:
+        out = cls(float(len(literal)))
+        seen: dict[str, int] = {}
+        for c in literal:
+            seen[c] = seen.get(c, 0) + 1
+        for c, n in seen.items():
+            out.shares[ord(c) & 127] += n / len(literal)
+            out.blank |= c.isspace()
+            out.kinds |= 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8
+        return out
+
+    def joined(self, other: Profile) -> Profile:
+        """The profile of both values end to end; lengths stop counting at 1e12."""
+        n = self.length + other.length
+        if not other.length or not n:
+            return self
+        a, b = self.length / n, other.length / n
+        return Profile(min(n, 1e12), self.kinds | other.kinds, self.blank | other.blank, [a * x + b * y for x, y in zip(self.shares, other.shares, strict=True)])
+
+    def randomness(self) -> float:
+        """0 to 1: how much the value looks drawn at random rather than written."""
+        if self.length < 8:
+            return 0.0
+        entropy = -sum(p * math.log2(p) for p in self.shares if p > 0)
+        return min(1.0, entropy / 4) * (0.4 + 0.2 * min(self.kinds.bit_count(), 3)) * (0.4 if self.blank else 1.0)
+
+
 def randomness(literal: str) -> float:
-    """0 to 1: how much the literal looks like key material and not like a word."""
-    if len(literal) < 8:
-        return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    return min(1.0, entropy / 4) * (0.4 + 0.2 * min(kinds, 3)) * (1.0 if not re.search(r"\s", literal) else 0.4)
+    return 0.0 if len(literal) < 8 or _PLACEHOLDER.fullmatch(literal) else Profile.of(literal).randomness()
+
+
+@dataclass
+class Binding:
+    """A name's value: literals as places of the text, and earlier bindings that it refers to."""
+
+    name: str
+    places: list[tuple[int, int]] = field(default_factory=list)
+    refers: list[int] = field(default_factory=list)
+    profile: Profile = field(default_factory=Profile)
+
+    def add_literal(self, text: str, start: int, end: int, literal: str | None = None) -> None:
+        literal = text[start:end] if literal is None else literal
+        if end > start and not _PLACEHOLDER.fullmatch(literal):
+            self.places.append((start, end))
+            self.profile = self.profile.joined(Profile.of(literal)) if self.profile.length else Profile.of(literal)
+
+
+class Lexer:
+    """Reads one text's bindings in order."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.bindings: list[Binding] = []
+        self.known: dict[str, int] = {}
+
+    def bind(self, found: Binding) -> None:
+        if found.places or found.refers:
+            self.known[found.name] = len(self.bindings)
+            self.bindings.append(found)
+
+    def refer(self, found: Binding, name: str) -> None:
+        k = self.known[name]
+        found.refers.append(k)
+        found.profile = found.profile.joined(self.bindings[k].profile)
+
+    def term(self, found: Binding, at: int, depth: int, bare: bool) -> int:
+        """Reads one literal or known name into found; where it ends, or -1."""
+        text = self.text
+        quoted = _TRIPLE.match(text, at) or (_QUOTED if depth else _LINE_QUOTED).match(text, at)
+        if quoted:
+            s, e = quoted.span(quoted.lastindex)
+            found.add_literal(text, s, e)
+            return quoted.end()
+        m = _KNOWN.match(text, at)
+        if m and m[1] in self.known:
+            self.refer(found, m[1])
+            return m.end()
+        if bare and not depth and (m := _BARE.match(text, at)):
+            if text[m.end() : m.end() + 1] not in ("(", "["):  # names of calls and tables are no literals
+                found.add_literal(text, *m.span())
+                return m.end()
+        return -1
+
+    def value(self, found: Binding, at: int) -> int:
+        """Reads a chain of terms; where it ends (at, if there is none)."""
+        text, depth, end, first = self.text, 0, at, True
+        while True:
+            at = (_BLANKS if depth else _BLANK).match(text, at).end()
+            if text[at : at + 1] == "(" and (first or depth):
+                depth, at = depth + 1, at + 1
+                continue
+            after = self.term(found, at, depth, bare=first)
+            if after < 0:
+                return end
+            quoted = text[after - 1] in "\"'`"
+            end, first = after, False
+            join = _JOIN.match(text, end)
+            if join:
+                at = join.end()
+                continue
+            at = (_BLANKS if depth else _BLANK).match(text, end).end()
+            if depth and text[at : at + 1] == ")":
+                return at + 1
+            if not (quoted and text[at : at + 1] in ('"', "'")):
+                return end
+
+    def block(self, found: Binding, at: int, head: int) -> int:
+        """Reads the lines of a YAML block that are indented deeper than the line of its name."""
+        text = self.text
+        line = text.rfind("\n", 0, head) + 1
+        indent = len(re.match(r"[ \t-]*", text[line:head])[0])
+        start, end, parts = -1, at, []
+        while at < len(text):
+            m = _BLOCK_LINE.match(text, at)
+            if m[2].strip():
+                if len(m[1]) <= indent:
+                    break
+                start = m.start(2) if start < 0 else start
+                end = m.start(2) + len(m[2].rstrip())
+                parts.append(m[2].strip())
+            at = m.end()
+        if start >= 0:
+            found.add_literal(text, start, end, "".join(parts))
+        return end
+
+    def names(self, first: str, start: int, floor: int) -> list[str]:
+        """The targets of ``a, b = ...``: the name at start and those before it, back to floor."""
+        text, out, at = self.text, [first], start
+        while True:
+            k = at
+            while k > floor and text[k - 1] in " \t":
+                k -= 1
+            if k <= floor or text[k - 1] != ",":
+                return out[::-1]
+            k -= 1
+            while k > floor and text[k - 1] in " \t":
+                k -= 1
+            e = k
+            while k > floor and (text[k - 1].isalnum() or text[k - 1] in "_$.-"):
+                k -= 1
+            if k == e:
+                return out[::-1]
+            out.append(text[k:e])
+            at = k
+
+    def read(self) -> list[Binding]:
+        text, at, floor, before = self.text, 0, 0, ("", "", 0)
+        while m := _HEAD.search(text, at):
+            at = m.end()
+            kind = next(k for k in ("double", "single", "plain") if m[k] is not None)
+            name, op = m[kind], m["op"]
+            if op == ",":  # ("name", value)
+                if kind == "plain" or not SENSITIVE.search(name) or " " in name:
+                    at = m.start() + 1 if kind != "plain" else at
+                    continue
+                value = _LINE_QUOTED.match(text, _BLANKS.match(text, at).end())
+                if value:
+                    found = Binding(name)
+                    found.add_literal(text, *value.span(value.lastindex))
+                    self.bind(found)
+                    at = floor = value.end()
+                continue
+            if kind == "plain":
+                part = _NAME.search(name)
+                if not part:
+                    continue
+                name = part[0]
+            start = m.start(kind)
+            if op == ":":
+                if b := _BLOCK.match(text, at):
+                    found = Binding(name)
+                    at = floor = self.block(found, b.end(), m.start())
+                    self.bind(found)
+                    continue
+                if t := _ANNOTATED.match(text, at):
+                    at = t.end()
+            targets = self.names(name, start, floor) if kind == "plain" and op in ("=", ":=") else [name]
+            values, stop = [], at
+            while len(values) < len(targets):
+                found = Binding(targets[len(values)])
+                end = self.value(found, stop)
+                if end == stop:
+                    break
+                values.append(found)
+                stop = end
+                gap = _BLANK.match(text, stop).end()
+                if len(values) < len(targets) and text[gap : gap + 1] == ",":
+                    stop = gap + 1
+                else:
+                    break
+            if not values:
+                continue
+            if len(values) < len(targets):
+                values[0].name = name
+                values = values[:1]
+            if name.lower() == "value" and before[0].lower() in ("key", "name") and start - before[2] <= 2:
+                values[0].name = before[1]  # key="name" value="literal"
+            for found in values:
+                self.bind(found)
+            last = values[-1].places[-1] if values[-1].places else (0, 0)
+            before = (name, text[last[0] : last[1]] if last[1] - last[0] <= 256 else "", stop)
+            at = floor = stop
+        if "</" in text:
+            for m in _TAG.finditer(text):
+                if SENSITIVE.search(m["name"]):
+                    found = Binding(m["name"])
+                    s = m.start("value") + len(m["value"]) - len(m["value"].lstrip())
+                    found.add_literal(text, s, m.start("value") + len(m["value"].rstrip()))
+                    self.bind(found)
+        return self.bindings
+
+
+def lexed_spans(text: str, threshold: float = 0.55) -> list[dict]:
+    """Literals of all bindings that are secret, or that a secret binding refers to."""
+    bindings = Lexer(text).read()
+    marked: list[tuple[str, float] | None] = [None] * len(bindings)
+    out: dict[tuple[int, int], dict] = {}
+    for k in range(len(bindings) - 1, -1, -1):  # bindings refer to earlier ones only
+        b = bindings[k]
+        if SENSITIVE.search(b.name) and (score := b.profile.randomness()) >= threshold:
+            marked[k] = b.name, score
+        if marked[k]:
+            for r in b.refers:
+                marked[r] = marked[r] or marked[k]
+            for s, e in b.places:
+                out[s, e] = {"kind": "lexed", "start": s, "end": e, "value_start": s, "value_end": e, "base": False, "target": marked[k][0], "score": round(marked[k][1], 6)}
+    return [out[place] for place in sorted(out)]
 
 
 def base_spans(text: str) -> list[dict]:
@@ -63,43 +319,20 @@ def base_spans(text: str) -> list[dict]:
     return out
 
 
-def lexed_spans(text: str, threshold: float = 0.55) -> list[dict]:
-    """Literals whose assignment, or the assignment of a constant that holds them, has a sensitive target."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out: dict[tuple[int, int], dict] = {}
-    for target in _TARGET.finditer(text):
-        if target[2] not in (":", "=", ":=") or not (before := _NAME.search(target[1])):
-            continue
-        name, at = before[0], target.end()
-        value, places = "", []
-        while m := _VALUE.match(text, at):
-            at = m.end()
-            if m[3] is not None and m[3] in constants:
-                known, where = constants[m[3]]
-                value, places = value + known, places + where
-            else:
-                group = next(g for g in (1, 2, 3, 4) if m[g] is not None)
-                value += m[group]
-                places = [*places, m.span(group)]
-            if not (p := _PLUS.match(text, at)):
-                break
-            at = p.end()
-        if not places:
-            continue
-        constants[name] = value, places
-        if SENSITIVE.search(name) and (score := randomness(value)) >= threshold:
-            for s, e in places:
-                if e > s:
-                    out.setdefault((s, e), {"kind": "lexed", "start": s, "end": e, "value_start": s, "value_end": e, "base": False, "target": name, "score": round(score, 6)})
-    return list(out.values())
+def outside(found: list[dict], base: list[dict]) -> list[dict]:
+    """The spans of found that no span of base contains: one look at the furthest end of those that start before."""
+    starts, ends = [], []
+    for x in sorted(base, key=lambda x: x["start"]):
+        starts.append(x["start"])
+        ends.append(max(x["end"], ends[-1] if ends else 0))
+    return [x for x in found if not (k := bisect_right(starts, x["start"])) or ends[k - 1] < x["end"]]
 
 
 def spans(text: str) -> list[dict]:
     """All spans by start, then kind as listed, then end. Lexed spans inside a base span are left out."""
     found = base_spans(text)
-    if ":" in text or "=" in text:
-        base = [(x["start"], x["end"]) for x in found]
-        found += [x for x in lexed_spans(text) if not any(s <= x["start"] and x["end"] <= e for s, e in base)]
+    if SENSITIVE.search(text):
+        found += outside(lexed_spans(text), found)
     return sorted(found, key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"]))
 
 
@@ -117,12 +350,9 @@ def redacted(text: str, found: list[dict]) -> str:
 
 def scan(df: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", redacted_col: str | None = None) -> DataFrame:
     """df with all secret spans of each text and, if asked for, the text without them (null stays null)."""
-    from pyspark.sql import types as T
-
-    new = {spans_col, redacted_col}
-    kept = [f for f in df.schema if f.name not in new or f.name == text_col and redacted_col != text_col]
-    schema = T.StructType([*kept, T.StructField(spans_col, T._parse_datatype_string(SPAN_DDL))] + ([T.StructField(redacted_col, T.StringType())] if redacted_col else []))
-    names = [f.name for f in kept]
+    added = [T.StructField(spans_col, T._parse_datatype_string(SPAN_DDL))] + ([T.StructField(redacted_col, T.StringType())] if redacted_col else [])
+    schema = beside(df.schema, *added)
+    names = schema.names[: -len(added)]
 
     def run(batches):
         for batch in batches:
