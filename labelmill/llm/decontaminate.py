@@ -6,8 +6,12 @@ for benchmark and documents alike, so that equal windows keep the same k-gram: n
 be missed. A document's kept hashes are joined with the benchmark's; each hit is extended by testing
 the whole windows around it. Items shorter than a window are looked up by their own length.
 
-The benchmark is broadcast in blocks of at most ``block_bytes`` of text, however large it is; each
-block is matched against all documents. Null text has no words; an empty benchmark hits nothing.
+A benchmark of at most ``broadcast_bytes`` of text, measured first, is broadcast as sorted arrays. A larger
+one is joined by hash: documents' kept hashes with its kept hashes, then only the windows around the
+hashes found with its windows. Both ways give the same rows.
+
+Null text has no words; an empty benchmark hits nothing. An item without an id hits words but is not
+listed; of items that share an id, the id is listed once. Rows of equal doc_id are matched each on its own.
 """
 
 from __future__ import annotations
@@ -19,16 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textbuf import ALNUM, LOWER, gram_hashes, pieces, sliding_min, span_hashes, starts_of, utf8, word_bounds
+from .columns import beside
+from .exchange import member
+from .storage import materialise
+from .textbuf import ALNUM, LOWER, batch_pieces, gram_hashes, mix, pieces, rightmost_least, span_hashes, starts_of, utf8, word_bounds
 
-WINDOW, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
-MATCHES = "doc_id bigint, n_words bigint, hits binary, items array<bigint>"
+WINDOW, GRAM, BROADCAST_BYTES = 10, 5, 16 << 20
+#: Stands for a missing item id.
+NO_ID = np.iinfo(np.int64).min
 
 
 @dataclass
 class Index:
-    """A block of the benchmark: kept hashes, window hashes with the items that have them, short items by length."""
+    """A benchmark: kept hashes, and by length of window the window hashes with the items that have them."""
 
     kept: np.ndarray
     windows: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -43,16 +52,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def winnow(grams: np.ndarray, runs: int) -> np.ndarray:
     """For each run of consecutive k-grams the position of its least hash, the rightmost of equals."""
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    v = (grams >> bits << bits) | (low - np.arange(len(grams), dtype=np.uint64))
-    return (low - (sliding_min(v, runs) & low)).astype(np.int64)
+    return rightmost_least(grams, runs) if len(grams) >= runs else np.zeros(0, np.int64)
 
 
 def build_index(items: list[tuple[int, str]], window: int = WINDOW, gram: int = GRAM) -> Index:
     data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
     words, row = words_of(data, offsets)
-    ids = np.array([i for i, _ in items], np.int64)
+    ids = np.array([NO_ID if i is None else i for i, _ in items], np.int64)
     counts = np.bincount(row, minlength=len(items))
     first = np.r_[0, np.cumsum(counts)]
     kept: list[np.ndarray] = []
@@ -73,12 +79,6 @@ def build_index(items: list[tuple[int, str]], window: int = WINDOW, gram: int =
     return Index(np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64), windows)
 
 
-def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
 def match(words: np.ndarray, row: np.ndarray, rows: int, index: Index, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which words are hit, and the sorted items that occur in each row."""
     hit_from, hit_to, found = [], [], []
@@ -110,8 +110,7 @@ def match(words: np.ndarray, row: np.ndarray, rows: int, index: Index, window: i
             spots = winnow(grams, window - gram + 1)
             spots = spots[starts_of(spots)]
             spots = spots[member(index.kept, grams[spots])]
-            starts = np.unique((spots[:, None] - np.arange(window - gram + 1)).ravel())
-            take(starts[(starts >= 0) & (starts <= len(words) - size)], size)
+            take(around(spots, words, row, size, gram), size)
         elif size < window:
             whole = gram_hashes(words, size)
             take(np.flatnonzero(member(index.windows[size][0], whole)), size)
@@ -124,7 +123,8 @@ def match(words: np.ndarray, row: np.ndarray, rows: int, index: Index, window: i
     if found:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         for lo, hi in zip(b := starts_of(pairs[0]), [*b[1:], pairs.shape[1]], strict=True):
-            items[pairs[0][lo]] = pairs[1][lo:hi]
+            ids = pairs[1][lo:hi]
+            items[pairs[0][lo]] = ids[ids != NO_ID]
     return hit, items
 
 
@@ -133,45 +133,144 @@ def gram_hashes_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return gram_hashes(words[starts[:, None] + np.arange(n)].ravel(), n)[::n] if len(starts) else np.zeros(0, np.uint64)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of about block_bytes by a hash of the item, known before anything is collected."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = -(-2 * size // block_bytes) if size > block_bytes else 1
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else benchmark for k in range(n)]
+def around(spots: np.ndarray, words: np.ndarray, row: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Starts of the windows of size words within one row that a gram at one of the spots lies in."""
+    starts = np.unique((spots[:, None] - np.arange(size - gram + 1)).ravel())
+    starts = starts[(starts >= 0) & (starts <= len(words) - size)]
+    return starts[row[starts] == row[starts + size - 1]]
+
+
+def as_long(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64), pa.int64())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+ADDED = (T.StructField("n_words", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType())))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: n_words, hits (binary: a byte per word, 1 if hit) and the sorted ids of items that occur.
 
-    keep names further columns of docs to pass on.
+    keep names further columns of docs to pass on; such a column gives way to an added one of its name.
+    """
+    rows = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return (looked_up if size <= broadcast_bytes else joined)(rows, items, window, gram)
+
+
+def _out(b, names: list[str], schema: T.StructType, ends: np.ndarray, hit: np.ndarray, items: list) -> pa.RecordBatch:
+    hits = [hit[a:z].astype(np.uint8).tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], schema.names)
+
+
+def looked_up(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """matches with a benchmark that is broadcast; the caller has checked its size."""
+    index = rows.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in items.collect()], window, gram))
+    schema = beside(rows.schema, *ADDED)
+    names = schema.names[:-3]
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for i, j, d, o in pieces(data, offsets):
+                words, row = words_of(d, o)
+                hit, found = match(words, row, j - i, index.value, window, gram)
+                yield _out(batch.slice(i, j - i), names, schema, np.cumsum(np.bincount(row, minlength=j - i)), hit, found)
+
+    return rows.mapInArrow(run, schema)
+
+
+def joined(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """matches with a benchmark of any size: two joins by hash, of kept hashes and of windows.
+
+    The benchmark's side of the first join has each hash once, so a hash that very many documents keep adds no rows
+    and adaptive execution can split it.
     """
-    from pyspark.sql import types as T
-
-    spark = docs.sparkSession
-    added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))]
-    out = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text"))).withColumns({"hits": F.lit(None).cast("binary"), "items": F.array().cast("array<bigint>")})
-    for block in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), block_bytes):
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()], window, gram))  # at most a block
-        schema = T.StructType([f for f in out.schema if f.name not in ("n_words", "hits", "items")] + added)
-
-        def run(batches, index=index, names=schema.names[:-3]):
-            for batch in batches:
-                data, offsets = utf8(batch.column("text"))
-                for i, j, d, o in pieces(data, offsets):
-                    b = batch.slice(i, j - i)
-                    words, row = words_of(d, o)
-                    hit, items = match(words, row, j - i, index.value, window, gram)
-                    before_h, before_i = b.column("hits").to_pylist(), b.column("items").to_pylist()
-                    ends = np.cumsum(np.bincount(row, minlength=j - i))
-                    hits, joined = [], []
-                    for k in range(j - i):
-                        h = hit[(ends[k - 1] if k else 0) : ends[k]]
-                        hits.append((h if before_h[k] is None else h | (np.frombuffer(before_h[k], np.uint8) > 0)).astype(np.uint8).tobytes())
-                        joined.append(sorted({*before_i[k], *items[k].tolist()}))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(hits, pa.binary()), pa.array(joined, pa.list_(pa.int64()))], [*names, "n_words", "hits", "items"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+    rows = materialise(rows.withColumn("decontaminate_row", F.monotonically_increasing_id()))
+
+    def list_windows(batches):
+        for batch in batches:
+            for b in batch_pieces(batch, "text"):
+                words, row = words_of(*utf8(b.column("text")))
+                ids = b.column("item_id").to_pylist()
+                first = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))]
+                out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [], []]
+                for k in range(b.num_rows):
+                    w = words[first[k] : first[k + 1]]
+                    if not len(w):
+                        continue
+                    n = min(len(w), window)
+                    whole = gram_hashes(w, n)
+                    grams = gram_hashes(w, gram)
+                    out[0].append(grams[winnow(grams, window - gram + 1)] if n == window else mix(whole ^ np.uint64(n)))
+                    out[1].append(whole)
+                    out[2] += [n] * len(whole)
+                    out[3] += [ids[k]] * len(whole)
+                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(out[0])), as_long(np.concatenate(out[1])), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], ["key", "whole", "size", "item_id"])
+
+    listed = materialise(items.mapInArrow(list_windows, "key long, whole long, size int, item_id long").distinct())
+    sizes = [r[0] for r in listed.select("size").distinct().collect()]  # at most one for each length up to a window
+
+    def spots(words, row, n):
+        """Starts and keys of what a batch asks for windows of n words."""
+        if n < window:
+            at = np.arange(max(len(words) - n + 1, 0))
+            at = at[row[at] == row[at + n - 1]] if len(at) else at
+            return at, mix(gram_hashes(words, n)[at] ^ np.uint64(n)) if len(at) else np.zeros(0, np.uint64)
+        if len(words) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        grams = gram_hashes(words, gram)
+        at = winnow(grams, window - gram + 1)
+        at = at[starts_of(at)]
+        return at, grams[at]
+
+    def ask(batches):
+        for batch in batches:
+            for b in batch_pieces(batch, "text"):
+                words, row = words_of(*utf8(b.column("text")))
+                own = b.column("decontaminate_row").to_numpy()
+                for n in sizes:
+                    at, keys = spots(words, row, n)
+                    both = np.unique(np.stack([own[row[at]].astype(np.uint64), keys], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([as_long(np.ascontiguousarray(both[:, 0])), as_long(np.ascontiguousarray(both[:, 1]))], ["decontaminate_row", "key"])
+
+    asked = rows.select("decontaminate_row", "text").mapInArrow(ask, "decontaminate_row long, key long")
+    found = asked.join(listed.select("key").distinct(), "key", "left_semi").groupBy("decontaminate_row").agg(F.collect_set("key").alias("keys"))
+
+    def extend(batches):
+        for batch in batches:
+            for b in batch_pieces(batch, "text"):
+                words, row = words_of(*utf8(b.column("text")))
+                own = b.column("decontaminate_row").to_numpy()
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
+                first = np.r_[0, ends[:-1]].astype(np.int64)
+                keys = np.unique(b.column("keys").flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
+                for n in sizes:
+                    at, k = spots(words, row, n)
+                    at = at[member(np.sort(keys), k)]
+                    starts = around(at, words, row, n, gram) if n == window else at
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row[starts]], pa.int64()), pa.array(starts - first[row[starts]], pa.int64()), as_long(gram_hashes_at(words, starts, n)), pa.array([n] * len(starts), pa.int32())], ["decontaminate_row", "start", "whole", "size"])
+
+    near = rows.select("decontaminate_row", "text").join(found, "decontaminate_row").mapInArrow(extend, "decontaminate_row long, start long, whole long, size int")
+    hit = near.join(listed.select("size", "whole", "item_id").distinct(), ["size", "whole"])
+    spans = hit.groupBy("decontaminate_row").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    schema = beside(rows.drop("decontaminate_row").schema, *ADDED)
+    names = schema.names[:-3]
+
+    def mark(batches):
+        for batch in batches:
+            for b in batch_pieces(batch, "text"):
+                words, row = words_of(*utf8(b.column("text")))
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
+                edge = np.zeros(len(words) + 1, np.int64)
+                for k, some in enumerate(b.column("decontaminate_spans").to_pylist()):
+                    for x in some or ():
+                        edge[ends[k - 1] * (k > 0) + x["start"]] += 1
+                        edge[ends[k - 1] * (k > 0) + x["start"] + x["size"]] -= 1
+                yield _out(b, names, schema, ends, np.cumsum(edge)[:-1] > 0, [x or [] for x in b.column("decontaminate_items").to_pylist()])
+
+    named = spans.withColumnsRenamed({"spans": "decontaminate_spans", "items": "decontaminate_items"})
+    return rows.join(named, "decontaminate_row", "left").mapInArrow(mark, schema)
 
 
 def report(found: DataFrame) -> DataFrame:

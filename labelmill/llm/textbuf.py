@@ -136,6 +136,25 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
+#: How many places one pass of rightmost_least tells apart; the other bits of a value are compared.
+PLACE_BITS = 22
+
+
+def rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of width values the place of the least, the rightmost of equals.
+
+    Always the same leading bits of the values are compared, in windows of any place of an array of any length, so
+    equal windows choose equal places.
+    """
+    low = (np.uint64(1) << np.uint64(PLACE_BITS)) - np.uint64(1)
+    most, out = (1 << PLACE_BITS) - width, []
+    for i in range(0, max(1, len(values) - width + 1), most):
+        v = values[i : i + most + width - 1]
+        v = (v & ~low) | (low - np.arange(len(v), dtype=np.uint64))
+        out.append((low - (sliding_min(v, width) & low)).astype(np.int64) + i)
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def starts_of(groups: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts."""
     if not len(groups):
