@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import parallelism
+from .storage import parallelism, remember
 
 #: Batches per shuffle partition: a bucket holds several, which evens out what tasks get.
 PER_PARTITION = 3
@@ -25,23 +25,28 @@ PER_PARTITION = 3
 def in_batches(docs: DataFrame, *columns: str, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The columns of docs with their batch, in a table bucketed by batch in the shared warehouse.
 
-    ``tie`` orders rows of one id; equal rows are interchangeable.
+    ``tie`` orders rows of one id, ``row_no`` those that are equal; it is given to a row as it is written, so it is
+    fixed from then on.
     """
     spark = docs.sparkSession
     n = parallelism(spark)
     rows = docs.select(*columns, F.xxhash64(*by).alias("tie")).withColumn("batch", F.pmod("tie", F.lit(PER_PARTITION * n)))
-    return bucketed(rows, "batch", n)
+    return bucketed(rows, "batch", n, "row_no")
 
 
-def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+def bucketed(df: DataFrame, key: str, n: int, row_no: str | None = None) -> DataFrame:
+    """df in a table of n buckets by key in the shared warehouse, with a number for each row if a name for it is given."""
     name = f"labelmill_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    rows = df.repartition(n, key)
+    rows = rows.withColumn(row_no, F.monotonically_increasing_id()) if row_no else rows
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    remember(df.sparkSession, "table", name)
     return df.sparkSession.table(name)
 
 
 def in_order(table: pa.Table) -> pa.Table:
     """A batch's rows in the one order that all steps use."""
-    return table.sort_by([("doc_id", "ascending"), ("tie", "ascending")]).combine_chunks()
+    return table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("row_no", "ascending")]).combine_chunks()
 
 
 def key_ranges(keys: np.ndarray, n: int) -> np.ndarray:

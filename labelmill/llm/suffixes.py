@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .exchange import in_batches, in_order, joined, key_ranges, member, packed, unpacked
 from .storage import materialise, parallelism
-from .textbuf import BYTE_CODES, PIECE, mix, pieces, powers, sliding_min, utf8
+from .textbuf import BYTE_CODES, PIECE, mix, pieces, powers, rightmost_least, utf8
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM
@@ -43,10 +43,7 @@ def anchors(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(BYTE_CODES[x] * up[: len(x)], out=sums[1:])
     g = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(x) - GRAM + 1])
-    bits = np.uint64(int(len(g)).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    best = sliding_min((g >> bits << bits) | (low - np.arange(len(g), dtype=np.uint64)), SPAN + 1)
-    place = (low - (best & low)).astype(np.int64)
+    place = rightmost_least(g, SPAN + 1)
     ends = offsets[np.searchsorted(offsets, np.arange(n), "right")]
     window = np.flatnonzero(np.arange(n) + LENGTH <= ends)
     if not len(window):
@@ -200,7 +197,9 @@ RUNS = "batch bigint, part int, place binary, first binary, last binary, shared
 
 def suffix_runs(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at repeated anchors, one per batch and key range; and, under part
-    -1, the first and last windows of texts that are copies as a whole."""
+    -1, the first and last windows that the batch itself knows to be repeated: of texts that are copies as a whole,
+    and of anchors with the same bytes on both sides, of which one goes on. So a passage that many documents share
+    is sent once per batch."""
 
     def send(_, table: pa.Table, found: pa.Table) -> pa.Table:
         t = in_order(table)
@@ -230,20 +229,27 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         out = {k: [] for k in ("batch", "part", "place", "first", "last", "shared", "rest", "lefts", "covered")}
         whole = data.tobytes()
         batch = t.column("batch")[0].as_py() if t.num_rows else None
+        again = []  # entries of a context that the batch has sent once: all their windows are repeated
         for k in range(parts):
             some = go[cut[k] : cut[k + 1]]
             if not len(some):
                 continue
-            strings = [whole[a : b + LENGTH] for a, b in zip(p[some].tolist(), e[some].tolist(), strict=True)]
+            contexts: dict[tuple[bytes, bytes], int] = {}
+            first_with = np.array([contexts.setdefault((whole[a:b], whole[b : c + LENGTH]), i) for i, (a, b, c) in enumerate(zip(s[some].tolist(), p[some].tolist(), e[some].tolist(), strict=True))], np.int64)
+            times = np.bincount(first_with, minlength=len(some))
+            again.append(some[times[first_with] > 1])
+            some = some[times > 0]
+            strings = [x[1] for x in contexts]
             order = sorted(range(len(some)), key=strings.__getitem__)
             some = some[order]
             shared, rest = front_coded([strings[i] for i in order])
             values = (batch, k, packed(p[some]), packed(s[some]), packed(e[some]), packed(np.array(shared, np.uint16)), b"".join(rest), b"".join(whole[a:b] for a, b in zip(s[some].tolist(), p[some].tolist(), strict=True)), None)
             for name, v in zip(out, values, strict=True):
                 out[name].append(v)
-        rows = np.flatnonzero(covered)
-        if len(rows):
-            for name, v in zip(out, (batch, -1, b"", packed(offsets[rows]), packed(offsets[rows + 1] - LENGTH), b"", b"", b"", b""), strict=True):
+        rows, again = np.flatnonzero(covered), joined(again, np.int64)
+        if len(rows) or len(again):
+            first, last = np.r_[offsets[rows], s[again]], np.r_[offsets[rows + 1] - LENGTH, e[again]]
+            for name, v in zip(out, (batch, -1, b"", packed(first), packed(last), b"", b"", b"", b""), strict=True):
                 out[name].append(v)
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
         return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
