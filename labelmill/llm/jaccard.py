@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose shingle sets have a similarity of 0.8 or more.
 
 A document's set holds the hashes of its distinct ``SHINGLE``-word shingles (of the whole sequence, if it
-has fewer words). Documents of equal sets are one class, of which the smallest id stands for all.
+has fewer words). Documents of equal sets are one class, of which one row stands for all.
 
 * Prefix filter. Under any global order two linked sets share one of their first
   ``n - ceil(0.8 n) + 1`` elements. First, batches exchange the elements of low hash; a set with enough
@@ -18,7 +18,8 @@ has fewer words). Documents of equal sets are one class, of which the smallest i
   Pairs under different leaders come from the lists. What is left is compared exactly on whole sets.
 * Components are found by joins over links, label by label.
 
-Null text, and text without words, have the empty set and are linked with nothing. A null id has a null component.
+Null text, and text without words, have the empty set and are linked with nothing. A null id has a null component
+and is linked with nothing. Rows of one id are one document: they share a component, whatever their texts.
 Links are 100 * intersection >= 80 * union in whole numbers.
 """
 
@@ -36,6 +37,8 @@ from .textbuf import LOWER, NOT_BLANK, gram_hashes, mix, pieces, span_hashes, st
 SHINGLE, PERCENT = 5, 80
 #: Share of the hash range whose elements are exchanged first.
 LOW = 0.3
+#: Pairs that one copy of a set serves.
+SHARE = 128
 _OTHER = np.uint64(0x8BB84B93962EACC9)
 
 
@@ -91,19 +94,20 @@ def _low(values: np.ndarray) -> np.ndarray:
 
 def exchanged(docs: DataFrame, parts: int) -> DataFrame:
     """To each batch: low elements (scrambled) that other batches have too; and for the classes of equal sets in it
-    the smallest id anywhere."""
+    the least row number and the smallest id anywhere."""
 
     def ask(table: pa.Table) -> pa.Table:
         t = in_order(table)
         values, start = shingle_sets(t)
         keys = np.unique(mix(values[_low(values)]))
-        ids, d = t.column("doc_id").to_numpy(zero_copy_only=False), set_digests(values, start)
-        ok = d.any(1) & ~np.asarray(t.column("doc_id").is_null())
-        d, ids = d[ok], ids[ok].astype(np.int64)
+        ok = ~np.asarray(t.column("doc_id").is_null())
+        d = set_digests(values, start)
+        ok &= d.any(1)
+        d, ids, own = d[ok], np.asarray(t.column("doc_id").filter(pa.array(ok))).astype(np.int64), t.column("row_no").to_numpy()[ok]
         order = np.lexsort((ids, d[:, 1], d[:, 0]))
-        d, ids = d[order], ids[order]
-        first = np.r_[True, (d[1:] != d[:-1]).any(1)] if len(d) else np.zeros(0, bool)
-        d, ids = d[first], ids[first]
+        d, ids, own = d[order], ids[order], own[order]
+        at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(1)]) if len(d) else np.zeros(0, np.int64)
+        d, ids = d[at], np.stack([np.minimum.reduceat(own, at), ids[at]], 1) if len(at) else np.zeros((0, 2), np.int64)
         a, b = key_ranges(keys, parts), key_ranges(d[:, 0], parts)
         some = [k for k in range(parts) if a[k] < a[k + 1] or b[k] < b[k + 1]]
         cut = lambda x, at: pa.array([packed(x[at[k] : at[k + 1]]) for k in some], pa.binary())
@@ -114,12 +118,12 @@ def exchanged(docs: DataFrame, parts: int) -> DataFrame:
         u, n = np.unique(joined(keys), return_counts=True)
         twice = u[n > 1]
         sets = np.concatenate([np.zeros((0, 2), np.uint64), *(x.reshape(-1, 2) for x in unpacked(table.column("sets")))])
-        ids = joined(unpacked(table.column("ids"), np.int64), np.int64)
+        ids = joined(unpacked(table.column("ids"), np.int64), np.int64).reshape(-1, 2)
         _, inverse = np.unique(sets, axis=0, return_inverse=True)
         inverse = inverse.ravel()
-        least = np.full(inverse.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        least = np.full((inverse.max(initial=-1) + 1, 2), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, ids)
-        ends = np.cumsum([len(x) // 8 for x in table.column("ids").to_pylist()])
+        ends = np.cumsum([len(x) // 16 for x in table.column("ids").to_pylist()])
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "keys": pa.array([packed(k[member(twice, k)]) for k in keys], pa.binary()), "sets": table.column("sets"), "ids": pa.array([packed(x) for x in np.split(least[inverse], ends[:-1])], pa.binary())})
 
     asked = docs.groupBy("batch").applyInArrow(ask, "batch bigint, part int, keys binary, sets binary, ids binary")
@@ -127,26 +131,25 @@ def exchanged(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per row: doc_id, rep (the smallest id with the same set), n_shingles; and the set (binary, sorted hashes)
-    of each class that may have links, at one row of its rep."""
+    """Per row: doc_id, rep (the least row number with the same set), rep_id (the smallest id with it), n_shingles;
+    and the set (binary, sorted hashes) of each class that may have links, at the row that stands for it."""
 
     def work(_, table: pa.Table, found: pa.Table) -> pa.Table:
         t = in_order(table)
         values, start = shingle_sets(t)
         n = np.diff(start)
         null = np.asarray(t.column("doc_id").is_null())
-        ids = np.where(null, -1, t.column("doc_id").to_numpy(zero_copy_only=False)).astype(np.int64) if null.any() else t.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        own_no = t.column("row_no").to_numpy()
         d = set_digests(values, start)
         known = {}
         for s, i in zip(unpacked(found.column("sets")), unpacked(found.column("ids"), np.int64), strict=True):
-            known |= dict(zip(map(tuple, s.reshape(-1, 2).tolist()), i.tolist(), strict=True))
-        rep = np.array([known.get(tuple(x), -1) for x in d.tolist()], np.int64)
+            known |= dict(zip(map(tuple, s.reshape(-1, 2).tolist()), map(tuple, i.reshape(-1, 2).tolist()), strict=True))
+        best = np.array([known.get(tuple(x), (-1, -1)) for x in d.tolist()], np.int64).reshape(-1, 2)
         scrambled = mix(values[_low(values)])
         elsewhere = np.unique(joined(unpacked(found.column("keys"))))
         row = np.repeat(np.arange(len(n)), n)
         low_row = row[_low(values)]
-        own = (rep == ids) & ~null & (n > 0)
-        own &= np.r_[True, (ids[1:] != ids[:-1]) | (rep[1:] != rep[:-1])] if len(ids) else own
+        own = (best[:, 0] == own_no) & ~null & (n > 0)
         # Of equal sets in the batch only the one that stands for them counts.
         first_of: dict = {}
         counts = np.array([first_of.setdefault(tuple(x), k) == k for k, x in enumerate(d.tolist())], bool)
@@ -154,13 +157,13 @@ def classes(docs: DataFrame, answers: DataFrame) -> DataFrame:
         alone = ~member(elsewhere, scrambled) & ~member(u[m > 1], scrambled)
         lonely = np.bincount(low_row, alone, len(n))
         live = own & (lonely < prefix_size(n))
-        out_rep = np.where(n > 0, rep, ids)
+        none = null | (n == 0)
         return pa.table({
-            "doc_id": t.column("doc_id"), "rep": pa.array(out_rep, pa.int64(), mask=null), "n_shingles": pa.array(n, pa.int64()),
+            "doc_id": t.column("doc_id"), "rep": pa.array(best[:, 0], pa.int64(), mask=none), "rep_id": pa.array(best[:, 1], pa.int64(), mask=none), "n_shingles": pa.array(n, pa.int64()),
             "elements": pa.array([packed(values[start[k] : start[k + 1]]) if live[k] else None for k in range(len(n))], pa.binary()),
         })
 
-    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(work, "doc_id bigint, rep bigint, n_shingles bigint, elements binary")
+    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(work, "doc_id bigint, rep bigint, rep_id bigint, n_shingles bigint, elements binary")
 
 
 def _split(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +319,11 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the exact overlap and the sizes of their sets, whether they are linked, and the elements that
     only one of the two has, as sorted hashes that b is part of."""
     body = sets.select("doc", "elements")
-    both = pairs.join(body.withColumnsRenamed({"doc": "a", "elements": "x"}), "a").join(body.withColumnsRenamed({"doc": "b", "elements": "y"}), "b").select("a", "b", "x", "y")
+    # A set that many pairs have as b, as a leader has, is copied once for every SHARE of them, and its pairs are dealt over the copies.
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")).where("copies > 1")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    copied = body.join(hot.withColumnRenamed("b", "doc"), "doc", "left").select(F.col("doc").alias("b"), F.col("elements").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    both = dealt.join(body.withColumnsRenamed({"doc": "a", "elements": "x"}), "a").join(copied, ["b", "copy"]).select("a", "b", "x", "y")
 
     def work(batches):
         for batch in batches:
@@ -390,16 +397,30 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, class_id (the smallest id of the same set), component_id."""
+    """Per row of docs (doc_id, text): doc_id, n_shingles, class_id (the smallest id with the same set), component_id.
+
+    Sets are known by the number of a row that has them, so ids may repeat: rows of one id are one document, which is
+    linked with all that any of its texts is linked with.
+    """
     spark = docs.sparkSession
     parts = parallelism(spark)
     texts = in_batches(docs, "doc_id", "text")
     known = materialise(classes(texts, exchanged(texts, parts)))
-    live = known.where("elements is not null").select(F.col("doc_id").alias("doc"), "elements").dropDuplicates(["doc"])
+    live = known.where("elements is not null").select(F.col("rep").alias("doc"), "elements")
     sets = bucketed(live.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(PER_PARTITION * parts))), "doc", parts)
-    found = components(links(sets, parts))
-    out = known.select("doc_id", "n_shingles", "rep").join(found, F.col("rep") == F.col("doc"), "left")
-    return out.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    reps = known.where("rep is not null").select("doc_id", "rep", "rep_id").distinct()
+    several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
+    same_id = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    found = components(links(sets, parts).unionByName(same_id))
+    members = found.join(reps.select(F.col("rep").alias("doc"), "rep_id").distinct(), "doc")
+    least = members.groupBy("component").agg(F.min("rep_id").alias("least"))
+    named = members.join(least, "component").select("doc", "least")
+    out = known.select("doc_id", "n_shingles", "rep", "rep_id").join(named, F.col("rep") == F.col("doc"), "left")
+    # Without words a row is alone, but for other rows of its id.
+    bare = known.where("rep is null and doc_id is not null").select("doc_id").distinct()
+    by_id = reps.join(bare, "doc_id", "left_semi").join(named.withColumnRenamed("doc", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("least", "rep_id")).alias("of_id"))
+    out = out.join(by_id, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("rep_id", "doc_id").alias("class_id"), F.coalesce("least", "rep_id", "of_id", "doc_id").alias("component_id"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
