@@ -1,17 +1,19 @@
 """Quality classifier by co-training two views of a document.
 
 The text view sees words and how they are spread; the metadata view sees source, language and
-length. Each round both are fitted, score a pool of unlabelled documents and hand the other view the
-documents they are sure of, as labels. On labelled documents kept out of fitting, each view is
+length. Each round both are fitted, score all documents without labels and hand the other view those
+that they are surest of, as labels. On labelled documents kept out of fitting, each view is
 calibrated and a last logistic step weighs the two. All documents are scored.
 
 There are two targets, quality and toxicity; a document is kept unless its combined quality is
 below ``quality_floor`` or its toxicity above ``toxic_ceiling``. Models are fitted on at most
-``labelled`` rows of labels and a pool of at most ``pool`` other documents, those with the least hash of
-their id: a documented bound on the sample, the same at every size of the input.
+``labelled`` labelled documents, those with the least hash of their id (a documented bound on the sample, the
+same at every size of the input), and on what the views hand over: per round, view and label the ``handed``
+surest of all other documents.
 
-Null text counts as empty, null metadata as a value of its own. A document with several labels takes
-the worst. Without usable labels (none, or of one class) scores are 0.5 and nothing is rejected.
+Null text counts as empty, null metadata as a value of its own. Rows of equal or null id are scored each on its
+own; of rows that share an id one serves for fitting. A document with several labels takes the worst. Input
+columns whose names equal an added one in any case are replaced. Without usable labels (none, or of one class) scores are 0.5 and nothing is rejected.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from .columns import beside
 from .textbuf import ALNUM, LOWER, batch_pieces, byte_class, span_hashes, starts_of, utf8, word_bounds
 
-LABELLED, POOL, ROUNDS, SURE, HANDED = 6000, 4000, 3, 0.98, 400
+LABELLED, ROUNDS, SURE, HANDED = 6000, 3, 0.98, 400
 BITS, META_BITS, SHAPES = 17, 10, 8
 QUALITY_FLOOR, TOXIC_CEILING = 0.5, 0.5
 _UPPER, _DIGIT = byte_class(lambda b: 65 <= b <= 90), byte_class(lambda b: 48 <= b <= 57)
@@ -172,36 +176,72 @@ def calibrated(logit: list[np.ndarray], y: np.ndarray) -> Logistic:
     return Logistic(fit.w, fit.b + float(np.log(p / (1 - p))))
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, rounds: int = ROUNDS) -> Head | None:
-    """Both views fitted by exchanging confident labels of the pool; None if a class is missing."""
-    fold = np.arange(len(y)) % 4 == 3
-    a, b = np.flatnonzero(~fold), np.flatnonzero(fold)
-    if len(y) < 8 or min(y[a].sum(), (1 - y[a]).sum(), y[b].sum(), (1 - y[b]).sum()) < 1:
-        return None
-    views = ((text, pool_text, (1 << BITS) + SHAPES, 1 << BITS), (meta, pool_meta, 1 << META_BITS, 1 << META_BITS))
-    given: list[dict[int, int]] = [{}, {}]
-    for _ in range(rounds):
-        fitted = []
-        for k, (x, pool, width, hashed) in enumerate(views):
-            more = np.array(sorted(given[k]), np.int64)
-            one, two = x.take(a), pool.take(more)
-            joined = Rows(np.r_[one.start, one.start[-1] + two.start[1:]], np.r_[one.col, two.col], np.r_[one.val, two.val])
-            fitted.append(Logistic.fit(joined, np.r_[y[a], [given[k][i] for i in more.tolist()]], width, hashed=hashed))
-        grown = False
-        for k, (_, pool, _, _) in enumerate(views):
-            if not len(pool):
-                continue
-            p = sigmoid(fitted[k].logit(pool))
-            for label, score in ((1, p), (0, 1 - p)):
-                order = np.argsort(-score, kind="stable")
-                sure = [i for i in order.tolist() if score[i] >= SURE and i not in given[1 - k]][:HANDED]
-                given[1 - k] |= dict.fromkeys(sure, label)
-                grown |= bool(sure)
-        if not grown:
-            break
-    t, m = (f.logit(x.take(b)) for f, (x, _, _, _) in zip(fitted, views, strict=True))
-    ts, ms = calibrated([t], y[b]), calibrated([m], y[b])
-    return Head(*fitted, ts, ms, calibrated([ts.logit(dense(t)), ms.logit(dense(m))], y[b]))
+class CoTraining:
+    """Both views of one target, fitted in rounds on labelled rows and on what each view hands the other.
+
+    A quarter of the labelled rows is kept out for calibration.
+    """
+
+    WIDTHS = (((1 << BITS) + SHAPES, 1 << BITS), (1 << META_BITS, 1 << META_BITS))
+
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray):
+        fold = np.arange(len(y)) % 4 == 3
+        self.views, self.y = (text, meta), y
+        self.fitting, self.held = np.flatnonzero(~fold), np.flatnonzero(fold)
+        self.given: tuple[dict, dict] = {}, {}
+        self.fitted: list[Logistic] = []
+
+    def possible(self) -> bool:
+        """Whether both classes are there for fitting and for calibration."""
+        parts = [self.y[self.fitting], self.y[self.held]]
+        return len(self.y) >= 8 and min(v for p in parts for v in (p.sum(), (1 - p).sum())) >= 1
+
+    def fit(self, pool: dict) -> None:
+        """Fits both views. pool: the two views' rows of each handed document by its id."""
+        self.fitted = []
+        for k, (x, (width, hashed)) in enumerate(zip(self.views, self.WIDTHS, strict=True)):
+            more = sorted(i for i in self.given[k] if i in pool)
+            both = _end_to_end([x.take(self.fitting), *(pool[i][k] for i in more)])
+            labels = np.r_[self.y[self.fitting], np.array([self.given[k][i] for i in more], np.float64)]
+            self.fitted.append(Logistic.fit(both, labels, width, hashed=hashed))
+
+    def head(self) -> Head:
+        y = self.y[self.held]
+        t, m = (f.logit(x.take(self.held)) for f, x in zip(self.fitted, self.views, strict=True))
+        ts, ms = calibrated([t], y), calibrated([m], y)
+        return Head(*self.fitted, ts, ms, calibrated([ts.logit(dense(t)), ms.logit(dense(m))], y))
+
+
+def _end_to_end(rows: list[Rows]) -> Rows:
+    sizes = np.concatenate([np.diff(r.start) for r in rows])
+    return Rows(np.r_[0, np.cumsum(sizes)].astype(np.int64), np.concatenate([r.col for r in rows]), np.concatenate([r.val for r in rows]))
+
+
+def confident(docs: DataFrame, known: DataFrame, models: dict[str, list[Logistic]], handed: int = HANDED, sure: float = SURE) -> DataFrame:
+    """Of all documents without labels those that a view is surest of: target, view, label, doc_id.
+
+    Every document is scored; for each target, view and label the ``handed`` of greatest confidence (sure at least)
+    are taken, ties by the hash of the id. known: the ids that have labels.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # two weight vectors of fixed size for each target
+    schema = "doc_id long, target string, view int, label int, p double"
+
+    def run(batches):
+        for batch in batches:
+            for b in batch_pieces(batch, "text"):
+                views = _views(b)
+                out = []
+                for target, fitted in shared.value.items():
+                    for k, (f, x) in enumerate(zip(fitted, views, strict=True)):
+                        p = sigmoid(f.logit(x))
+                        for label, q in ((1, p), (0, 1 - p)):
+                            at = np.flatnonzero(q >= sure)
+                            out.append(pa.record_batch([b.column("doc_id").take(pa.array(at)).cast(pa.int64()), pa.array([target] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pa.array([label] * len(at), pa.int32()), pa.array(q[at], pa.float64())], ["doc_id", "target", "view", "label", "p"]))
+                yield from out
+
+    found = docs.where("doc_id is not null").mapInArrow(run, schema).join(known.select("doc_id"), "doc_id", "left_anti")
+    place = Window.partitionBy("target", "view", "label").orderBy(F.desc("p"), F.xxhash64("doc_id"), "doc_id")
+    return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= handed).select("target", "view", "label", "doc_id")
 
 
 def _features(rows: DataFrame, keep: list[str]) -> list[tuple]:
@@ -230,21 +270,43 @@ def _joined(packs: list[tuple], n: int) -> tuple[Rows, Rows]:
     return rows(col, val), rows(meta, [np.ones(len(x)) for x in meta])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Head | None]:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED) -> dict[str, Head | None]:
     """The heads for quality and toxic. docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality, toxic."""
     order = F.xxhash64("doc_id").alias("order_no")
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     known = known.where("quality is not null and toxic is not null")
-    columns = docs.where("doc_id is not null").select("doc_id")
-    chosen = columns.join(known, "doc_id").select("doc_id", "quality", "toxic", order).orderBy("order_no").limit(labelled)
-    others = columns.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", order).orderBy("order_no").limit(pool)
-    body = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    a = _features(body.join(F.broadcast(chosen), "doc_id"), ["quality", "toxic"])  # both sides bounded by the sample's size
-    b = _features(body.join(F.broadcast(others), "doc_id"), [])
+    chosen = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id").select("doc_id", "quality", "toxic", order).distinct().orderBy("order_no").limit(labelled)
+    a = _features(docs.join(F.broadcast(chosen), "doc_id"), ["quality", "toxic"])  # bounded by the sample's size
     if not a:
         return {"quality": None, "toxic": None}
-    (text, meta), (pool_text, pool_meta) = _joined(a, 3), _joined(b, 1)
-    return {k: co_train(text, meta, np.array([r[i] for r in a]), pool_text, pool_meta) for i, k in ((1, "quality"), (2, "toxic"))}
+    text, meta = _joined(a, 3)
+    targets = {k: CoTraining(text, meta, np.array([r[i] for r in a])) for i, k in ((1, "quality"), (2, "toxic"))}
+    training = {k: t for k, t in targets.items() if t.possible()}
+    pool: dict[int, tuple[Rows, Rows]] = {}
+    for n in range(rounds):
+        for t in training.values():
+            t.fit(pool)
+        if not training or n == rounds - 1:
+            break
+        picked = confident(docs, labels, {k: t.fitted for k, t in training.items()}, handed).collect()  # at most 8 x handed ids
+        new = []
+        for r in picked:
+            given = training[r["target"]].given[1 - r["view"]]
+            if r["doc_id"] not in given:
+                given[r["doc_id"]] = r["label"]
+                new.append(r["doc_id"])
+        missing = sorted({i for i in new if i not in pool})
+        if not new:
+            break
+        if missing:
+            ids = docs.sparkSession.createDataFrame([(i,) for i in missing], "doc_id long")
+            got = _features(docs.join(F.broadcast(ids), "doc_id").withColumn("order_no", F.col("doc_id")), [])
+            rows = _joined(got, 1)
+            for i, pack in enumerate(got):
+                pool.setdefault(pack[0], tuple(v.take(np.array([i])) for v in rows))
+    return {k: t.head() if k in training else None for k, t in targets.items()}
 
 
 NEW = ("quality_score", "text_quality", "meta_quality", "toxic_score")
@@ -252,8 +314,8 @@ NEW = ("quality_score", "text_quality", "meta_quality", "toxic_score")
 
 def score(docs: DataFrame, heads: dict[str, Head | None], quality_floor: float = QUALITY_FLOOR, toxic_ceiling: float = TOXIC_CEILING) -> DataFrame:
     """docs with quality_score (both views), text_quality, meta_quality, toxic_score and the decision ``kept``."""
-    names = [f.name for f in docs.schema if f.name not in (*NEW, "kept")]
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, T.DoubleType()) for n in NEW] + [T.StructField("kept", T.BooleanType())])
+    schema = beside(docs.schema, *(T.StructField(n, T.DoubleType()) for n in NEW), T.StructField("kept", T.BooleanType()))
+    names = schema.names[: -len(NEW) - 1]
     shared = docs.sparkSession.sparkContext.broadcast(heads)  # two weight vectors of fixed size
 
     def run(batches):
