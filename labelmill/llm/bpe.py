@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import struct
 import unicodedata
 from functools import lru_cache
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import beside
 from .textbuf import batch_pieces
 
 #: Stands for the tokenizer's end-of-word mark, which no word can hold as one character.
@@ -67,6 +69,7 @@ class WordBpe:
         blank = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.split = regex.compile(split.replace(r"^\s", "^" + blank))
         self.apart = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.opening = os.path.commonprefix(list(self.special))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -130,7 +133,7 @@ class WordBpe:
     def text(self, s: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for part in self.apart.split(s) if self.apart and "<|" in s else [s]:
+        for part in self.apart.split(s) if self.apart and self.opening in s else [s]:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
@@ -180,11 +183,6 @@ def _tokenizer(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
-    names = {f.name.lower() for f in fields}
-    return T.StructType([f for f in df.schema if f.name.lower() not in names] + list(fields))
-
-
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", decoded_col: str | None = None, keep_text: bool = True) -> DataFrame:
     """df with ``ids`` (binary: the ids as little-endian unsigned 32-bit integers) of each text.
 
@@ -193,7 +191,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", decoded_col: s
     """
     new = ["ids"] + [decoded_col] * (decoded_col is not None)
     kinds = [T.StructField("ids", T.BinaryType()), *(T.StructField(c, T.StringType()) for c in new[1:])]
-    spec, schema = _tokenizer(df.sparkSession, tokenizer), _added(df, *kinds)
+    spec, schema = _tokenizer(df.sparkSession, tokenizer), beside(df.schema, *kinds)
     if not keep_text:
         schema = T.StructType([f for f in schema if f.name != text_col])
     kept = [f.name for f in schema if f.name not in new]
@@ -213,7 +211,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", decoded_col: s
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """df with ``decoded``, the text of each row's ids; null ids give an empty text."""
-    spec, schema = _tokenizer(df.sparkSession, tokenizer), _added(df, T.StructField("decoded", T.StringType()))
+    spec, schema = _tokenizer(df.sparkSession, tokenizer), beside(df.schema, T.StructField("decoded", T.StringType()))
     kept = [f.name for f in schema if f.name != "decoded"]
 
     def run(batches):

@@ -8,7 +8,9 @@ interpolated log probability. A text takes the language of least cross-entropy p
 probability beside it is calibrated by a temperature fitted on texts kept out of the counts, and a
 text whose cross-entropy exceeds what such texts show is marked as rejected.
 
-Null text and text without a letter give ``und`` with score 0. Ties go to the first language by name.
+Null text and text without a letter give ``und`` with score 0. Ties go to the first language by name; with one
+language every text with a letter takes it. Rows are predicted each on its own, whatever repeats. Input columns
+whose names equal an added one in any case are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import beside
 from .textbuf import PIECE, batch_pieces
 
 ORDER, PER_LANGUAGE, DISCOUNT, ALPHABET = 4, 300, 0.75, 1 << 10
@@ -211,8 +214,8 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
 def predict(df: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1), cross_entropy and rejected."""
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    names = [f.name for f in df.schema if f.name not in {n.name for n in new}]
-    schema = T.StructType([df.schema[n] for n in names] + new)
+    schema = beside(df.schema, *new)
+    names = schema.names[: -len(new)]
     shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def run(batches):
