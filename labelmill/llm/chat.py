@@ -5,6 +5,8 @@ placeholder ``<|kind:i|>`` (i counts the conversation's attachments), its refere
 token count are recorded. The template marks turns; control strings inside texts and roles are
 escaped reversibly, so no text can open or close a turn.
 
+A part of an unknown type becomes a placeholder ``<|other:i|>``, so that nothing is lost silently.
+
 Turns are ordered by turn number, then role, then text, nulls first; a null text is empty, a null
 role too. Rows are formatted one by one as they stream past in order, so a conversation of any
 length needs no more memory than one turn: ``format_turns`` gives one row per turn, whose
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What one attachment takes in the model's context unless the part states it.
-EXPANDED = {"image": 576, "audio": 750, "document": 1024}
+EXPANDED = {"image": 576, "audio": 750, "document": 1024, "other": 0}
 _CONTROL = re.compile(r"<(?=/?s>|\|)|\[(?=/?INST\]|/?TURN)|\\")
 _CODES = {"<": r"\l", "[": r"\b", "\\": r"\\"}
 _BACK = {r"\l": "<", r"\b": "[", r"\\": "\\"}
-_TURN = re.compile(r"<s>\[TURN ([^\]]*)\]( \[INST\] )?(.*?)(?( 2) \[/INST\])</s>".replace("( 2)", "(2)"), re.S)
+_TURN = re.compile(r"<s>\[TURN ([^\]]*)\]( \[INST\] )?(.*?)(?(2) \[/INST\])</s>", re.S)
 
 
 def escape(s: str) -> str:
@@ -81,7 +83,7 @@ class Flattener:
         return self.attach(part, "document")
 
     def visit_other(self, part) -> str:
-        raise ValueError(f"unknown content part: {part.get('type')!r}")
+        return self.attach(part, "other")
 
     def content(self, content) -> str:
         return "".join(map(self.visit, content)) if isinstance(content, list) else self.visit(content)
