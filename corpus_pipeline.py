@@ -26,13 +26,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of smallest id (of repeated rows of that id, one).
+    """Of each component of linked documents the one of smallest id: of its rows one for each text.
 
     Documents without words, and rows without an id, are linked with nothing and stay.
     """
     docs = docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
     stay = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("n_chars")
+    one = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("n_chars", "lang", "source")
     kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
@@ -40,7 +40,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
     found = decontaminate.matches(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
-    return found.where(F.size("items") == 0).select(*COLUMNS)
+    return found.where(~F.col("hits").contains(F.lit(b"\1"))).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

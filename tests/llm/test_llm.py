@@ -103,7 +103,7 @@ def test_decontamination(spark):
     rnd = random.Random(2)
     words = ["w%d" % k for k in range(6)]
     text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
-    bench = [(k, text(n)) for k, n in enumerate([1, 3, 9, 10, 11, 25, 40, 0])] + [(50, None)]
+    bench = [(k, text(n)) for k, n in enumerate([1, 3, 9, 10, 11, 25, 40, 0])] + [(50, None), (None, text(12)), (6, text(15))]
     docs = [(k, text(rnd.randrange(0, 80)) + (" " + bench[5][1].upper() if k % 7 == 0 else "") + ("," + bench[6][1] if k % 5 == 0 else "")) for k in range(60)] + [(99, None)]
     windows = {}
     for i, t in bench:
@@ -119,10 +119,17 @@ def test_decontamination(spark):
                 if found := windows.get(tuple(w[k : k + n])):
                     items |= found
                     hit |= set(range(k, k + n))
+        items -= {None}
         want[i] = (len(w), len(hit), len(items), sha(",".join(sorted(map(str, items)))), bool(hit))
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
-    for block in (1 << 20, 100):
-        assert {r[0]: tuple(r[1:]) for r in decontaminate.report(decontaminate.matches(d, b, block_bytes=block)).collect()} == want
+    for limit in (1 << 20, 0):
+        assert {r[0]: tuple(r[1:]) for r in decontaminate.report(decontaminate.matches(d, b, broadcast_bytes=limit)).collect()} == want
+    odd = d.withColumns({"Hits": F.lit("x"), "items": F.lit(1), "z": F.lit(2)})
+    for limit in (1 << 20, 0):
+        found = decontaminate.matches(odd.union(odd), b, broadcast_bytes=limit, keep=("Hits", "items", "z"))
+        assert found.columns == ["doc_id", "text", "z", "n_words", "hits", "items"] and found.count() == 2 * len(docs)
+        assert decontaminate.matches(odd.limit(0), b, broadcast_bytes=limit).count() == 0
+    assert decontaminate.joined(d, b)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") < 12
     assert not any(r["contaminated"] for r in decontaminate.report(decontaminate.matches(d, b.limit(0))).collect())
 
 
