@@ -11,7 +11,7 @@ has fewer words). Documents of equal sets are one class, of which one row stands
   for each set the block of lists that sizes allow is found by position, and the places of the element
   in both sets bound the overlap that is left.
 * Answer-level skipping. Each set is first compared with one set that it shares most lists with, its
-  leader. Sets linked to the same leader are connected and need no comparison. For other pairs x, y under
+  leader: each list proposes the set whose elements are most frequent, the likely source of near copies. Sets linked to the same leader are connected and need no comparison. For other pairs x, y under
   a leader l the answer follows from the differences: |x & y| = |l| - |l - x| - |l - y| + c, where c counts
   the elements in which both differ from l in the same way. If c = 0 is enough, both are linked to the set
   that differs least; else a join over the few differences, with its own prefix filter, finds them.
@@ -200,10 +200,11 @@ _KINDS = (np.uint64, *(np.int64,) * 6)
 POSTINGS = "part int, " + ", ".join(f"`{x}` binary" for x in LIST)
 
 
-def postings(sets: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+def postings(sets: DataFrame, answers: DataFrame, parts: int, central: bool = False) -> DataFrame:
     """Entries of the lists, packed by range of elements: a set's place in the list of each element of its prefix
     that another set has. sets: doc, batch, elements, prefix (how many elements to list), and group, leader, weight
-    as known so far."""
+    as known so far. central: the weight is how often, on average, the set's elements occur (thousandths of a power
+    of two): in a group of near copies it is greatest for what most of them come from."""
 
     def work(_, table: pa.Table, found: pa.Table) -> pa.Table:
         docs, values, start = _split(table)
@@ -220,6 +221,8 @@ def postings(sets: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         keep = (place < t.column("prefix").to_numpy()[row]) & (f[order] > 1)
         k, r, p = values[order][keep], row[keep], place[keep]
         extra = [t.column(c).to_numpy() for c in ("group", "leader", "weight")]
+        if central:
+            extra[2] = (1000 * np.bincount(row, np.log2(f), len(n)) / np.maximum(n, 1)).astype(np.int64)
         columns = [k, docs[r], n[r], p, *(x[r] for x in extra)]
         by = np.argsort(k, kind="stable")
         columns = [np.asarray(c)[by].astype(kind) for c, kind in zip(columns, _KINDS, strict=True)]
@@ -244,18 +247,19 @@ def needed(x, y):
 
 
 def leaders(lists: DataFrame) -> DataFrame:
-    """For each set the set of smallest id among those of its lists whose size allows a link, one that shares many lists."""
+    """For each set, of the most central sets of its lists whose size allows a link, the one that shares most lists."""
 
     def work(table: pa.Table) -> pa.Table:
-        (_, doc, n, *_), cut = _lists(table)
+        (_, doc, n, _, _, _, weight), cut = _lists(table)
         a, b = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
-            # Sizes ascend; each block of sizes within the bound has one leader, its smallest id.
+            # Sizes ascend; each block of sizes within the bound has one leader, the most central (of equals the first).
             while lo < hi:
                 end = lo + int(np.searchsorted(n[lo:hi], n[lo] * 100 // PERCENT, "right"))
-                head = doc[lo:end].min()
+                w = weight[lo:end]
+                head = doc[lo:end][w == w.max()].min()
                 a.append(doc[lo:end])
                 b.append(np.full(end - lo, head))
                 lo = end
@@ -318,12 +322,15 @@ COMPARED = "a bigint, b bigint, common bigint, linked boolean, size_a bigint, si
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the exact overlap and the sizes of their sets, whether they are linked, and the elements that
     only one of the two has, as sorted hashes that b is part of."""
-    body = sets.select("doc", "elements")
     # A set that many pairs have as b, as a leader has, is copied once for every SHARE of them, and its pairs are dealt over the copies.
-    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")).where("copies > 1")
-    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
-    copied = body.join(hot.withColumnRenamed("b", "doc"), "doc", "left").select(F.col("doc").alias("b"), F.col("elements").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    both = dealt.join(body.withColumnsRenamed({"doc": "a", "elements": "x"}), "a").join(copied, ["b", "copy"]).select("a", "b", "x", "y")
+    pairs = materialise(pairs)
+    hot = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies")).where("copies > 1"))
+    first = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x"))
+    second = sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
+    few = pairs.join(hot, "b", "left_anti").join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    dealt = pairs.join(hot, "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).join(first, "a").select("a", "b", "copy", "x")
+    copied = second.join(hot, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = few.unionByName(dealt.join(copied, ["b", "copy"]).select("a", "b", "x", "y"))
 
     def work(batches):
         for batch in batches:
@@ -386,7 +393,7 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
     # n - ceil(n PERCENT / 100) + 1
     sized = sets.withColumn("prefix", n - F.ceil(n * PERCENT / 100).cast("long") + 1)
     bare = sized.withColumns({"group": F.col("doc"), "leader": F.lit(-1).cast("long"), "weight": F.lit(0).cast("long")})
-    star = materialise(compared(leaders(postings(bare, answers, parts)), sets))
+    star = materialise(compared(leaders(postings(bare, answers, parts, central=True)), sets))
     joined_to = star.where("linked").select(F.col("a").alias("doc"), F.col("b").alias("head"))
     over = joined_to.select(F.col("doc").alias("head"), F.col("head").alias("top"))
     groups = joined_to.join(over, "head", "left").select("doc", F.coalesce("top", "head").alias("group"))
