@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEADERS = ("FINDINGS", "IMPRESSION", "ADDENDUM")
+# The headers that end a section.
+HEADERS = ("FINAL REPORT", "EXAMINATION", "INDICATION", "TECHNIQUE", "COMPARISON", "FINDINGS", "IMPRESSION", "ADDENDUM")
 
 
 def ws_trim(c: Column) -> Column:
@@ -21,27 +26,40 @@ def normalise(c: Column, collapse_blanks: bool = False) -> Column:
 
 
 def section(c: Column, header: str, headers: tuple[str, ...] = HEADERS, own_line: bool = False) -> Column:
-    """Text under a header up to the next header (at a line's start, or alone on its line); null if empty."""
+    """Text under a header up to the next of headers, null if empty; case and colons don't matter.
+
+    A header ends a section where it starts a line, or only where it stands alone on its line (own_line). Texts
+    that don't name the header at all are not searched.
+    """
     stop = "|".join(headers)
-    end = rf"(?:\n(?:{stop})[ \t]*:?[ \t]*(?:\n|$)|$)" if own_line else rf"(?:\n(?:{stop})|$)"
-    found = F.regexp_extract(c, rf"(?ds)(?:^|\n){header}[ \t]*:[ \t]*(.*?){end}", 1)
+    if own_line:
+        pattern = rf"(?dims)^\s*{header}\s*:?\s*(.*?)(?=^\s*(?:{stop})\s*:?\s*$|\z)"
+    else:
+        pattern = rf"(?dis)(?:^|\n)\s*{header}\s*:?\s*(.*?)(?:\n\s*(?:{stop})\s*:?\s*|\z)"
+    found = F.when(F.upper(c).contains(header.upper()), F.regexp_extract(c, pattern, 1))
     return F.nullif(ws_trim(found), F.lit(""))
 
 
 def last_paragraph(c: Column, drop_blank: bool = True) -> Column:
-    parts = F.split(c, r"\n\s*\n")
-    return F.nullif(ws_trim(F.element_at(F.filter(parts, lambda p: ws_trim(p) != "") if drop_blank else parts, -1)), F.lit(""))
+    """What stands after the last blank line: of all paragraphs with text, or of the trimmed text as it is."""
+    if drop_blank:
+        return F.nullif(ws_trim(F.element_at(F.filter(F.split(c, r"\n\s*\n"), lambda p: ws_trim(p) != ""), -1)), F.lit(""))
+    return F.element_at(F.split(F.regexp_replace(ws_trim(c), r"\n\s*\n+", "\n\n"), "\n\n"), -1)
+
+
+def chain(*groups: str, within: int = 120) -> str:
+    """A pattern for alternations one after the other, each at most so many characters of a line after the one before."""
+    return "(?d)" + rf".{{0,{within}}}".join(f"(?:{g})" for g in groups)
 
 
-def either_order(a: str, b: str, within: int = 60) -> str:
-    """A pattern for two alternations at most so many characters apart, in either order."""
-    return rf"(?d)(?:(?:{a}).{{0,{within}}}(?:{b})|(?:{b}).{{0,{within}}}(?:{a}))"
+def guarded_rlike(c: Column, words: str, *patterns: str) -> Column:
+    """Whether a pattern matches; texts without any of the literal words, which each match needs, are not searched."""
+    needs = functools.reduce(operator.or_, (c.contains(w) for w in words.split("|")))
+    return needs & functools.reduce(operator.or_, (c.rlike(p) for p in patterns))
 
 
 def terms_to_regex(terms: list[str]) -> str:
     """Alternation of escaped terms, longest first so that none hides behind its own prefix."""
-    import re
-
     return "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
 
 
@@ -70,30 +88,97 @@ def normalised_id(c: Column) -> Column:
 
 
 def flag_present(c: Column) -> Column:
-    """Whether a flag string says something: '', none, [] and nan do not."""
-    return F.coalesce(~F.lower(ws_trim(c)).isin("", "none", "[]", "nan"), F.lit(False))
+    """Whether a flag string says something: blank, none, [], nan and <na> do not."""
+    return F.coalesce(~F.lower(ws_trim(c)).isin("", "none", "[]", "nan", "<na>"), F.lit(False))
+
+
+def flags_present(c: Column) -> Column:
+    """Whether an array has a flag that says something."""
+    return F.coalesce(F.exists(c, flag_present), F.lit(False))
+
+
+# Names and signs that an operating system keeps from file names, and the reasons given.
+RESERVED = r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+FORBIDDEN = r'[<>:"/\\|?*\x00-\x1f]'
 
 
 def unsafe_id_reason(c: Column) -> Column:
     """Why a rendered id cannot name a file, or null."""
     return (
-        F.when(c.isNull() | (c == ""), "missing")
-        .when(c.rlike(r"^\s|\s$"), "whitespace")
-        .when(c.rlike(r"\.$"), "dot")
-        .when(c.rlike(r'[<>:"/\\|?*\x00-\x1f]'), "invalid_character")
-        .when(F.upper(c).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)"), "reserved_name")
+        F.when(c.isNull(), "missing")
+        .when(c == "", "empty")
+        .when(c.rlike(r"^\s|\s$"), "leading_or_trailing_whitespace")
+        .when(c.isin(".", ".."), "dot_path_component")
+        .when(c.endswith("."), "trailing_dot")
+        .when(c.rlike(FORBIDDEN), "windows_invalid_character")
+        .when(F.upper(F.substring_index(c, ".", 1)).rlike(RESERVED), "windows_reserved_device_name")
     )
 
 
-def text_lengths(c: Column) -> dict[str, Column]:
-    """Characters, words, and the longest run between sentence ends."""
-    runs = F.transform(F.split(c, r"[.!?\n]+"), lambda x: F.char_length(x))
-    return {"n_characters": F.char_length(c), "n_words": F.size(F.regexp_extract_all(c, F.lit(r"(?U)\b\w+\b"), F.lit(0))), "longest_run": F.array_max(runs)}
+def rendered_id(template: str, **parts: Column) -> Column:
+    """template with {name} filled in, trimmed; null where a part is null or blank."""
+    pieces, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        pieces += [F.lit(template[at : m.start()]), blank_to_null(parts[m[1]])]
+        at = m.end()
+    return F.concat(*pieces, F.lit(template[at:]))
+
+
+def text_lengths(c: Column, most_characters: int = 16000, most_words: int = 500, word: str = r"(?U)\b\w+\b") -> dict[str, Column]:
+    """Characters, words, words of the longest run between sentence ends, and whether text or run exceed a limit."""
+    words = lambda x: F.size(F.regexp_extract_all(x, F.lit(word), F.lit(0))).cast("bigint")
+    run = F.coalesce(F.array_max(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), words)), F.lit(0).cast("bigint"))
+    n = F.char_length(c).cast("bigint")
+    return {"n_characters": n, "n_words": words(c), "longest_run": run, "too_many_characters": n > most_characters, "too_long_run": run > most_words}
+
+
+def utf16_length(c: Column) -> Column:
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint")
 
 
 def utf16_offset(text: Column, offset: Column) -> Column:
     """UTF-16 units before a code-point offset."""
-    return (F.octet_length(F.encode(F.substr(text, F.lit(1), offset.cast("int")), "UTF-16BE")) / 2).cast("bigint")
+    return utf16_length(F.substr(text, F.lit(1), offset.cast("int")))
+
+
+def code_point_offset(text: Column, offset: Column) -> Column:
+    """The code-point offset of a UTF-16 offset; null outside the text or inside a pair.
+
+    A character beyond the first 65536 takes two units, so the place is found by halving between offset / 2 and offset.
+    """
+    def step(span: Column, _: Column) -> Column:
+        mid = F.floor((span["lo"] + span["hi"]) / 2)
+        below = utf16_offset(text, mid) < offset
+        return F.struct(F.when(below, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(below, span["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.floor(offset / 2).cast("bigint").alias("lo"), F.least(offset.cast("bigint"), F.char_length(text).cast("bigint")).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, lambda s, i: F.when(s["lo"] < s["hi"], step(s, i)).otherwise(s))["lo"]
+    return F.when((offset >= 0) & (offset <= utf16_length(text)) & (utf16_offset(text, found) == offset), found)
+
+
+def covered_text(text: Column, start: Column, end: Column) -> Column:
+    """The text of a half-open span of code points; null if the span does not lie in the text."""
+    inside = (start >= 0) & (end >= start) & (end <= F.char_length(text))
+    return F.when(inside, F.substring(text, (start + 1).cast("int"), (end - start).cast("int")))
+
+
+def blank_to_null(c: Column, *also: str) -> Column:
+    """Trimmed; null if nothing is left or what is left is one of also."""
+    t = ws_trim(c.cast("string"))
+    return F.when(~t.isin("", *also), t)
+
+
+def parsed_share(c: Column, top: float = 1.0) -> tuple[Column, Column]:
+    """A number in [0, top] (blank is null), and whether the value is malformed or out of range."""
+    text = blank_to_null(c)
+    d = text.try_cast("double")
+    bad = text.isNotNull() & (d.isNull() | ~d.between(0, top) | F.isnan(d))
+    return F.when(~bad, d), bad
+
+
+def case_id(subject: Column, study: Column, prefix: str = "case") -> Column:
+    """prefix_subject_study of two positive whole numbers; null unless both are."""
+    return F.concat(F.lit(f"{prefix}_"), normalised_id(subject).cast("string"), F.lit("_"), normalised_id(study).cast("string"))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

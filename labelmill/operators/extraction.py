@@ -1,77 +1,303 @@
-"""Dictionary entities with negation and promotion, as relational stages over a corpus.
+"""Dictionary entities with assertion and promotion over a corpus.
 
-pieces -> tokens with offsets and sentences -> dictionary and cue matches -> assertion -> promotion.
-Terms, cues and delimiters are parameters; dictionaries are small specifications made on the driver.
+Each text is read in its own row: runs of non-blanks, their tokens, sentences, and by sums over chunks of runs
+the offsets of those tokens alone that a dictionary or cue list knows. Only these leave the row; so no token is
+shuffled or sorted. Matches meet once by sentence, where assertion and promotion are decided.
+
+What is looked for is a Spec; positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DELIMITERS = ".,;:!?()"
-PIECES = rf"[ \t\r\n]+|[0-9]+|[^ \t\r\n0-9{DELIMITERS}]+|[{DELIMITERS}]"
+from .labels import duplicates, occurrence_number
 
+NEGATION, AFTER, PSEUDO, CONJUNCTION = "negPhrases", "postNegPhrases", "pseNegPhrases", "conjunctions"
+KEY = ["doc_id", "sentence", "part"]
+#: Runs whose sums are added up together.
+CHUNK = 64
 
-def tokens(docs: DataFrame, pattern: str = PIECES, stem=F.lower) -> DataFrame:
-    """doc_id, token_no, sentence, begin, end, token, stem. docs: doc_id, text.
 
-    Blank pieces keep offsets whole and are dropped; a newline always ends a sentence, a period does before a blank.
+@dataclass(frozen=True)
+class Spec:
+    """terms: (term, tag), cues: (phrase, category) in order; rules: (first tag, second tag) promotes the second.
+
+    stem maps a word to its stem, which must keep the word's first ``stem_prefix`` letters; None: lower case.
     """
-    p = docs.where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.col("piece").rlike(r"^[ \t\r\n]")
-    p = p.withColumn("ends", (blank & F.col("piece").contains("\n")) | (blank & (F.lag("piece").over(w) == ".")))
-    p = p.withColumns({"begin": F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)), "token_no": F.coalesce(F.sum((~blank).cast("int")).over(before), F.lit(0)), "sentence": F.coalesce(F.sum(F.coalesce(F.col("ends"), F.lit(False)).cast("int")).over(before), F.lit(0))})
-    return p.where(~blank).select("doc_id", "token_no", "sentence", "begin", (F.col("begin") + F.char_length("piece")).alias("end"), F.col("piece").alias("token"), stem("piece").alias("stem"))
 
+    terms: tuple[tuple[str, str], ...]
+    cues: tuple[tuple[str, str], ...]
+    rules: tuple[tuple[str, str], ...] = ()
+    final: str = "FINAL"
+    abbreviations: frozenset[str] = frozenset()
+    delimiters: str = ".,;:!?()"
+    excluded: frozenset[str] = frozenset()
+    stem: Callable[[str], str] | None = None
+    stem_prefix: int = 2
+    newline_ends_sentence: bool = True
+    longest_sentence: int = 500
+    scope: int = 11
+    within: int = 5
+    removed: tuple[str, ...] = ("absent",)
+
+    @property
+    def token_pattern(self) -> str:
+        d = re.escape("".join(sorted(set(self.delimiters))))
+        return rf"\d+|[^\s\d{d}][^\s{d}]*|[{d}]"
+
+    def words(self, phrase: str) -> list[str]:
+        return [w.lower() for w in re.findall(self.token_pattern, phrase)]
+
+    def entries(self) -> list[tuple[str, list[str], str, int, str]]:
+        """(kind, words, tag, number, phrase) of all terms, by stems, and cues, by lower case."""
+        fold = self.stem or str.lower
+        found = [("t", [fold(w) for w in self.words(t)], tag, k, t) for k, (t, tag) in enumerate(self.terms) if t not in self.excluded]
+        found += [("c", self.words(p), category, k, p) for k, (p, category) in enumerate(self.cues)]
+        return [e for e in found if e[1]]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def matches(toks: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """Every place where a term's stems stand in a row within a sentence; overlaps are kept.
 
-    terms: (term, tag). The join is on the first stem with a dictionary made here; following stems come from a window.
+def _among(c: Column, values) -> Column:
+    return c.isin(*sorted(values)) if values else F.lit(False)
+
+
+def known_forms(docs: DataFrame, spec: Spec) -> dict[str, str]:
+    """The corpus's words, in lower case, that have one of the dictionary's stems, and which.
+
+    The stemmer sees each distinct word once. A stem has a limited number of forms, so the result stays small.
     """
-    spec = [(t.split()[0], t.split(), tag, k) for k, (t, tag) in enumerate(terms)]
-    longest = max(len(s[1]) for s in spec)
-    d = F.broadcast(toks.sparkSession.createDataFrame(spec, "stem string, stems array<string>, tag string, term_no int"))
-    w = Window.partitionBy("doc_id", "sentence").orderBy("token_no")
-    ahead = w.rowsBetween(0, longest - 1)
-    t = toks.withColumns({"row": F.collect_list("stem").over(ahead), "ends": F.collect_list("end").over(ahead)})
-    m = t.join(d, "stem").where(F.slice("row", F.lit(1), F.size("stems")) == F.col("stems"))
-    return m.select("doc_id", "sentence", F.col("token_no").alias("first"), (F.col("token_no") + F.size("stems") - 1).alias("last"), "begin", F.element_at("ends", F.size("stems")).alias("end"), "tag", "term_no")
+    stems = {w for kind, words, *_ in spec.entries() if kind == "t" for w in words}
+    if spec.stem is None:
+        return {w: w for w in stems}
+    n, stem = spec.stem_prefix, spec.stem
+    own = F.transform(F.regexp_extract_all("text", F.lit(f"(?U){spec.token_pattern}"), F.lit(0)), F.lower)
+    near = F.filter(own, lambda w: _among(F.substring(w, 1, n), {s[:n] for s in stems})) if n else own
+    words = docs.where("text is not null").select(F.explode(F.array_distinct(near)).alias("word")).distinct()
+
+    @F.pandas_udf("string")
+    def stemmed(w: pd.Series) -> pd.Series:
+        return w.map(stem)
+
+    return {r["word"]: r["stem"] for r in words.withColumn("stem", stemmed("word")).where(F.col("stem").isin(*stems)).collect()}
+
+
+def _runs(spec: Spec) -> Column:
+    """Per run of non-blanks: blanks before it, its length and extra UTF-16 units, its tokens, whether it starts a sentence."""
+    runs, gaps = F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)), F.split("text", r"(?U)\S+")
+    extra = lambda c: F.when(F.octet_length(c) != F.char_length(c), (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int") - F.char_length(c)).otherwise(0)
+
+    def joined_on(before: Column, gap: Column, run: Column) -> Column:
+        """Whether the period that ends the run before belongs to an abbreviation."""
+        bare = F.regexp_replace(before, r"\.$", "")
+        small = run.rlike(r"^\p{Ll}")
+        whole = _among(before, spec.abbreviations) & (small | run.startswith("___"))
+        return gap.rlike(r"^[ \t]*$") & (whole | ((F.lower(bare) == bare) & (F.upper(bare) != bare) & _among(bare, spec.abbreviations) & small))
 
+    def of(both: Column) -> Column:
+        r, g = both["runs"], both["gaps"]
 
-def assertions(entities: DataFrame, cues: DataFrame, reach: int = 11, conjunction: str = "conjunction") -> DataFrame:
-    """Each entity with the tag of its best cue: the latest preceding within reach tokens, else the earliest following.
+        def one(run: Column, i: Column) -> Column:
+            gap, before = F.get(g, i), F.get(r, i - 1)
+            ends = before.endswith(".") & ~(joined_on(before, gap, run) if spec.abbreviations else F.lit(False))
+            line = gap.rlike("[\r\n]") if spec.newline_ends_sentence else F.lit(False)
+            return F.struct(F.char_length(gap).alias("blank"), F.char_length(run).alias("size"), (extra(gap) + extra(run)).alias("extra"), F.regexp_extract_all(run, F.lit(f"(?U){spec.token_pattern}"), F.lit(0)).alias("tokens"), ((i == 0) | F.coalesce(ends | line, F.lit(False))).alias("starts"))
 
-    A cue does not count across a conjunction of the same sentence. Without a cue the entity is ``present``.
+        return F.transform(r, one)
+
+    return let(F.struct(runs.alias("runs"), gaps.alias("gaps")), of)
+
+
+_ZERO = ("chars", "extra", "tokens", "sentences", "opened")
+
+
+def _state(**values: Column) -> Column:
+    return F.struct(*(values[k].cast("int").alias(k) for k in _ZERO))
+
+
+def _after(s: Column, run: Column) -> Column:
+    """The sums behind a run; opened is the number of the token that opened the sentence (-1: none so far)."""
+    return _state(chars=s["chars"] + run["blank"] + run["size"], extra=s["extra"] + run["extra"], tokens=s["tokens"] + F.size(run["tokens"]), sentences=s["sentences"] + run["starts"].cast("int"), opened=F.when(run["starts"], s["tokens"]).otherwise(s["opened"]))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    return _state(chars=a["chars"] + b["chars"], extra=a["extra"] + b["extra"], tokens=a["tokens"] + b["tokens"], sentences=a["sentences"] + b["sentences"], opened=F.when(b["opened"] >= 0, a["tokens"] + b["opened"]).otherwise(a["opened"]))
+
+
+def _sums(runs: Column) -> Column:
+    """The sums before each chunk of runs."""
+    zero = _state(chars=F.lit(0), extra=F.lit(0), tokens=F.lit(0), sentences=F.lit(0), opened=F.lit(-1))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / CHUNK).cast("int")), lambda k: F.aggregate(F.slice(runs, k * CHUNK + 1, F.lit(CHUNK)), zero, _after))
+    return F.aggregate(chunks, F.array(zero), lambda found, c: F.array_append(found, _joined(F.element_at(found, -1), c)))
+
+
+def marks(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Every place where a term's or cue's words stand in a row within a sentence; overlaps are kept. docs: doc_id, text.
+
+    Columns: doc_id, sentence, part (of a sentence of more than longest_sentence tokens), kind (t or c), first and last
+    (token numbers), begin and end, begin16 and end16 (in UTF-16 units), tag, no, phrase, and letters (whether the part
+    of the sentence before holds a letter; told for cues that may depend on it).
     """
-    key = ["doc_id", "sentence", "first", "last", "tag", "term_no"]
-    c = cues.select("doc_id", "sentence", F.col("first").alias("c_first"), F.col("last").alias("c_last"), F.col("tag").alias("cue"))
-    near = entities.join(c.where(F.col("cue") != conjunction), ["doc_id", "sentence"])
-    lead, follow = F.col("first") - F.col("c_last"), F.col("c_first") - F.col("last")
-    near = near.where((lead.between(1, reach)) | (follow.between(1, reach))).withColumn("precedes", lead >= 1)
-    stops = c.where(F.col("cue") == conjunction).select("doc_id", "sentence", F.col("c_first").alias("at"))
-    low, high = F.least("c_last", "last"), F.greatest("c_first", "first")
-    near = near.join(stops, (near["doc_id"] == stops["doc_id"]) & (near["sentence"] == stops["sentence"]) & (stops["at"] > low) & (stops["at"] < high), "left_anti")
-    rank = F.when(F.col("precedes"), F.struct(F.lit(1).alias("p"), F.col("c_last").alias("x"))).otherwise(F.struct(F.lit(0).alias("p"), (-F.col("c_first")).alias("x")))
-    best = near.groupBy(*key).agg(F.max_by("cue", F.struct(rank, "cue")).alias("assertion"))
-    return entities.join(best, key, "left").withColumn("assertion", F.coalesce("assertion", F.lit("present")))
-
-
-def promoted(entities: DataFrame, head: str, tail: str, final: str, reach: int = 5) -> DataFrame:
-    """Entities of ``tail`` relabelled ``final`` where a ``head`` of the sentence stands before them at most reach tokens away."""
-    e = entities.where("assertion = 'present'")
-    w = Window.partitionBy("doc_id", "sentence").orderBy("first", "last", "term_no").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.max(F.when(F.col("tag") == head, F.col("last"))).over(w)
-    return e.withColumn("gap", F.col("first") - near).where((F.col("tag") == tail) & F.col("gap").between(1, reach)).withColumn("tag", F.lit(final))
-
-
-def extract(docs: DataFrame, terms: list[tuple[str, str]], cues: list[tuple[str, str]], head: str, tail: str, final: str) -> tuple[DataFrame, DataFrame]:
-    """Final entities, and one prediction per document: number of entities and label."""
-    t = tokens(docs)
-    found = promoted(assertions(matches(t, terms), matches(t, cues)), head, tail, final)
-    n = found.groupBy("doc_id").agg(F.count("*").alias("n_entities"))
-    return found, docs.select("doc_id").join(n, "doc_id", "left").fillna(0, ["n_entities"]).withColumn("label", (F.col("n_entities") > 0).cast("byte"))
+    entries = spec.entries()
+    forms = known_forms(docs, spec)
+    cue_words = {w for kind, words, *_ in entries if kind == "c" for w in words}
+    openers = {words[0] for kind, words, tag, *_ in entries if kind == "c" and tag == PSEUDO}
+    most = max((len(e[1]) for e in entries), default=1)
+    vocabulary = cue_words | set(forms)
+    stems = F.create_map(*(F.lit(x) for kv in sorted(forms.items()) for x in kv)) if forms else F.create_map().cast("map<string,string>")
+    sized = lambda toks, j: F.aggregate(F.slice(toks, F.lit(1), j), F.lit(0), lambda n, t: n + F.char_length(t))
+    extra = lambda c: F.when(F.octet_length(c) != F.char_length(c), (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int") - F.char_length(c)).otherwise(0)
+
+    def of_run(runs: Column, sums: Column, every: Column) -> Callable[[Column], Column]:
+        def found(i: Column) -> Column:
+            k = F.floor(i / CHUNK).cast("int")
+            before = F.aggregate(F.slice(runs, k * CHUNK + 1, i - k * CHUNK), F.get(sums, k), _after)
+            return let(F.struct(before.alias("s"), F.get(runs, i).alias("run")), tokens)
+
+        def tokens(x: Column) -> Column:
+            s, run = x["s"], x["run"]
+            opened = F.when(run["starts"], s["tokens"]).otherwise(s["opened"])
+
+            def one(t: Column, j: Column) -> Column:
+                token, form = s["tokens"] + j, F.lower(t)
+                part = F.floor((token - opened) / spec.longest_sentence).cast("int")
+                head = opened + part * spec.longest_sentence
+                begin = s["chars"] + run["blank"] + sized(run["tokens"], j)
+                # Extra units in front of a token: all before the run, and those of the run's tokens before it.
+                own = F.aggregate(F.slice(run["tokens"], F.lit(1), j), F.lit(0), lambda n, w: n + extra(w))
+                letters = _among(form, openers) & F.exists(F.slice(every, head + 1, token - head), lambda w: w.rlike(r"\p{L}"))
+                return F.struct(form.alias("form"), F.try_element_at(stems, form).alias("stem"), token.alias("token"), (s["sentences"] + run["starts"].cast("int") - 1).alias("sentence"), part.alias("part"), begin.alias("begin"), (begin + F.char_length(t)).alias("end"), (begin + s["extra"] + own).alias("begin16"), (begin + s["extra"] + own + F.char_length(t) + extra(t)).alias("end16"), letters.alias("letters"))
+
+            return F.filter(F.transform(run["tokens"], one), lambda c: _among(c["form"], vocabulary))
+
+        return found
+
+    def candidates(runs: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: F.exists(F.get(runs, i)["tokens"], lambda t: _among(F.lower(t), vocabulary)))
+        return let(F.struct(_sums(runs).alias("sums"), F.flatten(F.transform(runs, lambda r: r["tokens"])).alias("every")), lambda x: F.flatten(F.transform(at, of_run(runs, x["sums"], x["every"]))))
+
+    rows = docs.where("text is not null").withColumn("runs", _runs(spec)).where(F.size("runs") > 0).select("doc_id", candidates(F.col("runs")).alias("found"))
+    ahead = F.transform("found", lambda c, i: F.struct(c.alias("c"), F.slice("found", i + 2, F.lit(most - 1)).alias("next")) if most > 1 else F.struct(c.alias("c"), F.array().cast("array<struct<form:string,stem:string,token:int,sentence:int,part:int,begin:int,end:int,begin16:int,end16:int,letters:boolean>>").alias("next")))
+    keys = F.array_compact(F.array(F.concat(F.lit("t"), F.col("x.c.stem")), F.concat(F.lit("c"), F.col("x.c.form"))))
+    rows = rows.select("doc_id", F.explode(ahead).alias("x")).select("doc_id", "x.c", "x.next", F.explode(keys).alias("key"))
+    table = docs.sparkSession.createDataFrame([(kind + words[0], kind, words, tag, no, phrase) for kind, words, tag, no, phrase in entries], "key string, kind string, words array<string>, tag string, no int, phrase string")
+
+    def fits(j: Column) -> Column:
+        n = F.get("next", j - 1)
+        word = F.when(F.col("kind") == "t", n["stem"]).otherwise(n["form"])
+        return F.coalesce((n["token"] == F.col("c.token") + j) & (n["sentence"] == F.col("c.sentence")) & (n["part"] == F.col("c.part")) & (word == F.get("words", j)), F.lit(False))
+
+    more = F.size("words") - 1
+    matched = rows.join(F.broadcast(table), "key").where((more == 0) | F.forall(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), fits))  # the vocabulary, made on the driver
+    last = lambda k: F.when(more == 0, F.col(f"c.{k}")).otherwise(F.get("next", more - 1)[k])
+    return matched.select("doc_id", "c.sentence", "c.part", "kind", F.col("c.token").alias("first"), last("token").alias("last"), "c.begin", last("end").alias("end"), "c.begin16", last("end16").alias("end16"), "tag", "no", "phrase", "c.letters")
+
+
+def assertions(found: DataFrame, spec: Spec) -> DataFrame:
+    """The entities of marks with assertion and the cue that decided it.
+
+    An entity is absent by the latest negation that ends before it, or else by the earliest that follows it, at most
+    ``scope`` tokens away. A negation does not reach over a conjunction, nor one before the entity if a pseudo-cue
+    overlaps it or stands between; a pseudo-cue counts if it starts with "not" or letters stand before it.
+    """
+    item = F.struct(*(c for c in found.columns if c not in KEY))
+    groups = found.groupBy(*KEY).agg(F.collect_list(item).alias("m"))
+    cues = lambda kind: F.filter("m", lambda c: (c["kind"] == "c") & (c["tag"] == kind))
+    groups = groups.where(F.exists("m", lambda c: c["kind"] == "t")).withColumns({"neg": cues(NEGATION), "post": cues(AFTER), "stops": cues(CONJUNCTION), "pse": F.filter(cues(PSEUDO), lambda p: p["letters"] | F.lower(p["phrase"]).startswith("not "))})
+    cut = lambda a, b: F.exists("stops", lambda k: (k["begin"] >= a) & (k["end"] <= b))
+
+    def judged(e: Column) -> Column:
+        def before(c: Column) -> Column:
+            blocked = F.exists("pse", lambda p: ((c["begin"] < p["end"]) & (p["begin"] < c["end"])) | ((c["end"] <= p["begin"]) & (p["end"] <= e["begin"])))
+            return (c["end"] <= e["begin"]) & (e["first"] - c["last"] - 1 <= spec.scope) & ~cut(c["end"], e["begin"]) & ~blocked
+
+        def behind(c: Column) -> Column:
+            return (c["begin"] >= e["end"]) & (c["first"] - e["last"] - 1 <= spec.scope) & ~cut(e["end"], c["begin"])
+
+        one = F.array_max(F.transform(F.filter("neg", before), lambda c: F.struct(c["end"], c["begin"], -c["no"], c["phrase"].alias("phrase"))))
+        two = F.array_min(F.transform(F.filter("post", behind), lambda c: F.struct(c["begin"], c["end"], c["no"], c["phrase"].alias("phrase"))))
+        cue = F.coalesce(one["phrase"], two["phrase"])
+        return F.struct(*(e[c].alias(c) for c in found.columns if c not in (*KEY, "kind", "letters")), F.when(cue.isNotNull(), "absent").otherwise("present").alias("assertion"), cue.alias("cue"))
+
+    return groups.select(*KEY, F.inline(F.transform(F.filter("m", lambda c: c["kind"] == "t"), judged)))
+
+
+def _fits(target: Column, tag: str, spec: Spec) -> Callable[[Column], Column]:
+    """Whether an entity ahead may be promoted for the row's; target: the row's neighbour that was promoted, or null."""
+
+    def fits(x: Column) -> Column:
+        gap = x["first"] - F.col("last") - 1
+        crosses = F.exists("near", lambda f: (f["tag"] == spec.final) & (f["begin"] >= F.col("end")) & (f["end"] <= x["begin"]))
+        touches = (target["end"] <= x["begin"]) & (x["first"] - target["last"] == 1)
+        return (x["tag"] == tag) & (x["begin"] >= F.col("end")) & (gap >= 0) & (gap <= spec.within) & F.when(target.isNull(), ~crosses).otherwise(touches)
+
+    return fits
+
+
+def promoted(entities: DataFrame, spec: Spec) -> DataFrame:
+    """Entities that are or become ``final``: per rule a pass over neighbours, then per rule one over a distance.
+
+    Neighbours are entities of the rules' tags in order, with no token between. The first later entity of the second tag
+    in such a row is promoted. Over a distance of at most ``within`` tokens the first fitting one is; an entity whose
+    neighbour was promoted may only take one that touches that neighbour, another may not reach over a final one. Each
+    pass sees what the one before has left.
+    """
+    tags = {t for rule in spec.rules for t in rule}
+    order = ["begin", "end", "no"]
+    e = entities.where(~F.col("assertion").isin(*spec.removed)) if spec.removed else entities
+    for k, (a, b) in enumerate(spec.rules):
+        e = e.withColumn("in_play", _among(F.col("tag"), tags))
+        w = Window.partitionBy(*KEY, "in_play").orderBy(*order)
+        touches = (F.lag("end").over(w) <= F.col("begin")) & (F.col("first") - F.lag("last").over(w) == 1)
+        e = e.withColumn("broken", (~F.coalesce(touches, F.lit(False))).cast("int"))
+        e = e.withColumn("cluster", F.sum("broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        row = Window.partitionBy(*KEY, "in_play", "cluster")
+        before = row.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        behind = row.orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+        span = F.struct("end", "last")
+        e = e.withColumns({
+            f"target{k}": F.when(F.col("in_play") & (F.col("tag") == a), F.last(F.when(F.col("tag") == b, span), ignorenulls=True).over(behind)),
+            "hit": F.col("in_play") & (F.col("tag") == b) & (F.last(F.when(F.col("tag").isin(a, b), F.col("tag")), ignorenulls=True).over(before) == a),
+        }).withColumn("tag", F.when(F.coalesce("hit", F.lit(False)), spec.final).otherwise(F.col("tag")))
+    reach = spec.within + 1 + max((len(x[1]) for x in spec.entries() if x[0] == "t"), default=1)
+    for k, (a, b) in enumerate(spec.rules):
+        near = Window.partitionBy(*KEY).orderBy("first")
+        e = e.withColumn("near", F.collect_list(F.struct(*order, "first", "last", "tag")).over(near.rangeBetween(0, reach)))
+        pick = F.array_min(F.transform(F.filter("near", _fits(F.col(f"target{k}"), b, spec)), lambda x: F.struct(*(x[c].alias(c) for c in order))))
+        e = e.withColumn("pick", F.when(F.col("tag") == a, pick)).withColumn("picks", F.collect_set("pick").over(near.rangeBetween(-reach, 0)))
+        e = e.withColumn("tag", F.when(F.array_contains("picks", F.struct(*order)), spec.final).otherwise(F.col("tag")))
+    return e.where(F.col("tag") == spec.final).select(*KEY, "first", "last", "begin", "end", "begin16", "end16", "tag", "no", "phrase", "assertion", "cue")
+
+
+def predictions(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per document: number of final entities and label (1 if there are any)."""
+    n = entities.groupBy("doc_id").agg(F.count("*").alias("n_entities"))
+    return docs.select("doc_id").join(n, "doc_id", "left").fillna(0, ["n_entities"]).withColumn("label", (F.col("n_entities") > 0).cast("byte"))
+
+
+def extract(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Final entities, numbered among equal ones, and one prediction per document; raises if a document's id repeats."""
+    again = duplicates(docs, ["doc_id"]).limit(5).collect()
+    if again:
+        raise ValueError(f"document ids repeat: {sorted(r['doc_id'] for r in again)}")
+    found = promoted(assertions(marks(docs, spec), spec), spec)
+    found = occurrence_number(found, ["doc_id", "begin16", "end16", "tag", "assertion", "phrase"], ["no"])
+    return found, predictions(docs, found)
+
+
+def stage_agreement(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
+    """Of all documents of two runs of a stage: how many have exactly the same rows, in number and fields, in both."""
+    digest = lambda df, name: df.groupBy("doc_id").agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.to_json(F.struct(*fields))))), 256).alias(name))
+    both = digest(a, "a").join(digest(b, "b"), "doc_id", "full")
+    return both.agg(F.count("*").alias("documents"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("exact"))

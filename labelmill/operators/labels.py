@@ -8,50 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
-#: First matching rule gives score and source.
-LADDER = ((0.95, "both_positive"), (0.85, "label_positive"), (0.7, "text_positive"), (0.5, "uncertain"), (0.05, "negative"))
-
-
-def reports(docs: DataFrame) -> DataFrame:
-    """Normalised text with its sections and the text scopes that follow from them."""
-    text = X.normalise(F.col("report_text"))
-    d = docs.where("report_text is not null").withColumn("report_text", text)
-    d = d.withColumns({"findings": X.section(F.col("report_text"), "FINDINGS"), "impression": X.section(F.col("report_text"), "IMPRESSION"), "last_paragraph": X.last_paragraph(F.col("report_text"))})
-    both = F.nullif(F.concat_ws("\n", "impression", "findings"), F.lit(""))
-    return d.withColumns({"target_both": both, "target_fallback": F.coalesce("impression", "findings", "last_paragraph", "report_text"), "has_findings": F.col("findings").isNotNull(), "has_impression": F.col("impression").isNotNull()})
-
-
-def text_features(df: DataFrame, scope: str, patterns: dict[str, str]) -> DataFrame:
-    """A boolean per pattern over the lower-cased scope; null text counts as empty."""
-    low = F.lower(F.coalesce(scope, F.lit("")))
-    return df.withColumns({k: low.rlike(p) for k, p in patterns.items()})
-
-
 def combine_labelers(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Full outer join of two labelers with flags of presence."""
     return a.withColumn("has_a", F.lit(True)).join(b.withColumn("has_b", F.lit(True)), key, "full").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_a", "has_b")})
 
 
-def silver(df: DataFrame, label: str, positive: str, uncertain: str, negated: str) -> DataFrame:
-    """Strict and sensitive labels (1, 0, null), score, source, flags and priority from a tri-state label and text flags."""
-    l = F.col(label)  # noqa: E741
-    pos, unc, neg = (F.coalesce(F.col(c), F.lit(False)) for c in (positive, uncertain, negated))
-    strong, weak = F.coalesce(l == 1, F.lit(False)), F.coalesce(l == -1, F.lit(False))
-    refuted = F.coalesce(l == 0, F.lit(False)) | (neg & ~pos)
-    conditions = (strong & pos, strong, pos & ~neg, weak | unc, refuted)
-    ladder = lambda pick: _first(conditions, [pick(x) for x in LADDER])
-    flags = F.array_compact(F.array(F.when(strong & neg, "label_text_conflict"), F.when(pos & neg, "mixed_text"), F.when(l.isNull(), "no_label")))
-    out = df.withColumns({"silver_strict": F.when(strong & ~neg, 1).when(refuted & ~pos, 0).cast("int"), "silver_sensitive": F.when(strong | pos | unc, 1).when(refuted, 0).cast("int"), "silver_score": ladder(lambda x: x[0]), "silver_source": ladder(lambda x: x[1]), "qa_flags": flags})
-    return out.withColumn("review_priority", F.when(F.size("qa_flags") > 1, "high").when(F.size("qa_flags") == 1, "medium").otherwise("low"))
-
-
-def _first(conditions: tuple[Column, ...], values: list) -> Column:
-    out = F.when(conditions[0], F.lit(values[0]))
-    for c, v in zip(conditions[1:], values[1:], strict=True):
-        out = out.when(c, F.lit(v))
-    return out
-
-
 def assign_splits(df: DataFrame, subject: str, salt: str = "split-v1") -> DataFrame:
     """df with the split of its subject; all rows of a subject go to one split."""
     return df.withColumn("split", X.split_name(X.split_bucket(F.col(subject), salt)))

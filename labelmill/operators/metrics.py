@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from ..functions.text import logit
 
 D = "double"
+#: Distribution function of the Poisson distribution of mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+#: Distinct values of a group that one task sums up, in ranges.
+RANGES = 64
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -35,16 +39,53 @@ def threshold_metrics(df: DataFrame, by: list[str], label: str = "label", score:
     )
 
 
+def running(values: DataFrame, by: list[str], value: str, sums: list[str], ranges: int = RANGES) -> DataFrame:
+    """values (a row per group and value) with below_<sum>: the group's total of each sum over smaller values.
+
+    Values are cut into ranges at approximate quantiles; windows run inside ranges, and totals of ranges are added, so
+    no task sees a whole group. Null values come first.
+    """
+    cuts = values.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("_cuts"))
+    rows = beside_group(values, cuts, by).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(-1))).drop("_cuts")
+    rows = rows.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(F.col("_range")))
+    totals = rows.groupBy(*by, "_range").agg(*(F.sum(k).alias(f"_all_{k}") for k in sums))
+    order = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_all_{k}").over(order), F.lit(0)).alias(f"_ahead_{k}") for k in sums))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_in_{k}": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in sums})
+    rows = beside_group(rows, ahead, [*by, "_range"])
+    return rows.withColumns({f"below_{k}": F.col(f"_ahead_{k}") + F.col(f"_in_{k}") for k in sums}).drop("_range", *(f"_{p}_{k}" for p in ("ahead", "in") for k in sums))
+
+
+def beside_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group, nulls as a group of their own; without by, of the one row."""
+    if not by:
+        return rows.join(F.broadcast(groups))  # one row
+    own = {k: f"_of_{k}" for k in by}
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]
+    return rows.join(groups.withColumnsRenamed(own), same).drop(*own.values())
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles per group, between neighbours by proportion, from counts of distinct values: no task sees a whole group."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    g = beside_group(running(g, by, value, ["_n"]), g.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
+    place = lambda q: F.lit(q) * (F.col("_total") - 1)
+    first, last = F.col("below__n"), F.col("below__n") + F.col("_n") - 1
+    at = lambda spot: F.max(F.when((first <= spot) & (spot <= last), F.col(value)))
+    parts = {k: (at(F.floor(place(q))), at(F.ceil(place(q))), F.max(place(q) - F.floor(place(q)))) for k, q in shares.items()}
+    return g.groupBy(*by).agg(*((lo + (hi - lo) * part).alias(k) for k, (lo, hi, part) in parts.items()))
+
+
 def ranking_metrics(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """ROC AUC (ties count half; null with one class) and average precision over distinct thresholds."""
     s = df.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast(D)).alias("pos"), F.sum((F.col(label) != 1).cast(D)).alias("neg"))
-    up = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"below": F.coalesce(F.sum("neg").over(up), F.lit(0.0)), "tp": F.sum("pos").over(down), "all": F.sum(F.col("pos") + F.col("neg")).over(down)})
-    p, n = F.sum("pos"), F.sum("neg")
+    s = beside_group(running(s, by, score, ["pos", "neg"]), s.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")), by)
+    tp, taken = F.col("p") - F.col("below_pos"), F.col("p") + F.col("n") - F.col("below_pos") - F.col("below_neg")
+    p, n = F.max("p"), F.max("n")
     return s.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), p * n).alias("roc_auc"),
-        F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), p).alias("average_precision"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)), p * n).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("pos") * tp / taken), p).alias("average_precision"),
     )
 
 
@@ -76,8 +117,9 @@ def calibration_bins(df: DataFrame, by: list[str], n_bins: int = 10, strategy: s
     """Count, range and means per bin. Edges are distinct quantiles or even steps; bins are closed on the right."""
     rows = df.where(F.col(target).isNotNull() & F.col(score).isNotNull())
     if strategy == "quantile":
-        edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile(score, F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1))))).alias("edges"))
-        rows = rows.join(F.broadcast(edges), by) if not by else rows.join(edges, by)
+        quantiles = exact_quantiles(rows, by, score, {f"q{i}": i / n_bins for i in range(n_bins + 1)})
+        edges = quantiles.select(*by, F.array_distinct(F.array(*(f"q{i}" for i in range(n_bins + 1)))).alias("edges"))
+        rows = beside_group(rows, edges, by)
     else:
         rows = rows.withColumn("edges", F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1))))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
@@ -104,19 +146,21 @@ def alert_burden(df: DataFrame, by: list[str], thresholds: list[float], time: st
 
 def timing_summary(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Count, mean and quartiles of the hours between pairs of timestamps."""
-    hours = [F.struct(F.lit(k).alias("interval"), ((F.unix_micros(F.col(b)) - F.unix_micros(F.col(a))) / 3.6e9).alias("hours")) for k, (a, b) in pairs.items()]
+    micros = lambda c: F.unix_micros(F.col(c).try_cast("timestamp"))  # noqa: E731  a malformed time is null
+    hours = [F.struct(F.lit(k).alias("interval"), ((micros(b) - micros(a)) / 3.6e9).alias("hours")) for k, (a, b) in pairs.items()]
     rows = df.select(F.inline(F.array(*hours))).where("hours is not null")
-    return rows.groupBy("interval").agg(F.count("*").alias("n"), F.avg("hours").alias("mean"), *(F.percentile("hours", p).alias(k) for k, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))))
+    quartiles = exact_quantiles(rows, ["interval"], "hours", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return rows.groupBy("interval").agg(F.count("*").alias("n"), F.avg("hours").alias("mean")).join(quartiles, "interval")
 
 
-def bootstrap_interval(df: DataFrame, metric: Column, n_boot: int = 200, seed: int = 7, cluster: str | None = None, key: str = "case_id") -> DataFrame:
-    """Percentile interval of an aggregate over replicates; rows or clusters get Poisson(1) weights drawn by hash.
+def bootstrap_interval(df: DataFrame, by: list[str], sums: dict[str, Column], metric: Column, n_boot: int = 2000, seed: int = 7, cluster: str = "case_id") -> DataFrame:
+    """Percentile interval of a metric per group over replicates, in which clusters get Poisson(1) weights drawn by hash.
 
-    metric is an aggregate expression over the columns of df and ``w``, the weight in the replicate.
+    sums: additive aggregates that are taken once per cluster (rows are clusters where each has its own value). metric:
+    an aggregate over them, in which each sum counts as often as the cluster was drawn. Undefined draws are left out.
     """
-    unit = F.col(cluster or key).cast("string")
-    u = F.pmod(F.xxhash64(unit, F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", sum((u >= c).cast("int") for c in cdf)).where("w > 0")
-    per = rows.groupBy("replicate").agg(metric.alias("value")).where("value is not null")
-    return per.agg(F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    per = df.groupBy(*by, cluster).agg(*(c.alias(k) for k, c in sums.items()))
+    u = F.pmod(F.xxhash64(F.col(cluster).cast("string"), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rows = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", sum((u >= c).cast("int") for c in POISSON)).where("w > 0")
+    drawn = rows.withColumns({k: F.col(k) * F.col("w") for k in sums}).groupBy(*by, "replicate").agg(metric.alias("value")).where("value is not null and not isnan(value)")
+    return drawn.groupBy(*by).agg(F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))

@@ -1,4 +1,4 @@
-"""Queries of the extraction stages."""
+"""Queries of the extraction stages; their SQL walks over all tokens with windows."""
 
 from __future__ import annotations
 
@@ -8,44 +8,96 @@ from ..operators import extraction as X
 from .registry import query
 from .tables import table
 
-TERMS = [("the", "OBJECT"), ("of the", "OBJECT"), ("de la", "OBJECT"), ("anan", "SIDE"), ("with", "SIDE"), ("la", "SIDE")]
-CUES = [("to", "absent"), ("is", "absent"), ("and", "conjunction")]
-
-_LIST = lambda rows: ", ".join(f"('{t}', '{tag}', {k})" for k, (t, tag) in enumerate(rows))
-_TOKENS = rf"""l AS (SELECT doc_id, regexp_extract_all(text, '{X.PIECES}') AS l FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM l),
-b AS (SELECT *, regexp_matches(piece, '^[ \t\r\n]') AS blank, lag(piece) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM p),
-e AS (SELECT *, coalesce(sum(length(piece)) OVER w, 0)::BIGINT AS begin, coalesce(sum((NOT blank)::INT) OVER w, 0)::BIGINT AS token_no, coalesce(sum((blank AND (contains(piece, chr(10)) OR coalesce(before = '.', FALSE)))::INT) OVER w, 0)::BIGINT AS sentence FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT doc_id, token_no, sentence, begin, begin + length(piece) AS "end", lower(piece) AS stem FROM e WHERE NOT blank),
-n AS (SELECT *, lead(stem) OVER (PARTITION BY doc_id, sentence ORDER BY token_no) AS stem2, lead("end") OVER (PARTITION BY doc_id, sentence ORDER BY token_no) AS end2 FROM t),
-d(term, tag, term_no) AS (VALUES {_LIST(TERMS)}), q(term, tag, term_no) AS (VALUES {_LIST(CUES)}),
-m AS (SELECT n.doc_id, sentence, token_no AS first, token_no + CASE WHEN term = stem THEN 0 ELSE 1 END AS last, begin, CASE WHEN term = stem THEN "end" ELSE end2 END AS "end", tag, term_no FROM n JOIN d ON term = stem OR term = stem || ' ' || stem2),
-c AS (SELECT n.doc_id, sentence, token_no AS spot, tag FROM n JOIN q ON term = stem)"""
+
+def short_stem(word: str) -> str:
+    """A stemmer that SQL can say too: lower case without a final s."""
+    w = word.lower()
+    return w[:-1] if len(w) > 3 and w.endswith("s") else w
+
+
+SPEC = X.Spec(
+    terms=(("the", "OBJECT"), ("of the", "OBJECT"), ("de la", "OBJECT"), ("anan", "SIDE"), ("with", "SIDE"), ("la", "SIDE"), ("tin", "SIDE"), ("will", "OBJECT"), ("with the", "FINAL"), ("skipped term", "SIDE")),
+    cues=(("to", X.NEGATION), ("is", X.NEGATION), ("not", X.NEGATION), ("et", X.AFTER), ("of", X.AFTER), ("to be", X.PSEUDO), ("is the", X.PSEUDO), ("not the", X.PSEUDO), ("and", X.CONJUNCTION), ("und", X.CONJUNCTION)),
+    rules=(("SIDE", "OBJECT"), ("OBJECT", "SIDE")),
+    abbreviations=frozenset({"of.", "the", "on.", "st", "re."}),
+    excluded=frozenset({"skipped term"}),
+    stem=short_stem,
+    longest_sentence=40,
+)
+
+_ABBR = ", ".join(f"'{a}'" for a in sorted(SPEC.abbreviations))
+_ENTRY = lambda e: f"('{e[0]}', '{e[1][0]}', '{e[1][1] if len(e[1]) > 1 else ''}', {len(e[1])}, '{e[2]}', {e[3]}, '{e[4]}')"
+_W = "PARTITION BY doc_id ORDER BY pos"
+_TOKENS = rf"""z AS (SELECT doc_id, regexp_extract_all(text, '\s+|{SPEC.token_pattern}') AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM z),
+p1 AS (SELECT *, regexp_matches(piece, '^\s') AS blank, length(piece) AS n FROM p),
+p2 AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0, sum(blank::INT) OVER (ORDER BY doc_id, pos) AS run FROM p1),
+p3 AS (SELECT doc_id, piece, pos, n, run, (b0 - first_value(b0) OVER ({_W}))::BIGINT AS begin, pos = min(pos) OVER (PARTITION BY doc_id) AS head FROM p2 WHERE NOT blank OR TRUE),
+r AS (SELECT doc_id, run, string_agg(piece, '' ORDER BY pos) FILTER (NOT regexp_matches(piece, '^\s')) AS word, coalesce(any_value(piece) FILTER (regexp_matches(piece, '^\s')), '') AS gap, min(pos) AS p0 FROM p3 GROUP BY ALL),
+r1 AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY p0) AS before FROM r WHERE word IS NOT NULL),
+r2 AS (SELECT *, before IS NULL OR regexp_matches(gap, '[\r\n]') OR (before LIKE '%.' AND NOT (regexp_matches(gap, '^[ \t]*$') AND ((before IN ({_ABBR}) AND (regexp_matches(word, '^\p{{Ll}}') OR word LIKE '\_\_\_%' ESCAPE '\')) OR (lower(left(before, -1)) = left(before, -1) AND upper(left(before, -1)) <> left(before, -1) AND left(before, -1) IN ({_ABBR}) AND regexp_matches(word, '^\p{{Ll}}'))))) AS starts FROM r1),
+r3 AS (SELECT doc_id, run, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS sentence FROM r2),
+t0 AS (SELECT p3.doc_id, piece, begin, begin + n AS "end", sentence::BIGINT AS sentence, row_number() OVER (PARTITION BY p3.doc_id ORDER BY pos) - 1 AS token FROM p3 JOIN r3 ON r3.doc_id = p3.doc_id AND r3.run = p3.run WHERE NOT regexp_matches(piece, '^\s')),
+t1 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sentence ORDER BY token) - 1) // {SPEC.longest_sentence} AS part, lower(piece) AS form FROM t0),
+t2 AS (SELECT *, CASE WHEN length(form) > 3 AND form LIKE '%s' THEN left(form, -1) ELSE form END AS stem, coalesce(bool_or(regexp_matches(piece, '\p{{L}}')) OVER (PARTITION BY doc_id, sentence, part ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS letters FROM t1),
+t AS (SELECT *, lead(form) OVER v AS form2, lead(stem) OVER v AS stem2, lead("end") OVER v AS end2 FROM t2 WINDOW v AS (PARTITION BY doc_id, sentence, part ORDER BY token)),
+d(kind, w1, w2, n, tag, no, phrase) AS (VALUES {', '.join(map(_ENTRY, SPEC.entries()))}),
+m AS (SELECT doc_id, sentence, part, kind, token AS first, token + n - 1 AS last, begin, CASE WHEN n = 1 THEN "end" ELSE end2 END AS "end", tag, no, phrase, letters FROM t JOIN d ON (kind = 't' AND stem = w1 AND (n = 1 OR stem2 = w2)) OR (kind = 'c' AND form = w1 AND (n = 1 OR form2 = w2)))"""
+_CUT = "EXISTS (SELECT 1 FROM m s WHERE s.kind = 'c' AND s.tag = 'conjunctions' AND (s.doc_id, s.sentence, s.part) = (e.doc_id, e.sentence, e.part) AND s.begin >= {0} AND s.\"end\" <= {1})"
 _ASSERTED = f"""{_TOKENS},
-k AS (SELECT m.doc_id, m.sentence, m.first, m.last, m.begin, m."end", m.tag, m.term_no, c.tag AS cue, c.spot, m.first - c.spot >= 1 AS precedes FROM m JOIN c ON c.doc_id = m.doc_id AND c.sentence = m.sentence AND c.tag <> 'conjunction' AND (m.first - c.spot BETWEEN 1 AND 11 OR c.spot - m.last BETWEEN 1 AND 11)),
-s AS (SELECT doc_id, sentence, first, last, tag, term_no, arg_max(cue, CASE WHEN precedes THEN 1000000 + spot ELSE -spot END) AS assertion FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.sentence = k.sentence AND c.tag = 'conjunction' AND c.spot > least(k.spot, k.last) AND c.spot < greatest(k.spot, k.first)) GROUP BY ALL),
-a AS (SELECT m.*, coalesce(s.assertion, 'present') AS assertion FROM m LEFT JOIN s USING (doc_id, sentence, first, last, tag, term_no))"""
+e AS (SELECT * FROM m WHERE kind = 't'),
+before AS (SELECT e.doc_id, e.sentence, e.part, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c."end" DESC, c.begin DESC, c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'negPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c."end" <= e.begin AND e.first - c.last - 1 <= 11
+ WHERE NOT {_CUT.format('c."end"', 'e.begin')} AND NOT EXISTS (SELECT 1 FROM m q WHERE q.kind = 'c' AND q.tag = 'pseNegPhrases' AND (q.doc_id, q.sentence, q.part) = (e.doc_id, e.sentence, e.part) AND (q.letters OR q.phrase LIKE 'not %') AND ((c.begin < q."end" AND q.begin < c."end") OR (c."end" <= q.begin AND q."end" <= e.begin)))),
+behind AS (SELECT e.doc_id, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c.begin, c."end", c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'postNegPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c.begin >= e."end" AND c.first - e.last - 1 <= 11 WHERE NOT {_CUT.format('e."end"', 'c.begin')}),
+a AS (SELECT e.*, coalesce(x.phrase, y.phrase) AS cue, CASE WHEN coalesce(x.phrase, y.phrase) IS NULL THEN 'present' ELSE 'absent' END AS assertion FROM e LEFT JOIN before x ON x.place = 1 AND (x.doc_id, x.begin, x."end", x.no) = (e.doc_id, e.begin, e."end", e.no) LEFT JOIN behind y ON y.place = 1 AND (y.doc_id, y.begin, y."end", y.no) = (e.doc_id, e.begin, e."end", e.no))"""
+
+
+def _adjacent(k: int, source: str, a: str, b: str) -> str:
+    """The pass over neighbours: every later entity of the second tag with no gap in between, by a join."""
+    return f"""n{k}0 AS (SELECT *, NOT coalesce(lag("end") OVER w <= begin AND first - lag(last) OVER w = 1, FALSE) AS broken FROM {source} WHERE tag <> 'FINAL' WINDOW w AS (PARTITION BY doc_id, sentence, part ORDER BY begin, "end", no)),
+n{k}1 AS (SELECT *, sum(broken::INT) OVER (PARTITION BY doc_id, sentence, part ORDER BY begin, "end", no) AS cluster FROM n{k}0),
+n{k}2 AS (SELECT f.doc_id, f.begin, f."end", f.no, arg_min([s.begin, s."end", s.no, s.last], [s.begin, s."end", s.no]) AS hit FROM n{k}1 f JOIN n{k}1 s ON (s.doc_id, s.sentence, s.part, s.cluster) = (f.doc_id, f.sentence, f.part, f.cluster) AND [s.begin, s."end", s.no] > [f.begin, f."end", f.no] WHERE f.tag = '{a}' AND s.tag = '{b}' GROUP BY ALL),
+n{k} AS (SELECT s.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM n{k}2 h WHERE h.doc_id = s.doc_id AND h.hit[1:3] = [s.begin, s."end", s.no]) THEN 'FINAL' ELSE s.tag END AS tag) FROM {source} s)"""
+
 
+def _distant(k: int, source: str, a: str, b: str) -> str:
+    return f"""f{k}0 AS (SELECT f.doc_id, f.begin, f."end", f.no, arg_min([s.begin, s."end", s.no], [s.begin, s."end", s.no]) AS hit FROM {source} f JOIN {source} s ON (s.doc_id, s.sentence, s.part) = (f.doc_id, f.sentence, f.part) AND s.begin >= f."end" AND s.first - f.last - 1 BETWEEN 0 AND 5 LEFT JOIN n{k}2 h ON (h.doc_id, h.begin, h."end", h.no) = (f.doc_id, f.begin, f."end", f.no)
+ WHERE f.tag = '{a}' AND s.tag = '{b}' AND CASE WHEN h.hit IS NULL THEN NOT EXISTS (SELECT 1 FROM {source} x WHERE x.tag = 'FINAL' AND (x.doc_id, x.sentence, x.part) = (f.doc_id, f.sentence, f.part) AND x.begin >= f."end" AND x."end" <= s.begin) ELSE h.hit[2] <= s.begin AND s.first - h.hit[4] = 1 END GROUP BY ALL),
+f{k} AS (SELECT s.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM f{k}0 h WHERE h.doc_id = s.doc_id AND h.hit = [s.begin, s."end", s.no]) THEN 'FINAL' ELSE s.tag END AS tag) FROM {source} s)"""
 
-@query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, max(sentence) AS last_sentence, sum(begin)::BIGINT AS sum_begin, max(\"end\") AS last_end FROM t GROUP BY 1")
-def token_offsets(spark, sf_dir):
-    t = X.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("sentence").alias("last_sentence"), F.sum("begin").alias("sum_begin"), F.max("end").alias("last_end"))
 
+_PROMOTED = f"{_ASSERTED}, u AS (SELECT * FROM a WHERE assertion = 'present'), {_adjacent(0, 'u', *SPEC.rules[0])}, {_adjacent(1, 'n0', *SPEC.rules[1])}, {_distant(0, 'n1', *SPEC.rules[0])}, {_distant(1, 'f0', *SPEC.rules[1])}, o AS (SELECT * FROM f1 WHERE tag = 'FINAL')"
 
-@query(f"WITH {_TOKENS} SELECT doc_id, sentence, first, last, begin, \"end\", tag, term_no FROM m")
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(f'WITH {_TOKENS} SELECT doc_id, sentence, part::BIGINT AS part, kind, first, last, begin, "end", tag, no, letters AND tag = \'pseNegPhrases\' AS letters FROM m')
 def dictionary_matches(spark, sf_dir):
-    return X.matches(X.tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), TERMS)
+    """Places of all terms (by stem) and cues, with sentences and offsets."""
+    return X.marks(_docs(spark, sf_dir), SPEC).select("doc_id", "sentence", "part", "kind", "first", "last", "begin", "end", "tag", "no", (F.col("letters") & (F.col("tag") == X.PSEUDO)).alias("letters"))
 
 
-@query(f"WITH {_ASSERTED} SELECT doc_id, tag, assertion, count(*) AS n FROM a GROUP BY ALL")
+@query(f'WITH {_ASSERTED} SELECT doc_id, begin, "end", tag, no, assertion, coalesce(cue, \'\') AS cue FROM a')
 def entity_assertions(spark, sf_dir):
-    t = X.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return X.assertions(X.matches(t, TERMS), X.matches(t, CUES)).groupBy("doc_id", "tag", "assertion").agg(F.count("*").alias("n"))
+    return X.assertions(X.marks(_docs(spark, sf_dir), SPEC), SPEC).select("doc_id", "begin", "end", "tag", "no", "assertion", F.coalesce("cue", F.lit("")).alias("cue"))
+
 
+@query(f'WITH {_PROMOTED} SELECT doc_id, begin, "end", no, phrase FROM o')
+def promoted_entities(spark, sf_dir):
+    return X.promoted(X.assertions(X.marks(_docs(spark, sf_dir), SPEC), SPEC), SPEC).select("doc_id", "begin", "end", "no", "phrase")
 
-@query(f"WITH {_ASSERTED}, g AS (SELECT *, first - max(CASE WHEN tag = 'SIDE' THEN last END) OVER (PARTITION BY doc_id, sentence ORDER BY first, last, term_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM a WHERE assertion = 'present'), f AS (SELECT doc_id, count(*) AS n FROM g WHERE tag = 'OBJECT' AND gap BETWEEN 1 AND 5 GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_entities, (coalesce(n, 0) > 0)::INT AS label FROM documents LEFT JOIN f USING (doc_id)")
+
+@query(f"WITH {_PROMOTED}, n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_entities, (coalesce(n, 0) > 0)::INT AS label FROM documents LEFT JOIN n USING (doc_id)")
 def document_predictions(spark, sf_dir):
     """All stages: one prediction per document."""
-    out = X.extract(table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS, CUES, "SIDE", "OBJECT", "FINAL")[1]
-    return out.withColumn("label", F.col("label").cast("int"))
+    return X.extract(_docs(spark, sf_dir), SPEC)[1].withColumn("label", F.col("label").cast("int"))
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (doc_id % 10 <> 0 OR n = 0) AS exact FROM (SELECT doc_id, len(regexp_extract_all(text, '[Tt]')) AS n FROM documents)")
+def stage_agreement(spark, sf_dir):
+    """Two runs of a stage (places of the letter t), one of which is off by one in every tenth document."""
+    d = _docs(spark, sf_dir)
+    places = d.select("doc_id", F.explode_outer(F.transform(F.regexp_extract_all("text", F.lit("[Tt]"), F.lit(0)), lambda c, i: i)).alias("begin"))
+    return X.stage_agreement(places, places.withColumn("begin", F.when(F.pmod("doc_id", F.lit(10)) == 0, F.col("begin") + 1).otherwise(F.col("begin"))), ["begin"])

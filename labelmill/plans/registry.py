@@ -12,12 +12,10 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import labels as L
 from ..operators import metrics as M
-from .tables import PREDICTIONS, RATINGS, REPORTS, predictions, ratings, reports, table
+from .tables import PREDICTIONS, RATINGS, predictions, ratings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-POSITIVE = "(?:^|[^a-z])(?:th|on|er|de|la)[a-z]{0,3}[^a-z].{0,40}[^a-z](?:re|an|en)[a-z]{0,3}(?:[^a-z]|$)"
-UNCERTAIN, NEGATED = "(?:^|[^a-z])(?:ti|st|ou)(?:[^a-z]|$)", "(?:^|[^a-z])(?:no|un|of)(?:[^a-z]|$)"
 TRAIN_SALT = "split-v1"
 THRESHOLDS = [0.3, 0.5, 0.7]
 
@@ -32,45 +30,11 @@ def query(sql: str | None = None):
     return keep
 
 
-_SECTION = r"nullif(regexp_replace(regexp_extract({0}, '(?s)(?:^|\n){1}[ \t]*:[ \t]*(.*?)(?:\n(?:FINDINGS|IMPRESSION|ADDENDUM)|$)', 1), '^\s+|\s+$', '', 'g'), '')"
-_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(report_text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-PARSED = f"{REPORTS}, n AS (SELECT subject, study, {_NORMAL} AS t FROM reports), s AS (SELECT *, {_SECTION.format('t', 'FINDINGS')} AS findings, {_SECTION.format('t', 'IMPRESSION')} AS impression FROM n)"
-_LABEL = "CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN -1 ELSE quality END"
-FEATURED = f"{PARSED}, f AS (SELECT s.subject, s.study, {_LABEL} AS l, regexp_matches(lower(coalesce(impression, '')), '{POSITIVE}') AS pos, regexp_matches(lower(coalesce(impression, '')), '{UNCERTAIN}') AS unc, regexp_matches(lower(coalesce(impression, '')), '{NEGATED}') AS neg FROM s LEFT JOIN labels ON labels.doc_id = s.study)"
-SILVER = f"""{FEATURED}, c AS (SELECT *, coalesce(l = 1, FALSE) AS strong, coalesce(l = -1, FALSE) AS weak, coalesce(l = 0, FALSE) OR (neg AND NOT pos) AS refuted FROM f),
-v AS (SELECT subject, study, CASE WHEN strong AND NOT neg THEN 1 WHEN refuted AND NOT pos THEN 0 END AS silver_strict, CASE WHEN strong OR pos OR unc THEN 1 WHEN refuted THEN 0 END AS silver_sensitive,
-CASE WHEN strong AND pos THEN 0.95 WHEN strong THEN 0.85 WHEN pos AND NOT neg THEN 0.7 WHEN weak OR unc THEN 0.5 WHEN refuted THEN 0.05 END::DOUBLE AS silver_score,
-CASE WHEN strong AND pos THEN 'both_positive' WHEN strong THEN 'label_positive' WHEN pos AND NOT neg THEN 'text_positive' WHEN weak OR unc THEN 'uncertain' WHEN refuted THEN 'negative' END AS silver_source,
-list_filter([CASE WHEN strong AND neg THEN 'label_text_conflict' END, CASE WHEN pos AND neg THEN 'mixed_text' END, CASE WHEN l IS NULL THEN 'no_label' END], lambda x: x IS NOT NULL) AS flags FROM c)"""
-
-
-def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = L.text_features(L.reports(reports(spark, sf_dir)), "impression", {"pos": POSITIVE, "unc": UNCERTAIN, "neg": NEGATED})
-    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("study"), F.when(F.col("toxic") == 1, -1).otherwise(F.col("quality")).alias("l"))  # noqa: E741
-    return L.silver(d.join(l, "study", "left"), "l", "pos", "unc", "neg")
-
-
-@query(f"WITH {SILVER} SELECT coalesce(silver_strict, -9) AS silver_strict, coalesce(silver_sensitive, -9) AS silver_sensitive, silver_source, count(*) AS n, round(avg(silver_score), 6) AS mean_score FROM v GROUP BY ALL")
-def label_prevalence(spark, sf_dir):
-    """Normalise, cut sections, match patterns, derive silver labels, count them."""
-    return _silver(spark, sf_dir).fillna(-9, ["silver_strict", "silver_sensitive"]).groupBy("silver_strict", "silver_sensitive", "silver_source").agg(F.count("*").alias("n"), F.round(F.avg("silver_score"), 6).alias("mean_score"))
-
-
-@query(f"WITH {SILVER} SELECT study, coalesce(silver_strict, -9) AS silver_strict, coalesce(silver_sensitive, -9) AS silver_sensitive, silver_score, silver_source, array_to_string(flags, '|') AS flags, CASE WHEN len(flags) > 1 THEN 'high' WHEN len(flags) = 1 THEN 'medium' ELSE 'low' END AS review_priority FROM v")
-def silver_labels(spark, sf_dir):
-    return _silver(spark, sf_dir).fillna(-9, ["silver_strict", "silver_sensitive"]).select("study", "silver_strict", "silver_sensitive", "silver_score", "silver_source", F.array_join("qa_flags", "|").alias("flags"), "review_priority")
-
-
-@query(f"WITH {PARSED} SELECT study, length(findings) AS n_findings, length(impression) AS n_impression, sha256(coalesce(impression, findings, t)) AS target_sha256, findings IS NOT NULL AS has_findings, impression IS NOT NULL AS has_impression FROM s")
-def report_sections(spark, sf_dir):
-    d = L.reports(reports(spark, sf_dir))
-    return d.select("study", F.char_length("findings").cast("bigint").alias("n_findings"), F.char_length("impression").cast("bigint").alias("n_impression"), F.sha2("target_fallback", 256).alias("target_sha256"), "has_findings", "has_impression")
-
-
-@query("WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 5 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(quality, -9) AS quality, coalesce(toxic, -9) AS toxic, a.doc_id IS NOT NULL AS has_a, b.doc_id IS NOT NULL AS has_b FROM a FULL JOIN b USING (doc_id)")
+@query("WITH b AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1) SELECT coalesce(l.doc_id, b.conv_id) AS doc_id, coalesce(quality, -9) AS quality, coalesce(last_turn, -9) AS last_turn, l.doc_id IS NOT NULL AS has_a, b.conv_id IS NOT NULL AS has_b FROM labels l FULL JOIN b ON l.doc_id = b.conv_id")
 def labelers_combined(spark, sf_dir):
-    l = table(spark, sf_dir, "labels")  # noqa: E741
-    return L.combine_labelers(l.where("doc_id % 3 <> 0").select("doc_id", "quality"), l.where("doc_id % 5 <> 0").select("doc_id", "toxic"), ["doc_id"]).fillna(-9, ["quality", "toxic"]).select("doc_id", "quality", "toxic", "has_a", "has_b")
+    """Two labelers of partly the same cases: documents' quality, and the length of the conversation of that number."""
+    b = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("turn").alias("last_turn"))
+    return L.combine_labelers(table(spark, sf_dir, "labels").select("doc_id", "quality"), b, ["doc_id"]).fillna(-9, ["quality", "last_turn"]).select("doc_id", "quality", "last_turn", "has_a", "has_b")
 
 
 @query("""WITH e AS (SELECT l_orderkey AS k, l_linenumber AS i, min(lower(l_returnflag) || ' ' || lower(l_linestatus)) AS t FROM lineitem GROUP BY ALL),
@@ -114,11 +78,6 @@ def review_sample(spark, sf_dir):
     return L.stratified_sample(p, "score", "doc_id")
 
 
-@query(f"WITH {SILVER} SELECT study, silver_source FROM v WHERE len(flags) > 0 ORDER BY sha256(study::VARCHAR), study LIMIT 200")
-def review_queue(spark, sf_dir):
-    return L.hashed_queue(_silver(spark, sf_dir).where("review_priority <> 'low'").select("study", "silver_source"), "study")
-
-
 @query("SELECT text_hash, n FROM (SELECT sha256(text) AS text_hash, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
 def duplicate_texts(spark, sf_dir):
     return L.duplicates(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash")), ["text_hash"])
@@ -268,12 +227,6 @@ def intraclass_correlation(spark, sf_dir):
     return _rounded(A.icc(ratings(spark, sf_dir), 3))
 
 
-@query("SELECT doc_id, length(text) AS n_characters, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_words FROM documents WHERE text IS NOT NULL")
-def text_lengths(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.char_length("text").cast("bigint").alias("n_characters"), F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).cast("bigint").alias("n_words"))
-
-
 @query(r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+') AS email_address, regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') AS id_number, regexp_matches(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS address_number, regexp_matches(text, 'https?://') AS web_address FROM documents WHERE text IS NOT NULL")
 def identifier_screen(spark, sf_dir):
     patterns = {"email_address": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "id_number": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "address_number": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "web_address": "https?://"}
@@ -303,13 +256,13 @@ def wilson_widths(spark, sf_dir):
 
 @query()
 def bootstrap_brier(spark, sf_dir):
-    """Interval of the Brier score over clusters (sources); draws come from hashes, so SQL has no counterpart."""
-    w = F.col("w") * (F.col("score") - F.col("label")) ** 2
-    return M.bootstrap_interval(predictions(spark, sf_dir).where("model = 'm1'"), F.sum(w) / F.sum("w"), n_boot=100, cluster="source", key="doc_id")
+    """Intervals of each model's Brier score over clusters (sources); draws come from hashes, so SQL has no counterpart."""
+    p = predictions(spark, sf_dir).withColumn("error", (F.col("score") - F.col("label")) ** 2)
+    return M.bootstrap_interval(p, ["model"], {"e": F.sum("error"), "n": F.count("*")}, F.sum("e") / F.sum("n"), cluster="source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extraction_queries, learning_queries, planning_queries  # noqa: F401  they register themselves
+    from . import extraction_queries, learning_queries, planning_queries, report_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

@@ -71,21 +71,31 @@ def rater_exports(spark: SparkSession, paths: dict[str, str], columns: list[str]
     return out
 
 
-ALIASES = {"start": "start", "begin": "start", "end": "end", "semantic": "semantic_tag", "semantic_tag": "semantic_tag", "assertion": "assertion", "cui": "cui", "entity": "entity_text", "text": "entity_text"}
+# The names, letters and digits only, under which extractors write a field.
+FIELDS = {
+    "start": "start begin offsetstart spanstart",
+    "end": "end stop offsetend spanend",
+    "semantic_tag": "semantic semantictag type tag",
+    "assertion": "assertion assertionstatus certainty negation",
+    "cui": "cui conceptid",
+    "attribute": "attribute attributes feature features",
+    "entity_text": "entity entitytext coveredtext text mention",
+}
+ALIASES = {alias: field for field, names in FIELDS.items() for alias in names.split()}
 
 
 def extractor_outputs(spark: SparkSession, path: str, required: tuple[str, ...] = ("start", "end", "semantic_tag")) -> tuple[DataFrame, DataFrame]:
     """Entities of many small tab-separated files, and per file a status: parsed, parsed_empty or parse_error with a reason."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("doc_id"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("lines"))
     lookup = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
-    name = lambda h: F.coalesce(F.try_element_at(lookup, F.regexp_replace(F.lower(ws_trim(h)), "[^a-z0-9]+", "_")), F.lit(""))
+    name = lambda h: F.coalesce(F.try_element_at(lookup, F.regexp_replace(F.lower(ws_trim(h)), r"(?U)[\W_]", "")), F.lit(""))
     files = files.withColumns({"header": F.transform(F.split(F.get("lines", F.lit(0)), "\t"), name), "rows": F.filter(F.slice("lines", 2, 1 << 30), lambda x: ws_trim(x) != "")})
     missing = F.array_except(F.array(*map(F.lit, required)), F.col("header"))
     blank = F.size(F.filter("lines", lambda x: ws_trim(x) != "")) == 0
     status = files.select("doc_id", F.when(blank | ((F.size(missing) == 0) & (F.size("rows") == 0)), "parsed_empty").when(F.size(missing) > 0, "parse_error").otherwise("parsed").alias("status"), F.when(~blank & (F.size(missing) > 0), F.concat(F.lit("missing "), F.array_join(missing, ","))).alias("reason"))
     good = files.where(F.size(missing) == 0).select("doc_id", "header", F.posexplode("rows").alias("row_no", "row")).withColumn("cells", F.split("row", "\t", -1))
     cell = lambda k: F.nullif(F.get("cells", F.array_position("header", k).cast("int") - 1), F.lit(""))
-    entities = good.select("doc_id", "row_no", cell("start").try_cast("bigint").alias("start"), cell("end").try_cast("bigint").alias("end"), *(cell(k).alias(k) for k in ("semantic_tag", "assertion", "cui", "entity_text")))
+    entities = good.select("doc_id", "row_no", cell("start").try_cast("bigint").alias("start"), cell("end").try_cast("bigint").alias("end"), *(cell(k).alias(k) for k in ("semantic_tag", "assertion", "cui", "attribute", "entity_text")))
     return entities, status
 
 

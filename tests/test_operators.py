@@ -12,6 +12,8 @@ from labelmill.operators import extraction as E
 from labelmill.operators import labels as L
 from labelmill.operators import metrics as M
 from labelmill.operators import planning as P
+from labelmill.operators import reports as S
+from labelmill.operators import stemming
 from labelmill.sources import readers as R
 from labelmill.sources import writers as W
 
@@ -21,12 +23,15 @@ def one(spark, value, f):
 
 
 def test_sections(spark):
-    text = "FINDINGS:\r\nclear lungs\n\n\n\nIMPRESSION: no change  \n"
+    text = "Findings\r\nclear lungs\n\n\n\n  impression no change  \n"
     assert one(spark, text, lambda c: X.section(X.normalise(c), "FINDINGS")) == "clear lungs"
     assert one(spark, text, lambda c: X.section(X.normalise(c), "IMPRESSION")) == "no change"
     assert one(spark, text, lambda c: X.section(c, "ADDENDUM")) is None
+    assert one(spark, "FINDINGS:\n\n ", lambda c: X.section(c, "FINDINGS")) is None
     assert one(spark, "a\n\nb \n\n", X.last_paragraph) == "b"
-    assert one(spark, "FINDINGS: x\nIMPRESSION is part\nmore", lambda c: X.section(c, "FINDINGS", own_line=True)) == "x\nIMPRESSION is part\nmore"
+    assert one(spark, "FINDINGS: x\nIMPRESSION is part\nmore", lambda c: X.section(c, "FINDINGS")) == "x"
+    assert one(spark, "FINDINGS: x\nIMPRESSION is part\nTechnique :\nmore", lambda c: X.section(c, "FINDINGS", own_line=True)) == "x\nIMPRESSION is part"
+    assert one(spark, "Findings: x here IMPRESSION\nz", lambda c: X.section(c, "FINDINGS")) == "x here IMPRESSION\nz"
 
 
 @pytest.mark.parametrize(("value", "want"), [("12", 12), ("12.0", 12), ("1.5", None), ("-3", None), ("x", None), (None, None)])
@@ -34,7 +39,7 @@ def test_normalised_id(spark, value, want):
     assert one(spark, value, X.normalised_id) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [(None, "missing"), ("", "missing"), (" a", "whitespace"), ("a.", "dot"), ("a:b", "invalid_character"), ("con", "reserved_name"), ("ok", None)])
+@pytest.mark.parametrize(("value", "want"), [(None, "missing"), ("", "empty"), (" a", "leading_or_trailing_whitespace"), ("..", "dot_path_component"), ("a.", "trailing_dot"), ("a:b", "windows_invalid_character"), ("con.txt", "windows_reserved_device_name"), ("ok", None)])
 def test_unsafe_ids(spark, value, want):
     assert one(spark, value, X.unsafe_id_reason) == want
 
@@ -82,9 +87,28 @@ def test_workload_without_minutes_of_a_task(spark):
 
 
 def test_silver_ladder(spark):
-    d = spark.createDataFrame([(1, True, False, False), (0, False, False, False), (None, False, True, False), (None, False, False, False)], "l int, p boolean, u boolean, n boolean")
-    got = [(r["silver_strict"], r["silver_sensitive"], r["silver_score"]) for r in L.silver(d, "l", "p", "u", "n").collect()]
-    assert got == [(1, 1, 0.95), (0, 0, 0.05), (None, 1, 0.5), (None, None, None)]
+    names = ["text_present", "text_uncertain", "text_negated", "text_edema", "text_atelectasis", "text_airspace", "graph_strict", "graph_sensitive", "graph_both_uncertain", "graph_edema", "graph_atelectasis", "graph_airspace"]
+    case = lambda label, has, *true: (*(n in true or (None if n in ("graph_edema", "text_edema") else False) for n in names), has, label, 0, None, 0)
+    rows = [case(1, True, "text_present", "graph_strict", "graph_sensitive"), case(0, True), case(None, False), case(1, True), case(-1, True), case(0, True, "text_present", "text_negated"), case(0, True, "text_uncertain"), case(0, True, "graph_sensitive")]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in names) + ", has_labels boolean, label_opacity int, label_edema int, label_consolidation int, label_atelectasis int")
+    got = [(r["silver_strict"], r["silver_sensitive"], r["silver_score"], r["review_priority"], r["qa_flags"]) for r in S.silver(d, "v1").collect()]
+    assert got == [
+        (1, 1, 0.95, "low", []), (0, 0, 0.05, "low", []), (None, None, None, "low", []), (None, None, 0.35, "medium", ["label_without_signal"]), (None, None, 0.3, "low", []),
+        (None, None, 0.05, "high", ["graph_text_disagreement", "positive_and_negated"]), (None, 1, 0.55, "high", []), (None, 1, 0.75, "low", []),
+    ]
+
+
+def test_offsets_both_ways(spark):
+    text = "a\U0001f642b\U0001f642"
+    units = [len(text[:k].encode("utf-16-be")) // 2 for k in range(len(text) + 1)]
+    for n in range(-1, 8):
+        assert one(spark, text, lambda c, n=n: X.code_point_offset(c, F.lit(n))) == (units.index(n) if n in units else None)
+    assert one(spark, text, lambda c: X.covered_text(c, F.lit(1), F.lit(3))) == "\U0001f642b" and one(spark, text, lambda c: X.covered_text(c, F.lit(2), F.lit(9))) is None
+
+
+@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("opacities", "opac"), ("Infiltrates", "infiltr"), ("edema", "edema"), ("probate", "probat"), ("controll", "control"), ("O2s", "o2s"), ("adoption", "adopt"), ("y", "y")])
+def test_stems(word, want):
+    assert stemming.stem(word) == want
 
 
 def test_violations_raise(spark):
@@ -94,11 +118,27 @@ def test_violations_raise(spark):
         L.raise_if_any(found)
 
 
+def spec(**more):
+    base = {"terms": (("bilateral", "SIDE"), ("opacity", "OBJECT"), ("both lungs", "SIDE")), "cues": (("no", E.NEGATION), ("ruled out", E.AFTER), ("no change", E.PSEUDO), ("not only", E.PSEUDO), ("but", E.CONJUNCTION), ("not", E.NEGATION)), "rules": (("SIDE", "OBJECT"), ("OBJECT", "SIDE")), "stem": stemming.stem}
+    return E.Spec(**base | more)
+
+
 def test_extraction_negation_and_promotion(spark):
-    docs = spark.createDataFrame([(1, "bilateral opacity. no bilateral opacity\nopacity"), (2, "no change but bilateral opacity"), (3, None)], "doc_id long, text string")
-    found, per_doc = E.extract(docs, [("bilateral", "SIDE"), ("opacity", "OBJECT")], [("no", "absent"), ("but", "conjunction")], "SIDE", "OBJECT", "FINAL")
-    assert sorted((r["doc_id"], r["begin"], r["end"]) for r in found.collect()) == [(1, 10, 17), (2, 24, 31)]
-    assert {r["doc_id"]: r["label"] for r in per_doc.collect()} == {1: 1, 2: 1, 3: 0}
+    texts = ["bilateral opacities. no bilateral opacity\nopacity", "no change but bilateral opacity", None, "\U0001f642 Bilateral opacities ruled out", "there is no change, bilateral opacity", "No change bilateral opacity", "not only bilateral opacity", "opacity in both Lungs", "", "bilateral and some other kinds of very far opacity"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    found, per_doc = E.extract(docs, spec())
+    got = sorted((r["doc_id"], r["begin"], r["end"], r["begin16"], r["phrase"]) for r in found.collect())
+    assert got == [(1, 10, 19, 10, "opacity"), (2, 24, 31, 24, "opacity"), (5, 30, 37, 30, "opacity"), (7, 19, 26, 19, "opacity"), (8, 11, 21, 11, "both lungs")]
+    assert {r["doc_id"]: r["label"] for r in per_doc.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 0}
+    with pytest.raises(ValueError, match="repeat"):
+        E.extract(docs.union(docs.where("doc_id = 1")), spec())
+
+
+def test_sentences_and_offsets(spark):
+    text = "Dr. smith saw approx. three opacities in St. Mary. New one\r\nlast opacity " + "x " * 300 + "opacity"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    m = E.marks(docs, spec(terms=(("opacity", "O"),), cues=(), abbreviations=frozenset({"Dr.", "approx"}), longest_sentence=100)).orderBy("begin").collect()
+    assert [text[r["begin"] : r["end"]] for r in m] == ["opacities", "opacity", "opacity"] and [(r["sentence"], r["part"]) for r in m] == [(0, 0), (3, 0), (3, 3)]
 
 
 def test_report_tree(spark, tmp_path):

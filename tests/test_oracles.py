@@ -43,4 +43,4 @@ def test_entry_runs(spark):
 
 def test_bootstrap_interval_holds_the_mean(spark, sf_dir):
     r = registry.queries()["bootstrap_brier"](spark, sf_dir).first()
-    assert r["n_valid"] == 100 and r["low"] <= r["mean"] <= r["high"]
+    assert r["n_valid"] == 2000 and r["low"] <= r["mean"] <= r["high"]
