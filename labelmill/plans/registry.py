@@ -184,15 +184,15 @@ def rater_summary(spark, sf_dir):
 
 
 @query(f"""WITH {RATINGS}, q AS (SELECT x.task, x.rater AS rater_a, y.rater AS rater_b, x.value AS a, y.value AS b FROM r x JOIN r y ON x.case_id = y.case_id AND x.task = y.task AND x.rater < y.rater),
-k AS (SELECT *, rank() OVER (PARTITION BY task, rater_a, rater_b ORDER BY a) + (count(*) OVER (PARTITION BY task, rater_a, rater_b, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY task, rater_a, rater_b ORDER BY b) + (count(*) OVER (PARTITION BY task, rater_a, rater_b, b) - 1) / 2 AS rb, (a >= 50)::INT AS x, (b >= 50)::INT AS y FROM q),
-g AS (SELECT task, rater_a, rater_b, count(*) AS n, avg(abs(a - b)) AS mae, sqrt(avg((a - b) ** 2)) AS rmse, avg(a - b) AS mean_difference, corr(a, b) AS pearson, corr(ra, rb) AS spearman, avg((x = y)::INT) AS agreement, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS c FROM k GROUP BY ALL)
-SELECT task, rater_a, rater_b, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mean_difference, 6) AS mean_difference, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(agreement, 6) AS agreement, round(CASE WHEN c < 1 THEN (agreement - c) / (1 - c) END, 6) AS kappa FROM g""")
+k AS (SELECT *, rank() OVER (PARTITION BY task, rater_a, rater_b ORDER BY a) + (count(*) OVER (PARTITION BY task, rater_a, rater_b, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY task, rater_a, rater_b ORDER BY b) + (count(*) OVER (PARTITION BY task, rater_a, rater_b, b) - 1) / 2 AS rb, (a >= 50)::INT AS x, (b >= 50)::INT AS y, (a >= 67)::INT AS x2, (b >= 67)::INT AS y2 FROM q),
+g AS (SELECT task, rater_a, rater_b, count(*) AS n, avg(abs(a - b)) AS mae, sqrt(avg((a - b) ** 2)) AS rmse, avg(a - b) AS mean_difference, corr(a, b) AS pearson, corr(ra, rb) AS spearman, avg((x = y)::INT) AS agreement, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS c, avg((x2 = y2)::INT) AS agreement2, avg(x2) * avg(y2) + (1 - avg(x2)) * (1 - avg(y2)) AS c2 FROM k GROUP BY ALL)
+SELECT task, rater_a, rater_b, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mean_difference, 6) AS mean_difference, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(agreement, 6) AS agreement_50, round(CASE WHEN c < 1 THEN (agreement - c) / (1 - c) END, 6) AS kappa_50, round(agreement2, 6) AS agreement_67, round(CASE WHEN c2 < 1 THEN (agreement2 - c2) / (1 - c2) END, 6) AS kappa_67 FROM g""")
 def pairwise_agreement(spark, sf_dir):
     return _rounded(A.pairwise_agreement(ratings(spark, sf_dir)))
 
 
-_WIDE = "w AS (SELECT case_id, rater, avg(value) FILTER (task = 'image') AS image, avg(value) FILTER (task = 'report') AS report FROM r GROUP BY ALL), d AS (SELECT *, report - image AS d FROM w WHERE report - image IS NOT NULL)"
-_ALIGN = "count(*) AS n, round(avg(d), 6) AS mean_difference, round(stddev_samp(d), 6) AS sd, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(d) - 1.96 * stddev_samp(d), 6) AS lower, round(avg(d) + 1.96 * stddev_samp(d), 6) AS upper"
+_WIDE = "w AS (SELECT case_id, rater, avg(value) FILTER (task = 'image') AS a, avg(value) FILTER (task = 'report') AS b FROM r GROUP BY ALL), d AS (SELECT *, b - a AS d, rank() OVER (PARTITION BY rater ORDER BY a) + (count(*) OVER (PARTITION BY rater, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY rater ORDER BY b) + (count(*) OVER (PARTITION BY rater, b) - 1) / 2 AS rb, (a >= 50)::INT AS x, (b >= 50)::INT AS y FROM w WHERE b - a IS NOT NULL)"
+_ALIGN = "count(*) AS n, round(avg(d), 6) AS mean_difference, round(stddev_samp(d), 6) AS sd, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg(d) - 1.96 * stddev_samp(d), 6) AS lower, round(avg(d) + 1.96 * stddev_samp(d), 6) AS upper, round(avg((x = y)::INT), 6) AS agreement, round((avg((x = y)::INT) - (avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)))) / (1 - (avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)))), 6) AS kappa"
 
 
 @query(f"WITH {RATINGS}, {_WIDE} SELECT rater, {_ALIGN} FROM d GROUP BY rater")
@@ -224,7 +224,7 @@ def top_disagreements(spark, sf_dir):
 g AS (SELECT task, count(DISTINCT case_id) AS n, sum((mc - m) ** 2) / (count(DISTINCT case_id) - 1) AS msc, sum((mr - m) ** 2) / 2 AS msr, sum((value - mc - mr + m) ** 2) / ((count(DISTINCT case_id) - 1) * 2) AS mse FROM m GROUP BY task)
 SELECT task, n, round((msc - mse) / (msc + 2 * mse + 3 * (msr - mse) / n), 6) AS icc_single, round((msc - mse) / (msc + (msr - mse) / n), 6) AS icc_mean FROM g""")
 def intraclass_correlation(spark, sf_dir):
-    return _rounded(A.icc(ratings(spark, sf_dir), 3))
+    return _rounded(A.icc(ratings(spark, sf_dir), 3)).select("task", "n", "icc_single", "icc_mean")
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+') AS email_address, regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') AS id_number, regexp_matches(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS address_number, regexp_matches(text, 'https?://') AS web_address FROM documents WHERE text IS NOT NULL")
@@ -262,7 +262,7 @@ def bootstrap_brier(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extraction_queries, learning_queries, planning_queries, report_queries  # noqa: F401  they register themselves
+    from . import extraction_queries, learning_queries, planning_queries, rating_queries, report_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
