@@ -8,7 +8,13 @@ leading bits of the n-gram's hash, each as large as its items need, and no one p
 a batch of documents asks for its words, then for its pairs, by ranges of keys (see exchange), and the
 task of a range fills the range's shards and answers with the levels that they tell. Shards don't
 depend on the number of ranges, so neither do scores. Texts are scored with an interpolated two-word
-model; a word that the filter does not hold has the smoothed probability of count 0.
+model. A level stands for the least count it can come from, q:
+
+    p(w) = (q(w) + 0.1) / (Q + 0.1 (V + 1)), Q the sum of q over the V distinct training tokens,
+    p(w after v) = (1 - weight) p(w) + weight q(v, w) / c(v), c(v) the exact count of v; p(w) alone if v is unknown.
+
+p(w) sums to 1 over the training tokens and one unknown, p(w after v) to at most 1, as q never exceeds a count (both but
+for false hits of the filter, about 1 in 700 probes of absent n-grams).
 
 The exact counts behind ``base_score`` come back with the words' levels.
 
@@ -89,8 +95,8 @@ def told(bits: np.ndarray, keys: np.ndarray, first=0, width=FILTER_BITS) -> np.n
 
 
 def as_counts(level: np.ndarray, least: int = 1) -> np.ndarray:
-    """The count that a level stands for."""
-    return np.where(level > 0, least * 2.0 ** ((level.astype(np.float64) - 1) / 2 + 0.25), 0.0)
+    """The least count that a level stands for."""
+    return np.where(level > 0, np.ceil(least * 2.0 ** ((level.astype(np.float64) - 1) / 2) - 1e-9), 0.0)
 
 
 def estimate(bits: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
@@ -124,7 +130,7 @@ def shard_ranges(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 ASKED = "batch bigint, part int, keys binary, counts binary"
-ANSWERS = "batch bigint, part int, counts binary, levels binary, n_tokens bigint, n_types bigint"
+ANSWERS = "batch bigint, part int, counts binary, levels binary, n_tokens bigint, n_types bigint, n_quantised double"
 
 
 def _asked(batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
@@ -139,7 +145,8 @@ def _answered(table: pa.Table, exact: bool) -> pa.Table:
     keys, inverse = np.unique(joined(asked), return_inverse=True)
     totals = np.bincount(inverse, joined(unpacked(table.column("counts"), np.uint32), np.uint32), len(keys)).astype(np.uint64)
     ends = np.cumsum([len(a) for a in asked])[:-1]
-    told_levels = np.split(shard_levels(keys, totals)[inverse], ends)
+    levels_of = shard_levels(keys, totals)
+    told_levels = np.split(levels_of[inverse], ends)
     n, part = len(asked), table.column("part")[0].as_py()
     return pa.table({
         "batch": pa.array([*table.column("batch").to_pylist(), -1], pa.int64()),
@@ -148,6 +155,7 @@ def _answered(table: pa.Table, exact: bool) -> pa.Table:
         "levels": pa.array([*(packed(x) for x in told_levels), None], pa.binary()),
         "n_tokens": pa.array([None] * n + [int(totals.sum())], pa.int64()),
         "n_types": pa.array([None] * n + [int((totals > 0).sum())], pa.int64()),
+        "n_quantised": pa.array([None] * n + [float(as_counts(levels_of[totals > 0]).sum())], pa.float64()),
     })
 
 
@@ -209,7 +217,7 @@ def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
     parts = parallelism(docs.sparkSession)
     texts = in_batches(docs, "doc_id", "text", "train")
     words = materialise(word_counts(texts, parts))
-    total, types = (x or 0 for x in words.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types")).first())
+    total, types, quantised = (x or 0 for x in words.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_quantised")).first())
     pairs = materialise(pair_counts(texts, words, parts))
     answers = words.withColumn("pair", F.lit(False)).unionByName(pairs.withColumn("pair", F.lit(True))).where("batch >= 0")
 
@@ -218,16 +226,16 @@ def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
         pair = answers.column("pair")
         h, row, counts, level = _known(t, answers.filter(pc.invert(pair)))
         n, scale = t.num_rows, total + 0.1 * (types + 1)
-        c = as_counts(level)
-        p = (c + 0.1) / scale
-        after = np.flatnonzero((row[1:] == row[:-1]) & (c[:-1] > 0)) + 1
+        p = (as_counts(level) + 0.1) / (quantised + 0.1 * (types + 1))
+        after = np.flatnonzero((row[1:] == row[:-1]) & (counts[:-1] > 0)) + 1
         p[after] *= 1 - weight
         ask = _pairs(h, row, level)
         k, back = np.unique(pair_keys(h[ask - 1], h[ask]), return_inverse=True)
         held = joined(unpacked(answers.filter(pair).sort_by("part").column("levels"), np.uint8), np.uint8)
         if len(held) != len(k):
             raise ValueError("a batch's answers don't fit its pairs")
-        p[ask] += weight * np.minimum(as_counts(held)[back] / c[ask - 1], 1.0)
+        known = counts[ask - 1] > 0
+        p[ask[known]] += weight * np.minimum(as_counts(held)[back][known] / counts[ask - 1][known], 1.0)
         return pa.table({
             "doc_id": t.column("doc_id"), "train": t.column("train"), "n_tokens": pa.array(np.bincount(row, minlength=n), pa.int64()),
             "n_known": pa.array(np.bincount(row, counts > 0, n).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
