@@ -93,6 +93,20 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint"
     return df.withColumn(out, shown(marks(F.col(text_col))))
 
 
+def literal(values: list[int | None], kind: str) -> Column:
+    """An array as one constant of the plan, however many values it has."""
+    return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
+
+
+def below(sorted_values: list[int], x: Column) -> Column:
+    """How many of the sorted values are less than x, by halving."""
+    values, steps = literal(sorted_values, "bigint"), [1 << k for k in reversed(range(len(sorted_values).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    more = lambda n, s: F.when((n + s <= len(sorted_values)) & (F.get(values, n + s - 1) < x), n + s).otherwise(n)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), more)
+
+
 def with_next(df: DataFrame, buckets: int) -> DataFrame:
     """df with the row that follows in descending order of doc_id (after the last, the first) as columns
     next_text and next_marks.
@@ -102,18 +116,20 @@ def with_next(df: DataFrame, buckets: int) -> DataFrame:
     ordered by text. Only the bounds and opening ids (a number per bucket) reach the driver.
     """
     bounds = sorted(set(df.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10000)).first()[0] or []))
-    b = F.array(*(F.lit(x) for x in bounds)) if bounds else F.array().cast("array<bigint>")
     # Bucket 0 has the nulls, then ascending ids.
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + F.size(F.filter(b, lambda x: x < F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + below(bounds, F.col("doc_id")))
     ids = df.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("opens")).collect()
+    opens: list[int | None] = [None] * (len(bounds) + 2)
+    for r in ids:
+        opens[r["bucket"]] = r["opens"]
     present = sorted(r["bucket"] for r in ids)
     if not present:
         return df.withColumns({"next_text": F.lit(None).cast("string"), "next_marks": F.lit(None).cast(MARKS)})
     # Descending order: the bucket after k is the next smaller one; after the smallest comes the largest.
-    before = {k: present[(i + 1) % len(present)] for i, k in enumerate(present)}
-    opens = {r["bucket"]: r["opens"] for r in ids}
-    target = F.element_at(F.create_map(*(F.lit(x) for k in present for x in (k, before[k]))), F.col("bucket"))
-    opening = F.element_at(F.create_map(*(x for k in present for x in (F.lit(k), F.lit(opens[k]).cast("long")))), F.col("bucket"))
+    before = [0] * len(opens)
+    for i, k in enumerate(present):
+        before[k] = present[(i + 1) % len(present)]
+    target, opening = F.get(literal(before, "int"), F.col("bucket")), F.get(literal(opens, "bigint"), F.col("bucket"))
     placed = df.withColumn("bucket", bucket).withColumn("copies", F.when(F.col("doc_id").eqNullSafe(opening), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("border")), F.struct(target.alias("to"), F.lit(True).alias("border")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("border")))))
     placed = placed.withColumn("copy", F.explode("copies")).select("*", "copy.to", "copy.border").drop("copies", "copy", "bucket")
     w = Window.partitionBy("to").orderBy("border", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())

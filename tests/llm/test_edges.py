@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_llm import ALNUM, BLANK, DOCS, components, covered, low, sha
 
 import corpus_pipeline
-from labelmill.llm import chat, decontaminate, jaccard, langid, lm, quality, secrets, storage, suffixes, textbuf
+from labelmill.llm import chat, decontaminate, fingerprint, jaccard, langid, lm, quality, secrets, storage, suffixes, textbuf
 
 VALUE = "Zx9!kQ2#Lm8@pR"
 
@@ -251,6 +251,68 @@ def test_language_model_edges(spark):
     assert out == sorted([(1, 3, 3), (1, 3, 3), (2, 1, 1), (3, 400_001, 400_001), (None, 2, 1), (4, 1, 1)], key=str)
 
 
+def test_language_model_by_brute_force(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(25)]
+    docs = [(k, " ".join(rnd.choices(vocabulary, weights=range(1, 26), k=rnd.randrange(0, 60))), k % 5 > 0) for k in range(120)] + [(500, "w24 w24 unknown w1", False), (501, "unknown", False)]
+    toks = {i: [*BLANK.findall(t), "</s>"] for i, t, _ in docs}
+    c = Counter(w for i, _, train in docs if train for w in toks[i])
+    c2 = Counter(p for i, _, train in docs if train for p in zip(toks[i], toks[i][1:], strict=False))
+    q = lambda n: math.ceil(2 ** (math.floor(2 * math.log2(n) + 1e-9) / 2) - 1e-9) if n else 0
+    z = sum(map(q, c.values())) + 0.1 * (len(c) + 1)
+    p1 = lambda w: (q(c[w]) + 0.1) / z
+    p2 = lambda v, w: 0.75 * p1(w) + 0.25 * q(c2[v, w]) / c[v] if v and c[v] else p1(w)
+    equal = 0
+    for r in lm.score(spark.createDataFrame(docs, DOCS + ", train boolean")).collect():
+        t = toks[r["doc_id"]]
+        want = sum(math.log10(p2(v, w)) for v, w in zip([None, *t], t, strict=False))
+        assert want - 1e-6 <= r["score"] <= want + 0.3  # the filter's false hits can only raise it
+        equal += r["score"] == pytest.approx(want)
+    assert equal > 0.6 * len(docs)
+    assert sum(p1(w) for w in [*c, "new"]) == pytest.approx(1)
+    assert all(0.9 < sum(p2(v, w) for w in [*c, "new"]) <= 1 + 1e-9 for v in c if v != "</s>")
+
+
+def test_fingerprints_by_brute_force(spark):
+    xxhash = pytest.importorskip("xxhash")
+    rnd = random.Random(12)
+    texts = ["", "one", "two words", " ".join(rnd.choices("a bb ccc dddd eeeee".split(), k=60)), "x" * 40 + " tail of words here and there", "".join(rnd.choices("\u4e00\u4e8c\u4e09", k=90)), "tab\tand\nline " * 9]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+
+    def chained(parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return signed(h)
+
+    def kept(text):
+        blanks = re.sub("[\t\n\x0b\x0c\r]", " ", " " + text)
+        pieces = re.findall(r" \S(?!\S)|(?<!\S)\S{2,16}(?!\S)|\S", blanks)
+        n, out = len(pieces), []
+        grams = [chained(pieces[i : i + fingerprint.LONG_GRAM] if len(pieces[i]) == 1 else pieces[i : i + 3]) >> 24 for i in range(max(n - 2, 1))] if n else []
+        for i in range(max(len(grams) - 7, 1) if grams else 0):
+            best = min(range(i, min(i + 8, len(grams))), key=lambda k: (grams[k], -k))
+            if not out or out[-1] != best:
+                out.append(best)
+        return ",".join(f"{grams[k] & ((1 << 40) - 1):010X}:{k}" for k in out)
+
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {i: kept(t) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(3, "b c d e f"), (3, "a b c d e"), (None, "z y x w"), (1, "q" * 20000), (1, None), (2, "one inserted character " * 200)]
+    out = fingerprint.compare_edited(spark.createDataFrame([(i, t, 4) for i, t in rows], DOCS + ", Bucket int")).collect()
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1] or ""))
+    want = sorted((i if i is not None else -1, len(t or ""), sha((t or "")[: len(t or "") - len(t or "") // 3] + (order[(k + 1) % len(order)][1] or "")[: len(t or "") // 3])) for k, (i, t) in enumerate(order))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_chars"], r["edited_sha256"]) for r in out) == want
+    long = "".join(random.Random(3).choices("\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03", k=3000))
+    words = " ".join(random.Random(4).choices([f"w{k}" for k in range(300)], k=3000))
+    for text in (long, words):
+        m = [r["h"] for r in spark.createDataFrame([(0, text), (1, "x" + text)], DOCS).select(fingerprint.hashes(fingerprint.marks(F.col("text"))).alias("h")).collect()]
+        assert len(set(m[0]) & set(m[1])) / len(set(m[0]) | set(m[1])) > 0.9
+
+
 def test_words_of_brute_force_agree():
     data, offsets = textbuf.utf8(__import__("pyarrow").array(["Ab  c\td", None, "é e"]))
     s, e, row = textbuf.word_bounds(textbuf.LOWER[data], offsets, textbuf.NOT_BLANK)
