@@ -171,7 +171,7 @@ def benchmark(predictions: DataFrame, reference: DataFrame, tasks: dict[str, str
     predictions: canonical columns; reference: case_id, split, source_dataset, a label for each task and the strata. Only
     validation and test count.
     """
-    joined, checks = many_to_one(predictions.drop(*tasks.values(), *strata), reference, ["case_id"], ["split", "source_dataset"])
+    joined, checks = many_to_one(predictions.drop("task", "label", *tasks.values(), *strata), reference, ["case_id"], ["split", "source_dataset"])
     rows = by_task(joined.where(F.col("split").isin("validation", "test")), tasks)
     metrics = label_metrics(stratified(rows, list(strata)), ["task", "model_name", "comparison_role", "split", "stratum", "value"])
     return metrics, catalog(predictions, reference), checks

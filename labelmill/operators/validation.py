@@ -148,7 +148,8 @@ def canonical_predictions(df: DataFrame, prefix: str = "case") -> tuple[DataFram
     if absent is not None:
         return df.limit(0), absent
     numbers = {c: F.col(c).cast("string").try_cast("double") for c in ("prediction_score", "prediction_label", "threshold")}
-    rows = df.withColumns({c: X.blank_to_null(F.col(c)) for c in ("case_id", *NAMES)} | {c: X.normalised_id(F.col(c).cast("string")) for c in ("subject_id", "study_id")} | numbers)
+    given = X.blank_to_null(F.col("threshold")).isNotNull()
+    rows = df.withColumn("_given", given).withColumns({c: X.blank_to_null(F.col(c)) for c in ("case_id", *NAMES)} | {c: X.normalised_id(F.col(c).cast("string")) for c in ("subject_id", "study_id")} | numbers)
     bad = {f"{c}_present": F.col(c).isNull() for c in ("subject_id", "study_id", "case_id", *NAMES)}
     bad |= {
         "case_id_agrees": F.col("case_id").isNotNull() & (F.col("case_id") != X.case_id(F.col("subject_id"), F.col("study_id"), prefix)),
@@ -157,7 +158,7 @@ def canonical_predictions(df: DataFrame, prefix: str = "case") -> tuple[DataFram
         "target_known": ~F.col("intended_target").isin(*TARGETS),
         "score_range": ~F.col("prediction_score").between(0, 1),
         "label_range": ~F.col("prediction_label").isin(0.0, 1.0),
-        "threshold_range": df["threshold"].isNotNull() & ~F.coalesce(F.col("threshold").between(0, 1), F.lit(False)),
+        "threshold_range": F.col("_given") & ~F.coalesce(F.col("threshold").between(0, 1), F.lit(False)),
     }
     checks = failed(rows, bad, {"duplicate_case_model": ["case_id", "model_name"]})
     rows = rows.withColumn("prediction_label", F.col("prediction_label").cast("int"))

@@ -106,7 +106,7 @@ def disagreement_review(spark, sf_dir):
     return _rounded(A.disagreement_review(r, A.case_summary(r, w)))
 
 
-@query(f"WITH {WIDE}, b AS (SELECT case_id, CASE WHEN case_id % 50 = 3 THEN 'R9' ELSE rater END AS rater, CASE WHEN case_id % 40 = 7 THEN 130 ELSE image_rating END AS image_rating, image_complete, report_rating, CASE WHEN case_id % 60 = 9 THEN 5 ELSE report_complete END AS report_complete FROM wide UNION ALL SELECT * FROM wide WHERE case_id % 90 = 11), d AS (SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM b GROUP BY case_id, rater HAVING count(*) > 1)), c AS (SELECT 'rater_known' AS \"check\", count(*) FILTER (rater NOT IN ('R0', 'R1', 'R2')) AS n_rows FROM b UNION ALL SELECT 'image_rating', count(*) FILTER (image_complete = 2 AND NOT coalesce(image_rating BETWEEN 0 AND 100, FALSE)) FROM b UNION ALL SELECT 'report_completion', count(*) FILTER (report_complete NOT IN (0, 1, 2)) FROM b UNION ALL SELECT 'duplicate_case_rater', coalesce(n, 0)::BIGINT FROM d) SELECT \"check\", 'error' AS severity, n_rows FROM c WHERE n_rows > 0")
+@query(f"WITH {WIDE}, b AS (SELECT case_id, CASE WHEN case_id % 50 = 3 THEN 'R9' ELSE rater END AS rater, CASE WHEN case_id % 40 = 7 THEN 130 ELSE image_rating END AS image_rating, image_complete, report_rating, CASE WHEN case_id % 60 = 9 THEN 5 ELSE report_complete END AS report_complete FROM wide UNION ALL SELECT case_id, rater, image_rating, image_complete, report_rating, report_complete FROM wide WHERE case_id % 90 = 11), d AS (SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM b GROUP BY case_id, rater HAVING count(*) > 1)), c AS (SELECT 'rater_known' AS \"check\", count(*) FILTER (rater NOT IN ('R0', 'R1', 'R2')) AS n_rows FROM b UNION ALL SELECT 'image_rating', count(*) FILTER (image_complete = 2 AND NOT coalesce(image_rating BETWEEN 0 AND 100, FALSE)) FROM b UNION ALL SELECT 'report_completion', count(*) FILTER (report_complete NOT IN (0, 1, 2)) FROM b UNION ALL SELECT 'duplicate_case_rater', coalesce(n, 0)::BIGINT FROM d) SELECT \"check\", 'error' AS severity, n_rows FROM c WHERE n_rows > 0")
 def wide_rating_checks(spark, sf_dir):
     """A wide table with planted faults."""
     w = wide(spark, sf_dir).select("case_id", "rater", "image_rating", "image_complete", "report_rating", "report_complete")

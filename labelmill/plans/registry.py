@@ -262,7 +262,7 @@ def bootstrap_brier(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extraction_queries, learning_queries, planning_queries, rating_queries, report_queries  # noqa: F401  they register themselves
+    from . import benchmark_queries, extraction_queries, learning_queries, parity_queries, planning_queries, rating_queries, report_queries, validation_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
