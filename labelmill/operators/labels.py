@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
+
 def combine_labelers(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Full outer join of two labelers with flags of presence."""
     return a.withColumn("has_a", F.lit(True)).join(b.withColumn("has_b", F.lit(True)), key, "full").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_a", "has_b")})
@@ -23,6 +24,39 @@ def leaks(df: DataFrame, subject: str) -> DataFrame:
     return df.groupBy(subject).agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+def assert_no_leaks(df: DataFrame, subject: str, examples: int = 5) -> None:
+    found = example_values(leaks(df, subject), subject, examples).first()
+    if found["n"]:
+        raise ValueError(f"{found['n']} subjects are in several splits, such as {found['examples']}")
+
+
+def example_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """One row: how many rows there are, and the first n of the column's distinct values in order."""
+    first = df.select(F.col(column).cast("string").alias("v")).distinct().orderBy("v").limit(n).agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    return df.agg(F.count("*").alias("n")).join(F.broadcast(first))  # one row each
+
+
+def with_split(df: DataFrame, splits: DataFrame, subject: str) -> DataFrame:
+    """Rows of subjects that have a split, with it. splits: a row per subject."""
+    return df.join(splits.select(subject, "split"), subject)
+
+
+def reviewed(silver: DataFrame, reviews: DataFrame, key: list[str], cut: float = 50) -> DataFrame:
+    """Reviewed rows with the silver label beside the reviewer's, and whether they agree (null where either is missing)."""
+    human = (F.col("probability_0_100") >= cut).cast("int")
+    return silver.join(reviews, key).withColumn("human_label", human).withColumn("agrees", F.col("human_label") == F.col("silver_strict"))
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df sorted by keys that are unique together, so that the order is the same at every run."""
+    return df.orderBy(*keys)
+
+
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of least key: a limit that gives the same rows at every run."""
+    return df.orderBy(key).limit(n)
+
+
 def score_bin(c: Column) -> Column:
     edges = (0.1, 0.3, 0.5, 0.7, 0.9)
     out = F.when(c < edges[0], 0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +21,31 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, total / (2 * n[1])).otherwise(total / (2 * n[0])))
 
 
+def unaccented(c: Column) -> Column:
+    """Latin letters without their accents, as Unicode takes them apart."""
+    pairs = [(chr(k), d[0]) for k in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(k))) > 1 and not unicodedata.combining(d[0])]
+    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def structured_features(df: DataFrame, features: list[str], derived: tuple[str, ...] = ("silver_", "qa_", "review_")) -> tuple[DataFrame, list[str]]:
+    """df with the features that it has as numbers (booleans 0 and 1, malformed values null), and their names.
+
+    Columns that come from the label itself may not be features.
+    """
+    if bad := [c for c in features if c.startswith(derived)]:
+        raise ValueError(f"label-derived columns: {bad}")
+    here = [c for c in features if c in df.columns]
+    if not here:
+        raise ValueError("no structured feature is present")
+    number = lambda c: F.col(c).cast("int").cast("double") if df.schema[c].dataType.simpleString() == "boolean" else F.col(c).try_cast("double")
+    return df.withColumns({c: number(c) for c in here}), here
+
+
 def text_pipeline(vocabulary: int = 20000, min_df: int = 2) -> Pipeline:
     """Lower-cased one- and two-grams, TF-IDF scaled to length 1, logistic regression."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\W+", minTokenLength=2), NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, lower(text) AS plain_text FROM __THIS__"),
+        RegexTokenizer(inputCol="plain_text", outputCol="words", pattern=r"(?U)\W+", minTokenLength=2), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
         CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary, minDF=min_df), IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=40, regParam=1e-4),
@@ -36,6 +59,20 @@ def structured_pipeline(columns: list[str]) -> Pipeline:
 
 def fit_and_score(df: DataFrame, pipeline: Pipeline, name: str, key: str = "doc_id") -> DataFrame:
     """Trains on rows of split train and scores validation and test: key, split, model, label, score; no text."""
+    empty = {"train", "validation", "test"} - {r[0] for r in df.select("split").distinct().collect()}
+    if empty:
+        raise ValueError(f"splits without rows: {sorted(empty)}")
     model = pipeline.fit(balanced(df.where("split = 'train'")))
     out = model.transform(df.where(F.col("split").isin("validation", "test")).withColumn("weight", F.lit(1.0)))
     return out.select(key, "split", F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+
+
+def fit_tasks(df: DataFrame, tasks: dict[str, str], models: dict[str, Pipeline], key: str = "doc_id") -> DataFrame:
+    """Every model trained and scored for every task (name to label column) on the rows that have its label, in one table."""
+    out = None
+    for task, column in tasks.items():
+        rows = df.where(F.col(column).isNotNull()).withColumn("label", F.col(column).cast("double"))
+        for name, pipeline in models.items():
+            one = fit_and_score(rows, pipeline, name, key).withColumn("task", F.lit(task))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -164,3 +164,12 @@ def mirror_differences(spark, sf_dir):
     m = m.select("task", "model_name", "comparison_role", "split", "stratum", "value", "n").join(mean, ["task", "split", "stratum", "value"])
     copy = m.withColumns({"model_name": F.lit("copy"), "n": F.when(F.col("stratum") == "silver_source", F.col("n") + 1).otherwise(F.col("n"))})
     return V.mirror_differences(m.unionByName(copy), "copy", "m1")
+
+
+@query(f"WITH {CANON}, g AS (SELECT source, count(DISTINCT split) AS k FROM (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) GROUP BY 1), c AS (SELECT 'validation_rows' AS \"check\", 1::BIGINT AS n_rows UNION ALL SELECT 'subject_overlap', count(*) FROM g WHERE k > 1 UNION ALL SELECT 'missing_text', count(*) FROM documents WHERE doc_id % 50 = 7 OR text IS NULL OR regexp_matches(text, '^\\s*$') UNION ALL SELECT 'prediction_rows', 1) SELECT \"check\", 'error' AS severity, n_rows FROM c WHERE n_rows > 0")
+def modelling_checks(spark, sf_dir):
+    """An extract without a validation split, with leaks and lost texts, and one model whose rows are short."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("subject_id"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "test").otherwise("train").alias("split"), F.when(F.pmod("doc_id", F.lit(50)) != 7, F.col("text")).alias("report_text"), F.lit(1).alias("y"))
+    p = d.where("split = 'test' and pmod(doc_id, 10) <> 0").select("split", F.lit("t").alias("task"), F.lit("m").alias("model"))
+    gaps = B.modelling_gaps(d, p, p, {"t": "y"}, ["m"], ("test",))
+    return B.modelling_checks(d, gaps)

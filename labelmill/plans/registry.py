@@ -227,10 +227,69 @@ def intraclass_correlation(spark, sf_dir):
     return _rounded(A.icc(ratings(spark, sf_dir), 3)).select("task", "n", "icc_single", "icc_mean")
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+') AS email_address, regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') AS id_number, regexp_matches(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b') AS address_number, regexp_matches(text, 'https?://') AS web_address FROM documents WHERE text IS NOT NULL")
+# The names and patterns of what may identify a person or a machine.
+IDENTIFIERS = {
+    "mimic_deidentification_marker": r"\[\*\*",
+    "mimic_identifier": r"(?i)\bmimic[_-]",
+    "record_identifier_label": r"(?i)\b(?:mrn|medical record|accession|subject[_ ]?id|study[_ ]?id|patient[_ ]?id|dob|date of birth|ssn)\b",
+    "email_address": r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b",
+    "phone_number": r"\b\d{3}[-.) ]+\d{3}[- ]+\d{4}\b",
+    "ssn_number": r"\b\d{3}-\d{2}-\d{4}\b",
+    "long_numeric_identifier": r"\b\d{4,}\b",
+    "absolute_posix_path": r"(?:^|[^:])/(?:Users|home|Volumes|mnt)/",
+    "windows_path": r"\b[A-Za-z]:\\",
+}
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in IDENTIFIERS.items()) + "], lambda x: x IS NOT NULL), '|') AS found FROM documents WHERE text IS NOT NULL")
 def identifier_screen(spark, sf_dir):
-    patterns = {"email_address": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "id_number": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "address_number": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "web_address": "https?://"}
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *(F.col("text").rlike(p).alias(k) for k, p in patterns.items()))
+    """Names of the kinds of identifiers that a text holds."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.array_compact(F.array(*(F.when(F.col("text").rlike(p), k) for k, p in IDENTIFIERS.items()))), "|").alias("found"))
+
+
+@query(f"SELECT doc_id, d.source, {_SPLIT.replace('source', 's.source')} AS split FROM documents d JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s USING (source)".replace("d.source,", "source,"))
+def split_join(spark, sf_dir):
+    """Subjects are dealt to splits once; their rows get it by a join."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return L.with_split(d, L.assign_splits(d.select("source").where("source is not null").distinct(), "source", TRAIN_SALT), "source").select("doc_id", "source", "split")
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE lang = 'de') AS n, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT doc_id::VARCHAR AS v FROM documents WHERE lang = 'de' ORDER BY v LIMIT 5)) AS examples")
+def example_ids(spark, sf_dir):
+    return L.example_values(table(spark, sf_dir, "documents").where("lang = 'de'"), "doc_id").withColumn("examples", F.array_join("examples", ","))
+
+
+@query("SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+def sources_by_size(spark, sf_dir):
+    """Sources in order of size; their place is taken from the sorted rows themselves."""
+    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    rows = L.in_order(g.withColumn("minus", -F.col("n")), "minus", "source").select("source", "n")
+    return rows.agg(F.collect_list(F.struct("source", "n")).alias("l")).select(F.posexplode("l").alias("k", "r")).select("r.source", "r.n", (F.col("k") + 1).cast("bigint").alias("place"))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
+def first_documents(spark, sf_dir):
+    return L.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 25)
+
+
+@query("SELECT d.doc_id, (hash_p >= 50)::INT AS human_label, quality AS silver_strict, (hash_p >= 50)::INT = quality AS agrees FROM (SELECT doc_id, doc_id * 37 % 101 AS hash_p FROM documents) d JOIN labels USING (doc_id)")
+def reviewed_against_silver(spark, sf_dir):
+    silver = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("silver_strict"))
+    reviews = table(spark, sf_dir, "documents").select("doc_id", F.expr("pmod(doc_id * 37, 101)").alias("probability_0_100"))
+    return L.reviewed(silver, reviews, ["doc_id"]).select("doc_id", "human_label", "silver_strict", "agrees")
+
+
+@query(f"WITH {RATINGS}, c AS (SELECT t.task, v.a AS rater_a, v.b AS rater_b FROM (VALUES ('image'), ('report')) t(task), (VALUES ('R0', 'R1'), ('R0', 'R2'), ('R0', 'R9'), ('R1', 'R2'), ('R1', 'R9'), ('R2', 'R9')) v(a, b)), q AS (SELECT x.task, x.rater AS rater_a, y.rater AS rater_b, count(*) AS n, round(avg(abs(x.value - y.value)), 6) AS mae FROM r x JOIN r y ON x.case_id = y.case_id AND x.task = y.task AND x.rater < y.rater GROUP BY ALL) SELECT task, rater_a, rater_b, coalesce(n, 0) AS n, coalesce(mae, -1) AS mae FROM c LEFT JOIN q USING (task, rater_a, rater_b)")
+def every_rater_pair(spark, sf_dir):
+    """A row for each pair of expected raters, also where no case is in common."""
+    return _rounded(A.every_pair(A.pairwise_agreement(ratings(spark, sf_dir)), ["image", "report"], ["R0", "R1", "R2", "R9"])).select("task", "rater_a", "rater_b", "n", "mae").fillna(-1, ["mae"])
+
+
+@query(f"WITH {RATINGS}, i AS (SELECT event_id // 6 AS case_id, arg_min(event_type, event_id) AS kind, arg_min(user_id, event_id) FILTER (user_id % 2 = 0) AS even_user FROM events GROUP BY 1) SELECT case_id, task, count(*) AS n, kind, coalesce(even_user, -1) AS even_user FROM r JOIN i USING (case_id) GROUP BY ALL")
+def identified_cases(spark, sf_dir):
+    """A case reference with the first value of each identifier."""
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 6").alias("case_id"), F.col("event_id").alias("row_no"), F.col("event_type").alias("kind"), F.when(F.pmod("user_id", F.lit(2)) == 0, F.col("user_id")).alias("even_user"))
+    return A.identified(A.case_reference(ratings(spark, sf_dir)), e, ["kind", "even_user"]).select("case_id", "task", "n", "kind", "even_user").fillna(-1, ["even_user"])
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), c AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS cluster FROM t) SELECT conv_id, cluster::BIGINT AS cluster, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM c GROUP BY ALL")

@@ -7,13 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
+from labelmill.functions.distributions import f_quantile
 from labelmill.operators import agreement as A
+from labelmill.operators import benchmark as B
 from labelmill.operators import extraction as E
 from labelmill.operators import labels as L
+from labelmill.operators import learning as T
 from labelmill.operators import metrics as M
 from labelmill.operators import planning as P
 from labelmill.operators import reports as S
 from labelmill.operators import stemming
+from labelmill.operators import validation as V
 from labelmill.sources import readers as R
 from labelmill.sources import writers as W
 
@@ -188,3 +192,62 @@ def test_no_task_or_pair_of_raters_meets_in_one_window(spark):
     assert windows and all("_range" in x for x in windows)
     assert [x["rank"] for x in A.with_rank(r.where("rater = 'R0' and case_id < 4"), "value", ["task"], "rank").orderBy("case_id").collect()] == [1.0, 3.0, 4.0, 2.0]
     assert [x["rank"] for x in A.with_rank(r.where("rater = 'R0' and case_id < 6"), "value", ["task"], "rank").orderBy("case_id").collect()] == [1.5, 4.0, 6.0, 3.0, 5.0, 1.5]
+
+
+def test_learning_inputs_and_tasks(spark):
+    rows = [(i, ("train", "validation", "test")[i % 3], i % 2, 1 - i % 2 if i % 5 else None, "high" if i % 2 else "x", bool(i % 2), float(i % 2 * 3 + i % 4)) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, split string, a int, b int, word string, flag boolean, size double")
+    f, here = T.structured_features(d, ["flag", "size", "word", "nope"])
+    assert here == ["flag", "size", "word"] and f.first()["word"] is None and f.where("doc_id = 1").first()["flag"] == 1.0
+    with pytest.raises(ValueError, match="label-derived"):
+        T.structured_features(d, ["silver_score"])
+    scored = T.fit_tasks(f.fillna(0, here), {"a": "a", "b": "b"}, {"m": T.structured_pipeline(["flag", "size"])})
+    assert {(r["task"], r["split"]): r["roc_auc"] for r in M.ranking_metrics(scored, ["task", "split"]).collect()} == {(t, s): 1.0 for t in "ab" for s in ("validation", "test")}
+    assert scored.columns == ["doc_id", "split", "model", "label", "score", "task"]
+    with pytest.raises(ValueError, match="without rows"):
+        T.fit_tasks(f.where("split <> 'test'").fillna(0, here), {"a": "a"}, {"m": T.structured_pipeline(["size"])})
+    with pytest.raises(ValueError, match="two classes"):
+        T.fit_tasks(f.where("a = 1").fillna(0, here), {"a": "a"}, {"m": T.structured_pipeline(["size"])})
+    assert one(spark, "Ünï ça ñ ø", lambda c: T.unaccented(c)) == "Uni ca n ø"
+    with pytest.raises(ValueError, match="several splits"):
+        L.assert_no_leaks(d.withColumn("word", F.lit("s")), "word")
+
+
+def test_text_model_tells_words_apart(spark):
+    rows = [(i, ("train", "validation", "test")[i % 3], float(i % 2), ("good fine calm " if i % 2 else "bad loud wild ") * 3 + f"word{i % 7}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, split string, label double, text string")
+    assert all(r["roc_auc"] == 1.0 for r in M.ranking_metrics(T.fit_and_score(d, T.text_pipeline(50), "text"), ["split"]).collect())
+
+
+def test_f_quantiles_and_reliability_limits():
+    assert f_quantile(0.975, 5, 10) == pytest.approx(4.2361, abs=1e-4) and f_quantile(0.95, 1, 1) == pytest.approx(161.4476, rel=1e-4) and f_quantile(0.5, 7.5, 3.25) == pytest.approx(1 / f_quantile(0.5, 3.25, 7.5))
+    low, high = A.icc_limits(6, 11.2417, 32.4861, 1.0194, 0.2898, 4, 0.95)
+    assert low == pytest.approx(0.0188, abs=2e-3) and high == pytest.approx(0.7611, abs=2e-3)
+
+
+def test_reliability_by_hand(spark):
+    scores = [(9, 2, 5, 8), (6, 1, 3, 2), (8, 4, 6, 8), (7, 1, 2, 6), (10, 5, 6, 9), (6, 2, 4, 7)]
+    r = spark.createDataFrame([(c, f"R{k}", "t", float(v)) for c, row in enumerate(scores) for k, v in enumerate(row)], "case_id long, rater string, task string, value double")
+    got = A.icc(r, 4).first()
+    assert (got["icc_single"], got["icc_mean"], got["status"]) == (pytest.approx(0.2898, abs=1e-4), pytest.approx(0.6201, abs=1e-4), "estimated")
+    assert got["single_low"] == pytest.approx(0.0188, abs=2e-3) and got["mean_high"] == pytest.approx(0.9272, abs=2e-3)
+    assert A.icc(r.where("case_id = 0"), 4).first()["status"] == "insufficient_balanced_cases"
+
+
+def test_benchmark_refusals(spark):
+    a = spark.createDataFrame([("1", 0.5), ("2", 0.7)], "case_id string, prediction_score double")
+    with pytest.raises(ValueError, match="left_only 1"):
+        B.one_to_one(a, a.where("case_id = '1'"), ["case_id"])
+    raw = spark.createDataFrame([("1", 0.5, 0.4, "x"), ("2", 1.2, 0.0, "x")], "case_id string, p double, q double, raw string")
+    with pytest.raises(ValueError, match="p_range: 1 rows; sum_of_classes: 2 rows"):
+        B.class_probabilities(raw, a.select("case_id"), ["p", "q"], "p", "raw", "x")
+    with pytest.raises(Exception, match="gave 1 scores"):
+        B.batch_scores(a.withColumn("text", F.lit("x")).coalesce(1), "text", lambda t: [1.0], name="s").collect()
+    r = spark.createDataFrame([(1, 2, "text here", "", "fall", "train", ["none"]), (1, 3, "t", "both", "f", "train", ["odd"])], "subject long, study long, report_text string, scope_both string, scope_fallback string, split string, qa_flags array<string>")
+    out = {x["case_id"]: (x["scope_both"], x["fallback_used"], x["flags_present"]) for x in B.source(r.drop("split", "qa_flags"), r.select("subject", "study", "split", "qa_flags")).collect()}
+    assert out == {"case_1_2": ("fall", True, False), "case_1_3": ("both", False, True)}
+    with pytest.raises(ValueError, match="subject_in_several_splits"):
+        B.source(r.drop("split", "qa_flags"), r.select("subject", "study", F.when(F.col("study") == 2, "test").otherwise("train").alias("split"), "qa_flags"))
+    with pytest.raises(ValueError, match="texts or paths"):
+        V.canonical_predictions(a.withColumn("report_text", F.lit("x")))
+    assert V.canonical_predictions(a)[1].first()["check"].startswith("required_columns")
