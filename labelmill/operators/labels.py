@@ -112,25 +112,3 @@ def multiset_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataF
 def occurrence_number(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:
     """Zero-based number of each of several identical rows."""
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*same).orderBy(*order)) - 1)
-
-
-def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """One row per failed check with its number of rows; all checks in one pass."""
-    row = df.agg(*(F.count_if(F.coalesce(c, F.lit(True))).alias(k) for k, c in checks.items()))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.lit("error").alias("severity"), F.col(k).alias("n_rows")) for k in checks)))).where("n_rows > 0")
-
-
-def raise_if_any(found: DataFrame) -> None:
-    bad = found.limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['check']}: {r['n_rows']} rows" for r in bad))
-
-
-def assert_columns(df: DataFrame, required: list[str], unsafe: str = r"(?i)(^|_)(text|path|note|notes)($|_)", allow_unsafe: bool = True) -> None:
-    """Required columns are there and, for tables that leave a restricted area, none holds text or paths."""
-    import re
-
-    missing = [c for c in required if c not in df.columns]
-    bad = [] if allow_unsafe else [c for c in df.columns if re.search(unsafe, c)]
-    if missing or bad:
-        raise ValueError(f"missing columns {missing}, unsafe columns {bad}")

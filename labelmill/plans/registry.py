@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import labels as L
 from ..operators import metrics as M
+from ..operators import validation as V
 from .tables import PREDICTIONS, RATINGS, predictions, ratings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,7 +305,7 @@ def adjacent_clusters(spark, sf_dir):
 @query(f"WITH {PREDICTIONS} SELECT 'score_range' AS \"check\", 'error' AS severity, count(*) AS n_rows FROM p WHERE NOT (score BETWEEN 0.05 AND 0.95) HAVING count(*) > 0 UNION ALL SELECT 'lang_known', 'error', count(*) FROM p WHERE NOT coalesce(lang IN ('en', 'fr', 'de'), FALSE) HAVING count(*) > 0")
 def prediction_checks(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return L.violations(p, {"score_range": ~F.col("score").between(0.05, 0.95), "lang_known": ~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False))})
+    return V.failed(p, {"score_range": ~F.col("score").between(0.05, 0.95), "lang_known": ~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False))})
 
 
 @query("WITH g AS (SELECT source, avg(quality)::DOUBLE AS p, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT source, n, round(1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 * 1.959963984540054 / (4.0 * n * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n), 6) AS half_width FROM g")

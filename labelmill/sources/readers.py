@@ -23,15 +23,15 @@ def normalised_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") for c in df.columns))
 
 
-def report_tree(spark: SparkSession, root: str, subject: str = r"/p(\d{8})/", study: str = r"s(\d{8})\.txt$") -> DataFrame:
-    """subject_id, study_id, report_text of all s*.txt below root; raises if a path has no ids, a study repeats or nothing is found."""
+def report_tree(spark: SparkSession, root: str, subject: str = r"/p(\d{8})/", study: str = r"s(\d{8})\.txt$") -> tuple[DataFrame, DataFrame]:
+    """subject_id, study_id, report_text of all s*.txt below root, and failed checks: paths without ids, repeated studies, no files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "s*.txt").load(root)
     part = lambda p: F.nullif(F.regexp_extract("path", p, 1), F.lit("")).try_cast("bigint")
-    rows = files.select("path", part(subject).alias("subject_id"), part(study).alias("study_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("report_text"))
-    bad = rows.agg(F.count("*").alias("n"), F.count_if(F.col("subject_id").isNull() | F.col("study_id").isNull()).alias("unparsed"), (F.count("study_id") - F.countDistinct("study_id")).alias("repeated")).first()
-    if not bad["n"] or bad["unparsed"] or bad["repeated"]:
-        raise ValueError(f"report tree: {bad.asDict()}")
-    return rows.drop("path")
+    rows = files.select(part(subject).alias("subject_id"), part(study).alias("study_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("report_text"))
+    ids = files.select(part(subject).alias("subject_id"), part(study).alias("study_id"))  # the contents are not read for the checks
+    none = ids.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("has_files").alias("check"), F.lit("error").alias("severity"), F.lit(0).cast("bigint").alias("n_rows"))
+    checks = failed(ids, {"ids_in_path": F.col("subject_id").isNull() | F.col("study_id").isNull()}).unionByName(failed(ids.where("study_id is not null"), {}, {"study_repeats": ["study_id"]}))
+    return rows, checks.unionByName(none)
 
 
 def label_csv(spark: SparkSession, path: str, ids: list[str], labels: list[str]) -> DataFrame:
@@ -67,13 +67,18 @@ def entity_graphs(spark: SparkSession, path: str, whole_file: bool = False) -> t
     return reports, entities, relations.select("report_key", "source_id", F.get("r", F.lit(0)).alias("relation"), F.get("r", F.lit(1)).alias("target_id"))
 
 
-def documents(spark: SparkSession, path: str, fmt: str, id_column: str, text_column: str, id_prefix: str = "") -> DataFrame:
-    """doc_id (with prefix) and text from csv, parquet or json lines; raises on a blank id."""
+def documents(spark: SparkSession, path: str, fmt: str, id_column: str, text_column: str, id_prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """doc_id (with prefix) and text from csv, parquet or json lines, plain or gzip, and failed checks: blank and repeated ids.
+
+    Gzip files can't be split, so rows of such are dealt anew.
+    """
     df = spark.read.format(fmt).options(**({"header": "true", "multiLine": "true", "escape": '"'} if fmt == "csv" else {})).load(path)
-    rows = df.select(F.concat(F.lit(id_prefix), F.nullif(ws_trim(F.col(id_column).cast("string")), F.lit(""))).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    if rows.where("doc_id is null").limit(1).count():
-        raise ValueError("a document has no id")
-    return rows
+    if absent := [c for c in (id_column, text_column) if c not in df.columns]:
+        raise ValueError(f"missing columns: {absent}")
+    rows = df.select(F.concat(F.lit(id_prefix), blank_to_null(F.col(id_column))).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    if path.endswith(".gz"):
+        rows = rows.repartition("doc_id")
+    return rows, failed(rows, {"id_present": F.col("doc_id").isNull()}).unionByName(failed(rows.where("doc_id is not null"), {}, {"id_repeats": ["doc_id"]}))
 
 
 def mapped_ids(entities: DataFrame, key: str = "report_key", pattern: str = r"s(\d{8})", most_unmapped: float = 0.01) -> DataFrame:

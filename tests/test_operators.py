@@ -116,10 +116,10 @@ def test_stems(word, want):
 
 
 def test_violations_raise(spark):
-    found = L.violations(spark.createDataFrame([(1,), (-1,)], "x int"), {"positive": F.col("x") < 0, "known": F.col("x").isNull()})
+    found = V.failed(spark.createDataFrame([(1,), (-1,)], "x int"), {"positive": F.col("x") < 0, "known": F.col("x").isNull()})
     assert [(r["check"], r["n_rows"]) for r in found.collect()] == [("positive", 1)]
     with pytest.raises(ValueError, match="positive"):
-        L.raise_if_any(found)
+        V.require(found)
 
 
 def spec(**more):
@@ -149,11 +149,15 @@ def test_report_tree(spark, tmp_path):
     d = tmp_path / "p10" / "p10000001"
     d.mkdir(parents=True)
     (d / "s50000001.txt").write_bytes(b"FINDINGS: x\xff")
-    r = R.report_tree(spark, str(tmp_path)).first()
-    assert (r["subject_id"], r["study_id"]) == (10000001, 50000001) and r["report_text"].startswith("FINDINGS: x")
+    rows, checks = R.report_tree(spark, str(tmp_path))
+    r = rows.first()
+    assert (r["subject_id"], r["study_id"]) == (10000001, 50000001) and r["report_text"].startswith("FINDINGS: x") and checks.count() == 0
     (tmp_path / "sbad.txt").write_text("x")
-    with pytest.raises(ValueError, match="report tree"):
-        R.report_tree(spark, str(tmp_path))
+    (d / "p10000002").mkdir()
+    (d / "p10000002" / "s50000001.txt").write_text("again")
+    with pytest.raises(ValueError, match="ids_in_path: 1 rows; study_repeats: 2 rows"):
+        V.require(R.report_tree(spark, str(tmp_path))[1])
+    assert [c["check"] for c in R.report_tree(spark, str(tmp_path), subject="/nothing(.)/")[1].collect()] == ["ids_in_path", "study_repeats"]
 
 
 def test_entity_graphs(spark, tmp_path):
@@ -179,8 +183,10 @@ def test_label_csv_and_documents(spark, tmp_path):
     assert [tuple(r) for r in R.label_csv(spark, str(tmp_path / "l.csv"), ["subject_id"], ["no_finding", "other"]).collect()] == [(1, 1), (2, None)]
     with gzip.open(tmp_path / "d.jsonl.gz", "wt") as f:
         f.write('{"i": 1, "t": "x"}\n{"i": " ", "t": "y"}\n')
-    with pytest.raises(ValueError, match="no id"):
-        R.documents(spark, str(tmp_path / "d.jsonl.gz"), "json", "i", "t")
+    rows, checks = R.documents(spark, str(tmp_path / "d.jsonl.gz"), "json", "i", "t", "x-")
+    assert [(r["check"], r["n_rows"]) for r in checks.collect()] == [("id_present", 1)] and rows.where("doc_id = 'x-1'").count() == 1
+    with pytest.raises(ValueError, match="columns"):
+        R.documents(spark, str(tmp_path / "d.jsonl.gz"), "json", "i", "nope")
 
 
 def test_no_task_or_pair_of_raters_meets_in_one_window(spark):
