@@ -10,9 +10,10 @@ equals), so equal windows have equal anchors at equal places. Steps:
 3. There the runs are merged by a loser tree that keeps the common prefix of each loser with the last
    winner, so known prefixes are never compared again; it gives the suffix order with its LCP array.
    What stands left of the anchors is ordered the same way, reversed.
+   Anchors that occur very often are left out of this: their windows are compared by 128-bit digests.
 4. A window that starts ``a`` bytes before its anchor is repeated if another anchor has the same class
    of left strings of length a and of suffixes of length LENGTH - a; classes are runs of the two
-   orders between LCPs that are too short. All windows are decided exactly, on bytes.
+   orders between LCPs that are too short. So these windows are decided on bytes.
 
 Null text counts as empty. Texts shorter than LENGTH lose nothing.
 """
@@ -32,6 +33,8 @@ from .textbuf import BYTE_CODES, PIECE, mix, pieces, powers, rightmost_least, ut
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM
+#: Occurrences of an anchor's string from which its windows are compared one by one, all over the key space.
+HOT = 2000
 
 
 def anchors(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,35 +82,47 @@ def _repeated_in(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, u[n > 1]
 
 
-def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
-    """To each batch: anchor hashes that other batches have too, and digests of its texts that others have
-    (with whether this batch keeps the one copy)."""
+def window_digests(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of the LENGTH bytes at each start."""
+    up, down = powers(len(data) + 1)
+    out = np.zeros((len(starts), 2), np.uint64)
+    for k, codes in enumerate((BYTE_CODES, mix(BYTE_CODES ^ np.uint64(0x94D049BB133111EB)))):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
+        out[:, k] = mix((sums[starts + LENGTH] - sums[starts]) * down[starts])
+    return out
+
+
+def shared_keys(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """To each batch: anchor hashes that other batches have too, those that occur more than hot times, and digests of
+    its texts that others have (with whether this batch keeps the one copy)."""
 
     def ask(table: pa.Table) -> pa.Table:
         t = in_order(table)
         data, offsets = utf8(t.column("text"))
-        keys = np.unique(batch_anchors(data, offsets)[0])
+        keys, times = np.unique(batch_anchors(data, offsets)[0], return_counts=True)
         whole = np.unique(digests(data, offsets), axis=0)
         whole = whole[whole.any(1)]
         whole = whole[np.argsort(whole[:, 0], kind="stable")]
         a, b = key_ranges(keys, parts), key_ranges(whole[:, 0], parts)
         some = [k for k in range(parts) if a[k] < a[k + 1] or b[k] < b[k + 1]]
-        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "keys": pa.array([packed(keys[a[k] : a[k + 1]]) for k in some], pa.binary()), "whole": pa.array([packed(whole[b[k] : b[k + 1]]) for k in some], pa.binary())})
+        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "keys": pa.array([packed(keys[a[k] : a[k + 1]]) for k in some], pa.binary()), "times": pa.array([packed(times[a[k] : a[k + 1]].astype(np.uint32)) for k in some], pa.binary()), "whole": pa.array([packed(whole[b[k] : b[k + 1]]) for k in some], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         t = table.sort_by("batch")
         keys, whole = unpacked(t.column("keys")), [w.reshape(-1, 2) for w in unpacked(t.column("whole"))]
-        twice = _repeated_in(joined(keys))[1]
+        u, inverse, n = np.unique(joined(keys), return_inverse=True, return_counts=True)
+        twice, often = u[n > 1], u[np.bincount(inverse, joined(unpacked(t.column("times"), np.uint32), np.uint32), len(u)) > hot]
         every = np.concatenate([np.zeros((0, 2), np.uint64), *whole])
         owner = np.repeat(np.arange(len(whole)), [len(w) for w in whole])
         _, first, inverse, n = np.unique(every, axis=0, return_index=True, return_inverse=True, return_counts=True)
         inverse = inverse.ravel()
         many, keeps = n[inverse] > 1, first[inverse] == np.arange(len(every))
         pick = lambda k, keep: packed(every[many & (owner == k) & (keeps == keep)])
-        return pa.table({"batch": t.column("batch"), "keys": pa.array([packed(k[member(twice, k)]) for k in keys], pa.binary()), "kept": pa.array([pick(k, True) for k in range(len(whole))], pa.binary()), "copies": pa.array([pick(k, False) for k in range(len(whole))], pa.binary())})
+        return pa.table({"batch": t.column("batch"), "keys": pa.array([packed(k[member(twice, k)]) for k in keys], pa.binary()), "hot": pa.array([packed(k[member(often, k)]) for k in keys], pa.binary()), "kept": pa.array([pick(k, True) for k in range(len(whole))], pa.binary()), "copies": pa.array([pick(k, False) for k in range(len(whole))], pa.binary())})
 
-    asked = docs.groupBy("batch").applyInArrow(ask, "batch bigint, part int, keys binary, whole binary")
-    return asked.groupBy("part").applyInArrow(answer, "batch bigint, keys binary, kept binary, copies binary")
+    asked = docs.groupBy("batch").applyInArrow(ask, "batch bigint, part int, keys binary, times binary, whole binary")
+    return asked.groupBy("part").applyInArrow(answer, "batch bigint, keys binary, hot binary, kept binary, copies binary")
 
 
 def lcp(a: bytes, b: bytes, at: int) -> int:
@@ -192,14 +207,15 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
     return order, shared
 
 
-RUNS = "batch bigint, part int, place binary, first binary, last binary, shared binary, rest binary, lefts binary, covered binary"
+RUNS = "batch bigint, part int, place binary, first binary, last binary, shared binary, rest binary, lefts binary, windows binary"
 
 
 def suffix_runs(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at repeated anchors, one per batch and key range; and, under part
     -1, the first and last windows that the batch itself knows to be repeated: of texts that are copies as a whole,
     and of anchors with the same bytes on both sides, of which one goes on. So a passage that many documents share
-    is sent once per batch."""
+    is sent once per batch. Where such a passage begins or ends each document has bytes of its own around the same anchor:
+    of anchors that occur very often, each window goes by its own digest to a range (column windows), so they spread."""
 
     def send(_, table: pa.Table, found: pa.Table) -> pa.Table:
         t = in_order(table)
@@ -223,10 +239,11 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                 covered[r] = d in known
         row = np.searchsorted(offsets, p, "right") - 1
         repeated = np.union1d(_repeated_in(h)[1], np.unique(joined(unpacked(found.column("keys")))))
-        go = np.flatnonzero(member(repeated, h) & ~drop[row])
+        often = member(np.unique(joined(unpacked(found.column("hot")))), h)
+        go = np.flatnonzero(member(repeated, h) & ~drop[row] & ~often)
         go = go[np.argsort(h[go], kind="stable")]
         cut = key_ranges(h[go], parts)
-        out = {k: [] for k in ("batch", "part", "place", "first", "last", "shared", "rest", "lefts", "covered")}
+        out = {k: [] for k in ("batch", "part", "place", "first", "last", "shared", "rest", "lefts", "windows")}
         whole = data.tobytes()
         batch = t.column("batch")[0].as_py() if t.num_rows else None
         again = []  # entries of a context that the batch has sent once: all their windows are repeated
@@ -247,9 +264,26 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
             for name, v in zip(out, values, strict=True):
                 out[name].append(v)
         rows, again = np.flatnonzero(covered), joined(again, np.int64)
-        if len(rows) or len(again):
-            first, last = np.r_[offsets[rows], s[again]], np.r_[offsets[rows + 1] - LENGTH, e[again]]
-            for name, v in zip(out, (batch, -1, b"", packed(first), packed(last), b"", b"", b"", b""), strict=True):
+        twice = np.zeros(0, np.int64)
+        if (hot := np.flatnonzero(often & member(repeated, h) & ~drop[row])).size:
+            n = e[hot] - s[hot] + 1
+            starts = np.repeat(s[hot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            digest = window_digests(data, starts)
+            order = np.lexsort((digest[:, 1], digest[:, 0]))
+            digest, starts = digest[order], starts[order]
+            new = np.r_[True, (digest[1:] != digest[:-1]).any(1)]
+            one = np.diff(np.r_[np.flatnonzero(new), len(new)]) == 1
+            twice = starts[~np.repeat(one, np.diff(np.r_[np.flatnonzero(new), len(new)]))]
+            digest, starts = digest[new], starts[new]
+            cut = key_ranges(digest[:, 0], parts)
+            for k in range(parts):
+                if cut[k] < cut[k + 1]:
+                    some = starts[cut[k] : cut[k + 1]]
+                    for name, v in zip(out, (batch, k, b"", packed(some), packed(some), b"", b"", b"", packed(digest[cut[k] : cut[k + 1]])), strict=True):
+                        out[name].append(v)
+        if len(rows) or len(again) or len(twice):
+            first, last = np.r_[offsets[rows], s[again], twice], np.r_[offsets[rows + 1] - LENGTH, e[again], twice]
+            for name, v in zip(out, (batch, -1, b"", packed(first), packed(last), b"", b"", b"", None), strict=True):
                 out[name].append(v)
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
         return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
@@ -318,17 +352,30 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
         rows = [(batch, np.isin(run, ks)) for batch, ks in groups.items()]
         return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "first": pa.array([packed(begin[r[1]]) for r in rows], pa.binary()), "last": pa.array([packed(end[r[1]]) for r in rows], pa.binary())})
 
-    return runs.where("part >= 0").groupBy("part").applyInArrow(work, "batch bigint, first binary, last binary")
+    return runs.where("part >= 0 and windows is null").groupBy("part").applyInArrow(work, "batch bigint, first binary, last binary")
+
+
+def repeated_digests(runs: DataFrame) -> DataFrame:
+    """repeated_windows for windows that were sent by digest: those that another batch has too."""
+
+    def work(table: pa.Table) -> pa.Table:
+        asked = [w.reshape(-1, 2) for w in unpacked(table.column("windows"))]
+        _, inverse, n = np.unique(np.concatenate([np.zeros((0, 2), np.uint64), *asked]), axis=0, return_inverse=True, return_counts=True)
+        found = np.split(n[inverse.ravel()] > 1, np.cumsum([len(a) for a in asked])[:-1])
+        places = [packed(p[f]) for p, f in zip(unpacked(table.column("first"), np.int64), found, strict=True)]
+        return pa.table({"batch": table.column("batch"), "first": pa.array(places, pa.binary()), "last": pa.array(places, pa.binary())})
+
+    return runs.where("windows is not null").groupBy("part").applyInArrow(work, "batch bigint, first binary, last binary")
 
 
-def removal(docs: DataFrame) -> DataFrame:
+def removal(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes),
     removed (arrays of start and length of each maximal removed run)."""
     parts = parallelism(docs.sparkSession)
     texts = in_batches(docs, "doc_id", "text")
-    answers = materialise(shared_keys(texts, parts))
+    answers = materialise(shared_keys(texts, parts, hot))
     runs = materialise(suffix_runs(texts, answers, parts))
-    stretches = repeated_windows(runs).unionByName(runs.where("part = -1").select("batch", "first", "last"))
+    stretches = repeated_windows(runs).unionByName(repeated_digests(runs)).unionByName(runs.where("part = -1").select("batch", "first", "last"))
 
     def cut(_, table: pa.Table, found: pa.Table) -> pa.Table:
         t = in_order(table)

@@ -44,8 +44,10 @@ def test_suffix_dedup(spark):
         texts.append("".join((b := rnd.choice(base))[(s := rnd.randrange(len(b))) : s + rnd.randrange(50, 450)] for _ in range(rnd.randrange(1, 5))))
     texts += texts[20:25]
     rows = list(enumerate(texts)) + [(1000, None)]
-    out = suffixes.removal(spark.createDataFrame([(i, t, 1) for i, t in rows], DOCS + ", batch int")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert {r[0]: tuple(r[1:]) for r in out} == dict(covered([(i, (t or "").encode()) for i, t in rows]))
+    want = dict(covered([(i, (t or "").encode()) for i, t in rows]))
+    for hot in (suffixes.HOT, 3, 0):  # with windows of frequent, and of all, anchors by digest
+        out = suffixes.removal(spark.createDataFrame([(i, t, 1) for i, t in rows], DOCS + ", batch int"), hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert {r[0]: tuple(r[1:]) for r in out} == want
 
 
 def test_loser_tree_merges_with_lcps():
