@@ -39,6 +39,8 @@ SHINGLE, PERCENT = 5, 80
 LOW = 0.3
 #: Pairs that one copy of a set serves.
 SHARE = 128
+#: Members of a list that a tile compares with as many.
+TILE = 2048
 _OTHER = np.uint64(0x8BB84B93962EACC9)
 
 
@@ -272,48 +274,81 @@ def leaders(lists: DataFrame) -> DataFrame:
     return found.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
 
-def candidates(lists: DataFrame, differences: bool = False) -> DataFrame:
+def _pairs(own: list[np.ndarray], other: list[np.ndarray], most: int, differences: bool) -> np.ndarray:
+    """Pairs of members of a list that no bound rules out. own and other: doc, n, place, group, leader, weight and number
+    in the list, in order of size; groups other than most are worked through."""
+    d1, m1, p1, g1, l1, w1, i1 = own
+    d, m, p, g, le, w, number = other
+    found = [np.zeros((0, 2), np.int64)]
+    for i in np.flatnonzero(g1 != most).tolist():
+        if differences:
+            j = np.arange(len(d))
+            least = np.maximum(-(-(w1[i] + w) // 18), 1)
+        else:
+            # The block of sizes that a link allows, by position.
+            j = np.arange(np.searchsorted(m, -(-m1[i] * PERCENT // 100), "left"), np.searchsorted(m, m1[i] * 100 // PERCENT, "right"))
+            j = j[((le[j] != l1[i]) | (l1[i] < 0)) & (le[j] != d1[i]) & (d[j] != l1[i])]
+            least = needed(m1[i], m[j])
+        # If this is the first element that both have, no more than what stands from here on is shared; a linked pair
+        # passes at its first.
+        bound = np.minimum(m1[i] - p1[i], m[j] - p[j])
+        j = j[(bound >= least) & (g[j] != g1[i]) & ((g[j] == most) | (number[j] > i1[i]))]
+        if len(j):
+            found.append(np.stack([np.minimum(d1[i], d[j]), np.maximum(d1[i], d[j])], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def candidates(lists: DataFrame, differences: bool = False, tile: int = TILE) -> DataFrame:
     """Pairs of different groups that share a list and that no bound rules out.
 
     Of whole sets: pairs under different leaders, neither the other's leader. Of differences: pairs (of one leader,
-    as their elements say) that must share at least (weight + weight) / 18 of them.
+    as their elements say) that must share at least (weight + weight) / 18 of them. A list with more than tile x tile
+    pairs to look at is cut into tiles, which are dealt over tasks; tiles whose sizes allow no link are left out.
     """
+    schema = "a bigint, b bigint, most bigint, own binary, other binary"
+
+    def table_of(pairs, tiles=()):
+        n = len(pairs)
+        column = lambda k, kind: pa.array([None] * n + [t[k] for t in tiles], kind)
+        return pa.table({"a": pa.array([*pairs[:, 0].tolist(), *[None] * len(tiles)], pa.int64()), "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(tiles)], pa.int64()), "most": column(0, pa.int64()), "own": column(1, pa.binary()), "other": column(2, pa.binary())})
 
     def work(table: pa.Table) -> pa.Table:
-        (_, doc, n, place, group, leader, weight), cut = _lists(table)
-        found = [np.zeros((0, 2), np.int64)]
-        waiting = 0
+        columns, cut = _lists(table)
+        group, leader = columns[4], columns[5]
+        found, tiles, waiting = [np.zeros((0, 2), np.int64)], [], 0
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            g = group[lo:hi]
-            if hi - lo < 2 or (g == g[0]).all():
-                continue
-            d, m, p, le, w = (x[lo:hi] for x in (doc, n, place, leader, weight))
-            if not differences and (le == le[0]).all() and le[0] >= 0:
+            g, le = group[lo:hi], leader[lo:hi]
+            if hi - lo < 2 or (g == g[0]).all() or not differences and (le == le[0]).all() and le[0] >= 0:
                 continue
             ids, size = np.unique(g, return_counts=True)
             most = ids[size.argmax()]
-            for i in np.flatnonzero(g != most).tolist():
-                if differences:
-                    j = np.arange(hi - lo)
-                    least = np.maximum(-(-(w[i] + w) // 18), 1)
-                else:
-                    # The block of sizes that a link allows, by position.
-                    j = np.arange(np.searchsorted(m, -(-m[i] * PERCENT // 100), "left"), np.searchsorted(m, m[i] * 100 // PERCENT, "right"))
-                    j = j[((le[j] != le[i]) | (le[i] < 0)) & (le[j] != d[i]) & (d[j] != le[i])]
-                    least = needed(m[i], m[j])
-                # If this is the first element that both have, no more than what stands from here on is shared; a linked
-                # pair passes at its first.
-                bound = np.minimum(m[i] - p[i], m[j] - p[j])
-                j = j[(bound >= least) & (g[j] != g[i]) & ((g[j] == most) | (j > i))]
-                if len(j):
-                    found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1))
-                    waiting += len(j)
+            every = [x[lo:hi] for x in columns[1:]] + [np.arange(hi - lo)]
+            rest = np.flatnonzero(g != most)
+            if len(rest) * (hi - lo) <= tile * tile:
+                found.append(_pairs([x[rest] for x in every], every, most, differences))
+                waiting += len(found[-1])
+            else:
+                n = every[1]
+                for i in range(0, len(rest), tile):
+                    own = rest[i : i + tile]
+                    for j in range(0, hi - lo, tile):
+                        other = slice(j, min(j + tile, hi - lo))
+                        if differences or (n[other][0] * PERCENT <= 100 * n[own[-1]] and n[own[0]] * PERCENT <= 100 * n[other][-1]):
+                            tiles.append((int(most), packed(np.stack([x[own] for x in every])), packed(np.stack([x[other] for x in every]))))
             if waiting > 500_000:
                 found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return table_of(np.unique(np.concatenate(found), axis=0), tiles)
+
+    def tiled(batches):
+        for batch in batches:
+            for most, own, other in zip(batch.column("most").to_pylist(), *(unpacked(batch.column(c), np.int64) for c in ("own", "other")), strict=True):
+                pairs = _pairs(list(own.reshape(7, -1)), list(other.reshape(7, -1)), most, differences)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
-    return lists.groupBy("part").applyInArrow(work, "a bigint, b bigint").distinct()
+    first = materialise(lists.groupBy("part").applyInArrow(work, schema))
+    rest = first.where("own is not null").select("most", "own", "other")
+    rest = rest.repartition(F.xxhash64("own", "other")).mapInArrow(tiled, "a bigint, b bigint")
+    return first.where("a is not null").select("a", "b").union(rest).distinct()
 
 
 COMPARED = "a bigint, b bigint, common bigint, linked boolean, size_a bigint, size_b bigint, differences binary"
@@ -351,7 +386,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(work, COMPARED)
 
 
-def under_leaders(star: DataFrame, groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def under_leaders(star: DataFrame, groups: DataFrame, sets: DataFrame, parts: int, tile: int = TILE) -> DataFrame:
     """Links among sets compared with the same leader that are needed besides those with it."""
     # 9 |x & y| >= 4 (|x| + |y|) with c shared differences: 18 c >= v(x) + v(y).
     weight = (9 * F.col("size_b") - 18 * F.col("common") + 8 * F.col("size_a")).alias("v")
@@ -367,7 +402,7 @@ def under_leaders(star: DataFrame, groups: DataFrame, sets: DataFrame, parts: in
         (size - least + 1).cast("long").alias("prefix"), F.coalesce("group", "a").alias("group"), F.col("b").alias("leader"), F.col("v").alias("weight"),
     )
     few = materialise(few)
-    pairs = candidates(postings(few, materialise(frequencies(few.select("doc", "batch", "elements"), parts)), parts), differences=True)
+    pairs = candidates(postings(few, materialise(frequencies(few.select("doc", "batch", "elements"), parts)), parts), True, tile)
     return at_once.union(compared(pairs, sets).where("linked").select("a", "b"))
 
 
@@ -386,7 +421,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("doc"), F.col("l").alias("component"))
 
 
-def links(sets: DataFrame, parts: int) -> DataFrame:
+def links(sets: DataFrame, parts: int, tile: int = TILE) -> DataFrame:
     """A set of links (a, b) that connects all linked sets. sets: doc, batch, elements."""
     answers = materialise(frequencies(sets, parts))
     n = (F.octet_length("elements") / 8).cast("long")
@@ -399,11 +434,11 @@ def links(sets: DataFrame, parts: int) -> DataFrame:
     groups = joined_to.join(over, "head", "left").select("doc", F.coalesce("top", "head").alias("group"))
     known = sized.join(groups, "doc", "left").join(star.select(F.col("a").alias("doc"), F.col("b").alias("leader")), "doc", "left")
     known = known.select("doc", "batch", "elements", "prefix", F.coalesce("group", "doc").alias("group"), F.coalesce("leader", F.lit(-1).cast("long")).alias("leader"), F.lit(0).cast("long").alias("weight"))
-    rest = compared(candidates(postings(known, answers, parts)), sets)
-    return star.where("linked").select("a", "b").union(under_leaders(star, groups, sets, parts)).union(rest.where("linked").select("a", "b"))
+    rest = compared(candidates(postings(known, answers, parts), tile=tile), sets)
+    return star.where("linked").select("a", "b").union(under_leaders(star, groups, sets, parts, tile)).union(rest.where("linked").select("a", "b"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, class_id (the smallest id with the same set), component_id.
 
     Sets are known by the number of a row that has them, so ids may repeat: rows of one id are one document, which is
@@ -418,7 +453,7 @@ def join(docs: DataFrame) -> DataFrame:
     reps = known.where("rep is not null").select("doc_id", "rep", "rep_id").distinct()
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").select("doc_id", "b")
     same_id = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    found = components(links(sets, parts).unionByName(same_id))
+    found = components(links(sets, parts, tile).unionByName(same_id))
     members = found.join(reps.select(F.col("rep").alias("doc"), "rep_id").distinct(), "doc")
     least = members.groupBy("component").agg(F.min("rep_id").alias("least"))
     named = members.join(least, "component").select("doc", "least")

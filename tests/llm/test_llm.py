@@ -77,8 +77,8 @@ def components(docs):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("groups", "size", "seed"), [(12, 25, 5), (2, 150, 6)])
-def test_jaccard_join(spark, groups, size, seed):
+@pytest.mark.parametrize(("groups", "size", "seed", "tile"), [(12, 25, 5, jaccard.TILE), (2, 150, 6, jaccard.TILE), (2, 150, 6, 3)])
+def test_jaccard_join(spark, groups, size, seed, tile):
     rnd = random.Random(seed)
     docs = [(0, ""), (1, None), (2, "a b"), (3, "A  b"), (4, "a b c"), (5, " "), (6, "x")]
     for _ in range(groups):
@@ -90,7 +90,7 @@ def test_jaccard_join(spark, groups, size, seed):
             if rnd.random() < 0.3:
                 base = w
             docs.append((len(docs), " ".join(w + base[:3] * (rnd.random() < 0.2))))
-    out = jaccard.join(spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS + ", batch string")).collect()
+    out = jaccard.join(spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS + ", batch string"), tile).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == components(docs)
 
 
