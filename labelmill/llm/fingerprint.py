@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
 A text is cut into pieces: words of at most ``PIECE_CHARS`` characters without blanks, and the single code
-points of longer runs, so that no cut depends on where a run starts. At each piece a gram is hashed:
-``gram`` consecutive pieces from a word, ``LONG_GRAM`` from a code point. Of every ``window`` consecutive
+points of longer runs, so that no cut depends on where a run starts. Each piece has a code; at each piece the codes of a
+gram make a rolling hash (a cyclic polynomial): ``gram`` pieces from a word, ``LONG_GRAM`` from a code point. Of every ``window`` consecutive
 hashes the least is kept, the rightmost of equals, with its position. Two texts that share the pieces of
 ``window`` consecutive whole grams share a kept hash. At a text's end grams are as long as it allows;
 texts of fewer pieces than a gram are hashed whole.
@@ -35,6 +35,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _rotated(x: Column, n: Column) -> Column:
+    """The 64 bits of x turned left by n places (0 to 63)."""
+    return F.call_function("shiftleft", x, n).bitwiseOR(F.call_function("shiftrightunsigned", x, 64 - n))
+
+
+def running(codes: Column) -> Column:
+    """Running hashes of an array of codes: at each place the exclusive or of all codes before it, code j turned right by j.
+
+    They are held in chunks of 64, each from 0 (``inner``), beside what all chunks before add up to (``before``).
+    """
+    grown = lambda acc, c: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(_rotated(c, (65 - F.size(acc)).bitwiseAND(F.lit(63)))))
+    zero = F.array(F.lit(0).cast("bigint"))
+    inner = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(codes) - 1, 6)), lambda k: F.aggregate(F.slice(codes, F.shiftleft(k, 6) + 1, F.lit(64)), zero, grown))
+    total = lambda x: F.aggregate(x, zero, lambda acc, c: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(F.element_at(c, -1))))
+    return let(inner, lambda x: F.struct(x.alias("inner"), total(x).alias("before")))
+
+
+def rolled(sums: Column, start: Column, end: Column, n: Column) -> Column:
+    """The cyclic polynomial hash of codes start to end: the exclusive or of code j turned left by end - 1 - j.
+
+    It is what rolling a window over the codes gives (out goes the first, turned as often as the window is long; in
+    comes the next), read off two running hashes, so windows of any length cost the same.
+    """
+
+    def at(i: Column) -> Column:
+        k = F.shiftright(F.least(i, n - 1), 6)
+        return F.get(F.get(sums["inner"], k), i - F.shiftleft(k, 6)).bitwiseXOR(F.get(sums["before"], k))
+
+    return _rotated(at(end).bitwiseXOR(at(start)), (end - 1).bitwiseAND(F.lit(63)))
+
+
+def direct(codes: list[Column]) -> Column:
+    """The same hash of a few codes, which costs no more than an update would: all but the last turned left."""
+    out = codes[-1]
+    for k, c in enumerate(codes[:-1]):
+        turn = len(codes) - 1 - k
+        out = out.bitwiseXOR(F.shiftleft(c, turn).bitwiseOR(F.shiftrightunsigned(c, 64 - turn)))
+    return out
+
+
 def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The fingerprint as 40-bit hashes and their positions, in order of position."""
 
@@ -42,10 +82,17 @@ def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         n = F.size(pieces)
         count = F.greatest(n - (gram - 1), F.lit(1))
 
-        def mark(i: Column) -> Column:
-            short = F.xxhash64(*(F.get(pieces, i + j) for j in range(gram)))
-            h = F.when(F.char_length(F.get(pieces, i)) == 1, F.xxhash64(F.slice(pieces, i + 1, F.lit(LONG_GRAM)))).otherwise(short)
-            return F.struct(F.shiftright(h, 24).alias("hash"), (-i).alias("back"))
+        def mark(x: Column) -> Callable[[Column], Column]:
+            codes, sums = x["codes"], x["sums"]
+
+            def one(i: Column) -> Column:
+                short = F.when(n >= gram, direct([F.get(codes, i + j) for j in range(gram)]))
+                for size in range(gram - 1, 0, -1):
+                    short = short.when(n == size, direct([F.get(codes, F.lit(j)) for j in range(size)]))
+                long = rolled(sums, i, F.least(i + LONG_GRAM, n), n)
+                return F.struct(F.shiftright(F.when(F.char_length(F.get(pieces, i)) == 1, long).otherwise(short), 24).alias("hash"), (-i).alias("back"))
+
+            return one
 
         def choose(grams: Column) -> Column:
             windows = F.greatest(count - (window - 1), F.lit(1))
@@ -58,7 +105,11 @@ def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             h = F.transform(found, lambda v: v["hash"].bitwiseAND(F.lit((1 << 40) - 1)))
             return F.struct(h.alias("hashes"), F.transform(found, lambda v: -v["back"]).alias("positions"))
 
-        found = let(let(F.transform(F.sequence(F.lit(0), count - 1), mark), choose), lambda v: let(let(v, once), fields))
+        # Running hashes are made only for texts that have long runs.
+        points = F.exists(pieces, lambda p: F.char_length(p) == 1)
+        both = lambda codes: F.struct(codes.alias("codes"), F.when(points, running(codes)).alias("sums"))
+        grams = let(let(F.transform(pieces, lambda p: F.xxhash64(p)), both), lambda x: F.transform(F.sequence(F.lit(0), count - 1), mark(x)))
+        found = let(let(grams, choose), lambda v: let(let(v, once), fields))
         return F.when(n == 0, F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<int>").alias("positions"))).otherwise(found)
 
     blanks = F.translate(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", " " * 5)

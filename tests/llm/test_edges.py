@@ -276,20 +276,28 @@ def test_language_model_by_brute_force(spark):
 def test_fingerprints_by_brute_force(spark):
     xxhash = pytest.importorskip("xxhash")
     rnd = random.Random(12)
-    texts = ["", "one", "two words", " ".join(rnd.choices("a bb ccc dddd eeeee".split(), k=60)), "x" * 40 + " tail of words here and there", "".join(rnd.choices("\u4e00\u4e8c\u4e09", k=90)), "tab\tand\nline " * 9]
+    texts = ["", "one", "two words", " ".join(rnd.choices("a bb ccc dddd eeeee".split(), k=60)), "x" * 40 + " tail of words here and there", "".join(rnd.choices("\u4e00\u4e8c\u4e09", k=90)), "tab\tand\nline " * 9, " ".join(f"w{k}" for k in range(64)), " ".join(f"w{k}" for k in range(65)), "z" * 128 + " a b"]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-
-    def chained(parts):
-        h = 42
-        for x in parts:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        return signed(h)
+    left = lambda v, k: (v << k % 64 | v >> 64 - k % 64) & (1 << 64) - 1 if k % 64 else v
+
+    def rolling(pieces, size):
+        """The hash of each window, from the one before it; windows at the end are shorter."""
+        codes, out, h, end = [xxhash.xxh64_intdigest(x.encode(), 42) for x in pieces], [], 0, 0
+        for i in range(len(codes)):
+            if end <= i:
+                h, end = 0, i
+            while end < min(i + size, len(codes)):
+                h, end = left(h, 1) ^ codes[end], end + 1
+            out.append(signed(h))
+            h ^= left(codes[i], end - 1 - i)
+        return out
 
     def kept(text):
         blanks = re.sub("[\t\n\x0b\x0c\r]", " ", " " + text)
         pieces = re.findall(r" \S(?!\S)|(?<!\S)\S{2,16}(?!\S)|\S", blanks)
         n, out = len(pieces), []
-        grams = [chained(pieces[i : i + fingerprint.LONG_GRAM] if len(pieces[i]) == 1 else pieces[i : i + 3]) >> 24 for i in range(max(n - 2, 1))] if n else []
+        short, long = rolling(pieces, 3), rolling(pieces, fingerprint.LONG_GRAM)
+        grams = [(long[i] if len(pieces[i]) == 1 else short[i]) >> 24 for i in range(max(n - 2, 1))] if n else []
         for i in range(max(len(grams) - 7, 1) if grams else 0):
             best = min(range(i, min(i + 8, len(grams))), key=lambda k: (grams[k], -k))
             if not out or out[-1] != best:
