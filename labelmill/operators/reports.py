@@ -114,9 +114,15 @@ def _yes(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def star(reports: DataFrame, labels: DataFrame, graphs: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
-    """Reports with what is known of each: three left joins on one key. has_labels tells whether a label row was there."""
-    return reports.join(labels.withColumn("has_labels", F.lit(True)), key, "left").join(graphs, key, "left").join(texts, key, "left").withColumn("has_labels", _yes("has_labels"))
+def star(reports: DataFrame, labels: DataFrame, graphs: DataFrame, key: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """Reports with what is known of each: left joins on one key. has_labels tells whether a label row was there.
+
+    texts: text features that are kept in a table of their own; made from the reports in the same job they stand in the
+    reports' rows already, which spares a join and reading every text twice.
+    """
+    out = reports.join(labels.withColumn("has_labels", F.lit(True)), key, "left").join(graphs, key, "left")
+    out = out if texts is None else out.join(texts, key, "left")
+    return out.withColumn("has_labels", _yes("has_labels"))
 
 
 def silver(d: DataFrame, version: str | None = None) -> DataFrame:

@@ -76,9 +76,16 @@ def _graphed(spark, sf_dir):
 
 
 def silver(spark, sf_dir):
+    d = R.text_features(_parsed(spark, sf_dir)).select("subject", "study", *_FEATURES)
+    return R.silver(R.star(d, silver_labels(spark, sf_dir), _graphed(spark, sf_dir), ["study"]))
+
+
+@query(f"WITH {SILVER} SELECT study, silver_source, review_priority FROM v")
+def silver_from_tables(spark, sf_dir):
+    """The same labels where text features are a table of their own: three joins."""
     d = _parsed(spark, sf_dir)
     texts = R.text_features(d).select("study", *_FEATURES)
-    return R.silver(R.star(d.select("subject", "study", "report_text"), silver_labels(spark, sf_dir), _graphed(spark, sf_dir), texts, ["study"]))
+    return R.silver(R.star(d.select("study"), silver_labels(spark, sf_dir), _graphed(spark, sf_dir), ["study"], texts)).select("study", "silver_source", "review_priority")
 
 
 @query(f"WITH {SILVER} SELECT coalesce(silver_strict, -9) AS silver_strict, coalesce(silver_sensitive, -9) AS silver_sensitive, silver_source, count(*) AS n, round(avg(silver_score), 6) AS mean_score FROM v GROUP BY ALL")
