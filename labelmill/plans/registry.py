@@ -230,8 +230,8 @@ def intraclass_correlation(spark, sf_dir):
 
 # The names and patterns of what may identify a person or a machine.
 IDENTIFIERS = {
-    "mimic_deidentification_marker": r"\[\*\*",
-    "mimic_identifier": r"(?i)\bmimic[_-]",
+    "deidentification_marker": r"\[\*\*",
+    "dataset_identifier": r"(?i)\bmimic[_-]",
     "record_identifier_label": r"(?i)\b(?:mrn|medical record|accession|subject[_ ]?id|study[_ ]?id|patient[_ ]?id|dob|date of birth|ssn)\b",
     "email_address": r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b",
     "phone_number": r"\b\d{3}[-.) ]+\d{3}[- ]+\d{4}\b",
