@@ -2,7 +2,8 @@
 
 Text is lower-cased; each run of anything but letters is one blank. Per language an order-4 model is
 trained on at most ``per_language`` whole texts, those with the least hash of their id (a documented
-bound on the classifier's sample, the same at every size of the input). A packed n-gram is its own
+bound on the classifier's sample, the same at every size of the input; rows of equal id, language and text
+count as one). A packed n-gram is its own
 hash; the n-grams of all languages share one sorted array, beside which stands, per language, the
 interpolated log probability. A text takes the language of least cross-entropy per character; the
 probability beside it is calibrated by a temperature fitted on texts kept out of the counts, and a
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .columns import beside
 from .textbuf import PIECE, batch_pieces
@@ -180,15 +182,18 @@ def remainder(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def sampled(training: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, nth and text of at most per_language different rows of each language, by the hash of their id."""
+    rows = training.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("of_text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "of_text")
+    picked = rows.select("doc_id", "lang", "of_text").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    # picked: per_language numbers for each language; however often a row is repeated, one of it is gathered.
+    return rows.join(F.broadcast(picked), ["doc_id", "lang", "of_text"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+
+
 def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
     """Models from doc_id, text and lang of the training rows; None if there are none."""
-    from pyspark.sql.window import Window
-
-    spark = training.sparkSession
-    rows = training.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where("doc_id is not null").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"])  # ids: per_language numbers for each language
+    sample = sampled(training, per_language)
 
     def one(table: pa.Table) -> pa.Table:
         t = table.sort_by([("nth", "ascending"), ("text", "ascending")])

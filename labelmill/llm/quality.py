@@ -7,12 +7,12 @@ calibrated and a last logistic step weighs the two. All documents are scored.
 
 There are two targets, quality and toxicity; a document is kept unless its combined quality is
 below ``quality_floor`` or its toxicity above ``toxic_ceiling``. Models are fitted on at most
-``labelled`` labelled documents, those with the least hash of their id (a documented bound on the sample, the
-same at every size of the input), and on what the views hand over: per round, view and label the ``handed``
-surest of all other documents.
+``labelled`` labelled documents, those with the least hash of their id, as far as their texts hold ``SAMPLE_BYTES``
+together (documented bounds on the sample, the same at every size of the input), and on what the views hand over: per round, view and label the ``handed``
+surest of all other documents, within the same bytes.
 
 Null text counts as empty, null metadata as a value of its own. Rows of equal or null id are scored each on its
-own; of rows that share an id one serves for fitting. A document with several labels takes the worst. Input
+own; of rows that share an id that of least text hash serves for fitting. A document with several labels takes the worst. Input
 columns whose names equal an added one in any case are replaced. Without usable labels (none, or of one class) scores are 0.5 and nothing is rejected.
 """
 
@@ -29,9 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .columns import beside
+from .storage import materialise
 from .textbuf import ALNUM, LOWER, batch_pieces, byte_class, span_hashes, starts_of, utf8, word_bounds
 
 LABELLED, ROUNDS, SURE, HANDED = 6000, 3, 0.98, 400
+#: Bytes of all texts of a sample together: bounds the features that the driver holds.
+SAMPLE_BYTES = 64 << 20
 BITS, META_BITS, SHAPES = 17, 10, 8
 QUALITY_FLOOR, TOXIC_CEILING = 0.5, 0.5
 _UPPER, _DIGIT = byte_class(lambda b: 65 <= b <= 90), byte_class(lambda b: 48 <= b <= 57)
@@ -244,6 +247,17 @@ def confident(docs: DataFrame, known: DataFrame, models: dict[str, list[Logistic
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= handed).select("target", "view", "label", "doc_id")
 
 
+def serving(docs: DataFrame, ids: DataFrame, most_bytes: int) -> DataFrame:
+    """Of docs one row for each of ids (doc_id, order_no and more; a bounded number), that of least text hash, in order of
+    order_no as far as their texts have most_bytes together (the first in any case)."""
+    rest = [F.first(c).alias(c) for c in ids.columns if c != "doc_id"]
+    row = F.min_by(F.struct("text", "lang", "source", "n_chars"), F.struct(F.xxhash64("text"), "n_chars", "lang", "source")).alias("row")
+    one = materialise(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(row, *rest))
+    sized = one.withColumn("bytes", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long"))
+    fits = sized.select("doc_id", "order_no", "bytes").withColumn("so_far", F.sum("bytes").over(Window.orderBy("order_no", "doc_id"))).where((F.col("so_far") <= most_bytes) | (F.col("so_far") == F.col("bytes")))
+    return one.select("doc_id", "row.*", *ids.drop("doc_id").columns).join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
+
+
 def _features(rows: DataFrame, keep: list[str]) -> list[tuple]:
     """Features of a bounded sample, computed in tasks, gathered at the driver in order of doc_id's hash."""
     schema = "order_no bigint, " + "".join(f"{k} double, " for k in keep) + "tcol binary, tval binary, mcol binary"
@@ -278,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     known = known.where("quality is not null and toxic is not null")
     chosen = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id").select("doc_id", "quality", "toxic", order).distinct().orderBy("order_no").limit(labelled)
-    a = _features(docs.join(F.broadcast(chosen), "doc_id"), ["quality", "toxic"])  # bounded by the sample's size
+    a = _features(serving(docs, chosen, SAMPLE_BYTES), ["quality", "toxic"])
     if not a:
         return {"quality": None, "toxic": None}
     text, meta = _joined(a, 3)
@@ -301,8 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
         if not new:
             break
         if missing:
-            ids = docs.sparkSession.createDataFrame([(i,) for i in missing], "doc_id long")
-            got = _features(docs.join(F.broadcast(ids), "doc_id").withColumn("order_no", F.col("doc_id")), [])
+            ids = docs.sparkSession.createDataFrame([(i, i) for i in missing], "doc_id long, order_no long")
+            got = _features(serving(docs, ids, SAMPLE_BYTES), [])
             rows = _joined(got, 1)
             for i, pack in enumerate(got):
                 pool.setdefault(pack[0], tuple(v.take(np.array([i])) for v in rows))

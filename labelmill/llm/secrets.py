@@ -5,7 +5,9 @@ The lexer reads source and configuration syntax from left to right into pairs of
 ``type name = v``, ``a, b = v, w``, ``("name", v)``, ``key="name" value="v"`` and ``<name>v</name>``.
 A value is a chain of literals and names, joined by ``+``, ``.``, ``&`` or by standing side by side, in
 parentheses over any number of lines; a literal is quoted (with escapes), triple-quoted, a YAML block
-(``|`` or ``>``), or a bare run of signs. Names, blanks and literals may be of any length.
+(``|`` or ``>``), or a bare run of signs. Literals of a list, of a call that only wraps or decodes, of both arms of
+``c ? v : w``, on the line after the operator, and after a scheme (``Bearer v``) count alike. Names, blanks and literals
+may be of any length.
 
 A name bound to a value stands for it later in the same text. Bindings form a graph: of each the lexer
 keeps a profile (length, kinds and distribution of characters) and what it is made of, never the joined
@@ -55,6 +57,12 @@ _JOIN = re.compile(r"[ \t]*+[+&.](?![+&.=\w])\s*+|[ \t]*+\+\s*+(?=[\"'`A-Za-z_$(
 _BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]*+[ \t]*+(?:#[^\n]*+)?\r?\n")
 _BLOCK_LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
 _ANNOTATED = re.compile(r"[ \t]*+[A-Za-z_][\w.]*+(?:\[[\w., |\[\]]*\])?+[ \t]*+=(?![=>~])")
+#: Calls that give back what they are given, in another form; the scheme before a credential; a condition before ``?``.
+_CALL = re.compile(r"(?:new[ \t]++)?+[A-Za-z_$][\w$.:]*+[ \t]*+\(")
+_WRAPS = re.compile(r"(?i)(?:64|decode|encode|bytes?|str|string|from|text|quote|literal|secure_?string)[ \t]*\($")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|digest|token)[ \t]++(?=\S)")
+_CONDITION = re.compile(r"""(?:[^\n"'`?;,{}=:]|[=!<>]=)*+\?[ \t]*+(?=["'`])""")
+_NEXT_LINE = re.compile(r"""[ \t]*+\r?\n[ \t]*+(?=["'`])""")
 #: Literals that only name where a value comes from.
 _PLACEHOLDER = re.compile(r"\$\{[^{}]*\}|\$[A-Za-z_]\w*|\{\{.*\}\}|%\(.*\)s|<[^<>]*>|%[A-Za-z_]\w*%")
 
@@ -113,7 +121,9 @@ class Binding:
     profile: Profile = field(default_factory=Profile)
 
     def add_literal(self, text: str, start: int, end: int, literal: str | None = None) -> None:
-        literal = text[start:end] if literal is None else literal
+        if literal is None:
+            start = m.end() if (m := _SCHEME.match(text, start, end)) else start
+            literal = text[start:end]
         if end > start and not _PLACEHOLDER.fullmatch(literal):
             self.places.append((start, end))
             self.profile = self.profile.joined(Profile.of(literal)) if self.profile.length else Profile.of(literal)
@@ -158,24 +168,41 @@ class Lexer:
     def value(self, found: Binding, at: int) -> int:
         """Reads a chain of terms; where it ends (at, if there is none)."""
         text, depth, end, first = self.text, 0, at, True
+        arms = _CONDITION.match(text, at)
+        at = arms.end() if arms else at
+        if m := _SCHEME.match(text, _BLANK.match(text, at).end()):
+            at = m.end()
         while True:
             at = (_BLANKS if depth else _BLANK).match(text, at).end()
-            if text[at : at + 1] == "(" and (first or depth):
-                depth, at = depth + 1, at + 1
+            sign = text[at : at + 1]
+            if first or depth:
+                call = _CALL.match(text, at)
+                if sign in ("(", "[") or call and _WRAPS.search(call[0]):
+                    depth, at = depth + 1, call.end() if call else at + 1
+                    continue
+            if depth and sign == ",":
+                at += 1
                 continue
+            if depth and sign in (")", "]") and end < at:
+                depth, at = depth - 1, at + 1
+                if not first:
+                    end = at
+                if depth:
+                    continue
+                return end
             after = self.term(found, at, depth, bare=first)
             if after < 0:
                 return end
             quoted = text[after - 1] in "\"'`"
             end, first = after, False
-            join = _JOIN.match(text, end)
-            if join:
+            if join := _JOIN.match(text, end):
                 at = join.end()
                 continue
             at = (_BLANKS if depth else _BLANK).match(text, end).end()
-            if depth and text[at : at + 1] == ")":
-                return at + 1
-            if not (quoted and text[at : at + 1] in ('"', "'")):
+            if arms and text[at : at + 1] == ":":
+                arms, at = None, at + 1
+                continue
+            if not depth and not (quoted and text[at : at + 1] in ('"', "'")):
                 return end
 
     def block(self, found: Binding, at: int, head: int) -> int:
@@ -218,7 +245,7 @@ class Lexer:
             at = k
 
     def read(self) -> list[Binding]:
-        text, at, floor, before = self.text, 0, 0, ("", "", 0)
+        text, at, floor, before = self.text, 0, 0, ("", (0, 0), 0)
         while m := _HEAD.search(text, at):
             at = m.end()
             kind = next(k for k in ("double", "single", "plain") if m[k] is not None)
@@ -248,6 +275,8 @@ class Lexer:
                     continue
                 if t := _ANNOTATED.match(text, at):
                     at = t.end()
+            if (n := _NEXT_LINE.match(text, at)) and not _HEAD.match(text, n.end()):
+                at = n.end()
             targets = self.names(name, start, floor) if kind == "plain" and op in ("=", ":=") else [name]
             values, stop = [], at
             while len(values) < len(targets):
@@ -267,12 +296,12 @@ class Lexer:
             if len(values) < len(targets):
                 values[0].name = name
                 values = values[:1]
-            if name.lower() == "value" and before[0].lower() in ("key", "name") and start - before[2] <= 2:
-                values[0].name = before[1]  # key="name" value="literal"
+            if name.lower() == "value" and before[0].lower() in ("key", "name") and text[before[2] : start].strip() in ("", '"', "'"):
+                values[0].name = text[slice(*before[1])]  # key="name" value="literal"
             for found in values:
                 self.bind(found)
             last = values[-1].places[-1] if values[-1].places else (0, 0)
-            before = (name, text[last[0] : last[1]] if last[1] - last[0] <= 256 else "", stop)
+            before = (name, last, stop)
             at = floor = stop
         if "</" in text:
             for m in _TAG.finditer(text):

@@ -20,8 +20,6 @@ Null text counts as empty. Texts shorter than LENGTH lose nothing.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .exchange import in_batches, in_order, joined, key_ranges, member, packed, unpacked
 from .storage import materialise, parallelism
-from .textbuf import BYTE_CODES, PIECE, mix, pieces, powers, rightmost_least, utf8
+from .textbuf import BYTE_CODES, PIECE, byte_digests, mix, pieces, powers, rightmost_least, utf8
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM
@@ -73,8 +71,10 @@ def batch_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
 
 def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Two 64-bit halves of each text's digest; texts too short to lose anything have none (zeros)."""
-    raw = b"".join(hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() if b - a >= LENGTH else bytes(16) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
+    long = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    out[long] = np.frombuffer(byte_digests(data, offsets[long], offsets[long + 1], 16), np.uint64).reshape(-1, 2)
+    return out
 
 
 def _repeated_in(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +83,8 @@ def _repeated_in(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_digests(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of the LENGTH bytes at each start."""
-    up, down = powers(len(data) + 1)
-    out = np.zeros((len(starts), 2), np.uint64)
-    for k, codes in enumerate((BYTE_CODES, mix(BYTE_CODES ^ np.uint64(0x94D049BB133111EB)))):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
-        out[:, k] = mix((sums[starts + LENGTH] - sums[starts]) * down[starts])
-    return out
+    """Two 64-bit halves of a digest of the LENGTH bytes at each start."""
+    return np.frombuffer(byte_digests(data, starts, starts + LENGTH, 16), np.uint64).reshape(-1, 2)
 
 
 def shared_keys(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:

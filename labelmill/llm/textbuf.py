@@ -6,6 +6,7 @@ small however large an Arrow batch is. A single text longer than that makes a pi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,13 +105,27 @@ def word_bounds(low: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Spans of more bytes are hashed by a digest: a running sum modulo 2**64 takes long words of a regular build for one another.
+SUMMED = 16
+
+
 def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running sum over all bytes."""
+    """A 64-bit hash of each byte span: of short ones from one running sum over all bytes, of others a digest."""
     up, down = powers(len(low) + 1)
     sums = np.zeros(len(low) + 1, np.uint64)
     np.cumsum(BYTE_CODES[low] * up[: len(low)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ (ends - starts).astype(np.uint64) * _GOLD)
+    h = mix(h ^ (ends - starts).astype(np.uint64) * _GOLD)
+    long = np.flatnonzero(ends - starts > SUMMED)
+    if len(long):
+        h[long] = np.frombuffer(byte_digests(low, starts[long], ends[long], 8), np.uint64)
+    return h
+
+
+def byte_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> bytes:
+    """Digests of byte spans, of size bytes each, end to end."""
+    view, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return b"".join([digest(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
