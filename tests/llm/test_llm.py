@@ -289,4 +289,4 @@ def test_quality_held_out(spark):
 
 
 def test_registered_names():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 13))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
