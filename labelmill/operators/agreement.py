@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import f_quantile
-from .metrics import beside_group, draws, exact_quantiles, running
+from .metrics import beside_group, exact_quantiles, running
 
 
 def case_reference(r: DataFrame) -> DataFrame:
@@ -104,28 +104,6 @@ def long_alignment(estimates: DataFrame, intervals: DataFrame | None = None) ->
     return rows if intervals is None else rows.join(intervals, "metric", "left").fillna(0, ["n_valid"])
 
 
-def alignment_intervals(paired: DataFrame, n_boot: int = 2000, seed: int = 7) -> DataFrame:
-    """Percentile intervals of five metrics of paired means (case_id, a, b), cases drawn with Poisson(1) weights by hash.
-
-    Ranks for the rank correlation are those of all cases. A draw in which a metric is undefined is left out of it.
-    Returns metric, n_valid, low, high.
-    """
-    rows = with_rank(with_rank(paired.where("a is not null and b is not null"), "a", [], "ra"), "b", [], "rb")
-    drawn = draws(rows, "case_id", n_boot, seed)
-    w, d = F.col("w"), F.col("b") - F.col("a")
-    n = F.sum("w")
-
-    def corr(x: str, y: str) -> Column:
-        mx, my = F.sum(w * F.col(x)) / n, F.sum(w * F.col(y)) / n
-        sxy, sxx, syy = (F.sum(w * F.col(p) * F.col(q)) / n for p, q in ((x, y), (x, x), (y, y)))
-        vx, vy = sxx - mx * mx, syy - my * my
-        return F.when((vx > 1e-9) & (vy > 1e-9), (sxy - mx * my) / F.sqrt(vx * vy))
-
-    per = drawn.groupBy("replicate").agg((F.sum(w * d) / n).alias("mean_difference"), (F.sum(w * F.abs(d)) / n).alias("mae"), F.sqrt(F.sum(w * d * d) / n).alias("rmse"), corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"))
-    each = F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("mean_difference", "mae", "rmse", "pearson", "spearman")))
-    return per.select(F.inline(each)).where("value is not null and not isnan(value)").groupBy("metric").agg(F.count("*").alias("n_valid"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
-
-
 def leave_one_out(r: DataFrame) -> DataFrame:
     """Each rater against the mean of the others of the same case and task."""
     w = Window.partitionBy("case_id", "task")

@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 from ..functions.text import logit
 
 D = "double"
-#: Distribution function of the Poisson distribution of mean 1.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 #: Distinct values of a group that one task sums up, in ranges.
 RANGES = 64
 
@@ -151,21 +149,3 @@ def timing_summary(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
     rows = df.select(F.inline(F.array(*hours))).where("hours is not null")
     quartiles = exact_quantiles(rows, ["interval"], "hours", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     return rows.groupBy("interval").agg(F.count("*").alias("n"), F.avg("hours").alias("mean")).join(quartiles, "interval")
-
-
-def draws(df: DataFrame, unit: str, n_boot: int, seed: int) -> DataFrame:
-    """df once for each replicate in which its unit is drawn, with the number of times, w: Poisson(1) by hash."""
-    u = F.pmod(F.xxhash64(F.col(unit).cast("string"), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", sum((u >= c).cast("int") for c in POISSON)).where("w > 0")
-
-
-def bootstrap_interval(df: DataFrame, by: list[str], sums: dict[str, Column], metric: Column, n_boot: int = 2000, seed: int = 7, cluster: str = "case_id") -> DataFrame:
-    """Percentile interval of a metric per group over replicates, in which clusters get Poisson(1) weights drawn by hash.
-
-    sums: additive aggregates that are taken once per cluster (rows are clusters where each has its own value). metric:
-    an aggregate over them, in which each sum counts as often as the cluster was drawn. Undefined draws are left out.
-    """
-    per = df.groupBy(*by, cluster).agg(*(c.alias(k) for k, c in sums.items()))
-    rows = draws(per, cluster, n_boot, seed)
-    drawn = rows.withColumns({k: F.col(k) * F.col("w") for k in sums}).groupBy(*by, "replicate").agg(metric.alias("value")).where("value is not null and not isnan(value)")
-    return drawn.groupBy(*by).agg(F.count("*").alias("n_valid"), F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agreement as A
+from ..operators import resampling as R
 from ..operators import validation as V
 from .registry import _rounded, query
 from .tables import RATINGS, ratings
@@ -93,8 +94,8 @@ def task_alignment(spark, sf_dir):
 
 @query()
 def task_alignment_intervals(spark, sf_dir):
-    """Bootstrap intervals of the alignment; draws come from hashes, so SQL has no counterpart."""
-    return A.alignment_intervals(_cases(spark, sf_dir).select("case_id", F.col("image_mean").alias("a"), F.col("report_mean").alias("b")))
+    """Bootstrap intervals of the alignment; draws are random, so SQL has no counterpart."""
+    return R.alignment_intervals(_cases(spark, sf_dir).select("case_id", F.col("image_mean").alias("a"), F.col("report_mean").alias("b")))
 
 
 @query(f"""WITH {CASES}, e AS (SELECT case_id, image_mean, report_mean, unnest(['largest_image_range', 'largest_report_range', 'largest_difference']) AS flag, unnest([image_range, report_range, absolute_difference]) AS size FROM cs), t AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY size DESC, case_id) AS place FROM e WHERE size IS NOT NULL QUALIFY place <= 10),

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import labels as L
 from ..operators import metrics as M
+from ..operators import resampling as R
 from ..operators import validation as V
 from .tables import PREDICTIONS, RATINGS, predictions, ratings, table
 
@@ -316,9 +317,9 @@ def wilson_widths(spark, sf_dir):
 
 @query()
 def bootstrap_brier(spark, sf_dir):
-    """Intervals of each model's Brier score over clusters (sources); draws come from hashes, so SQL has no counterpart."""
+    """Intervals of each model's Brier score over clusters (sources); draws are random, so SQL has no counterpart."""
     p = predictions(spark, sf_dir).withColumn("error", (F.col("score") - F.col("label")) ** 2)
-    return M.bootstrap_interval(p, ["model"], {"e": F.sum("error"), "n": F.count("*")}, F.sum("e") / F.sum("n"), cluster="source")
+    return R.bootstrap_interval(p, ["model"], {"e": F.sum("error"), "n": F.count("*")}, F.sum("e") / F.sum("n"), cluster="source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
