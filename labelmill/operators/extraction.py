@@ -29,7 +29,7 @@ KEY = ["doc_id", "sentence", "part"]
 class Spec:
     """terms: (term, tag), cues: (phrase, category) in order; rules: (first tag, second tag) promotes the second.
 
-    stem maps a word to its stem; None: lower case.
+    stem maps a word to its stem; None: folded case.
     """
 
     terms: tuple[tuple[str, str], ...]
@@ -52,96 +52,162 @@ class Spec:
         return rf"\d+|[^\s\d{d}][^\s{d}]*|[{d}]"
 
     def words(self, phrase: str) -> list[str]:
-        return [w.lower() for w in re.findall(self.token_pattern, phrase)]
+        return [w.casefold() for w in re.findall(self.token_pattern, phrase)]
 
     def entries(self) -> list[tuple[str, list[str], str, int, str]]:
-        """(kind, words, tag, number, phrase) of all terms, by stems, and cues, by lower case."""
-        fold = self.stem or str.lower
+        """(kind, words, tag, number, phrase) of all terms, by stems, and cues, by folded case."""
+        fold = self.stem or str.casefold
         found = [("t", [fold(w) for w in self.words(t)], tag, k, t) for k, (t, tag) in enumerate(self.terms) if t not in self.excluded]
         found += [("c", self.words(p), category, k, p) for k, (p, category) in enumerate(self.cues)]
         return [e for e in found if e[1]]
 
 
-#: Distinct words whose stems a worker remembers before it starts anew.
+#: Distinct tokens that a worker remembers before it starts anew.
 REMEMBERED = 200_000
 
 
+class Trie:
+    """Phrases as paths of word numbers (from 1), with a failure link from each node to its longest proper ending."""
+
+    def __init__(self, phrases: list[tuple[int, list[int]]]):
+        """phrases: (entry, word numbers)."""
+        self.steps: list[dict[int, int]] = [{}]
+        self.fails, self.ends = [0], [[]]
+        for entry, words in phrases:
+            node = 0
+            for w in words:
+                if w not in self.steps[node]:
+                    self.steps[node][w] = len(self.steps)
+                    self.steps.append({})
+                    self.fails.append(0)
+                    self.ends.append([])
+                node = self.steps[node][w]
+            self.ends[node].append((entry, len(words)))
+        level = list(self.steps[0].values())
+        while level:
+            deeper = []
+            for node in level:
+                for w, child in self.steps[node].items():
+                    self.fails[child] = self.step(self.fails[node], w)
+                    self.ends[child] = self.ends[child] + self.ends[self.fails[child]]
+                    deeper.append(child)
+            level = deeper
+
+    def step(self, node: int, word: int) -> int:
+        while word not in self.steps[node]:
+            if not node:
+                return 0
+            node = self.fails[node]
+        return self.steps[node][word]
+
+
+class Words(dict):
+    """A token's word numbers, as a term's word by its stem and as a cue's by its folded form, in one number; 0 if it
+    is neither. Each distinct token is folded and stemmed once."""
+
+    def __init__(self, terms: dict[str, int], cues: dict[str, int], stem: Callable[[str], str] | None):
+        super().__init__()
+        self.terms, self.cues, self.stem = terms, cues, stem
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        form = token.casefold()
+        code = self.terms.get(self.stem(form) if self.stem else form, 0) << 20 | self.cues.get(form, 0)
+        self[token] = code
+        return code
+
+
+#: What may end a sentence: a period before blanks, or a line break.
+_BREAKS, _PERIODS = re.compile(r"\.\s+|[\r\n]\s*"), re.compile(r"\.\s+")
+
+
 class Reader:
-    """Finds the places of a Spec's terms and cues in a text."""
+    """Finds the places of a Spec's terms and cues in a text.
+
+    A sentence without a word of a term or cue costs its cutting into tokens and a look-up of each. Else tokens that
+    are such words walk two tries, for terms and for cues, and places are made out for what they find.
+    """
 
     def __init__(self, spec: Spec):
         self.spec = spec
         self.token = re.compile(spec.token_pattern)
         self.entries = spec.entries()
-        self.by_word: dict[str, dict[str, list[tuple[int, list[str]]]]] = {"t": {}, "c": {}}
+        numbers: dict[str, dict[str, int]] = {"t": {}, "c": {}}
+        phrases: dict[str, list[tuple[int, list[int]]]] = {"t": [], "c": []}
         for e, (kind, words, *_) in enumerate(self.entries):
-            self.by_word[kind].setdefault(words[0], []).append((e, words))
+            phrases[kind].append((e, [numbers[kind].setdefault(w, len(numbers[kind]) + 1) for w in words]))
+        self.terms, self.cues = Trie(phrases["t"]), Trie(phrases["c"])
+        self.words = Words(numbers["t"], numbers["c"], spec.stem)
         self.openers = {e for e, x in enumerate(self.entries) if x[0] == "c" and x[2] == PSEUDO}
-        self.stems: dict[str, str] = {}
-
-    def stemmed(self, form: str) -> str:
-        found = self.stems.get(form)
-        if found is None:
-            if len(self.stems) >= REMEMBERED:
-                self.stems.clear()
-            found = self.stems[form] = self.spec.stem(form) if self.spec.stem else form
-        return found
-
-    def joined_on(self, text: str, start: int, end: int, gap: str) -> bool:
-        """Whether the period at end closes an abbreviation, the last word from start on, rather than a sentence."""
+        self.breaks = _BREAKS if spec.newline_ends_sentence else _PERIODS
+
+    def joined_on(self, text: str, end: int, gap: str) -> bool:
+        """Whether the period at end closes an abbreviation rather than a sentence."""
         short = self.spec.abbreviations
         if not short or gap.strip(" \t"):
             return False
         k = end
-        while k > start and not text[k - 1].isspace():
+        while k and not text[k - 1].isspace():
             k -= 1
         word, after = text[k:end], end + len(gap)
         small = after < len(text) and text[after].islower()
         return word in short and (small or text.startswith("___", after)) or word[:-1].islower() and word[:-1] in short and small
 
-    def sentences(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
-        """The number of the token that opens the sentence of each token."""
-        out, opened, before, newline = [], 0, 0, self.spec.newline_ends_sentence
-        for k, (start, end) in enumerate(spans):
-            if k and start > before:
-                gap = text[before:start]
-                if newline and ("\n" in gap or "\r" in gap) or text[before - 1] == "." and not self.joined_on(text, 0, before, gap):
-                    opened = k
-            out.append(opened)
-            before = end
+    def sentences(self, text: str) -> list[int]:
+        """Where sentences begin, and the text's end."""
+        first = len(text) - len(text.lstrip())
+        out, newline = [first], self.spec.newline_ends_sentence
+        for m in self.breaks.finditer(text, first):
+            gap, start = m[0].lstrip("."), m.start() + (text[m.start()] == ".")
+            if newline and ("\n" in gap or "\r" in gap) or not self.joined_on(text, start, gap):
+                out.append(m.end())
+        return out if out[-1] == len(text) else [*out, len(text)]
+
+    def found(self, codes: list[int], at: list[int]) -> list[tuple[int, int, int]]:
+        """(first token, last token, entry) of all phrases, whatever sentences they lie in."""
+        out, term, cue, before = [], 0, 0, -2
+        terms, cues = self.terms, self.cues
+        for k in at:
+            if k != before + 1:
+                term = cue = 0
+            before = k
+            t, c = codes[k] >> 20, codes[k] & 0xFFFFF
+            term, cue = terms.step(term, t) if t else 0, cues.step(cue, c) if c else 0
+            for e, n in terms.ends[term] if term else ():
+                out.append((k - n + 1, k, e))
+            for e, n in cues.ends[cue] if cue else ():
+                out.append((k - n + 1, k, e))
+        out.sort()
         return out
 
-    def matches(self, text: str):
-        """(entry, first token, last token, sentence, part, begin, end, letters before in the part) of each match."""
-        spans = [m.span() for m in self.token.finditer(text)]
-        forms = [text[a:b].lower() for a, b in spans]
-        terms, cues, longest = self.by_word["t"], self.by_word["c"], self.spec.longest_sentence
-        stems = list(map(self.stemmed, forms))
-        at = [k for k, (f, s) in enumerate(zip(forms, stems, strict=True)) if s in terms or f in cues]
-        if not at:
-            return
-        opened = self.sentences(text, spans)
-        number, numbers = -1, []
-        for k, o in enumerate(opened):
-            number += o == k
-            numbers.append(number)
-        for k in at:
-            part = (k - opened[k]) // longest
-            head = opened[k] + part * longest
-            for known, words_of in ((terms.get(stems[k], ()), stems), (cues.get(forms[k], ()), forms)):
-                for e, words in known:
-                    last = k + len(words) - 1
-                    if last < len(spans) and words_of[k : last + 1] == words and opened[last] == opened[k] and last - head < longest:
-                        letters = e in self.openers and any(map(str.isalpha, text[spans[head][0] : spans[k][0]]))
-                        yield e, k, last, numbers[k], part, spans[k][0], spans[last][1], letters
+    def matches(self, text: str, with_terms: bool = False):
+        """(entry, first token, last token, sentence, part, begin, end, letters before in the part) of each match; if
+        with_terms, only of parts of sentences that hold a term."""
+        begins, ahead, longest, token, word = self.sentences(text), 0, self.spec.longest_sentence, self.token, self.words.__getitem__
+        for sentence, (start, end) in enumerate(zip(begins, begins[1:], strict=False)):
+            codes = list(map(word, token.findall(text, start, end)))
+            most = max(codes, default=0)
+            if most >= 1 << 20 or most and not with_terms:
+                found = [(i, j, e) for i, j, e in self.found(codes, [k for k, c in enumerate(codes) if c]) if i // longest == j // longest]
+                if with_terms:
+                    parts = {i // longest for i, _, e in found if self.entries[e][0] == "t"}
+                    found = [x for x in found if x[0] // longest in parts]
+                spans = [m.span() for m in token.finditer(text, start, end)] if found else ()
+                for first, last, e in found:
+                    part = first // longest
+                    letters = e in self.openers and any(map(str.isalpha, text[spans[part * longest][0] : spans[first][0]]))
+                    yield e, ahead + first, ahead + last, sentence, part, spans[first][0], spans[last][1], letters
+            ahead += len(codes)
 
 
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 MARKS = "doc_id {0}, sentence int, part int, kind string, first int, last int, begin int, end int, begin16 int, end16 int, tag string, no int, phrase string, letters boolean"
 
 
-def marks(docs: DataFrame, spec: Spec) -> DataFrame:
+def marks(docs: DataFrame, spec: Spec, with_terms: bool = False) -> DataFrame:
     """Every place where a term's or cue's words stand in a row within a sentence; overlaps are kept. docs: doc_id, text.
+    With with_terms only of parts of sentences that hold a term, which is all that assertions need.
 
     Columns: doc_id, sentence, part (of a sentence of more than longest_sentence tokens), kind (t or c), first and last
     (token numbers), begin and end, begin16 and end16 (in UTF-16 units), tag, no, phrase, and letters (for pseudo-cues:
@@ -160,7 +226,7 @@ def marks(docs: DataFrame, spec: Spec) -> DataFrame:
                     if not text:
                         continue
                     far = [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
-                    for x in reader.matches(text):
+                    for x in reader.matches(text, with_terms):
                         rows.append(row)
                         found.append((*x, x[5] + bisect_left(far, x[5]), x[6] + bisect_left(far, x[6])))
                 if found:
@@ -255,14 +321,13 @@ def predictions(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(n, "doc_id", "left").fillna(0, ["n_entities"]).withColumn("label", (F.col("n_entities") > 0).cast("byte"))
 
 
-def extract(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Final entities, numbered among equal ones, and one prediction per document; raises if a document's id repeats."""
-    again = duplicates(docs, ["doc_id"]).limit(5).collect()
-    if again:
-        raise ValueError(f"document ids repeat: {sorted(r['doc_id'] for r in again)}")
-    found = promoted(assertions(marks(docs, spec), spec), spec)
+def extract(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Final entities, numbered among equal ones; one prediction per document; and the ids that repeat with their number
+    of rows, as a check to be required (validation.require) before the rest is believed."""
+    found = promoted(assertions(marks(docs, spec, True), spec), spec)
     found = occurrence_number(found, ["doc_id", "begin16", "end16", "tag", "assertion", "phrase"], ["no"])
-    return found, predictions(docs, found)
+    again = duplicates(docs, ["doc_id"]).agg(F.count("*").alias("n_rows")).where("n_rows > 0").select(F.lit("document_id_repeats").alias("check"), F.lit("error").alias("severity"), "n_rows")
+    return found, predictions(docs, found), again
 
 
 def stage_agreement(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:

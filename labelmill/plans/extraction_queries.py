@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
+from ..operators import stemming
+from ..operators import validation as V
+from ..sources.readers import extraction_spec
 from .registry import query
-from .tables import table
+from .tables import REPORTS, reports, table
 
 
 def short_stem(word: str) -> str:
@@ -16,7 +23,7 @@ def short_stem(word: str) -> str:
 
 
 SPEC = X.Spec(
-    terms=(("the", "OBJECT"), ("of the", "OBJECT"), ("de la", "OBJECT"), ("anan", "SIDE"), ("with", "SIDE"), ("la", "SIDE"), ("tin", "SIDE"), ("will", "OBJECT"), ("with the", "FINAL"), ("skipped term", "SIDE")),
+    terms=(("para", "OBJECT"), ("of an", "OBJECT"), ("para la", "OBJECT"), ("anan", "SIDE"), ("thanea", "SIDE"), ("los", "SIDE"), ("retion", "SIDE"), ("ertion", "OBJECT"), ("with an", "FINAL"), ("skipped term", "SIDE")),
     cues=(("to", X.NEGATION), ("is", X.NEGATION), ("not", X.NEGATION), ("et", X.AFTER), ("of", X.AFTER), ("to be", X.PSEUDO), ("is the", X.PSEUDO), ("not the", X.PSEUDO), ("and", X.CONJUNCTION), ("und", X.CONJUNCTION)),
     rules=(("SIDE", "OBJECT"), ("OBJECT", "SIDE")),
     abbreviations=frozenset({"of.", "the", "on.", "st", "re."}),
@@ -25,30 +32,38 @@ SPEC = X.Spec(
     longest_sentence=40,
 )
 
-_ABBR = ", ".join(f"'{a}'" for a in sorted(SPEC.abbreviations))
 _ENTRY = lambda e: f"('{e[0]}', '{e[1][0]}', '{e[1][1] if len(e[1]) > 1 else ''}', {len(e[1])}, '{e[2]}', {e[3]}, '{e[4]}')"
 _W = "PARTITION BY doc_id ORDER BY pos"
-_TOKENS = rf"""z AS (SELECT doc_id, regexp_extract_all(text, '\s+|{SPEC.token_pattern}') AS l FROM documents WHERE text IS NOT NULL),
+_NO_S = "CASE WHEN length(form) > 3 AND form LIKE '%s' THEN left(form, -1) ELSE form END"
+
+
+def _tokens(spec: X.Spec, source: str = "documents", stem: str = _NO_S, ctes: str = "") -> str:
+    """Common table expressions up to m, the matches; at most two words a term or cue."""
+    abbreviations = ", ".join(f"'{a}'" for a in sorted(spec.abbreviations))
+    return rf"""{ctes}z AS (SELECT doc_id, regexp_extract_all(text, '\s+|{spec.token_pattern}') AS l FROM {source} WHERE text IS NOT NULL),
 p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM z),
 p1 AS (SELECT *, regexp_matches(piece, '^\s') AS blank, length(piece) AS n FROM p),
 p2 AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0, sum(blank::INT) OVER (ORDER BY doc_id, pos) AS run FROM p1),
 p3 AS (SELECT doc_id, piece, pos, n, run, (b0 - first_value(b0) OVER ({_W}))::BIGINT AS begin, pos = min(pos) OVER (PARTITION BY doc_id) AS head FROM p2 WHERE NOT blank OR TRUE),
 r AS (SELECT doc_id, run, string_agg(piece, '' ORDER BY pos) FILTER (NOT regexp_matches(piece, '^\s')) AS word, coalesce(any_value(piece) FILTER (regexp_matches(piece, '^\s')), '') AS gap, min(pos) AS p0 FROM p3 GROUP BY ALL),
 r1 AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY p0) AS before FROM r WHERE word IS NOT NULL),
-r2 AS (SELECT *, before IS NULL OR regexp_matches(gap, '[\r\n]') OR (before LIKE '%.' AND NOT (regexp_matches(gap, '^[ \t]*$') AND ((before IN ({_ABBR}) AND (regexp_matches(word, '^\p{{Ll}}') OR word LIKE '\_\_\_%' ESCAPE '\')) OR (lower(left(before, -1)) = left(before, -1) AND upper(left(before, -1)) <> left(before, -1) AND left(before, -1) IN ({_ABBR}) AND regexp_matches(word, '^\p{{Ll}}'))))) AS starts FROM r1),
+r2 AS (SELECT *, before IS NULL OR regexp_matches(gap, '[\r\n]') OR (before LIKE '%.' AND NOT (regexp_matches(gap, '^[ \t]*$') AND ((before IN ({abbreviations}) AND (regexp_matches(word, '^\p{{Ll}}') OR word LIKE '\_\_\_%' ESCAPE '\')) OR (lower(left(before, -1)) = left(before, -1) AND upper(left(before, -1)) <> left(before, -1) AND left(before, -1) IN ({abbreviations}) AND regexp_matches(word, '^\p{{Ll}}'))))) AS starts FROM r1),
 r3 AS (SELECT doc_id, run, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS sentence FROM r2),
 t0 AS (SELECT p3.doc_id, piece, begin, begin + n AS "end", sentence::BIGINT AS sentence, row_number() OVER (PARTITION BY p3.doc_id ORDER BY pos) - 1 AS token FROM p3 JOIN r3 ON r3.doc_id = p3.doc_id AND r3.run = p3.run WHERE NOT regexp_matches(piece, '^\s')),
-t1 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sentence ORDER BY token) - 1) // {SPEC.longest_sentence} AS part, lower(piece) AS form FROM t0),
-t2 AS (SELECT *, CASE WHEN length(form) > 3 AND form LIKE '%s' THEN left(form, -1) ELSE form END AS stem, coalesce(bool_or(regexp_matches(piece, '\p{{L}}')) OVER (PARTITION BY doc_id, sentence, part ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS letters FROM t1),
+t1 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sentence ORDER BY token) - 1) // {spec.longest_sentence} AS part, lower(piece) AS form FROM t0),
+t2 AS (SELECT *, {stem} AS stem, coalesce(bool_or(regexp_matches(piece, '\p{{L}}')) OVER (PARTITION BY doc_id, sentence, part ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS letters FROM t1),
 t AS (SELECT *, lead(form) OVER v AS form2, lead(stem) OVER v AS stem2, lead("end") OVER v AS end2 FROM t2 WINDOW v AS (PARTITION BY doc_id, sentence, part ORDER BY token)),
-d(kind, w1, w2, n, tag, no, phrase) AS (VALUES {', '.join(map(_ENTRY, SPEC.entries()))}),
+d(kind, w1, w2, n, tag, no, phrase) AS (VALUES {', '.join(map(_ENTRY, spec.entries()))}),
 m AS (SELECT doc_id, sentence, part, kind, token AS first, token + n - 1 AS last, begin, CASE WHEN n = 1 THEN "end" ELSE end2 END AS "end", tag, no, phrase, letters FROM t JOIN d ON (kind = 't' AND stem = w1 AND (n = 1 OR stem2 = w2)) OR (kind = 'c' AND form = w1 AND (n = 1 OR form2 = w2)))"""
 _CUT = "EXISTS (SELECT 1 FROM m s WHERE s.kind = 'c' AND s.tag = 'conjunctions' AND (s.doc_id, s.sentence, s.part) = (e.doc_id, e.sentence, e.part) AND s.begin >= {0} AND s.\"end\" <= {1})"
-_ASSERTED = f"""{_TOKENS},
+
+
+def _asserted(tokens: str, scope: int = 11) -> str:
+    return f"""{tokens},
 e AS (SELECT * FROM m WHERE kind = 't'),
-before AS (SELECT e.doc_id, e.sentence, e.part, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c."end" DESC, c.begin DESC, c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'negPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c."end" <= e.begin AND e.first - c.last - 1 <= 11
+before AS (SELECT e.doc_id, e.sentence, e.part, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c."end" DESC, c.begin DESC, c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'negPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c."end" <= e.begin AND e.first - c.last - 1 <= {scope}
  WHERE NOT {_CUT.format('c."end"', 'e.begin')} AND NOT EXISTS (SELECT 1 FROM m q WHERE q.kind = 'c' AND q.tag = 'pseNegPhrases' AND (q.doc_id, q.sentence, q.part) = (e.doc_id, e.sentence, e.part) AND (q.letters OR q.phrase LIKE 'not %') AND ((c.begin < q."end" AND q.begin < c."end") OR (c."end" <= q.begin AND q."end" <= e.begin)))),
-behind AS (SELECT e.doc_id, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c.begin, c."end", c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'postNegPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c.begin >= e."end" AND c.first - e.last - 1 <= 11 WHERE NOT {_CUT.format('e."end"', 'c.begin')}),
+behind AS (SELECT e.doc_id, e.begin, e."end", e.no, c.phrase, row_number() OVER (PARTITION BY e.doc_id, e.begin, e."end", e.no ORDER BY c.begin, c."end", c.no) AS place FROM e JOIN m c ON c.kind = 'c' AND c.tag = 'postNegPhrases' AND (c.doc_id, c.sentence, c.part) = (e.doc_id, e.sentence, e.part) AND c.begin >= e."end" AND c.first - e.last - 1 <= {scope} WHERE NOT {_CUT.format('e."end"', 'c.begin')}),
 a AS (SELECT e.*, coalesce(x.phrase, y.phrase) AS cue, CASE WHEN coalesce(x.phrase, y.phrase) IS NULL THEN 'present' ELSE 'absent' END AS assertion FROM e LEFT JOIN before x ON x.place = 1 AND (x.doc_id, x.begin, x."end", x.no) = (e.doc_id, e.begin, e."end", e.no) LEFT JOIN behind y ON y.place = 1 AND (y.doc_id, y.begin, y."end", y.no) = (e.doc_id, e.begin, e."end", e.no))"""
 
 
@@ -66,7 +81,14 @@ def _distant(k: int, source: str, a: str, b: str) -> str:
 f{k} AS (SELECT s.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM f{k}0 h WHERE h.doc_id = s.doc_id AND h.hit = [s.begin, s."end", s.no]) THEN 'FINAL' ELSE s.tag END AS tag) FROM {source} s)"""
 
 
-_PROMOTED = f"{_ASSERTED}, u AS (SELECT * FROM a WHERE assertion = 'present'), {_adjacent(0, 'u', *SPEC.rules[0])}, {_adjacent(1, 'n0', *SPEC.rules[1])}, {_distant(0, 'n1', *SPEC.rules[0])}, {_distant(1, 'f0', *SPEC.rules[1])}, o AS (SELECT * FROM f1 WHERE tag = 'FINAL')"
+def _promoted(asserted: str, rules) -> str:
+    one, two = rules
+    return f"{asserted}, u AS (SELECT * FROM a WHERE assertion = 'present'), {_adjacent(0, 'u', *one)}, {_adjacent(1, 'n0', *two)}, {_distant(0, 'n1', *one)}, {_distant(1, 'f0', *two)}, o AS (SELECT * FROM f1 WHERE tag = 'FINAL')"
+
+
+_TOKENS = _tokens(SPEC)
+_ASSERTED = _asserted(_TOKENS)
+_PROMOTED = _promoted(_ASSERTED, SPEC.rules)
 
 
 def _docs(spark, sf_dir):
@@ -95,9 +117,72 @@ def document_predictions(spark, sf_dir):
     return X.extract(_docs(spark, sf_dir), SPEC)[1].withColumn("label", F.col("label").cast("int"))
 
 
-@query("SELECT count(*) AS documents, count(*) FILTER (doc_id % 10 <> 0 OR n = 0) AS exact FROM (SELECT doc_id, len(regexp_extract_all(text, '[Tt]')) AS n FROM documents)")
+#: A specification of full size as its files have it: 23 terms, matched by English stems, and 240 cues made by a rule.
+TERMS = {
+    "OBJECT": ("hazy opacity", "opacity", "edema", "interstitial edema", "consolidation", "volume loss", "pneumonia", "atelectasis", "infiltrate", "disease", "loss"),
+    "SIDE": ("bilateral", "both lungs", "lung", "diffuse", "multifocal", "bibasilar", "right lower", "left lung", "lower", "interstitial"),
+    "FINAL": ("multifocal pneumonia", "bilateral infiltrate"),
+}
+CUES = {
+    X.NEGATION: (("no", "not", "nothing", "cannot", "without", "never"), ("", "evidence", "sign", "of", "exclude", "bilateral", "any", "new", "more", "definite")),
+    X.AFTER: (("have", "has", "are", "is", "was", "were"), ("cleared", "resolved", "excluded", "absent", "gone", "unlikely", "improved", "normal", "clear", "negative")),
+    X.PSEUDO: (("no", "not", "cannot", "never", "without", "nothing"), ("only", "further", "change", "increase", "exclude disease", "certain", "cause", "doubt", "longer", "matter")),
+    X.CONJUNCTION: (("but", "though", "however", "while", "except", "yet"), ("", "there", "the", "with", "both", "left", "right", "now", "still", "also")),
+}
+RULES = (("SIDE", "OBJECT"), ("OBJECT", "SIDE"))
+# What the stemmer makes of the forms of the terms' words in these texts.
+STEMS = {
+    "hazy": "hazi", "opacity": "opac", "opacities": "opac", "edema": "edema", "interstitial": "interstiti", "consolidation": "consolid", "volume": "volum", "loss": "loss", "pneumonia": "pneumonia", "atelectasis": "atelectasi",
+    "infiltrate": "infiltr", "infiltrates": "infiltr", "disease": "diseas", "bilateral": "bilater", "both": "both", "lungs": "lung", "lung": "lung", "diffuse": "diffus", "multifocal": "multifoc", "bibasilar": "bibasilar", "right": "right", "lower": "lower", "left": "left",
+}
+
+
+def _cue_lines() -> list[tuple[str, str]]:
+    return [(f"{a} {b}".strip(), category) for category, (first, second) in CUES.items() for a in first for b in second]
+
+
+def spec_from_files(spark) -> X.Spec:
+    """The specification written to files in the shared folder, and read from them."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + "/labelmill-spec"
+    dictionary = {"terms": [{"term": t, "tag": tag} for tag, terms in TERMS.items() for t in terms], "rules": RULES, "final": "FINAL", "longest_sentence": 60, "excluded": ["loss"]}
+    files = {"dictionary.json": json.dumps(dictionary), "cues.txt": "\n".join("\t".join(x) for x in _cue_lines()), "rules.conf": "DELIMETER=" + "DEL".join(".,;:!?()") + "\nSTRING_NO_SPLIT=x", "abbreviations.txt": "Dr.\nst.\nre."}
+    for name, content in files.items():
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    return extraction_spec(spark, *(f"{folder}/{name}" for name in files), stem=stemming.stem)
+
+
+_FULL = X.Spec(
+    terms=tuple((t, tag) for tag, terms in TERMS.items() for t in terms), cues=tuple(_cue_lines()), rules=RULES, longest_sentence=60, excluded=frozenset({"loss"}), abbreviations=frozenset({"Dr.", "st.", "re."}), stem=lambda w: STEMS.get(w.lower(), w.lower())
+)
+_STEMMED = "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in STEMS.items()) + "}[form], form)"
+_FULL_TOKENS = _tokens(_FULL, "(SELECT study AS doc_id, report_text AS text FROM reports)", _STEMMED, REPORTS + ", ")
+
+
+def _report_texts(spark, sf_dir):
+    return reports(spark, sf_dir).select(F.col("study").alias("doc_id"), F.col("report_text").alias("text"))
+
+
+@query(f"WITH {_asserted(_FULL_TOKENS)} SELECT doc_id, begin, \"end\", tag, no, phrase, assertion, coalesce(cue, '') AS cue FROM a")
+def report_assertions(spark, sf_dir):
+    """Entities of reports by a specification of full size, read from its files and matched by stems."""
+    spec = spec_from_files(spark)
+    found = X.assertions(X.marks(_report_texts(spark, sf_dir), spec, True), spec)
+    return found.select("doc_id", "begin", "end", "tag", "no", "phrase", "assertion", F.coalesce("cue", F.lit("")).alias("cue"))
+
+
+@query(f"WITH {_promoted(_asserted(_FULL_TOKENS), RULES)}, n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1) SELECT study AS doc_id, coalesce(n, 0) AS n_entities, (coalesce(n, 0) > 0)::INT AS label FROM reports LEFT JOIN n ON n.doc_id = study")
+def report_predictions(spark, sf_dir):
+    """One prediction per report by the same specification; raises if a report's number repeats."""
+    _, per_report, again = X.extract(_report_texts(spark, sf_dir), spec_from_files(spark))
+    V.require(again)
+    return per_report.withColumn("label", F.col("label").cast("int"))
+
+
+@query(f"""WITH {_TOKENS}, e AS (SELECT * FROM m WHERE kind = 't'), b AS (SELECT doc_id, list(DISTINCT [begin, "end", no]) AS l FROM e WHERE NOT (doc_id % 10 = 0 AND no = 3) GROUP BY 1), w AS (SELECT doc_id, list(DISTINCT [begin, "end", no]) AS l FROM e GROUP BY 1)
+SELECT count(*) AS documents, count(*) FILTER (len(w.l) = len(b.l)) AS exact FROM w LEFT JOIN b USING (doc_id)""")
 def stage_agreement(spark, sf_dir):
-    """Two runs of a stage (places of the letter t), one of which is off by one in every tenth document."""
-    d = _docs(spark, sf_dir)
-    places = d.select("doc_id", F.explode_outer(F.transform(F.regexp_extract_all("text", F.lit("[Tt]"), F.lit(0)), lambda c, i: i)).alias("begin"))
-    return X.stage_agreement(places, places.withColumn("begin", F.when(F.pmod("doc_id", F.lit(10)) == 0, F.col("begin") + 1).otherwise(F.col("begin"))), ["begin"])
+    """The matching stage run by two specifications, of which one lacks a term in every tenth document."""
+    docs, lacking = _docs(spark, sf_dir), replace(SPEC, excluded=SPEC.excluded | {SPEC.terms[3][0]})
+    whole = X.marks(docs, SPEC).where("kind = 't'")
+    other = X.marks(docs.where("pmod(doc_id, 10) <> 0"), SPEC).unionByName(X.marks(docs.where("pmod(doc_id, 10) = 0"), lacking)).where("kind = 't'")
+    return X.stage_agreement(whole, other, ["begin", "end", "no"])

@@ -130,12 +130,13 @@ def spec(**more):
 def test_extraction_negation_and_promotion(spark):
     texts = ["bilateral opacities. no bilateral opacity\nopacity", "no change but bilateral opacity", None, "\U0001f642 Bilateral opacities ruled out", "there is no change, bilateral opacity", "No change bilateral opacity", "not only bilateral opacity", "opacity in both Lungs", "", "bilateral and some other kinds of very far opacity"]
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    found, per_doc = E.extract(docs, spec())
+    found, per_doc, again = E.extract(docs, spec())
     got = sorted((r["doc_id"], r["begin"], r["end"], r["begin16"], r["phrase"]) for r in found.collect())
     assert got == [(1, 10, 19, 10, "opacity"), (2, 24, 31, 24, "opacity"), (5, 30, 37, 30, "opacity"), (7, 19, 26, 19, "opacity"), (8, 11, 21, 11, "both lungs")]
     assert {r["doc_id"]: r["label"] for r in per_doc.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 0}
-    with pytest.raises(ValueError, match="repeat"):
-        E.extract(docs.union(docs.where("doc_id = 1")), spec())
+    assert again.count() == 0
+    with pytest.raises(ValueError, match="document_id_repeats: 1 rows"):
+        V.require(E.extract(docs.union(docs.where("doc_id = 1")), spec())[2])
 
 
 def test_sentences_and_offsets(spark):
