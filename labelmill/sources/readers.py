@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, ws_trim
 from ..operators.extraction import Spec
 from ..operators.validation import failed, values_differ
+from .json_members import json_members
 
 
 def normalised_names(df: DataFrame) -> DataFrame:
@@ -49,13 +50,13 @@ REPORT = f"struct<text:string,data_source:string,data_split:string,entities:map<
 def entity_graphs(spark: SparkSession, path: str, whole_file: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reports, entities and relations of nested JSON: report key to text and entities.
 
-    The files hold an object on each line, or (whole_file) one object each over any number of lines, which is taken
-    apart by key before reports are read. Tokens and labels may be strings or lists; malformed relations are skipped.
+    The files hold an object on each line, or (whole_file) one object each over any number of lines, of any size: blocks
+    of it are read by tasks of their own and cut at the object's members (json_members). Tokens and labels may be strings or lists; malformed relations are skipped.
     """
     if whole_file:
-        root = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-        keys = root.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("report_key"), F.to_json("value").alias("value"))
-        rows = keys.repartition("report_key").select("report_key", F.from_json("value", REPORT).alias("r"))
+        parsed = json_members(spark, path).select(F.parse_json("member").alias("v"))
+        keys = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        rows = keys.select(F.col("key").alias("report_key"), F.from_json(F.to_json("value"), REPORT).alias("r"))
     else:
         raw = spark.read.text(path).where(F.trim("value") != "")
         rows = raw.select(F.explode(F.from_json("value", f"map<string,{REPORT}>")).alias("report_key", "r"))
