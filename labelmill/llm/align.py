@@ -38,12 +38,12 @@ from pyspark.sql.window import Window
 
 from .columns import beside
 from .storage import materialise, parallelism
-from .textbuf import PIECE, batch_pieces, mix, utf8
+from .textbuf import batch_pieces, mix, utf8
 
-#: Bytes of text of a chunk; pairs a group may list one by one; ranges of hashes that counts are dealt over.
-CHUNK, LISTED, RANGES = 8 << 20, 64, 32
+#: Bytes of text of a chunk, and of those aligned at once; pairs a group may list one by one; ranges of hashes that counts are dealt over.
+CHUNK, AT_ONCE, LISTED, RANGES = 8 << 20, 1 << 19, 64, 32
 #: Encoded segments that a worker keeps, and bytes of the longest of them.
-KEPT, KEPT_BYTES = 1 << 18, 64
+KEPT, KEPT_BYTES = 1 << 17, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -270,7 +270,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for b in batch_pieces(batch, "text", PIECE):
+            for b in batch_pieces(batch, "text", AT_ONCE):
                 x = aligned(b.column("text"), both)
                 found = links(x, both)
                 count = lambda at, w=None, n=x.n: np.bincount(at, w, n).astype(np.int64)
@@ -377,7 +377,7 @@ def with_alignment(df: DataFrame, a_path: str, b_path: str, text_col: str = "tex
     def run(batches):
         both = _load(*files.value)
         for batch in batches:
-            for b in batch_pieces(batch, text_col, PIECE):
+            for b in batch_pieces(batch, text_col, AT_ONCE):
                 x = aligned(b.column(text_col), both)
                 first = np.searchsorted(x.group_doc, np.arange(x.n))
                 columns = []

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import parallelism, remember
+from .textbuf import give_back
 
 #: Batches per shuffle partition: a bucket holds several, which evens out what tasks get.
 PER_PARTITION = 3
@@ -45,7 +46,8 @@ def bucketed(df: DataFrame, key: str, n: int, row_no: str | None = None) -> Data
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """A batch's rows in the one order that all steps use."""
+    """A batch's rows in the one order that all steps use. What the batch before held is given back first."""
+    give_back()
     return table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("row_no", "ascending")]).combine_chunks()
 
 

@@ -6,6 +6,7 @@ small however large an Arrow batch is. A single text longer than that makes a pi
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -78,6 +79,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterato
         i = j
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands memory that is no longer used back to the system: workers live on between tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def batch_pieces(batch, column: str, limit: int = PIECE):
     """Slices of an Arrow batch or table whose texts take about limit bytes."""
     _, offsets = utf8(batch.column(column))
@@ -86,6 +97,7 @@ def batch_pieces(batch, column: str, limit: int = PIECE):
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
+    give_back()
 
 
 def word_bounds(low: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
