@@ -59,8 +59,10 @@ def guarded_rlike(c: Column, words: str, *patterns: str) -> Column:
 
 
 def terms_to_regex(terms: list[str]) -> str:
-    """Alternation of escaped terms, longest first so that none hides behind its own prefix."""
-    return "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    """One group of escaped terms in lower case, longest first so that none hides behind its own prefix; each blank stands
+    for any run of white space. For texts in lower case."""
+    escaped = {re.escape(t.lower()).replace(r"\ ", r"\s+") for t in terms}
+    return "(?:" + "|".join(sorted(escaped, key=lambda t: (-len(t), t))) + ")"
 
 
 def missing_groups(vocabulary: dict[str, list[str]], required: list[str]) -> list[str]:

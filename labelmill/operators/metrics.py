@@ -137,9 +137,9 @@ def expected_threshold_metrics(df: DataFrame, by: list[str], thresholds: list[fl
 
 
 def alert_burden(df: DataFrame, by: list[str], thresholds: list[float], time: str = "time", score: str = "score") -> DataFrame:
-    """Evaluated cases and alerts per week (from Monday) and threshold."""
+    """Evaluated cases, alerts, and alerts per case and per 100 cases, per week (from Monday) and threshold."""
     rows = df.where(F.col(time).isNotNull() & F.col(score).isNotNull()).withColumns({"threshold": F.explode(F.array(*map(F.lit, thresholds))), "week": F.date_trunc("week", time).cast("date")})
-    return rows.groupBy(*by, "threshold", "week").agg(F.count("*").alias("evaluated"), F.count_if(F.col(score) >= F.col("threshold")).alias("alerts"), F.avg((F.col(score) >= F.col("threshold")).cast(D)).alias("alert_rate"))
+    return rows.groupBy(*by, "threshold", "week").agg(F.count("*").alias("evaluated"), F.count_if(F.col(score) >= F.col("threshold")).alias("alerts"), F.avg((F.col(score) >= F.col("threshold")).cast(D)).alias("alert_rate"), (100 * F.avg((F.col(score) >= F.col("threshold")).cast(D))).alias("alerts_per_100"))
 
 
 def timing_summary(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,9 @@ tables carry hashes, never texts.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,11 +111,37 @@ def order_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select(F.lit("order_mismatch").alias("mismatch"), "doc_id", (F.col("place") - 1).cast("bigint").alias("position"), "expected_hash", "actual_hash")
 
 
+def fingerprints(e: DataFrame) -> DataFrame:
+    """Per document sums of hashes of its entities, whatever their order (who_), and with their positions (where_), and
+    their number. Only sums leave a task, never entities."""
+    sums = {}
+    for name, columns in (("who", FIELDS), ("where", [*FIELDS, "position"])):
+        for k in range(2):
+            h = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns), F.lit(k))
+            sums |= {f"{name}_{k}_low": F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), f"{name}_{k}_high": F.sum(F.shiftrightunsigned(h, 32))}
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_rows"), *(c.alias(k) for k, c in sums.items()))
+
+
+def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """doc_id of both sides with same_entities (the same multiset) and same_rows (also in the same positions)."""
+    a, b = fingerprints(expected), fingerprints(actual)
+    own = {c: f"_a_{c}" for c in b.columns if c != "doc_id"}
+    j = a.join(b.withColumnsRenamed(own), "doc_id", "full")
+    same = lambda *kinds: functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(o)) for c, o in own.items() if c.startswith(kinds)))
+    return j.select("doc_id", same("n_rows", "who").alias("same_entities"), same("n_rows", "who", "where").alias("same_rows"))
+
+
+def differing(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' entities, numbered, of documents that are not the same in both: all others need no look."""
+    docs = compared(expected, actual).where("not same_rows").select("doc_id")
+    return numbered(expected.join(docs, "doc_id", "left_semi")), numbered(actual.join(docs, "doc_id", "left_semi"))
+
+
 def parity(expected: tuple[DataFrame, DataFrame], actual: tuple[DataFrame, DataFrame], require_order: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Entity, document and order mismatches, and one summary row. Each side: entities, predictions with status."""
     (ee, ep), (ae, ap) = expected, actual
     both = ep.select("doc_id").join(ap.select("doc_id"), "doc_id")
-    ne, na = numbered(ee.join(both, "doc_id", "left_semi")), numbered(ae.join(both, "doc_id", "left_semi"))
+    ne, na = differing(ee.join(both, "doc_id", "left_semi"), ae.join(both, "doc_id", "left_semi"))
     entities, documents, orders = entity_mismatches(ne, na), document_mismatches(ep, ap), order_mismatches(ne, na)
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("mismatch") == kind, F.col("n"))), F.lit(0)).alias(kind)
     kinds = ("missing_entity", "unexpected_entity", "multiplicity_mismatch", "field_mismatch", "missing_document", "unexpected_document", "document_status_mismatch", "document_label_mismatch", "document_count_mismatch")
@@ -129,10 +158,10 @@ def parity_complete(summary: DataFrame, expected_documents: int, documents: Data
 
 
 def exact_repeat(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per document of two runs: whether entities are the same multiset, and whether their order differs. Both: numbered."""
-    same = _counts(first, second, ["doc_id", *FIELDS]).groupBy("doc_id").agg(F.bool_and(F.col("e") == F.col("a")).alias("same_entities"))
-    moved = order_mismatches(first, second).select("doc_id").distinct().withColumn("order_differs", F.lit(True))
-    return same.join(moved, "doc_id", "left").fillna(False, ["order_differs"])
+    """Per document of two runs: whether entities are the same multiset, and whether their order differs. Only documents
+    whose positions differ are numbered."""
+    moved = order_mismatches(*differing(first, second)).select("doc_id").distinct().withColumn("order_differs", F.lit(True))
+    return compared(first, second).select("doc_id", "same_entities").join(moved, "doc_id", "left").fillna(False, ["order_differs"])
 
 
 def uncovered(entities: DataFrame, docs: DataFrame) -> DataFrame:
@@ -157,15 +186,28 @@ def output_audit(manifest: DataFrame, files: DataFrame, entities: DataFrame, tag
 
 
 def audit_summary(audit: DataFrame, unexpected: DataFrame) -> DataFrame:
-    """One row over an audit, with warnings."""
+    """One row over an audit: counts, the documents with several outputs and those outputs, examples, and warnings.
+
+    unexpected: doc_id and file of outputs of documents that were not expected; several of one document count as repeated.
+    """
+    extra = unexpected.groupBy("doc_id").agg(F.count("*").alias("n_files"))
+    again = audit.where("n_files > 1").select("doc_id", "n_files").unionByName(extra.where("n_files > 1"))
     g = audit.agg(
-        F.count("*").alias("expected"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("matched_files"), F.count_if("exists").alias("matched"), F.count_if(~F.col("exists")).alias("missing"), F.count_if(F.col("n_files") > 1).alias("repeated"),
+        F.count("*").alias("expected"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("matched_files"), F.count_if("exists").alias("matched"), F.count_if(~F.col("exists")).alias("missing"),
         F.count_if(F.col("parse_status").isin("parsed", "parsed_empty")).alias("parsed"), F.count_if(F.col("parse_status").isin("parse_error", "duplicate_output")).alias("failed"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"),
     )
-    g = g.join(F.broadcast(unexpected.agg(F.count("*").alias("unexpected"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, 20).alias("unexpected_examples"))))  # one row each
+    one = lambda df, c, name: df.select(F.col(c).alias("v")).orderBy("v").limit(20).agg(F.array_sort(F.collect_list("v")).alias(name))
+    for row in (unexpected.agg(F.count("*").alias("unexpected")), again.agg(F.count("*").alias("repeated"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("repeated_files")), one(unexpected, "file", "unexpected_examples"), one(again, "doc_id", "repeated_examples")):
+        g = g.join(F.broadcast(row))  # one row each
     judged = F.col("positive") + F.col("negative")
-    warn = lambda c, text: F.when(c, text)
-    return g.withColumns({"observed": F.col("matched_files") + F.col("unexpected"), "evaluable": judged, "non_evaluable": F.col("expected") - judged, "warnings": F.array_compact(F.array(warn(F.col("missing") > 0, "inputs_without_output"), warn(F.col("unexpected") > 0, "unexpected_outputs"), warn(F.col("repeated") > 0, "several_outputs_for_a_document"), warn((judged > 0) & ((F.col("positive") == 0) | (F.col("negative") == 0)), "one_class_only")))}).drop("matched_files")
+    # The warnings.
+    warnings = {
+        "some_input_files_have_no_clamp_output": F.col("missing") > 0,
+        "unexpected_output_files_without_manifest_rows": F.col("unexpected") > 0,
+        "duplicate_output_files_for_doc_ids": F.col("repeated") > 0,
+        "all_evaluable_predictions_have_one_class": (judged > 0) & ((F.col("positive") == 0) | (F.col("negative") == 0)),
+    }
+    return g.withColumns({"observed": F.col("matched_files") + F.col("unexpected"), "evaluable": judged, "non_evaluable": F.col("expected") - judged, "warnings": F.array_compact(F.array(*(F.when(c, name) for name, c in warnings.items())))}).drop("matched_files")
 
 
 def frequencies(entities: DataFrame, *columns: str) -> DataFrame:

@@ -141,18 +141,18 @@ def silver(d: DataFrame, version: str | None = None) -> DataFrame:
     quiet = ~(sensitive | tp | tu | _yes("text_edema") | _yes("text_atelectasis") | _yes("text_airspace"))
     negative = F.col("has_labels") & (label("opacity") == 0) & (label("edema") == 0) & (label("consolidation") == 0) & (label("atelectasis") == 0) & quiet
     alone = (label("opacity") == 1) & ~sensitive & ~tp
-    # The scores and the names of what they come from, first match first.
+    # The scores and the names of what they come from, first match first, and of the flags.
     rungs = (
-        (strict & tp, 0.95, "graph_strict_plus_text"),
-        (strict, 0.90, "graph_strict"),
-        (tp & ~tn, 0.85, "text_strict"),
-        (sensitive, 0.75, "graph_sensitive"),
-        (uncertain, 0.55, "text_or_graph_uncertain"),
-        (label("opacity") == 1, 0.35, "label_only"),
-        (label("opacity") == -1, 0.30, "label_uncertain_only"),
-        (F.col("has_labels") & (label("opacity") == 0), 0.05, "label_negative"),
+        (strict & tp, 0.95, "radgraph_strict_plus_regex"),
+        (strict, 0.90, "radgraph_strict"),
+        (tp & ~tn, 0.85, "regex_strict"),
+        (sensitive, 0.75, "radgraph_sensitive"),
+        (uncertain, 0.55, "regex_or_radgraph_uncertain"),
+        (label("opacity") == 1, 0.35, "chexpert_lung_opacity_only"),
+        (label("opacity") == -1, 0.30, "chexpert_lung_opacity_uncertain_only"),
+        (F.col("has_labels") & (label("opacity") == 0), 0.05, "chexpert_negative"),
     )
-    flags = F.array_compact(F.array(F.when(strict != tp, "graph_text_disagreement"), F.when(tn & (strict | tp), "positive_and_negated"), F.when(alone, "label_without_signal")))
+    flags = F.array_compact(F.array(F.when(strict != tp, "radgraph_regex_disagreement"), F.when(tn & (strict | tp), "positive_and_negated_conflict"), F.when(alone, "broad_opacity_without_bilateral_signal")))
     priority = F.when((strict != tp) | uncertain, "high").when(alone, "medium").otherwise("low")
     out = d.withColumns(either | {
         "uncertain": uncertain, "any_opacity": strict_signal | sensitive_signal | uncertain, "not_atelectatic": (strict | tp | tu | either["edema"] | either["airspace"]) & ~tn,

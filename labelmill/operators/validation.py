@@ -19,20 +19,17 @@ CHECKS = "check string, severity string, n_rows bigint"
 def failed(df: DataFrame, errors: dict[str, Column], unique: dict[str, list[str]] | None = None, warnings: dict[str, Column] | None = None) -> DataFrame:
     """The checks that rows fail. errors and warnings: what is true of a bad row (null counts as bad).
 
-    unique: names of checks with the columns whose values must not repeat; all rows that share them are counted.
+    unique: names of checks with the columns whose values must not repeat; all rows that share them are counted. One
+    pass and one exchange for any number of checks: a row gives an entry for each check it fails and each set of keys.
     """
     kinds = {k: ("error", c) for k, c in errors.items()} | {k: ("warning", c) for k, c in (warnings or {}).items()}
-    parts = []
-    if kinds:
-        row = df.agg(*(F.count_if(F.coalesce(c, F.lit(True))).alias(k) for k, (_, c) in kinds.items()))
-        parts.append(row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"), F.col(f"`{k}`").alias("n_rows")) for k, (s, _) in kinds.items())))))
-    for name, keys in (unique or {}).items():
-        again = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_rows"))
-        parts.append(again.select(F.lit(name).alias("check"), F.lit("error").alias("severity"), "n_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("n_rows > 0")
+    none = F.lit(None).cast("string")
+    entry = lambda name, key: F.struct(F.lit(name).alias("check"), key.alias("key"))
+    found = [F.when(F.coalesce(c, F.lit(True)), entry(k, none)) for k, (_, c) in kinds.items()]
+    found += [entry(k, F.md5(F.to_json(F.struct(*(F.col(c) for c in keys))))) for k, keys in (unique or {}).items()]
+    per = df.select(F.inline(F.array_compact(F.array(*found)))).groupBy("check", "key").agg(F.count("*").alias("n"))
+    severity = F.when(F.col("check").isin([k for k, (s, _) in kinds.items() if s == "warning"]), "warning").otherwise("error")
+    return per.where("key is null or n > 1").groupBy("check").agg(F.sum("n").alias("n_rows")).select("check", severity.alias("severity"), "n_rows")
 
 
 def require(checks: DataFrame, what: str = "table") -> None:
@@ -224,11 +221,11 @@ def snapshot_ready(catalog: DataFrame, required: list[str]) -> DataFrame:
 
 def values_differ(df: DataFrame, column: str, allowed: list, subset: bool = True) -> DataFrame:
     """Values outside the allowed ones and, unless a subset will do, allowed ones that no row has: value, side."""
-    row = df.agg(F.collect_set(column).alias("have")).select(F.explode(F.concat(
-        F.transform(F.array_except("have", F.array(*map(F.lit, allowed))), lambda v: F.struct(v.cast("string").alias("value"), F.lit("unexpected").alias("side"))),
-        F.transform(F.array_except(F.array(*map(F.lit, allowed)), "have"), lambda v: F.struct(v.cast("string").alias("value"), F.lit("absent").alias("side"))),
-    )).alias("x")).select("x.*")
-    return row.where("side = 'unexpected'") if subset else row
+    have = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    names = df.sparkSession.createDataFrame([(v,) for v in allowed], f"value {df.schema[column].dataType.simpleString()}")
+    said = lambda rows, side: rows.select(F.col("value").cast("string").alias("value"), F.lit(side).alias("side"))
+    out = said(have.join(F.broadcast(names), "value", "left_anti"), "unexpected")
+    return out if subset else out.unionByName(said(names.join(have.join(F.broadcast(names), "value", "left_semi"), "value", "left_anti"), "absent"))
 
 
 def completed_names(df: DataFrame, name: str, expected: list[str], **defaults) -> DataFrame:

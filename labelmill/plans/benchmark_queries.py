@@ -104,10 +104,11 @@ def prediction_summary(spark, sf_dir):
     return _rounded(B.prediction_summary(canonical(spark, sf_dir).withColumn("score", F.col("prediction_score")), ["model_name"], ["split"]))
 
 
-@query("SELECT doc_id, avg(v) >= 0.5 AS x_ge_050, avg(v) >= 0.67 AS x_ge_067, avg(v) BETWEEN 0.33 AND 0.67 AS x_uncertain FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 101) / 100 END AS v FROM documents) GROUP BY doc_id HAVING avg(v) IS NOT NULL")
+@query("SELECT doc_id, coalesce((v >= 0.5)::INT, -1) AS x_ge_050, coalesce((v >= 0.67)::INT, -1) AS x_ge_067, coalesce((v BETWEEN 0.33 AND 0.67)::INT, -1) AS x_uncertain FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 101) / 100 END AS v FROM documents)")
 def secondary_labels(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("pmod(doc_id, 5) <> 0").withColumn("mean", F.pmod("doc_id", F.lit(101)) / 100)
-    return d.select("doc_id", *(c.alias(k) for k, c in B.secondary_labels(F.col("mean"), "x").items()))
+    """Readings of mean probabilities; every fifth document has none, and so no reading (-1)."""
+    d = table(spark, sf_dir, "documents").withColumn("mean", F.when(F.pmod("doc_id", F.lit(5)) != 0, F.pmod("doc_id", F.lit(101)) / 100))
+    return d.select("doc_id", *(F.coalesce(c.cast("int"), F.lit(-1)).alias(k) for k, c in B.secondary_labels(F.col("mean"), "x").items()))
 
 
 _MODES = f"{CANON}, m AS (SELECT case_id, doc_id, label FROM cp WHERE model_name = 'm1')"

@@ -16,6 +16,13 @@ f AS (SELECT a.* FROM a WHERE doc_id IN (SELECT doc_id FROM pb)), g AS (SELECT b
 c AS (SELECT doc_id, start, "end", es, tag, assertion, cui, sum(x) AS x, sum(y) AS y FROM (SELECT *, 1 AS x, 0 AS y FROM f UNION ALL SELECT *, 0, 1 FROM g) GROUP BY ALL)"""
 
 
+FIELDS_DIFFER = """fh AS (SELECT *, sha256('{"start":"' || start || '","end":"' || "end" || '","entity_sha256":"' || es || '","semantic_tag":"' || tag || '","assertion":"' || assertion || '","cui":"\\u0000"}') AS h, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY position) AS occ FROM f), gh AS (SELECT *, sha256('{"start":"' || start || '","end":"' || "end" || '","entity_sha256":"' || es || '","semantic_tag":"' || tag || '","assertion":"' || assertion || '","cui":"\\u0000"}') AS h, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY position) AS occ FROM g),
+fm AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY h, occ) AS nth FROM fh) x JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY h, occ) AS nth FROM gh) y USING (doc_id, start, "end", nth) WHERE x.h <> y.h)"""
+ORDERED = """fp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place FROM f), gp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place FROM g), s AS (SELECT doc_id FROM c GROUP BY 1 HAVING bool_and(x = y)),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY place) AS occ, * EXCLUDE (doc_id) FROM fp), q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY place) AS occ, * EXCLUDE (doc_id) FROM gp),
+om AS (SELECT o.doc_id, (o.place - 1)::BIGINT AS position FROM o JOIN q USING (doc_id, place) WHERE doc_id IN (SELECT doc_id FROM s) AND (o.start, o."end", o.es, o.tag, o.occ) IS DISTINCT FROM (q.start, q."end", q.es, q.tag, q.occ))"""
+
+
 def _runs(spark, sf_dir):
     from pyspark.sql.window import Window
 
@@ -40,27 +47,25 @@ def document_parity(spark, sf_dir):
     return P.document_mismatches(ep, ap)
 
 
-@query(f"""WITH {SIDES} SELECT mismatch, doc_id, coalesce(start, -1) AS start, sum(n)::BIGINT AS n FROM (SELECT 'missing_entity' AS mismatch, doc_id, start, x - y AS n FROM c WHERE x > y UNION ALL SELECT 'unexpected_entity', doc_id, start, y - x FROM c WHERE y > x UNION ALL SELECT 'multiplicity_mismatch', doc_id, NULL, count(*) FROM c WHERE x > 0 AND y > 0 AND x <> y GROUP BY doc_id) GROUP BY ALL""")
+@query(f"""WITH {SIDES}, {FIELDS_DIFFER} SELECT mismatch, doc_id, coalesce(start, -1) AS start, sum(n)::BIGINT AS n FROM (SELECT 'missing_entity' AS mismatch, doc_id, start, x - y AS n FROM c WHERE x > y UNION ALL SELECT 'unexpected_entity', doc_id, start, y - x FROM c WHERE y > x UNION ALL SELECT 'multiplicity_mismatch', doc_id, NULL, count(*) FROM c WHERE x > 0 AND y > 0 AND x <> y GROUP BY doc_id UNION ALL SELECT 'field_mismatch', doc_id, start, 1 FROM fm) GROUP BY ALL""")
 def entity_parity_ledger(spark, sf_dir):
-    """Missing and unexpected entities with multiplicity; fields that differ are in the test by hand."""
+    """Missing and unexpected entities with multiplicity, and places whose fields differ, of documents that are not equal."""
     (ee, ep), (ae, ap) = _runs(spark, sf_dir)
     both = ep.select("doc_id").join(ap.select("doc_id"), "doc_id")
-    found = P.entity_mismatches(P.numbered(ee.join(both, "doc_id", "left_semi")), P.numbered(ae.join(both, "doc_id", "left_semi"))).where("mismatch <> 'field_mismatch'")
-    return found.groupBy("mismatch", "doc_id", F.coalesce("start", F.lit(-1)).alias("start")).agg(F.sum("n").alias("n"))
+    found = P.entity_mismatches(*P.differing(ee.join(both, "doc_id", "left_semi"), ae.join(both, "doc_id", "left_semi")))
+    return found.groupBy("mismatch", "doc_id", F.coalesce("start", F.lit(-1)).alias("start")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
 
 
-@query(f"""WITH {SIDES}, fp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place FROM f), gp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place FROM g), s AS (SELECT doc_id FROM c GROUP BY 1 HAVING bool_and(x = y)),
-o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY place) AS occ, * EXCLUDE (doc_id) FROM fp), q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, start, "end", es, tag ORDER BY place) AS occ, * EXCLUDE (doc_id) FROM gp)
-SELECT o.doc_id, (o.place - 1)::BIGINT AS position FROM o JOIN q USING (doc_id, place) WHERE doc_id IN (SELECT doc_id FROM s) AND (o.start, o."end", o.es, o.tag, o.occ) IS DISTINCT FROM (q.start, q."end", q.es, q.tag, q.occ)""")
+@query(f"""WITH {SIDES}, {ORDERED} SELECT doc_id, position FROM om""")
 def order_parity(spark, sf_dir):
     (ee, _), (ae, _) = _runs(spark, sf_dir)
-    return P.order_mismatches(P.numbered(ee), P.numbered(ae)).select("doc_id", "position")
+    return P.order_mismatches(*P.differing(ee, ae)).select("doc_id", "position")
 
 
-@query(f"""WITH {SIDES} SELECT (SELECT coalesce(sum(x - y), 0)::BIGINT FROM c WHERE x > y) AS missing_entity, (SELECT coalesce(sum(y - x), 0)::BIGINT FROM c WHERE y > x) AS unexpected_entity, (SELECT count(*) FROM c WHERE x > 0 AND y > 0 AND x <> y) AS multiplicity_mismatch, (SELECT count(*) FROM pa WHERE doc_id NOT IN (SELECT doc_id FROM pb)) AS missing_document, (SELECT count(*) FROM pb WHERE doc_id NOT IN (SELECT doc_id FROM pa)) AS unexpected_document,
+@query(f"""WITH {SIDES}, {FIELDS_DIFFER}, {ORDERED} SELECT (SELECT coalesce(sum(x - y), 0)::BIGINT FROM c WHERE x > y) AS missing_entity, (SELECT coalesce(sum(y - x), 0)::BIGINT FROM c WHERE y > x) AS unexpected_entity, (SELECT count(*) FROM c WHERE x > 0 AND y > 0 AND x <> y) AS multiplicity_mismatch, (SELECT count(*) FROM fm) AS field_mismatch, (SELECT count(*) FROM om) AS order_positions, (SELECT count(DISTINCT doc_id) FROM om) AS order_documents, (SELECT count(*) FROM pa WHERE doc_id NOT IN (SELECT doc_id FROM pb)) AS missing_document, (SELECT count(*) FROM pb WHERE doc_id NOT IN (SELECT doc_id FROM pa)) AS unexpected_document,
 (SELECT count(*) FROM pa JOIN pb USING (doc_id) WHERE pa.status <> pb.status) AS document_status_mismatch, (SELECT count(*) FROM pa JOIN pb USING (doc_id) WHERE (pa.n > 0) <> (pb.n > 0)) AS document_label_mismatch, (SELECT count(*) FROM pa JOIN pb USING (doc_id) WHERE pa.n <> pb.n) AS document_count_mismatch, FALSE AS passed""")
 def parity_summary(spark, sf_dir):
-    return P.parity(*_runs(spark, sf_dir))[3].drop("field_mismatch", "order_positions", "order_documents")
+    return P.parity(*_runs(spark, sf_dir))[3]
 
 
 @query(f"""WITH {SIDES}, r AS (SELECT doc_id, status, (n > 0)::INT AS label, CASE WHEN k % 31 = 2 THEN n + 1 WHEN k % 37 = 3 THEN NULL ELSE n END AS n, n AS t FROM pb WHERE k % 41 <> 9 UNION ALL SELECT doc_id, status, (n > 0)::INT, n, n FROM pb WHERE k % 43 = 5 AND k % 41 <> 9),
@@ -75,7 +80,7 @@ def parity_input_checks(spark, sf_dir):
 @query(f"WITH {SIDES}, s AS (SELECT doc_id, bool_and(x = y) AS same_entities FROM (SELECT doc_id, start, \"end\", es, tag, sum(x) AS x, sum(y) AS y FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY ALL) GROUP BY 1) SELECT same_entities, count(*) AS n FROM s GROUP BY 1")
 def exact_repeats(spark, sf_dir):
     (ee, _), (ae, _) = _runs(spark, sf_dir)
-    return P.exact_repeat(P.numbered(ee), P.numbered(ae)).groupBy("same_entities").agg(F.count("*").alias("n"))
+    return P.exact_repeat(ee, ae).groupBy("same_entities").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, 2 AS start FROM documents WHERE length(text) > 12 AND doc_id % 6 = 1")
@@ -101,14 +106,17 @@ def _audit(spark, sf_dir):
     return P.output_audit(keys.where(~k(10, 9)).select(name.alias("doc_id")), files, entities, "FINAL")
 
 
-@query(f"WITH {AUDIT} SELECT doc_id, file, \"exists\", parse_status, CASE WHEN ok THEN n ELSE 0 END AS entity_count, CASE WHEN ok THEN f ELSE 0 END AS final_count, CASE WHEN ok THEN (f > 0)::INT ELSE -1 END AS label FROM au")
+@query(f"WITH {AUDIT} SELECT doc_id, file, \"exists\", parse_status, CASE WHEN ok THEN n ELSE 0 END AS entity_count, CASE WHEN ok THEN f ELSE 0 END AS final_count, CASE WHEN ok THEN (f > 0)::INT ELSE -1 END AS label, n_files, CASE WHEN n_files > 1 THEN 'multiple_output_files' WHEN parse_status = 'parse_error' THEN 'missing start' ELSE '' END AS reason FROM au")
 def output_audit(spark, sf_dir):
-    return _audit(spark, sf_dir)[0].fillna(-1, ["label"]).drop("reason", "n_files")
+    return _audit(spark, sf_dir)[0].fillna(-1, ["label"])
 
 
-@query(f"""WITH {AUDIT}, u AS (SELECT count(*) AS n FROM fl WHERE doc_id NOT IN (SELECT doc_id FROM m)) SELECT count(*) AS expected, count(*) FILTER ("exists") AS matched, count(*) FILTER (NOT "exists") AS missing, count(*) FILTER (n_files > 1) AS repeated, count(*) FILTER (ok) AS parsed, count(*) FILTER (parse_status IN ('parse_error', 'duplicate_output')) AS failed, count(*) FILTER (ok AND f > 0) AS positive, count(*) FILTER (ok AND f = 0) AS negative, any_value(u.n) AS unexpected, (sum(n_files) + any_value(u.n))::BIGINT AS observed, count(*) FILTER (ok) AS evaluable, count(*) FILTER (NOT ok) AS non_evaluable, 'inputs_without_output|unexpected_outputs|several_outputs_for_a_document' AS warnings FROM au, u""")
+@query(f"""WITH {AUDIT}, ux AS (SELECT * FROM fl WHERE doc_id NOT IN (SELECT doc_id FROM m)), u AS (SELECT count(*) AS n, array_to_string(list_sort(list(file))[1:20], '|') AS l FROM ux), d AS (SELECT doc_id, count(*) AS k FROM fl GROUP BY 1 HAVING count(*) > 1), dd AS (SELECT count(*) AS n, coalesce(sum(k), 0)::BIGINT AS k, array_to_string(list_sort(list(doc_id))[1:20], '|') AS l FROM d)
+SELECT count(*) AS expected, count(*) FILTER ("exists") AS matched, count(*) FILTER (NOT "exists") AS missing, any_value(dd.n) AS repeated, any_value(dd.k) AS repeated_files, any_value(dd.l) AS repeated_examples, count(*) FILTER (ok) AS parsed, count(*) FILTER (parse_status IN ('parse_error', 'duplicate_output')) AS failed, count(*) FILTER (ok AND f > 0) AS positive, count(*) FILTER (ok AND f = 0) AS negative, any_value(u.n) AS unexpected, any_value(u.l) AS unexpected_examples, (sum(n_files) + any_value(u.n))::BIGINT AS observed, count(*) FILTER (ok) AS evaluable, count(*) FILTER (NOT ok) AS non_evaluable,
+'some_input_files_have_no_clamp_output|unexpected_output_files_without_manifest_rows|duplicate_output_files_for_doc_ids' AS warnings FROM au, u, dd""")
 def output_audit_summary(spark, sf_dir):
-    return P.audit_summary(*_audit(spark, sf_dir)).drop("unexpected_examples").withColumn("warnings", F.array_join("warnings", "|"))
+    lists = ("warnings", "unexpected_examples", "repeated_examples")
+    return P.audit_summary(*_audit(spark, sf_dir)).withColumns({c: F.array_join(c, "|") for c in lists})
 
 
 @query("SELECT 'l_returnflag' AS \"column\", l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2")
@@ -116,6 +124,8 @@ def value_frequencies(spark, sf_dir):
     return P.frequencies(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+# Letters, marks, digits and connectors: what a word is made of where nothing else is said.
+_WORD = r"'[\p{L}\p{M}\p{Nd}\p{Pc}]+'"
 _MANIFEST = """v AS (SELECT doc_id, CASE WHEN doc_id % 20 = 3 THEN '' WHEN doc_id % 20 = 4 THEN NULL ELSE text END AS text, CASE doc_id % 9 WHEN 0 THEN '..' WHEN 1 THEN ' ' WHEN 2 THEN 'twin' ELSE 'd' || doc_id::VARCHAR END AS id FROM documents),
 w AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'missing_text' WHEN trim(id) = '' THEN 'unsafe_doc_id:missing' WHEN id = '..' THEN 'unsafe_doc_id:trailing_dot' ELSE '' END AS r FROM v),
 x AS (SELECT *, CASE WHEN r = '' AND id = 'twin' AND count(*) FILTER (r = '') OVER (PARTITION BY id) > 1 THEN 'duplicate_doc_id' ELSE r END AS reason FROM w)"""
@@ -132,6 +142,6 @@ def export_manifest(spark, sf_dir):
     return _manifest(spark, sf_dir).fillna(-1, ["n_characters"]).select("doc_id", "export_status", "reason", "n_characters")
 
 
-@query(f"WITH {_MANIFEST} SELECT count(*) AS rows, count(*) FILTER (reason = '') AS exported, count(*) FILTER (reason <> '') AS skipped, count(*) FILTER (reason = 'missing_text') AS missing_text, count(*) FILTER (reason = 'duplicate_doc_id') AS duplicate_doc_id, count(*) FILTER (reason LIKE 'unsafe%') AS unsafe_doc_id, count(*) FILTER (reason = '' AND length(text) > 16000) AS too_many_characters, max(length(text)) FILTER (reason = '') AS most_n_characters FROM x")
+@query(f"WITH {_MANIFEST} SELECT count(*) AS rows, count(*) FILTER (reason = '') AS exported, count(*) FILTER (reason <> '') AS skipped, count(*) FILTER (reason = 'missing_text') AS missing_text, count(*) FILTER (reason = 'duplicate_doc_id') AS duplicate_doc_id, count(*) FILTER (reason LIKE 'unsafe%') AS unsafe_doc_id, count(*) FILTER (reason = '' AND length(text) > 16000) AS too_many_characters, max(length(text)) FILTER (reason = '') AS most_n_characters, count(*) FILTER (reason = '' AND run > 500) AS too_long_run, max(words) FILTER (reason = '') AS most_n_words, max(run) FILTER (reason = '') AS most_longest_run FROM (SELECT *, len(regexp_extract_all(text, {_WORD})) AS words, list_max(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda y: len(regexp_extract_all(y, {_WORD})))) AS run FROM x)")
 def export_manifest_summary(spark, sf_dir):
-    return P.manifest_summary(_manifest(spark, sf_dir)).drop("too_long_run", "most_n_words", "most_longest_run")
+    return P.manifest_summary(_manifest(spark, sf_dir))

@@ -62,11 +62,11 @@ def agreement_summary(spark, sf_dir):
 g AS (SELECT task, count(*) FILTER (k > 0) AS rated_cases, count(*) FILTER (k >= 2) AS spread_cases, count(*) FILTER (k = 3) AS complete_cases, count(*) FILTER (k < 3) AS incomplete_cases, avg((rg >= 25)::INT) FILTER (k >= 2) AS share_25, avg((rg >= 50)::INT) FILTER (k >= 2) AS share_50, quantile_cont(sd, 0.5) FILTER (k >= 2) AS median_sd, quantile_cont(rg, 0.5) FILTER (k >= 2) AS median_range FROM e GROUP BY 1),
 f AS (SELECT *, count(*) OVER (PARTITION BY task, case_id) AS k FROM lg QUALIFY k = 3), m AS (SELECT *, avg(value) OVER (PARTITION BY task, case_id) AS mc, avg(value) OVER (PARTITION BY task, rater) AS mr, avg(value) OVER (PARTITION BY task) AS m FROM f),
 i AS (SELECT task, count(DISTINCT case_id) AS n, sum((mc - m) ** 2) / (count(DISTINCT case_id) - 1) AS msc, sum((mr - m) ** 2) / 2 AS msr, sum((value - mc - mr + m) ** 2) / ((count(DISTINCT case_id) - 1) * 2) AS mse FROM m GROUP BY task)
-SELECT g.task, rated_cases, spread_cases, complete_cases, incomplete_cases, round(share_25, 6) AS share_25, round(share_50, 6) AS share_50, round(median_sd, 6) AS median_sd, round(median_range, 6) AS median_range, round((msc - mse) / (msc + 2 * mse + 3 * (msr - mse) / n), 6) AS icc_single, 'estimated' AS status FROM g JOIN i USING (task)""")
+SELECT g.task, rated_cases, spread_cases, complete_cases, incomplete_cases, round(share_25, 6) AS share_25, round(share_50, 6) AS share_50, round(median_sd, 6) AS median_sd, round(median_range, 6) AS median_range, round((msc - mse) / (msc + 2 * mse + 3 * (msr - mse) / n), 6) AS icc_single, round((msc - mse) / (msc + (msr - mse) / n), 6) AS icc_mean, 'estimated' AS status FROM g JOIN i USING (task)""")
 def interrater_agreement(spark, sf_dir):
     w = wide(spark, sf_dir)
     r = A.task_rows(w, RATERS)[0]
-    return _rounded(A.interrater(r, A.case_summary(r, w), 3)).drop("icc_mean", "single_low", "single_high", "mean_low", "mean_high")
+    return _rounded(A.interrater(r, A.case_summary(r, w), 3)).drop("single_low", "single_high", "mean_low", "mean_high")
 
 
 @query(f"WITH {WIDE}, n AS (SELECT count(DISTINCT case_id) AS c FROM wide) SELECT rater, count(*) AS rows, {', '.join(f'count(*) FILTER ({t}_complete = 2) AS {t}_complete, count(*) FILTER ({t}_complete = 0) AS {t}_state_0, count(*) FILTER ({t}_complete = 1) AS {t}_state_1, count(*) FILTER ({t}_complete IS NULL) AS {t}_state_missing' for t in ('image', 'report'))}, any_value(c) - count(*) AS absent FROM wide, n GROUP BY rater")

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import agreement as A
+from ..operators import benchmark as B
 from ..operators import labels as L
 from ..operators import metrics as M
+from ..operators import reports as S
 from ..operators import resampling as R
 from ..operators import validation as V
 from .tables import PREDICTIONS, RATINGS, predictions, ratings, table
@@ -158,21 +160,34 @@ def calibration_bins(spark, sf_dir):
     return _rounded(M.calibration_bins(predictions(spark, sf_dir), ["model"]))
 
 
+@query(f"WITH {PREDICTIONS}, b AS (SELECT model, score, target, len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9], lambda x: x::DOUBLE < score)) AS bin FROM p) SELECT model, bin, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean_score, round(avg(target), 6) AS mean_target, round(abs(avg(score) - avg(target)), 6) AS gap FROM b GROUP BY ALL")
+def calibration_steps(spark, sf_dir):
+    """Calibration in bins of even width."""
+    return _rounded(M.calibration_bins(predictions(spark, sf_dir), ["model"], strategy="uniform"))
+
+
 @query(f"WITH {PREDICTIONS}, t AS (SELECT * FROM p, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) v(threshold)), g AS (SELECT model, threshold, count(*) AS n, sum(CASE WHEN score >= threshold THEN target ELSE 0 END) AS tp, sum(CASE WHEN score >= threshold THEN 1 - target ELSE 0 END) AS fp, sum(CASE WHEN score < threshold THEN target ELSE 0 END) AS fn, sum(CASE WHEN score < threshold THEN 1 - target ELSE 0 END) AS tn, avg((score >= threshold)::INT) AS alert_rate FROM t GROUP BY ALL) SELECT model, threshold, n, round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(tn, 4) AS tn, round(alert_rate, 4) AS alert_rate, round(tp / nullif(tp + fn, 0), 4) AS sensitivity, round(tn / nullif(tn + fp, 0), 4) AS specificity, round(tp / nullif(tp + fp, 0), 4) AS ppv, round(tn / nullif(tn + fn, 0), 4) AS npv FROM g")
 def expected_thresholds(spark, sf_dir):
     return _rounded(M.expected_threshold_metrics(predictions(spark, sf_dir), ["model"], THRESHOLDS), 4)
 
 
-@query("WITH t AS (SELECT event_type, date_trunc('week', ts)::DATE AS week, least(abs(value) / 100, 1.0) AS score, threshold FROM events, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) v(threshold)) SELECT event_type, threshold, week::VARCHAR AS week, count(*) AS evaluated, count(*) FILTER (score >= threshold) AS alerts, round(avg((score >= threshold)::INT), 6) AS alert_rate FROM t GROUP BY ALL")
+@query("WITH t AS (SELECT event_type, date_trunc('week', ts)::DATE AS week, least(abs(value) / 100, 1.0) AS score, threshold FROM events, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) v(threshold)) SELECT event_type, threshold, week::VARCHAR AS week, count(*) AS evaluated, count(*) FILTER (score >= threshold) AS alerts, round(avg((score >= threshold)::INT), 6) AS alert_rate, round(100 * count(*) FILTER (score >= threshold) / count(*), 6) AS alerts_per_100 FROM t GROUP BY ALL")
 def weekly_alert_burden(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("ts").alias("time"), F.least(F.abs("value") / 100, F.lit(1.0)).alias("score"))
     return _rounded(M.alert_burden(e, ["event_type"], THRESHOLDS)).withColumn("week", F.col("week").cast("string"))
 
 
-@query("WITH g AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1), h AS (SELECT (epoch_us(b) - epoch_us(a)) / 3.6e9 AS hours FROM g) SELECT 'first_to_last' AS interval, count(*) AS n, round(avg(hours), 6) AS mean, round(quantile_cont(hours, 0.25), 6) AS p25, round(quantile_cont(hours, 0.5), 6) AS median, round(quantile_cont(hours, 0.75), 6) AS p75 FROM h")
+_TIMES = ("first_to_last", "first_to_even", "even_to_last", "first_to_written")
+
+
+@query("""WITH g AS (SELECT user_id, min(ts) AS a, max(ts) AS b, min(ts) FILTER (event_id % 2 = 0) AS c FROM events GROUP BY 1), h AS (SELECT unnest(['first_to_last', 'first_to_even', 'even_to_last', 'first_to_written']) AS interval, unnest([epoch_us(b) - epoch_us(a), epoch_us(c) - epoch_us(a), epoch_us(b) - epoch_us(c), CASE WHEN user_id % 3 <> 0 THEN epoch_us(b) - epoch_us(a) END]) / 3.6e9 AS hours FROM g)
+SELECT interval, count(*) AS n, round(avg(hours), 6) AS mean, round(quantile_cont(hours, 0.25), 6) AS p25, round(quantile_cont(hours, 0.5), 6) AS median, round(quantile_cont(hours, 0.75), 6) AS p75 FROM h WHERE hours IS NOT NULL GROUP BY 1""")
 def timing_summary(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
-    return _rounded(M.timing_summary(g, {"first_to_last": ("a", "b")}))
+    """Four pairs of times, of which one side is missing for some and one is written text, malformed for every third user."""
+    even = F.min(F.when(F.pmod("event_id", F.lit(2)) == 0, F.col("ts")))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"), even.cast("timestamp").alias("c"))
+    g = g.withColumn("w", F.when(F.pmod("user_id", F.lit(3)) == 0, "not a time").otherwise(F.col("b").cast("string")))
+    return _rounded(M.timing_summary(g, dict(zip(_TIMES, (("a", "b"), ("a", "c"), ("c", "b"), ("a", "w")), strict=True))))
 
 
 @query(f"WITH {RATINGS} SELECT case_id, task, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high, max(value) - min(value) AS range, max(value) - min(value) >= 25 AS range_25, max(value) - min(value) >= 50 AS range_50 FROM r GROUP BY ALL")
@@ -231,8 +246,8 @@ def intraclass_correlation(spark, sf_dir):
 
 # The names and patterns of what may identify a person or a machine.
 IDENTIFIERS = {
-    "deidentification_marker": r"\[\*\*",
-    "dataset_identifier": r"(?i)\bmimic[_-]",
+    "mimic_deidentification_marker": r"\[\*\*",
+    "mimic_identifier": r"(?i)\bmimic[_-]",
     "record_identifier_label": r"(?i)\b(?:mrn|medical record|accession|subject[_ ]?id|study[_ ]?id|patient[_ ]?id|dob|date of birth|ssn)\b",
     "email_address": r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b",
     "phone_number": r"\b\d{3}[-.) ]+\d{3}[- ]+\d{4}\b",
@@ -263,10 +278,11 @@ def example_ids(spark, sf_dir):
 
 @query("SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
 def sources_by_size(spark, sf_dir):
-    """Sources in order of size; their place is taken from the sorted rows themselves."""
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    rows = L.in_order(g.withColumn("minus", -F.col("n")), "minus", "source").select("source", "n")
-    return rows.agg(F.collect_list(F.struct("source", "n")).alias("l")).select(F.posexplode("l").alias("k", "r")).select("r.source", "r.n", (F.col("k") + 1).cast("bigint").alias("place"))
+    """Sources in order of size; places count sizes of whole groups of equal size first, then names inside a group."""
+    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("minus", -F.col("n"))
+    ahead = M.running(g.groupBy("minus").agg(F.count("*").alias("k")), [], "minus", ["k"]).select("minus", "below_k")
+    inside = F.row_number().over(Window.partitionBy("minus").orderBy(F.col("source").asc_nulls_last()))
+    return g.withColumn("inside", inside).join(ahead, "minus").select("source", "n", (F.col("below_k") + F.col("inside")).cast("bigint").alias("place"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
@@ -315,6 +331,43 @@ def wilson_widths(spark, sf_dir):
     return g.select("source", "n", F.round(X.wilson_half_width(F.col("p"), F.col("n").cast("double")), 6).alias("half_width"))
 
 
+@query("WITH g AS (SELECT source, avg(quality)::DOUBLE AS r, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT source, CASE WHEN r > 0 THEN greatest(ceil(0.9 * (1 - r) / (r * (1 - 0.9)) - 1e-12), 1)::BIGINT ELSE -1 END AS raters FROM g")
+def raters_for_reliability(spark, sf_dir):
+    """How many raters as reliable as a source's share of good documents reach a reliability of 0.9."""
+    g = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("r"))
+    return g.select("source", F.coalesce(X.raters_required(F.col("r"), F.lit(0.9)), F.lit(-1).cast("bigint")).alias("raters"))
+
+
+#: Terms in groups, some with blanks and signs; SQL spells their patterns out.
+VOCABULARY = {"joined": ["On The", "a.b", "of the", "of"], "signs": ["(c)", "+", "***"], "rare": ["Retion", "ertion", "et la"]}
+_PATTERNS = {"joined": r"(?:on\s+the|of\s+the|a\.b|of)", "signs": r"(?:\*\*\*|\(c\)|\+)", "rare": r"(?:ertion|retion|et\s+la)"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(lower(text), '{p}'))::INT AS {k}" for k, p in _PATTERNS.items()) + " FROM documents WHERE text IS NOT NULL")
+def vocabulary_matches(spark, sf_dir):
+    """How often the terms of each group stand in a text."""
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("low", F.lower("text"))
+    return d.select("doc_id", *(F.regexp_count("low", F.lit(X.terms_to_regex(terms))).alias(k) for k, terms in VOCABULARY.items()))
+
+
+@query("SELECT subject, study, n FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN NULL ELSE doc_id // 7 END AS subject, CASE WHEN doc_id % 11 = 4 THEN NULL ELSE doc_id END AS study, length(text) AS n, doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 5) ORDER BY doc_id".replace("SELECT subject, study, n FROM", "SELECT coalesce(subject, -1) AS subject, coalesce(study, -1) AS study, n FROM"))
+def typed_reports(spark, sf_dir):
+    """Raw rows of strings as reports: malformed ids are null (-1), rows without a text are left out."""
+    d = table(spark, sf_dir, "documents")
+    subject = F.when(F.pmod("doc_id", F.lit(10)) == 3, "p12").otherwise(F.expr("doc_id div 7").cast("string"))
+    study = F.when(F.pmod("doc_id", F.lit(11)) == 4, "").otherwise(F.col("doc_id").cast("string"))
+    raw = d.select(subject.alias("subject"), study.alias("study"), F.when(F.pmod("doc_id", F.lit(13)) != 5, F.col("text")).alias("report_text"))
+    return S.base(raw).select(F.coalesce("subject", F.lit(-1)).alias("subject"), F.coalesce("study", F.lit(-1)).alias("study"), F.char_length("report_text").cast("bigint").alias("n"))
+
+
+@query(f"WITH {PREDICTIONS}, s AS (SELECT doc_id, avg(score) FILTER (model = 'm1') AS x FROM p WHERE doc_id % 4 <> 1 GROUP BY 1) SELECT doc_id, round(coalesce(x, 0.0), 6) AS prediction_score, (coalesce(x, 0.0) >= 0.5)::INT AS prediction_label FROM labels LEFT JOIN s USING (doc_id)")
+def rule_scores(spark, sf_dir):
+    """The rules' own score as a model; a quarter of the rows has none."""
+    p = predictions(spark, sf_dir).where("model = 'm1'")
+    rows = table(spark, sf_dir, "labels").select("doc_id").join(p.select("doc_id", F.when(F.pmod("doc_id", F.lit(4)) != 1, F.col("score")).alias("silver_score")), "doc_id", "left")
+    return _rounded(B.rule_score(rows).select("doc_id", "prediction_score", "prediction_label"))
+
+
 @query()
 def bootstrap_brier(spark, sf_dir):
     """Intervals of each model's Brier score over clusters (sources); draws are random, so SQL has no counterpart."""

@@ -61,8 +61,8 @@ k AS (SELECT *, graph_edema OR text_edema AS edema, graph_atelectasis OR text_at
 hl AND lo = 0 AND le = 0 AND lc = 0 AND la = 0 AND NOT graph_sensitive AND NOT text_present AND NOT text_uncertain AND NOT text_edema AND NOT text_atelectasis AND NOT text_airspace AS neg FROM j),
 v AS (SELECT study, ss OR se OR uncertain AS any_opacity, (graph_strict OR text_present OR text_uncertain OR edema OR airspace) AND NOT text_negated AS not_atelectatic, CASE WHEN ss THEN 1 WHEN neg THEN 0 END AS silver_strict, CASE WHEN se THEN 1 WHEN neg THEN 0 END AS silver_sensitive,
 CASE WHEN graph_strict AND text_present THEN 0.95 WHEN graph_strict THEN 0.90 WHEN text_present AND NOT text_negated THEN 0.85 WHEN graph_sensitive THEN 0.75 WHEN uncertain THEN 0.55 WHEN lo = 1 THEN 0.35 WHEN lo = -1 THEN 0.30 WHEN hl AND lo = 0 THEN 0.05 END::DOUBLE AS silver_score,
-CASE WHEN graph_strict AND text_present THEN 'graph_strict_plus_text' WHEN graph_strict THEN 'graph_strict' WHEN text_present AND NOT text_negated THEN 'text_strict' WHEN graph_sensitive THEN 'graph_sensitive' WHEN uncertain THEN 'text_or_graph_uncertain' WHEN lo = 1 THEN 'label_only' WHEN lo = -1 THEN 'label_uncertain_only' WHEN hl AND lo = 0 THEN 'label_negative' ELSE 'unclassified' END AS silver_source,
-list_filter([CASE WHEN graph_strict <> text_present THEN 'graph_text_disagreement' END, CASE WHEN text_negated AND (graph_strict OR text_present) THEN 'positive_and_negated' END, CASE WHEN lo = 1 AND NOT graph_sensitive AND NOT text_present THEN 'label_without_signal' END], lambda x: x IS NOT NULL) AS flags,
+CASE WHEN graph_strict AND text_present THEN 'radgraph_strict_plus_regex' WHEN graph_strict THEN 'radgraph_strict' WHEN text_present AND NOT text_negated THEN 'regex_strict' WHEN graph_sensitive THEN 'radgraph_sensitive' WHEN uncertain THEN 'regex_or_radgraph_uncertain' WHEN lo = 1 THEN 'chexpert_lung_opacity_only' WHEN lo = -1 THEN 'chexpert_lung_opacity_uncertain_only' WHEN hl AND lo = 0 THEN 'chexpert_negative' ELSE 'unclassified' END AS silver_source,
+list_filter([CASE WHEN graph_strict <> text_present THEN 'radgraph_regex_disagreement' END, CASE WHEN text_negated AND (graph_strict OR text_present) THEN 'positive_and_negated_conflict' END, CASE WHEN lo = 1 AND NOT graph_sensitive AND NOT text_present THEN 'broad_opacity_without_bilateral_signal' END], lambda x: x IS NOT NULL) AS flags,
 CASE WHEN graph_strict <> text_present OR uncertain THEN 'high' WHEN lo = 1 AND NOT graph_sensitive AND NOT text_present THEN 'medium' ELSE 'low' END AS review_priority FROM k)"""
 
 

@@ -97,8 +97,8 @@ def test_silver_ladder(spark):
     d = spark.createDataFrame(rows, ", ".join(f"{n} boolean" for n in names) + ", has_labels boolean, label_opacity int, label_edema int, label_consolidation int, label_atelectasis int")
     got = [(r["silver_strict"], r["silver_sensitive"], r["silver_score"], r["review_priority"], r["qa_flags"]) for r in S.silver(d, "v1").collect()]
     assert got == [
-        (1, 1, 0.95, "low", []), (0, 0, 0.05, "low", []), (None, None, None, "low", []), (None, None, 0.35, "medium", ["label_without_signal"]), (None, None, 0.3, "low", []),
-        (None, None, 0.05, "high", ["graph_text_disagreement", "positive_and_negated"]), (None, 1, 0.55, "high", []), (None, 1, 0.75, "low", []),
+        (1, 1, 0.95, "low", []), (0, 0, 0.05, "low", []), (None, None, None, "low", []), (None, None, 0.35, "medium", ["broad_opacity_without_bilateral_signal"]), (None, None, 0.3, "low", []),
+        (None, None, 0.05, "high", ["radgraph_regex_disagreement", "positive_and_negated_conflict"]), (None, 1, 0.55, "high", []), (None, 1, 0.75, "low", []),
     ]
 
 
