@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.ml import Pipeline
+import pandas as pd
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,56 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def unaccented(c: Column) -> Column:
-    """Latin letters without their accents, as Unicode takes them apart."""
-    pairs = [(chr(k), d[0]) for k in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(k))) > 1 and not unicodedata.combining(d[0])]
-    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    """Text taken apart by Unicode's compatibility forms, without combining marks."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        one = lambda t: t if t is None or t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+        return texts.map(one)
+
+    return plain(c)
+
+
+class SmoothIdf(Estimator):
+    """Weights of terms, ln((1 + n) / (1 + df)) + 1, as a stage that multiplies counts with them."""
+
+    def __init__(self, inputCol: str, outputCol: str):  # noqa: N803
+        super().__init__()
+        self.columns = inputCol, outputCol
+
+    def _fit(self, dataset: DataFrame):
+        counts, weighted = self.columns
+        idf = IDF(inputCol=counts, outputCol="_").fit(dataset).idf
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol=counts, outputCol=weighted)
+
+    def copy(self, extra=None):
+        return self
+
+
+class PenalisedLogistic(Estimator):
+    """Logistic regression of features that hold a constant, whose weight is penalised like others, on the features' own
+    scale: minimises |w|^2 / 2 + strength * sum of weighted losses.
+
+    A constant column would be dropped for lack of spread; a row of zeros, which pulls at no weight, gives it some.
+    """
+
+    def __init__(self, features: str, strength: float = 1.0):
+        super().__init__()
+        self.features, self.strength = features, strength
+
+    def _fit(self, dataset: DataFrame):
+        rows = dataset.select(self.features, "label", "weight")
+        total, size = rows.agg(F.sum("weight")).first()[0], rows.first()[0].size
+        zero = dataset.sparkSession.createDataFrame([(Vectors.sparse(size, {}), 0.0, total)], rows.schema)
+        penalty = 1 / (self.strength * 2 * total)  # the losses are averaged over the weights, with that of the added row
+        return LogisticRegression(featuresCol=self.features, labelCol="label", weightCol="weight", regParam=penalty, fitIntercept=False, standardization=False, maxIter=1000, tol=1e-10).fit(rows.unionByName(zero))
+
+    def copy(self, extra=None):
+        return self
+
+
+def logistic(features: str, strength: float) -> list:
+    return [SQLTransformer(statement="SELECT *, 1.0D AS constant FROM __THIS__"), VectorAssembler(inputCols=[features, "constant"], outputCol="with_constant"), PenalisedLogistic("with_constant", strength)]
 
 
 def structured_features(df: DataFrame, features: list[str], derived: tuple[str, ...] = ("silver_", "qa_", "review_")) -> tuple[DataFrame, list[str]]:
@@ -41,20 +90,23 @@ def structured_features(df: DataFrame, features: list[str], derived: tuple[str,
     return df.withColumns({c: number(c) for c in here}), here
 
 
-def text_pipeline(vocabulary: int = 20000, min_df: int = 2) -> Pipeline:
-    """Lower-cased one- and two-grams, TF-IDF scaled to length 1, logistic regression."""
+def text_pipeline(vocabulary: int = 20000, min_df: int = 2, strength: float = 1.0) -> Pipeline:
+    """Lower-cased one- and two-grams without accents, TF-IDF scaled to length 1, logistic regression."""
     return Pipeline(stages=[
-        SQLTransformer(statement="SELECT *, lower(text) AS plain_text FROM __THIS__"),
         RegexTokenizer(inputCol="plain_text", outputCol="words", pattern=r"(?U)\W+", minTokenLength=2), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary, minDF=min_df), IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=40, regParam=1e-4),
+        CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary, minDF=min_df), SmoothIdf("counts", "weighted"), Normalizer(inputCol="weighted", outputCol="features"), *logistic("features", strength),
     ])
 
 
-def structured_pipeline(columns: list[str]) -> Pipeline:
+def with_plain_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with plain_text, what text_pipeline reads: in lower case, without accents."""
+    return df.withColumn("plain_text", unaccented(F.lower(text)))
+
+
+def structured_pipeline(columns: list[str], strength: float = 1.0) -> Pipeline:
     """Given columns (nulls as 0), scaled without centring, logistic regression."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False), LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=40)])
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=False), *logistic("features", strength)])
 
 
 def fit_and_score(df: DataFrame, pipeline: Pipeline, name: str, key: str = "doc_id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, ws_trim
 from ..operators.extraction import Spec
+from ..operators.labels import example_values
 from ..operators.validation import failed, values_differ
 from .json_members import json_members
 
@@ -47,8 +48,8 @@ ENTITY = "struct<tokens:string,label:string,labels:string,start_ix:bigint,end_ix
 REPORT = f"struct<text:string,data_source:string,data_split:string,entities:map<string,{ENTITY}>>"
 
 
-def entity_graphs(spark: SparkSession, path: str, whole_file: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reports, entities and relations of nested JSON: report key to text and entities.
+def graph_rows(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """report_key and r (a struct) of nested JSON: report key to text and entities.
 
     The files hold an object on each line, or (whole_file) one object each over any number of lines, of any size: blocks
     of it are read by tasks of their own and cut at the object's members (json_members). Tokens and labels may be strings or lists; malformed relations are skipped.
@@ -60,12 +61,37 @@ def entity_graphs(spark: SparkSession, path: str, whole_file: bool = False) -> t
     else:
         raw = spark.read.text(path).where(F.trim("value") != "")
         rows = raw.select(F.explode(F.from_json("value", f"map<string,{REPORT}>")).alias("report_key", "r"))
-    reports = rows.select("report_key", "r.text", "r.data_source", "r.data_split")
+    return rows
+
+
+def _flat(c, sep: str):
+    return F.when(c.startswith("["), F.array_join(F.from_json(c, "array<string>"), sep)).otherwise(c)
+
+
+def graph_reports(rows: DataFrame) -> DataFrame:
+    return rows.select("report_key", "r.text", "r.data_source", "r.data_split")
+
+
+def graph_entities(rows: DataFrame) -> DataFrame:
+    e = rows.select("report_key", F.explode("r.entities").alias("entity_id", "e"))
+    return e.select("report_key", "entity_id", _flat(F.col("e.tokens"), " ").alias("tokens"), _flat(F.coalesce("e.label", "e.labels"), "|").alias("label"), "e.start_ix", "e.end_ix")
+
+
+def graph_relations(rows: DataFrame) -> DataFrame:
     e = rows.select("report_key", F.explode("r.entities").alias("entity_id", "e"))
-    flat = lambda c, sep: F.when(c.startswith("["), F.array_join(F.from_json(c, "array<string>"), sep)).otherwise(c)
-    entities = e.select("report_key", "entity_id", flat(F.col("e.tokens"), " ").alias("tokens"), flat(F.coalesce("e.label", "e.labels"), "|").alias("label"), "e.start_ix", "e.end_ix")
-    relations = e.select("report_key", F.col("entity_id").alias("source_id"), F.explode(F.filter("e.relations", lambda r: F.size(r) == 2)).alias("r"))
-    return reports, entities, relations.select("report_key", "source_id", F.get("r", F.lit(0)).alias("relation"), F.get("r", F.lit(1)).alias("target_id"))
+    pairs = e.select("report_key", F.col("entity_id").alias("source_id"), F.explode(F.filter("e.relations", lambda r: F.size(r) == 2)).alias("r"))
+    return pairs.select("report_key", "source_id", F.get("r", F.lit(0)).alias("relation"), F.get("r", F.lit(1)).alias("target_id"))
+
+
+#: What a parse of entity graphs is cut into; the cuts that writers.flattened takes.
+GRAPH_TABLES = {"reports": graph_reports, "entities": graph_entities, "relations": graph_relations}
+
+
+def entity_graphs(spark: SparkSession, path: str, whole_file: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports, entities and relations of nested JSON (graph_rows). Each is read on its own; to write all three from one
+    parse, use writers.flattened with GRAPH_TABLES."""
+    rows = graph_rows(spark, path, whole_file)
+    return tuple(cut(rows) for cut in GRAPH_TABLES.values())
 
 
 def documents(spark: SparkSession, path: str, fmt: str, id_column: str, text_column: str, id_prefix: str = "") -> tuple[DataFrame, DataFrame]:
@@ -163,24 +189,52 @@ def complete_outputs(spark: SparkSession, path: str, manifest: DataFrame) -> tup
     status = manifest.select("doc_id").withColumn("expected", F.lit(True)).join(status, "doc_id", "full")
     reason = F.when(F.col("expected").isNull(), "unexpected_output").when(F.col("n_files").isNull(), "missing_output").when(F.col("n_files") > 1, "several_outputs").otherwise(F.coalesce("fault", "row_fault"))
     status = status.select("doc_id", reason.alias("reason"), F.when(F.coalesce("n_entities", F.lit(0)) > 0, "parsed").otherwise("parsed_empty").alias("status"))
-    bad = status.where("reason is not null").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "doc_id", "reason"))), 1, 20).alias("examples")).first()
+    bad = example_values(status.where("reason is not null").select(F.concat_ws(":", "doc_id", "reason").alias("found")), "found", 20).first()
     if bad["n"]:
         raise ValueError(f"{bad['n']} outputs are not as they must be: {bad['examples']}")
     return rows.drop("extra", "fault").withColumn("entity_sha256", F.sha2("entity_text", 256)), status.drop("reason")
 
 
-def extractor_outputs(spark: SparkSession, path: str, required: tuple[str, ...] = ("start", "end", "semantic_tag")) -> tuple[DataFrame, DataFrame]:
-    """Entities of many small tab-separated files, and per file a status: parsed, parsed_empty or parse_error with a reason."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("doc_id"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("lines"))
+# Suffixes of outputs that are read, and of those that can't be.
+READ, UNREAD = ("csv", "tsv", "txt"), ("xmi", "xmi.gz", "xdi")
+#: Cells of a row of an output at most; rows with more are malformed.
+CELLS = 64
+
+
+def extractor_outputs(spark: SparkSession, path: str, required: tuple[str, ...] = ("semantic_tag",)) -> tuple[DataFrame, DataFrame]:
+    """Entities of many small outputs, and per file a status: parsed, parsed_empty or parse_error with a reason.
+
+    .csv files are separated by commas, with quotes; .tsv files by tabs; of .txt files the header's more frequent one of
+    tab, comma and semicolon counts. Other formats, and files without a known or a required field, are errors. Files in
+    a folder Archive are left out; offsets that are no whole numbers are null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").contains("/Archive/"))
+    name_of = F.regexp_extract("path", r"([^/]+)$", 1)
+    suffix = F.lower(F.regexp_extract(name_of, r"(?i)\.(xmi\.gz|[^.]+)$", 1))
+    text = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n"), "^\ufeff", "")
+    files = files.select(name_of.alias("file"), F.regexp_replace(name_of, r"(?i)\.(xmi\.gz|[^.]+)$", "").alias("doc_id"), suffix.alias("suffix"), text.alias("text")).where(F.col("suffix").isin(*READ, *UNREAD))
+    head = F.split_part("text", F.lit("\n"), F.lit(1))
+    counts = [F.regexp_count(head, F.lit(s)) for s in ("\t", ",", ";")]
+    sniffed = F.when((counts[0] >= counts[1]) & (counts[0] >= counts[2]), "\t").when(counts[1] >= counts[2], ",").otherwise(";")
+    files = files.withColumn("separator", F.when(F.col("suffix") == "csv", ",").when(F.col("suffix") == "tsv", "\t").otherwise(sniffed))
     lookup = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
     name = lambda h: F.coalesce(F.try_element_at(lookup, F.regexp_replace(F.lower(ws_trim(h)), r"(?U)[\W_]", "")), F.lit(""))
-    files = files.withColumns({"header": F.transform(F.split(F.get("lines", F.lit(0)), "\t"), name), "rows": F.filter(F.slice("lines", 2, 1 << 30), lambda x: ws_trim(x) != "")})
+    schema = ", ".join(f"c{k} string" for k in range(CELLS))
+    # Rows by separator, so that each is read with constant options; a quoted cell may hold separators and line breaks.
+    cut = lambda s: F.transform(F.regexp_extract_all("text", F.lit(r'((?:"(?:[^"]|"")*"|[^"\n])+)'), F.lit(1)), lambda row: F.from_csv(row, schema, {"sep": s, "escape": '"', "mode": "PERMISSIVE"}))
+    quoted = lambda s: F.transform(cut(s), lambda r: F.array(*(r[f"c{k}"] for k in range(CELLS))))
+    plain = F.transform(F.filter(F.split("text", "\n"), lambda x: ws_trim(x) != ""), lambda row: F.split(row, "\t", -1))
+    rows = F.when(F.col("separator") == "\t", plain).when(F.col("separator") == ",", quoted(",")).otherwise(quoted(";"))
+    files = files.withColumn("rows", F.filter(rows, lambda r: F.exists(r, lambda c: c.isNotNull() & (ws_trim(c) != ""))))
+    files = files.withColumns({"header": F.transform(F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")), name), "rows": F.slice("rows", 2, 1 << 30)})
     missing = F.array_except(F.array(*map(F.lit, required)), F.col("header"))
-    blank = F.size(F.filter("lines", lambda x: ws_trim(x) != "")) == 0
-    status = files.select("doc_id", F.when(blank | ((F.size(missing) == 0) & (F.size("rows") == 0)), "parsed_empty").when(F.size(missing) > 0, "parse_error").otherwise("parsed").alias("status"), F.when(~blank & (F.size(missing) > 0), F.concat(F.lit("missing "), F.array_join(missing, ","))).alias("reason"))
-    good = files.where(F.size(missing) == 0).select("doc_id", "header", F.posexplode("rows").alias("row_no", "row")).withColumn("cells", F.split("row", "\t", -1))
-    cell = lambda k: F.nullif(F.get("cells", F.array_position("header", k).cast("int") - 1), F.lit(""))
-    entities = good.select("doc_id", "row_no", cell("start").try_cast("bigint").alias("start"), cell("end").try_cast("bigint").alias("end"), *(cell(k).alias(k) for k in ("semantic_tag", "assertion", "cui", "attribute", "entity_text")))
+    known = F.exists("header", lambda h: h != "")
+    reason = F.when(F.col("suffix").isin(*UNREAD), F.concat(F.lit("unsupported_output_format:."), "suffix")).when(ws_trim(F.col("text")) == "", F.lit(None)).when(~known, "no_recognized_fields").when(F.size(missing) > 0, F.concat(F.lit("missing_required_field:"), F.array_join(missing, ",")))
+    files = files.withColumn("reason", reason)
+    status = files.select("doc_id", "file", F.when(F.col("reason").isNotNull(), "parse_error").when((ws_trim(F.col("text")) == "") | (F.size("rows") == 0), "parsed_empty").otherwise("parsed").alias("status"), "reason")
+    good = files.where("reason is null").select("doc_id", "header", F.posexplode("rows").alias("row_no", "cells"))
+    cell = lambda k: blank_to_null(F.get("cells", F.array_position("header", k).cast("int") - 1))
+    entities = good.select("doc_id", "row_no", cell("start").try_cast("bigint").alias("start"), cell("end").try_cast("bigint").alias("end"), *(cell(k).alias(k) for k in ("semantic_tag", "assertion", "cui", "attribute", "entity_text")), F.sha2(cell("entity_text"), 256).alias("entity_sha256"))
     return entities, status
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -37,13 +37,20 @@ def load_table(df: DataFrame, name: str, replace: bool = False) -> None:
     df.write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
 
 
-def flattened(frames: dict[str, DataFrame], path: str) -> None:
-    """Several tables that come from one parse of the same input; the parse is kept while they are written."""
-    kept = {k: df.persist() for k, df in frames.items()}
-    for k, df in kept.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{k}")
-    for df in kept.values():
-        df.unpersist()
+def counted(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    """Writes df as Parquet; the number of rows, observed while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return seen.get["n"]
+
+
+def flattened(parsed: DataFrame, cuts: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> dict[str, int]:
+    """Several tables cut from one parse, which alone is kept while they are written; the number of rows of each."""
+    kept = parsed.persist()
+    try:
+        return {name: counted(cut(kept), f"{path}/{name}") for name, cut in cuts.items()}
+    finally:
+        kept.unpersist()
 
 
 def packet(df: DataFrame, path: str, id_col: str, text_cols: list[str], more: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,15 +114,14 @@ def documents(df: DataFrame, manifest: DataFrame, path: str, id_col: str, text_c
 
 
 def with_manifest(frames: dict[str, tuple[DataFrame, str, bool]], path: str) -> DataFrame:
-    """Writes named outputs (frame, category, restricted) and a table that lists them with their numbers of rows."""
-    spark, rows = None, []
+    """Writes named outputs (frame, category, restricted; one at least) and a table that lists them with their numbers of
+    rows, which are counted as they are written."""
+    rows = []
     for name, (df, category, restricted) in frames.items():
-        spark = df.sparkSession
         if not restricted:
             assert_safe(df)
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        rows.append((name, category, spark.read.parquet(f"{path}/{name}").count(), restricted))
-    listed = spark.createDataFrame(rows, "artifact string, category string, n_rows bigint, restricted boolean")
+        rows.append((name, category, counted(df, f"{path}/{name}"), restricted))
+    listed = df.sparkSession.createDataFrame(rows, "artifact string, category string, n_rows bigint, restricted boolean")
     listed.write.mode("errorifexists").parquet(f"{path}/output_manifest")
     return listed
 

@@ -125,7 +125,7 @@ def test_packet_and_shared_tables(spark, tmp_path):
     m = spark.createDataFrame([("m", "compatibility_mirror", 1), ("n", None, 2), ("o", "mismatched_target_exploratory", 3)], "model_name string, comparison_role string, n int")
     W.role_tables(m, str(tmp_path / "roles"))
     assert [spark.read.csv(str(tmp_path / "roles" / k), header=True).first()["n"] for k in ("primary", "compatibility", "exploratory")] == ["2", "1", "3"]
-    W.flattened({"a": docs(spark), "b": docs(spark).limit(1)}, str(tmp_path / "flat"))
+    assert W.flattened(docs(spark), {"a": lambda d: d, "b": lambda d: d.where("id = 'a'"), "none": lambda d: d.limit(0)}, str(tmp_path / "flat")) == {"a": 3, "b": 1, "none": 0}
     assert spark.read.parquet(str(tmp_path / "flat" / "b")).count() == 1
 
 
@@ -180,3 +180,40 @@ def test_outputs_appear_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(ValueError, match="refused"):
         W.all_or_nothing({"bad": docs(spark)}, path, refuse)
     assert spark.read.parquet(f"{path}/newer").count() == 1
+
+
+def test_outputs_with_commas_and_sniffed_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Start,End,Semantic,Entity\n1,4,X,"one, ""two""\nthree"\nx,9,Y,\n\n')
+    (tmp_path / "b.txt").write_text("Begin;Stop;Type;Covered Text\n1;2;X;a,b\n")
+    (tmp_path / "c.txt").write_text("Begin,Stop,Type\n1,2,X\n")
+    (tmp_path / "d.tsv").write_text("Semantic\tCUI\n\n")
+    (tmp_path / "e.txt").write_text("one\ntwo\n")
+    (tmp_path / "f.xmi").write_text("<x/>")
+    (tmp_path / "g.csv").write_text("Start,End\n1,2\n")
+    (tmp_path / "h.json").write_text("{}")
+    (tmp_path / "Archive").mkdir()
+    (tmp_path / "Archive" / "a.csv").write_text("Semantic\nX\n")
+    entities, status = R.extractor_outputs(spark, str(tmp_path))
+    got = sorted(((r["doc_id"], r["start"], r["end"], r["semantic_tag"], r["entity_text"]) for r in entities.collect()), key=repr)
+    assert got == sorted([("a", 1, 4, "X", 'one, "two"\nthree'), ("a", None, 9, "Y", None), ("b", 1, 2, "X", "a,b"), ("c", 1, 2, "X", None)], key=repr)
+    assert {r["file"]: (r["status"], r["reason"]) for r in status.collect()} == {
+        "a.csv": ("parsed", None), "b.txt": ("parsed", None), "c.txt": ("parsed", None), "d.tsv": ("parsed_empty", None), "e.txt": ("parse_error", "no_recognized_fields"),
+        "f.xmi": ("parse_error", "unsupported_output_format:.xmi"), "g.csv": ("parse_error", "missing_required_field:semantic_tag"),
+    }
+
+
+def test_soft_tables(spark, tmp_path):
+    frame = lambda *c: spark.createDataFrame([tuple(range(len(c)))], ", ".join(f"{x} int" for x in c))
+    calibration = spark.createDataFrame([("image", 1), ("report", 2)], "target_type string, bin int")
+    W.soft_tables({"metrics": frame("model", "brier"), "thresholds": frame("model", "threshold"), "calibration": calibration, "audit": frame("joined_rows")}, str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["audit", "calibration", "metrics", "metrics_json", "thresholds"]
+    assert {p.name for p in (tmp_path / "s" / "calibration").iterdir() if p.is_dir()} == {"target_type=image", "target_type=report"}
+    assert spark.read.json(str(tmp_path / "s" / "metrics_json")).first()["brier"] == 1
+    with pytest.raises(ValueError, match="texts or paths"):
+        W.soft_tables({"metrics": frame("model", "case_text"), "thresholds": frame("a"), "calibration": calibration, "audit": frame("b")}, str(tmp_path / "t"))
+
+
+def test_graphs_from_one_parse(spark, tmp_path):
+    e = {"1": {"tokens": "lung", "label": "A", "relations": [["at", "2"], ["x"]]}, "2": {"tokens": ["a", "b"], "label": "B", "relations": []}}
+    (tmp_path / "g.json").write_text(json.dumps({"r1": {"text": "t", "entities": e}, "r2": {"text": "u", "entities": {}}}))
+    assert W.flattened(R.graph_rows(spark, str(tmp_path / "g.json"), whole_file=True), R.GRAPH_TABLES, str(tmp_path / "out")) == {"reports": 2, "entities": 2, "relations": 1}
