@@ -4,17 +4,18 @@ Words and pairs of words are counted over all training documents. The filter hol
 count c, the items (n-gram, 1) ... (n-gram, level) with level = 1 + floor(2 log2(c / least)): a few
 probes until the first miss give the count back, quantised. Every n-gram seen enters it (least is 1),
 and it has ``ITEM_BITS`` bits for each item, so it grows with the corpus. It is cut into shards by the
-leading bits of the n-gram's hash, each as large as its items need, and no one place holds it whole:
-a batch of documents asks for its words, then for its pairs, by ranges of keys (see exchange), and the
-task of a range fills the range's shards and answers with the levels that they tell. Shards don't
-depend on the number of ranges, so neither do scores. Texts are scored with an interpolated two-word
-model. A level stands for the least count it can come from, q:
+leading bits of the n-gram's hash, each as large as its items need, so it has no size that could be broadcast whole: the
+shards are stored as a table by range of hashes (``Model``), and go to the tasks that ask them. Batches of documents ask
+for their words, then for their pairs, by range (see exchange). The task that fills a range's shards from the training
+counts answers the training batches from them at once; ``apply`` joins the stored shards with the questions of any other
+documents, and gives the same scores. Shards don't depend on the number of ranges. Texts are scored with an interpolated
+two-word model. A level stands for the least count it can come from, q, and for the greatest, u:
 
     p(w) = (q(w) + 0.1) / (Q + 0.1 (V + 1)), Q the sum of q over the V distinct training tokens,
-    p(w after v) = (1 - weight) p(w) + weight q(v, w) / c(v), c(v) the exact count of v; p(w) alone if v is unknown.
+    p(w after v) = (1 - weight) p(w) + weight q(v, w) / u(v); p(w) alone if v is unknown.
 
-p(w) sums to 1 over the training tokens and one unknown, p(w after v) to at most 1, as q never exceeds a count (both but
-for false hits of the filter, about 1 in 700 probes of absent n-grams).
+p(w) sums to 1 over the training tokens and one unknown, p(w after v) to at most 1, as q never exceeds a count and u is
+never less (both but for false hits of the filter, about 1 in 700 probes of absent n-grams).
 
 The exact counts behind ``base_score`` come back with the words' levels.
 
@@ -24,6 +25,8 @@ known by 64-bit hashes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -99,27 +102,52 @@ def as_counts(level: np.ndarray, least: int = 1) -> np.ndarray:
     return np.where(level > 0, np.ceil(least * 2.0 ** ((level.astype(np.float64) - 1) / 2) - 1e-9), 0.0)
 
 
+def most_counts(level: np.ndarray) -> np.ndarray:
+    """The greatest count that a level stands for."""
+    return np.where(level > 0, np.ceil(2.0 ** (level.astype(np.float64) / 2) - 1e-9) - 1, 0.0)
+
+
 def estimate(bits: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
     """Counts as the filter tells them; 0 for what it does not hold."""
     return as_counts(told(bits, keys), least)
 
 
-def shard_levels(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What the shards of all these n-grams tell of each. keys: distinct, in order, whole shards; count 0 does not enter."""
+def shards_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the shards of all these n-grams tell of each, and the shards: numbers, widths and bits end to end (bytes). keys:
+    distinct, in order, whole shards; count 0 does not enter."""
     level, out = levels(counts, 1), np.zeros(len(keys), np.uint8)
-    if not len(keys):
-        return out
     start = starts_of(keys >> np.uint64(64 - SHARD_BITS))
-    width = np.maximum(np.add.reduceat(level, start) * ITEM_BITS, LEAST_BITS)
-    edge, i = np.r_[start, len(keys)], 0
+    if not len(keys):
+        return out, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    width = np.maximum(np.add.reduceat(level, start) * ITEM_BITS, LEAST_BITS)  # whole bytes
+    edge, i, bits = np.r_[start, len(keys)], 0, []
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(edge, edge[i] + AT_ONCE, "right")) - 1)
         own, n, some = width[i:j], np.diff(edge[i : j + 1]), slice(edge[i], edge[j])
         first, wide = np.repeat(np.cumsum(own) - own, n), np.repeat(own, n)
         flags = np.zeros(own.sum(), bool)
         flags[items(keys[some], level[some], first, wide)] = True
-        out[some] = told(np.packbits(flags, bitorder="little"), keys[some], first, wide)
+        bits.append(np.packbits(flags, bitorder="little"))
+        out[some] = told(bits[-1], keys[some], first, wide)
         i = j
+    return out, (keys[start] >> np.uint64(64 - SHARD_BITS)).astype(np.uint32), width, np.concatenate(bits)
+
+
+def shard_levels(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return shards_of(keys, counts)[0]
+
+
+def told_by(shards: np.ndarray, widths: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of n-grams as stored shards tell them; 0 where there is no shard."""
+    out = np.zeros(len(keys), np.uint8)
+    if len(shards) and len(keys):
+        of = (keys >> np.uint64(64 - SHARD_BITS)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(shards, of), len(shards) - 1)
+        there = shards[at] == of
+        first = np.cumsum(widths) - widths
+        for lo in range(0, len(keys), AT_ONCE):
+            some = np.flatnonzero(there[lo : lo + AT_ONCE]) + lo
+            out[some] = told(bits, keys[some], first[at[some]], widths[at[some]])
     return out
 
 
@@ -130,7 +158,7 @@ def shard_ranges(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 ASKED = "batch bigint, part int, keys binary, counts binary"
-ANSWERS = "batch bigint, part int, counts binary, levels binary, n_tokens bigint, n_types bigint, n_quantised double"
+ANSWERS = "batch bigint, part int, counts binary, levels binary, n_tokens bigint, n_types bigint, n_quantised double, shards binary, widths binary, bits binary"
 
 
 def _asked(batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
@@ -140,12 +168,12 @@ def _asked(batch: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.T
 
 
 def _answered(table: pa.Table, exact: bool) -> pa.Table:
-    """To each batch the levels, and if asked for the exact counts, of its keys; under batch -1 the sums of the range."""
+    """To each batch the levels, and if asked for the exact counts, of its keys; under batch -1 the range's sums and shards."""
     asked = unpacked(table.column("keys"))
     keys, inverse = np.unique(joined(asked), return_inverse=True)
     totals = np.bincount(inverse, joined(unpacked(table.column("counts"), np.uint32), np.uint32), len(keys)).astype(np.uint64)
     ends = np.cumsum([len(a) for a in asked])[:-1]
-    levels_of = shard_levels(keys, totals)
+    levels_of, shards, widths, bits = shards_of(keys, totals)
     told_levels = np.split(levels_of[inverse], ends)
     n, part = len(asked), table.column("part")[0].as_py()
     return pa.table({
@@ -156,6 +184,7 @@ def _answered(table: pa.Table, exact: bool) -> pa.Table:
         "n_tokens": pa.array([None] * n + [int(totals.sum())], pa.int64()),
         "n_types": pa.array([None] * n + [int((totals > 0).sum())], pa.int64()),
         "n_quantised": pa.array([None] * n + [float(as_counts(levels_of[totals > 0]).sum())], pa.float64()),
+        **{name: pa.array([None] * n + [packed(v)], pa.binary()) for name, v in (("shards", shards), ("widths", widths), ("bits", bits))},
     })
 
 
@@ -176,14 +205,14 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _known(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's tokens, their rows, and their counts and levels."""
+    """A batch's tokens, their rows, and their counts (as far as asked for) and levels."""
     h, row = tokens(table)
     keys, inverse = np.unique(h, return_inverse=True)
     answers = answers.sort_by("part")
-    counts, level = joined(unpacked(answers.column("counts"))), joined(unpacked(answers.column("levels"), np.uint8), np.uint8)
-    if len(counts) != len(keys):
+    counts, level = joined(unpacked(answers.column("counts").drop_null())), joined(unpacked(answers.column("levels"), np.uint8), np.uint8)
+    if len(level) != len(keys):
         raise ValueError("a batch's answers don't fit its words")
-    return h, row, counts[inverse], level[inverse]
+    return h, row, counts[inverse] if len(counts) else counts, level[inverse]
 
 
 def _pairs(h: np.ndarray, row: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -209,40 +238,120 @@ def pair_counts(docs: DataFrame, words: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(answer_pairs, ANSWERS)
 
 
-def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
-    """Scores of all documents under a model of those with train true. docs: doc_id, text, train.
+@dataclass
+class Model:
+    """A filter's shards by range (columns pair, part, shards, widths, bits), the number of ranges, and the sums behind p(w)."""
 
-    Returns doc_id, train, n_tokens, n_known, train_tokens, base_score and score.
-    """
+    shards: DataFrame
+    parts: int
+    tokens: int
+    types: int
+    quantised: float
+
+    def save(self, path: str) -> None:
+        self.shards.withColumns({k: F.lit(getattr(self, k)) for k in ("parts", "tokens", "types", "quantised")}).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        rows = spark.read.parquet(path)
+        known = rows.select("parts", "tokens", "types", "quantised").first()
+        return cls(rows.select(*SHARDS), *known) if known else cls(rows.select(*SHARDS), 1, 0, 0, 0.0)
+
+
+SHARDS = ("pair", "part", "shards", "widths", "bits")
+
+
+def _counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Model]:
+    """Texts by batch, the answers for their words and pairs, and the model of those with train true."""
     parts = parallelism(docs.sparkSession)
     texts = in_batches(docs, "doc_id", "text", "train")
     words = materialise(word_counts(texts, parts))
-    total, types, quantised = (x or 0 for x in words.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_quantised")).first())
+    sums = words.where("batch = -1").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_quantised")).first()
     pairs = materialise(pair_counts(texts, words, parts))
-    answers = words.withColumn("pair", F.lit(False)).unionByName(pairs.withColumn("pair", F.lit(True))).where("batch >= 0")
+    words, pairs = words.withColumn("pair", F.lit(False)), pairs.withColumn("pair", F.lit(True))
+    return texts, words, pairs, Model(words.unionByName(pairs).where("batch = -1").select(*SHARDS), parts, *(x or 0 for x in sums))
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of docs (doc_id, text, and train: those that count)."""
+    return _counted(docs)[3]
+
 
-    def apply(_, table: pa.Table, answers: pa.Table) -> pa.Table:
+def probabilities(h: np.ndarray, row: np.ndarray, level: np.ndarray, answers: pa.Table, model: tuple[int, int, float], weight: float) -> np.ndarray:
+    """The probability of each token, from the levels of words and the answers for pairs."""
+    _, types, quantised = model
+    p = (as_counts(level) + 0.1) / (quantised + 0.1 * (types + 1))
+    p[np.flatnonzero((row[1:] == row[:-1]) & (level[:-1] > 0)) + 1] *= 1 - weight
+    ask = _pairs(h, row, level)
+    k, back = np.unique(pair_keys(h[ask - 1], h[ask]), return_inverse=True)
+    held = joined(unpacked(answers.filter(answers.column("pair")).sort_by("part").column("levels"), np.uint8), np.uint8)
+    if len(held) != len(k):
+        raise ValueError("a batch's answers don't fit its pairs")
+    p[ask] += weight * np.minimum(as_counts(held)[back] / most_counts(level[ask - 1]), 1.0)
+    return p
+
+
+def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """Scores of all documents under a model of those with train true. docs: doc_id, text, train.
+
+    Returns doc_id, train, n_tokens, n_known, train_tokens, base_score and score.
+    """
+    texts, words, pairs, m = _counted(docs)
+    sums = m.tokens, m.types, m.quantised
+
+    def apply_own(_, table: pa.Table, answers: pa.Table) -> pa.Table:
         t = in_order(table)
-        pair = answers.column("pair")
-        h, row, counts, level = _known(t, answers.filter(pc.invert(pair)))
-        n, scale = t.num_rows, total + 0.1 * (types + 1)
-        p = (as_counts(level) + 0.1) / (quantised + 0.1 * (types + 1))
-        after = np.flatnonzero((row[1:] == row[:-1]) & (counts[:-1] > 0)) + 1
-        p[after] *= 1 - weight
-        ask = _pairs(h, row, level)
-        k, back = np.unique(pair_keys(h[ask - 1], h[ask]), return_inverse=True)
-        held = joined(unpacked(answers.filter(pair).sort_by("part").column("levels"), np.uint8), np.uint8)
-        if len(held) != len(k):
-            raise ValueError("a batch's answers don't fit its pairs")
-        known = counts[ask - 1] > 0
-        p[ask[known]] += weight * np.minimum(as_counts(held)[back][known] / counts[ask - 1][known], 1.0)
+        h, row, counts, level = _known(t, answers.filter(pc.invert(answers.column("pair"))))
+        n, scale = t.num_rows, sums[0] + 0.1 * (sums[1] + 1)
+        p = probabilities(h, row, level, answers, sums, weight)
         return pa.table({
             "doc_id": t.column("doc_id"), "train": t.column("train"), "n_tokens": pa.array(np.bincount(row, minlength=n), pa.int64()),
-            "n_known": pa.array(np.bincount(row, counts > 0, n).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
+            "n_known": pa.array(np.bincount(row, counts > 0, n).astype(np.int64)), "train_tokens": pa.array([sums[0]] * n, pa.int64()),
             "base_score": pa.array(np.bincount(row, np.log10((counts + 0.1) / scale), n)), "score": pa.array(np.bincount(row, np.log10(p), n)),
         })
 
-    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(apply, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    answers = words.unionByName(pairs).where("batch >= 0").select("batch", "part", "counts", "levels", "pair")
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(apply_own, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+TOLD = "batch bigint, part int, counts binary, levels binary"
+
+
+def apply(model: Model, docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """Scores of any documents (doc_id, text) under a stored model: doc_id, n_tokens, n_known (words that the filter holds)
+    and score."""
+    texts, parts, sums = in_batches(docs, "doc_id", "text"), model.parts, (model.tokens, model.types, model.quantised)
+
+    def ask_words(table: pa.Table) -> pa.Table:
+        t = in_order(table)
+        keys = np.unique(tokens(t)[0])
+        return _asked(t.column("batch")[0].as_py(), keys, np.zeros(len(keys), np.uint32), parts)
+
+    def ask_pairs(_, table: pa.Table, found: pa.Table) -> pa.Table:
+        t = in_order(table)
+        h, row, _, level = _known(t, found)
+        at = _pairs(h, row, level)
+        keys = np.unique(pair_keys(h[at - 1], h[at]))
+        return _asked(t.column("batch")[0].as_py(), keys, np.zeros(len(keys), np.uint32), parts)
+
+    def probe(_, asked: pa.Table, stored: pa.Table) -> pa.Table:
+        shards, widths, bits = (joined(unpacked(stored.column(c), k), k) for c, k in (("shards", np.uint32), ("widths", np.int64), ("bits", np.uint8)))
+        found = [packed(told_by(shards, widths, bits, k)) for k in unpacked(asked.column("keys"))]
+        return pa.table({"batch": asked.column("batch"), "part": asked.column("part"), "counts": pa.nulls(len(found), pa.binary()), "levels": pa.array(found, pa.binary())})
+
+    def told_of(asked: DataFrame, pair: bool) -> DataFrame:
+        stored = model.shards.where(F.col("pair") == pair).select("part", "shards", "widths", "bits")
+        return materialise(asked.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(probe, TOLD).withColumn("pair", F.lit(pair)))
+
+    def finish(_, table: pa.Table, answers: pa.Table) -> pa.Table:
+        t = in_order(table)
+        h, row, _, level = _known(t, answers.filter(pc.invert(answers.column("pair"))))
+        p, n = probabilities(h, row, level, answers, sums, weight), t.num_rows
+        return pa.table({"doc_id": t.column("doc_id"), "n_tokens": pa.array(np.bincount(row, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(row, level > 0, n).astype(np.int64)), "score": pa.array(np.bincount(row, np.log10(p), n))})
+
+    words = told_of(texts.groupBy("batch").applyInArrow(ask_words, ASKED), False)
+    pairs = told_of(texts.groupBy("batch").cogroup(words.drop("pair").groupBy("batch")).applyInArrow(ask_pairs, ASKED), True)
+    return texts.groupBy("batch").cogroup(words.unionByName(pairs).groupBy("batch")).applyInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, score double")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

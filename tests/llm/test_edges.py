@@ -261,7 +261,9 @@ def test_language_model_by_brute_force(spark):
     q = lambda n: math.ceil(2 ** (math.floor(2 * math.log2(n) + 1e-9) / 2) - 1e-9) if n else 0
     z = sum(map(q, c.values())) + 0.1 * (len(c) + 1)
     p1 = lambda w: (q(c[w]) + 0.1) / z
-    p2 = lambda v, w: 0.75 * p1(w) + 0.25 * q(c2[v, w]) / c[v] if v and c[v] else p1(w)
+    u = lambda n: math.ceil(2 ** ((math.floor(2 * math.log2(n) + 1e-9) + 1) / 2) - 1e-9) - 1
+    assert all(q(n) <= n <= u(n) for n in range(1, 3000))
+    p2 = lambda v, w: 0.75 * p1(w) + 0.25 * q(c2[v, w]) / u(c[v]) if v and c[v] else p1(w)
     equal = 0
     for r in lm.score(spark.createDataFrame(docs, DOCS + ", train boolean")).collect():
         t = toks[r["doc_id"]]
@@ -270,7 +272,24 @@ def test_language_model_by_brute_force(spark):
         equal += r["score"] == pytest.approx(want)
     assert equal > 0.6 * len(docs)
     assert sum(p1(w) for w in [*c, "new"]) == pytest.approx(1)
-    assert all(0.9 < sum(p2(v, w) for w in [*c, "new"]) <= 1 + 1e-9 for v in c if v != "</s>")
+    assert all(0.8 < sum(p2(v, w) for w in [*c, "new"]) <= 1 + 1e-9 for v in c if v != "</s>")
+
+
+def test_a_stored_model_scores_like_the_first_pass(spark, tmp_path):
+    rnd = random.Random(8)
+    docs = [(k, " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 50))), k % 4 > 0) for k in range(150)] + [(None, None, False)]
+    rows = spark.createDataFrame(docs, DOCS + ", train boolean")
+    first = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm.score(rows).collect()}
+    lm.fit(rows).save(str(tmp_path / "model"))
+    model = lm.Model.load(spark, str(tmp_path / "model"))
+    assert model.tokens == sum(len(BLANK.findall(t)) + 1 for _, t, train in docs if train)
+    new = spark.createDataFrame([(900, "w1 w2 zebra w1 w2"), (901, None), (902, "w1 w2 zebra w1 w2")], DOCS).withColumn("Part", F.lit("x"))
+    got = {r["doc_id"]: r for r in lm.apply(model, rows.select("doc_id", "text").unionByName(new.drop("Part"))).collect()}
+    assert {i: (got[i]["n_tokens"], got[i]["score"]) for i in first} == {i: (n, pytest.approx(s, abs=1e-9)) for i, (n, s) in first.items()}
+    assert got[900]["n_known"] == 5 and got[900]["score"] == got[902]["score"] < got[901]["score"]
+    assert lm.apply(model, new.drop("Part").limit(0)).count() == 0
+    none = lm.fit(rows.limit(0))
+    assert (none.tokens, none.types) == (0, 0)
 
 
 def test_fingerprints_by_brute_force(spark):
