@@ -43,11 +43,20 @@ def beside(rows: DataFrame, by: list[str], *new: Column) -> DataFrame:
     return beside_group(rows, rows.groupBy(*by).agg(*new), by)
 
 
-def with_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """rows with ranks from 1, ties averaged, from counts of distinct values that are summed up over ranges."""
-    g = running(rows.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, ["_n"])
-    ranks = g.select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return beside_group(rows, ranks, [*by, value])
+def with_ranks(rows: DataFrame, values: dict[str, str], by: list[str], times: str | None = None) -> DataFrame:
+    """rows with ranks from 1 of each of values (column to name of the rank), ties averaged.
+
+    Counts of distinct values, of all columns in one table, are summed up over ranges and joined back; times: how many rows
+    each row stands for.
+    """
+    each = F.array(*(F.struct(F.lit(k).alias("_side"), F.col(k).cast("double").alias("_value")) for k in values))
+    n = F.count("*") if times is None else F.sum(times)
+    counts = rows.select(*by, *([times] if times else []), F.inline(each)).groupBy(*by, "_side", "_value").agg(n.alias("_n"))
+    g = running(counts, [*by, "_side"], "_value", ["_n"]).select(*by, "_side", "_value", (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias("_rank"))
+    for k, name in values.items():
+        own = g.where(F.col("_side") == k).select(*by, F.col("_value").alias(k), F.col("_rank").alias(name))
+        rows = beside_group(rows, own, [*by, k])
+    return rows
 
 
 def _guarded(c: Column) -> Column:
@@ -62,15 +71,28 @@ def kappa(x: Column, y: Column) -> Column:
 
 
 def pairwise_agreement(r: DataFrame, cuts: tuple[float, ...] = (50, 67)) -> DataFrame:
-    """Per task and pair of raters with cases in common: errors, correlations, agreement and kappa at each cut."""
+    """Per task and pair of raters with cases in common: errors, correlations, agreement and kappa at each cut.
+
+    Equal pairs of values are counted first; all the rest is sums over different pairs.
+    """
     by = ["task", "rater_a", "rater_b"]
-    p = with_rank(with_rank(pairs(r), "a", by, "ra"), "b", by, "rb")
-    d = F.col("a") - F.col("b")
-    at = [(c, F.col("a") >= c, F.col("b") >= c) for c in cuts]
-    return p.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mean_difference"), _guarded(F.corr("a", "b")).alias("pearson"), _guarded(F.corr("ra", "rb")).alias("spearman"),
-        *(F.avg((x == y).cast("double")).alias(f"agreement_{c:g}") for c, x, y in at), *(kappa(x, y).alias(f"kappa_{c:g}") for c, x, y in at),
-    )
+    p = with_ranks(pairs(r).groupBy(*by, "a", "b").agg(F.count("*").alias("k")), {"a": "ra", "b": "rb"}, by, "k")
+    k, d = F.col("k"), F.col("a") - F.col("b")
+    total = F.sum(k)
+    mean = lambda c: F.sum(k * c) / total
+
+    def corr(x: str, y: str) -> Column:
+        mx, my = mean(F.col(x)), mean(F.col(y))
+        c = (mean(F.col(x) * F.col(y)) - mx * my) / F.sqrt((mean(F.col(x) ** 2) - mx * mx) * (mean(F.col(y) ** 2) - my * my))
+        return _guarded(c)
+
+    def at(cut: float) -> tuple[Column, Column]:
+        x, y = ((F.col(c) >= cut).cast("double") for c in "ab")
+        same, by_chance = mean((x == y).cast("double")), mean(x) * mean(y) + (1 - mean(x)) * (1 - mean(y))
+        return same.alias(f"agreement_{cut:g}"), F.when(by_chance < 1, (same - by_chance) / (1 - by_chance)).alias(f"kappa_{cut:g}")
+
+    found = [at(c) for c in cuts]
+    return p.groupBy(*by).agg(total.alias("n"), mean(F.abs(d)).alias("mae"), F.sqrt(mean(d * d)).alias("rmse"), mean(d).alias("mean_difference"), corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"), *(f[0] for f in found), *(f[1] for f in found))
 
 
 def every_pair(agreed: DataFrame, tasks: list[str], raters: list[str]) -> DataFrame:
@@ -85,7 +107,7 @@ def alignment(r: DataFrame, first: str, second: str, by: list[str]) -> DataFrame
     and kappa at one half. by: keys of the result."""
     wide = r.groupBy(*dict.fromkeys(["case_id", *by])).pivot("task", [first, second]).agg(F.avg("value"))
     rows = wide.select(*by, F.col(first).alias("a"), F.col(second).alias("b")).where("a is not null and b is not null").withColumn("d", F.col("b") - F.col("a"))
-    rows = with_rank(with_rank(rows, "a", by, "ra"), "b", by, "rb")
+    rows = with_ranks(rows, {"a": "ra", "b": "rb"}, by)
     mean, sd, x, y = F.avg("d"), F.stddev_samp("d"), F.col("a") >= 50, F.col("b") >= 50
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), mean.alias("mean_difference"), sd.alias("sd"), F.avg(F.abs("d")).alias("mae"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rmse"), _guarded(F.corr("a", "b")).alias("pearson"), _guarded(F.corr("ra", "rb")).alias("spearman"),

@@ -197,8 +197,23 @@ def test_no_task_or_pair_of_raters_meets_in_one_window(spark):
     lines = plan(A.pairwise_agreement(r)).splitlines()
     windows = [x for x in lines if "Window [" in x]
     assert windows and all("_range" in x for x in windows)
-    assert [x["rank"] for x in A.with_rank(r.where("rater = 'R0' and case_id < 4"), "value", ["task"], "rank").orderBy("case_id").collect()] == [1.0, 3.0, 4.0, 2.0]
-    assert [x["rank"] for x in A.with_rank(r.where("rater = 'R0' and case_id < 6"), "value", ["task"], "rank").orderBy("case_id").collect()] == [1.5, 4.0, 6.0, 3.0, 5.0, 1.5]
+    for n, want in ((4, [1.0, 3.0, 4.0, 2.0]), (6, [1.5, 4.0, 6.0, 3.0, 5.0, 1.5])):
+        assert [x["rank"] for x in A.with_ranks(r.where(f"rater = 'R0' and case_id < {n}"), {"value": "rank"}, ["task"]).orderBy("case_id").collect()] == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 11, 200, 30_000])
+def test_quantiles_equal_sorting(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    columns = {"even": rng.random(n), "ties": rng.integers(0, 4, n) * 1.0, "most": np.where(rng.random(n) < 0.9, 7.0, rng.normal(0, 50, n)), None: np.arange(n) % 97.0}
+    rows = [(g, float(v)) for g, x in columns.items() for v in x] + [("even", None)]
+    shares = {f"q{int(q * 1000)}": q for q in (0, 0.025, 0.1, 0.25, 0.5, 0.75, 0.9, 0.975, 1)}
+    got = {r["g"]: r for r in M.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", shares).collect()}
+    for g, x in columns.items():
+        assert [got[g][k] for k in shares] == pytest.approx(list(np.quantile(x, list(shares.values()))))
+    whole = M.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(np.quantile(np.concatenate(list(columns.values())), 0.5))
 
 
 def test_learning_inputs_and_tasks(spark):
