@@ -58,6 +58,12 @@ def guarded_rlike(c: Column, words: str, *patterns: str) -> Column:
     return needs & functools.reduce(operator.or_, (c.rlike(p) for p in patterns))
 
 
+def lines_with(c: Column, words: str) -> Column:
+    """The lines of a text that hold any of the literal words."""
+    holds = lambda line: functools.reduce(operator.or_, (line.contains(w) for w in words.split("|")))
+    return F.when(holds(c), F.array_join(F.filter(F.split(c, "\n"), holds), "\n")).otherwise(F.lit(""))
+
+
 def terms_to_regex(terms: list[str]) -> str:
     """One group of escaped terms in lower case, longest first so that none hides behind its own prefix; each blank stands
     for any run of white space. For texts in lower case."""

@@ -56,22 +56,24 @@ def sections(reports: DataFrame, own_line: bool = False, primary: str = "full")
 
 def text_features(d: DataFrame) -> DataFrame:
     """Ten booleans: seven kinds of mention in the whole report with two sides, and spread opacity in the two other scopes."""
-    d = d.withColumns({f"_{k}": F.lower(F.coalesce(k, F.lit(""))) for k in ("report_text", "scope_both", "scope_fallback")})
+    # A chain of words stays on one line, so lines without the words that all chains of a kind need are left out first.
+    about = lambda k, words: X.lines_with(F.lower(F.coalesce(k, F.lit(""))), words)
+    d = d.withColumns({f"_{k}": about(k, _SPREAD_WORDS) for k in ("report_text", "scope_both", "scope_fallback")} | {f"_{k}": about("report_text", k) for k in ("right", "left")})
     full, find = F.col("_report_text"), X.guarded_rlike
     spread = lambda c, opacity, *more: find(c, _SPREAD_WORDS, X.chain(SPREAD, opacity), *more)
     out = d.withColumns({
         "text_present": spread(full, OPACITY, X.chain(OPACITY, SPREAD)),
         "text_uncertain": find(full, _SPREAD_WORDS, X.chain(DOUBT_BEFORE, SPREAD_CORE, OPACITY_CORE), X.chain(SPREAD_CORE, DOUBT_BETWEEN, OPACITY_CORE)),
         "text_negated": find(full, _SPREAD_WORDS, X.chain(DENIED_BEFORE, SPREAD_CORE, OPACITY_CORE), X.chain(SPREAD_CORE, OPACITY_CORE, DENIED_AFTER)),
-        "text_right": find(full, "right", X.chain("right", OPACITY_CORE, within=80)),
-        "text_left": find(full, "left", X.chain("left", OPACITY_CORE, within=80)),
+        "text_right": find(F.col("_right"), "right", X.chain("right", OPACITY_CORE, within=80)),
+        "text_left": find(F.col("_left"), "left", X.chain("left", OPACITY_CORE, within=80)),
         "text_edema": find(full, _SPREAD_WORDS, X.chain("bilateral|bibasilar|both lungs|diffuse", EDEMA)),
         "text_atelectasis": find(full, _SPREAD_WORDS, X.chain("bilateral|bibasilar|both lungs", ATELECTASIS)),
         "text_airspace": find(full, _SPREAD_WORDS, X.chain("bilateral|bibasilar|both lungs|diffuse|multifocal", AIRSPACE)),
         "text_present_both": spread(F.col("_scope_both"), OPACITY_CORE),
         "text_present_fallback": spread(F.col("_scope_fallback"), OPACITY_CORE),
     })
-    return out.drop("_report_text", "_scope_both", "_scope_fallback")
+    return out.drop("_report_text", "_scope_both", "_scope_fallback", "_right", "_left")
 
 
 def expanded_relations(relations: DataFrame, entities: DataFrame, key: list[str]) -> DataFrame:
