@@ -109,3 +109,37 @@ def test_samples_are_the_same_however_rows_lie(spark):
     both = [sorted(langid.sampled(f, 50).collect()) for f in (frame, frame.repartition(5, "text"))]
     assert both[0] == both[1] and len(both[0]) == 100
     assert np.isfinite(langid.fit(frame, 50).temperature)
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from labelmill.llm import bpe
+
+    w = [f"word{k}" for k in range(60)]
+    leak = " ".join(f"leak{k}" for k in range(14))
+    rows = [
+        (1, " ".join(w), "en", "a", 1), (2, " ".join([*w, "more"]), "en", "b", 2), (2, " ".join([*w, "more"]), "en", "b", 2), (3, " ".join(reversed(w)), None, None, None), (4, f"begins {leak[:50]} ends", "en", "a", 3),
+        (5, f"Some words before, {leak.upper()} and after", "de", "a", 4), (6, f'my_token = "{VALUE}" stays', "en", "a", 5), (7, None, "en", "a", 0), (8, "", None, "a", 0), (None, "no id <|endoftext|> é", "fr", "c", 9), (9, "  \t\n", "en", "a", 4),
+    ]
+    extra = {"Hits": F.lit("x"), "rep": F.lit(1), "kept": F.lit(True), "secret_spans": F.lit("s"), "ids": F.lit("i"), "batch": F.lit(7)}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    same = components([(i, t) for i, t, *_ in rows if i is not None])
+    windows = {tuple(leak.split()[k : k + 10]) for k in range(5)}
+    want = []
+    for i, t, *rest in dict.fromkeys(rows):
+        words = ALNUM.findall(low(t))
+        if i is not None and same[i][1] != i or any(tuple(words[k : k + 10]) in windows for k in range(len(words))):
+            continue
+        found = secrets.spans(t) if t else []
+        redacted = secrets.redacted(t, found) if t else ""
+        lib = Tokenizer.from_file(bpe.tokenizer_path())
+        ids = lib.encode(redacted, add_special_tokens=False).ids
+        want.append((i, rest[0], rest[1], len(redacted) if found else rest[2], len(ids), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256"]
+    got = [(r["doc_id"], r["lang"], r["source"], r["n_chars"], r["n_tokens"], r["decoded_sha256"]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[0] for r in want} == {1, 3, 4, 6, 7, 8, 9, None}
