@@ -92,6 +92,7 @@ def _promoted(asserted: str, rules) -> str:
 
 
 _TOKENS, _RARE_TOKENS = _tokens(SPEC), _tokens(RARE)
+_PROMOTED = _promoted(_asserted(_TOKENS), SPEC.rules)
 _RARE_PROMOTED = _promoted(_asserted(_RARE_TOKENS), RARE.rules)
 
 
@@ -110,9 +111,9 @@ def entity_assertions(spark, sf_dir):
     return X.assertions(X.marks(_docs(spark, sf_dir), RARE), RARE).select("doc_id", "begin", "end", "tag", "no", "assertion", F.coalesce("cue", F.lit("")).alias("cue"))
 
 
-@query(f'WITH {_RARE_PROMOTED} SELECT doc_id, begin, "end", no, phrase FROM o')
+@query(f'WITH {_PROMOTED} SELECT doc_id, begin, "end", no, phrase FROM o')
 def promoted_entities(spark, sf_dir):
-    return X.promoted(X.assertions(X.marks(_docs(spark, sf_dir), RARE), RARE), RARE).select("doc_id", "begin", "end", "no", "phrase")
+    return X.promoted(X.assertions(X.marks(_docs(spark, sf_dir), SPEC), SPEC), SPEC).select("doc_id", "begin", "end", "no", "phrase")
 
 
 @query(f"WITH {_RARE_PROMOTED}, n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_entities, (coalesce(n, 0) > 0)::INT AS label FROM documents LEFT JOIN n USING (doc_id)")

@@ -16,3 +16,8 @@ def texts(spark, sf_dir):
 def test_matches_hold_frequent_terms(spark, sf_dir, texts):
     found = registry.queries()["dictionary_matches"](spark, sf_dir).where("kind = 't' and no = 0").count()
     assert found >= sum(len(re.findall(r"(?<!\S)the(?!\S)", t)) for t in texts.values()) > 300
+
+
+def test_frequent_terms_are_promoted(spark, sf_dir):
+    found = {r[0] for r in registry.queries()["promoted_entities"](spark, sf_dir).select("phrase").distinct().collect()}
+    assert {"the", "with the"} <= found
