@@ -21,3 +21,8 @@ def test_matches_hold_frequent_terms(spark, sf_dir, texts):
 def test_frequent_terms_are_promoted(spark, sf_dir):
     found = {r[0] for r in registry.queries()["promoted_entities"](spark, sf_dir).select("phrase").distinct().collect()}
     assert {"the", "with the"} <= found
+
+
+def test_frequent_terms_decide_predictions(spark, sf_dir):
+    rows = registry.queries()["document_predictions"](spark, sf_dir)
+    assert rows.agg(F.sum("n_entities")).first()[0] == registry.queries()["promoted_entities"](spark, sf_dir).count() > 20
