@@ -186,7 +186,7 @@ def report_predictions(spark, sf_dir):
 SELECT count(*) AS documents, count(*) FILTER (len(w.l) = len(b.l)) AS exact FROM w LEFT JOIN b USING (doc_id)""")
 def stage_agreement(spark, sf_dir):
     """The matching stage run by two specifications, of which one lacks a term in every tenth document."""
-    docs, lacking = _docs(spark, sf_dir), replace(RARE, excluded=RARE.excluded | {RARE.terms[3][0]})
-    whole = X.marks(docs, RARE).where("kind = 't'")
-    other = X.marks(docs.where("pmod(doc_id, 10) <> 0"), RARE).unionByName(X.marks(docs.where("pmod(doc_id, 10) = 0"), lacking)).where("kind = 't'")
-    return X.stage_agreement(whole, other, ["begin", "end", "no"])
+    docs, spec = _docs(spark, sf_dir), replace(RARE, cues=())  # terms are compared, whose places do not depend on cues
+    lacking = replace(spec, excluded=spec.excluded | {spec.terms[3][0]})
+    other = X.marks(docs.where("pmod(doc_id, 10) <> 0"), spec).unionByName(X.marks(docs.where("pmod(doc_id, 10) = 0"), lacking))
+    return X.stage_agreement(X.marks(docs, spec), other, ["begin", "end", "no"])

@@ -26,3 +26,12 @@ def test_frequent_terms_are_promoted(spark, sf_dir):
 def test_frequent_terms_decide_predictions(spark, sf_dir):
     rows = registry.queries()["document_predictions"](spark, sf_dir)
     assert rows.agg(F.sum("n_entities")).first()[0] == registry.queries()["promoted_entities"](spark, sf_dir).count() > 20
+
+
+def test_stages_are_compared_without_reading_cues(spark, sf_dir, monkeypatch):
+    from labelmill.operators import extraction
+
+    seen, marks = [], extraction.marks
+    monkeypatch.setattr(extraction, "marks", lambda docs, spec, *more: seen.append(spec) or marks(docs, spec, *more))
+    registry.queries()["stage_agreement"](spark, sf_dir)
+    assert len(seen) == 3 and not any(s.cues for s in seen)
