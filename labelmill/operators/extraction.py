@@ -62,8 +62,11 @@ class Spec:
         return [e for e in found if e[1]]
 
 
-#: Distinct tokens that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Distinct tokens that a worker remembers before it starts anew, and characters of the longest; longer ones are looked up
+#: each time, so that what is remembered is bounded in bytes.
+REMEMBERED, LONGEST = 200_000, 64
+#: Matches that leave a worker at once, be they of many texts or of a part of one.
+AT_ONCE = 8192
 
 
 class Trie:
@@ -103,18 +106,19 @@ class Trie:
 
 class Words(dict):
     """A token's word numbers, as a term's word by its stem and as a cue's by its folded form, in one number; 0 if it
-    is neither. Each distinct token is folded and stemmed once."""
+    is neither. Each distinct token of usual length is folded and stemmed once."""
 
     def __init__(self, terms: dict[str, int], cues: dict[str, int], stem: Callable[[str], str] | None):
         super().__init__()
         self.terms, self.cues, self.stem = terms, cues, stem
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         form = token.casefold()
         code = self.terms.get(self.stem(form) if self.stem else form, 0) << 20 | self.cues.get(form, 0)
-        self[token] = code
+        if len(token) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = code
         return code
 
 
@@ -218,23 +222,29 @@ def marks(docs: DataFrame, spec: Spec, with_terms: bool = False) -> DataFrame:
 
     def run(batches):
         columns = [pa.array([e[k] for e in reader.entries], t) for k, t in ((0, pa.string()), (2, pa.string()), (3, pa.int32()), (4, pa.string()))]
+
+        def packed(ids, rows, found):
+            entry, first, last, sentence, part, begin, end, letters, begin16, end16 = zip(*found, strict=True)
+            kind, tag, no, phrase = (c.take(pa.array(entry, pa.int32())) for c in columns)
+            ints = {k: pa.array(v, pa.int32()) for k, v in (("sentence", sentence), ("part", part), ("first", first), ("last", last), ("begin", begin), ("end", end), ("begin16", begin16), ("end16", end16))}
+            every = ints | {"doc_id": ids.take(pa.array(rows, pa.int32())), "kind": kind, "tag": tag, "no": no, "phrase": phrase, "letters": pa.array(letters, pa.bool_())}
+            return pa.RecordBatch.from_arrays([every[n] for n in names], names)
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                rows, found = [], []
-                for row, text in enumerate(b.column("text").to_pylist()):
-                    if not text:
-                        continue
-                    far = [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
-                    for x in reader.matches(text, with_terms):
-                        rows.append(row)
-                        found.append((*x, x[5] + bisect_left(far, x[5]), x[6] + bisect_left(far, x[6])))
-                if found:
-                    entry, first, last, sentence, part, begin, end, letters, begin16, end16 = zip(*found, strict=True)
-                    kind, tag, no, phrase = (c.take(pa.array(entry, pa.int32())) for c in columns)
-                    ints = {k: pa.array(v, pa.int32()) for k, v in (("sentence", sentence), ("part", part), ("first", first), ("last", last), ("begin", begin), ("end", end), ("begin16", begin16), ("end16", end16))}
-                    every = ints | {"doc_id": b.column("doc_id").take(pa.array(rows, pa.int32())), "kind": kind, "tag": tag, "no": no, "phrase": phrase, "letters": pa.array(letters, pa.bool_())}
-                    yield pa.RecordBatch.from_arrays([every[n] for n in names], names)
+            rows, found = [], []
+            for row, value in enumerate(batch.column("text")):
+                text = value.as_py()
+                if not text:
+                    continue
+                far = [] if text.isascii() else [m.start() for m in _ASTRAL.finditer(text)]
+                for x in reader.matches(text, with_terms):
+                    rows.append(row)
+                    found.append((*x, x[5] + bisect_left(far, x[5]), x[6] + bisect_left(far, x[6])))
+                    if len(found) == AT_ONCE:
+                        yield packed(batch.column("doc_id"), rows, found)
+                        rows, found = [], []
+            if found:
+                yield packed(batch.column("doc_id"), rows, found)
 
     return docs.select("doc_id", "text").mapInArrow(run, MARKS.format(docs.schema["doc_id"].dataType.simpleString()))
 
